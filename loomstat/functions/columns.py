@@ -95,3 +95,12 @@ def feature_matrix(df: DataFrame, key: str, cols: Sequence[str] | None = None) -
     if len(cols) < 2:
         raise ValueError(f"need at least 2 numeric columns, found {len(cols)}")
     return df.select(q(key).alias(key), vector_of(cols).alias("features"))
+
+
+def side_by_side(*tables: DataFrame) -> DataFrame:
+    """One-row tables as one row."""
+    out = None
+    for t in tables:
+        keyed = t.withColumn("__one", F.lit(1))
+        out = keyed if out is None else out.join(keyed, "__one")
+    return out.drop("__one")

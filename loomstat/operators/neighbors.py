@@ -224,13 +224,14 @@ def _candidates(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> Dat
     routed = asking.mapInPandas(route, "id long, vec array<double>, cell int, part int")
     crowd = routed.groupBy("cell", "part").agg(F.count("*").alias("askers")).select(
         "cell", "part", F.ceil(F.col("askers") / F.lit(rows_per_block)).cast("int").alias("copies"))
-    queries = routed.join(crowd, ["cell", "part"]).withColumn(
-        "copy", F.pmod(F.xxhash64("id", F.lit(3)), F.col("copies")).cast("int"))
-    data = blocked.select("id", "vec", "cell", "part").join(crowd, ["cell", "part"]).withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    keys = ["cell", "part", "copy"]
-    far = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(
-        lambda a, b: _search(a, b, k, fill), schema)
+    queries = routed.join(crowd, ["cell", "part"]).select(
+        "id", "vec", "cell", "part", F.lit(True).alias("asks"),
+        F.pmod(F.xxhash64("id", F.lit(3)), F.col("copies")).cast("int").alias("copy"))
+    data = blocked.select("id", "vec", "cell", "part").join(crowd, ["cell", "part"]).select(
+        "id", "vec", "cell", "part", F.lit(False).alias("asks"),
+        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    far = queries.unionByName(data).groupBy("cell", "part", "copy").applyInPandas(
+        lambda pdf: _search(pdf[pdf["asks"]], pdf[~pdf["asks"]], k, fill), schema)
     return own.unionByName(far)
 
 
