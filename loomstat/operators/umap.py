@@ -1,8 +1,8 @@
 """Neighbour-graph embedding after McInnes 2018, laid out in synchronous epochs.
 
 The graph is exact. The layout differs from the usual one: instead of one random edge at a
-time, all edges pull and a hashed handful of other rows push in every epoch, each epoch being
-one join and one aggregation. Results are therefore similar to, not equal to, the sequential
+time, every edge pulls its ends and pushes them from one hashed other row in each epoch, and
+a row moves by the weighted mean of its edges: lookups of positions and one aggregation. Results are therefore similar to, not equal to, the sequential
 layout.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.ranking import attach_by_value
 from ..session import cut_lineage
@@ -25,7 +25,8 @@ CURVE_B = 0.8950608781227859
 SEED = 42
 NEGATIVES = 5
 
-EPOCHS = 20
+EPOCHS = 50
+SHARED_ROWS = 200_000
 
 
 @F.pandas_udf(T.StructType([T.StructField("rho", T.DoubleType()), T.StructField("sigma", T.DoubleType())]))
@@ -71,61 +72,102 @@ def fuzzy_union(edges: DataFrame) -> DataFrame:
         .select("a", "b", (F.col("s") - F.col("p")).alias("w"))
 
 
-def _step(v: Column) -> Column:
-    return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), v))
+def edge_moves(p: np.ndarray, o: np.ndarray, r: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted move of each edge's source: towards the other end, away from a random row."""
+    gap = ((p - o) ** 2).sum(axis=1)
+    near = np.maximum(gap, 1e-12)
+    pull = np.where(gap > 0, -2.0 * CURVE_A * CURVE_B * near ** (CURVE_B - 1.0)
+                    / (1.0 + CURVE_A * near ** CURVE_B), 0.0)
+    off = ((p - r) ** 2).sum(axis=1)
+    push = 2.0 * CURVE_B / ((0.001 + off) * (1.0 + CURVE_A * off ** CURVE_B))
+    move = np.clip(pull[:, None] * (p - o), -4.0, 4.0) \
+        + NEGATIVES * np.clip(push[:, None] * (p - r), -4.0, 4.0)
+    return w[:, None] * move
+
+
+def draw(h, epoch: int, rows: int):
+    """The random row an edge is pushed from; ``h`` is its 31-bit hash (column or array)."""
+    return (h * (2 * epoch + 1) + epoch) % rows
+
+
+def _partial_sums(ids: np.ndarray, w: np.ndarray, moves: np.ndarray) -> pd.DataFrame:
+    names, at = np.unique(ids, return_inverse=True)
+    out = {"id": names, "w": np.bincount(at, weights=w)}
+    for j in range(moves.shape[1]):
+        out[f"m{j}"] = np.bincount(at, weights=moves[:, j])
+    return pd.DataFrame(out)
 
 
 def layout(start: DataFrame, edges: DataFrame, dims: int, rows: int, epochs: int = EPOCHS,
-           seed: int = SEED) -> DataFrame:
-    """(id, pos): ``start`` moved by attraction along edges and repulsion from hashed rows.
+           seed: int = SEED, shared_rows: int = SHARED_ROWS) -> DataFrame:
+    """(id, pos): ``start`` moved along the edges for a number of epochs.
 
-    ids must be dense 0..rows-1, so that a hash can name a random other row.
+    ids are dense 0..rows-1, so that a hash can name a random other row. Up to
+    ``shared_rows`` rows the positions are sent to every task; beyond that they are joined.
     """
-    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(
-        edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
-    degree = both.groupBy("src").agg(F.count("*").alias("cnt"))
-    # the source side never changes: its position travels with the edge lookups below
-    both = cut_lineage(both)
+    hashed = F.pmod(F.xxhash64("id", "to", F.lit(seed)), F.lit(1 << 31)).alias("h")
+    both = cut_lineage(
+        edges.select(F.col("a").alias("id"), F.col("b").alias("to"), "w").unionByName(
+            edges.select(F.col("b").alias("id"), F.col("a").alias("to"), "w"))
+        .select("id", "to", "w", hashed))
+    run = _shared_layout if rows <= shared_rows else _joined_layout
+    return run(start, both, dims, rows, epochs)
+
+
+def _sum_schema(dims: int) -> str:
+    return "id long, w double, " + ", ".join(f"m{j} double" for j in range(dims))
+
+
+def _shared_layout(start: DataFrame, both: DataFrame, dims: int, rows: int, epochs: int) -> DataFrame:
+    spark = start.sparkSession
+    pos = np.zeros((rows, dims))
+    for r in start.toLocalIterator():
+        pos[r.id] = r.pos
+    sums = [F.sum(c).alias(c) for c in ["w", *[f"m{j}" for j in range(dims)]]]
+    for epoch in range(epochs):
+        shared = spark.sparkContext.broadcast(pos)
+
+        def batch(batches, epoch=epoch, shared=shared):
+            now = shared.value
+            for pdf in batches:
+                i, w = pdf["id"].to_numpy(), pdf["w"].to_numpy()
+                rand = draw(pdf["h"].to_numpy(), epoch, rows)
+                yield _partial_sums(i, w, edge_moves(now[i], now[pdf["to"].to_numpy()], now[rand], w))
+
+        got = both.mapInPandas(batch, _sum_schema(dims)).groupBy("id").agg(*sums).toPandas()
+        total = got[[f"m{j}" for j in range(dims)]].to_numpy() / got["w"].to_numpy()[:, None]
+        pos = pos.copy()
+        pos[got["id"].to_numpy()] += (1.0 - epoch / epochs) * total
+        shared.destroy()
+    return spark.createDataFrame(list(enumerate(pos.tolist())), "id long, pos array<double>")
+
+
+def _joined_layout(start: DataFrame, both: DataFrame, dims: int, rows: int, epochs: int) -> DataFrame:
     total = both.count()
-    sizes = cut_lineage(degree)
+    degree = cut_lineage(both.groupBy("id").agg(F.count("*").alias("cnt")))
     pos = start
 
-    def gap2(a: str, b: str) -> Column:
-        out = F.lit(0.0)
-        for j in range(dims):
-            out = out + (F.col(a)[j] - F.col(b)[j]) * (F.col(a)[j] - F.col(b)[j])
-        return out
-
-    def moves(pairs: DataFrame, force: Column) -> DataFrame:
-        return pairs.select("id", *[
-            _step(force * (F.col("p")[j] - F.col("o")[j])).alias(f"m{j}") for j in range(dims)])
+    def batch(batches):
+        for pdf in batches:
+            if len(pdf):
+                w = pdf["w"].to_numpy()
+                yield _partial_sums(pdf["id"].to_numpy(), w, edge_moves(
+                    stack(pdf["p"]), stack(pdf["o"]), stack(pdf["r"]), w))
 
     for epoch in range(epochs):
-        rate = 1.0 - epoch / epochs
-        known = pos.join(sizes.withColumnRenamed("src", "id"), "id")
-        ends = attach_by_value(both.withColumnRenamed("src", "id"),
-                               known.select("id", "cnt", F.col("pos").alias("p")), "id", total) \
-            .select("id", "p", F.col("dst").alias("to"), "w")
-        pairs = attach_by_value(
-            ends, known.select(F.col("id").alias("to"), "cnt", F.col("pos").alias("o")), "to", total)
-        g = gap2("p", "o")
-        pull = F.lit(-2.0 * CURVE_A * CURVE_B) * F.pow(g, F.lit(CURVE_B - 1.0)) \
-            / (F.lit(1.0) + F.lit(CURVE_A) * F.pow(g, F.lit(CURVE_B)))
-        drawn = pos.select("id", F.col("pos").alias("p"), F.explode(F.array(*[
-            F.pmod(F.xxhash64("id", F.lit(epoch), F.lit(i), F.lit(seed)), F.lit(rows))
-            for i in range(NEGATIVES)])).alias("to")).filter(F.col("to") != F.col("id"))
-        others = drawn.join(pos.select(F.col("id").alias("to"), F.col("pos").alias("o")), "to")
-        push = F.lit(2.0 * CURVE_B) / ((F.lit(0.001) + g)
-                                       * (F.lit(1.0) + F.lit(CURVE_A) * F.pow(g, F.lit(CURVE_B))))
-        # pulls are averaged by weight, so crowded rows move no farther than others
-        pulled = moves(pairs.filter(g > 0), F.col("w") * pull).groupBy("id").agg(
-            *[F.sum(f"m{j}").alias(f"a{j}") for j in range(dims)])
-        pushed = moves(others, push).groupBy("id").agg(
-            *[F.avg(f"m{j}").alias(f"r{j}") for j in range(dims)])
-        moved = pos.join(pulled, "id", "left").join(pushed, "id", "left")
-        pos = moved.select("id", F.array(*[
-            F.col("pos")[j] + F.lit(rate) * (
-                _step(F.coalesce(f"a{j}", F.lit(0.0))) + F.coalesce(f"r{j}", F.lit(0.0)))
+        # rows with very many edges are looked up by broadcast, the others by ordinary joins
+        known = pos.join(degree, "id")
+        sides = attach_by_value(both, known.select("id", "cnt", F.col("pos").alias("p")), "id", total) \
+            .select("id", "p", "to", "w", draw(F.col("h"), epoch, rows).alias("rand"))
+        ends = attach_by_value(sides, known.select(F.col("id").alias("to"), "cnt",
+                                                   F.col("pos").alias("o")), "to", total) \
+            .select("id", "p", "o", "w", "rand")
+        drawn = ends.join(pos.select(F.col("id").alias("rand"), F.col("pos").alias("r")), "rand")
+        moved = drawn.select("id", "p", "o", "r", "w").mapInPandas(batch, _sum_schema(dims)) \
+            .groupBy("id").agg(F.sum("w").alias("w"), *[F.sum(f"m{j}").alias(f"m{j}") for j in range(dims)])
+        rate = F.lit(1.0 - epoch / epochs)
+        pos = pos.join(moved, "id", "left").select("id", F.array(*[
+            F.col("pos")[j] + F.coalesce(rate * F.col(f"m{j}") / F.col("w"), F.lit(0.0))
             for j in range(dims)]).alias("pos"))
         # an epoch reads the positions four times, so its plan must not grow into the next
         pos = cut_lineage(pos)
