@@ -25,7 +25,7 @@ CURVE_B = 0.8950608781227859
 SEED = 42
 NEGATIVES = 5
 
-EPOCHS = 50
+EPOCHS = 30
 SHARED_ROWS = 200_000
 
 
