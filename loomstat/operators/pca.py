@@ -29,7 +29,7 @@ class PCAModel:
 
     def transform(self, df: DataFrame, key: str, features: str = "features") -> DataFrame:
         """(key, PC1..PCk): a projection inside the JVM, no shuffle."""
-        scored = self.model.transform(df.select(key, array_to_vector(features).alias("__vec")))
+        scored = self.model.transform(df.select(key, array_to_vector(F.col(features)).alias("__vec")))
         parts = vector_to_array("__pc")
         raw = self.model.pc.toArray().T
         cols = []

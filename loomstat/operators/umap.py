@@ -180,16 +180,16 @@ def umap_embed(df: DataFrame, key: str, features: str = "features", dims: int =
     from .clean import assign_row_id
     rows = df.count()
     k = neighbors or graph_neighbors(rows)
-    # dense ids for the hashed draws; written out once by assign_row_id
-    named = cut_lineage(assign_row_id(df.select(F.col(key), F.col(features)), "id"))
-    width = len(named.first()[features])
+    # dense ids for the hashed draws; written out once, every later step reads the same ids
+    named = cut_lineage(assign_row_id(
+        df.select(F.col(key).alias("__key"), F.col(features).alias("__vec")), "id"))
+    width = len(named.first()["__vec"])
     dims = min(dims, width)
-    model = fit_pca(named, features, dims)
-    first = model.transform(named, "id")
+    first = fit_pca(named, "__vec", dims).transform(named, "id", "__vec")
     spread = first.agg(*[F.stddev_pop(f"PC{j + 1}").alias(f"s{j}") for j in range(dims)]).first()
     start = cut_lineage(first.select("id", F.array(*[
         F.col(f"PC{j + 1}") * F.lit(5.0 / (spread[f"s{j}"] or 1.0)) for j in range(dims)]).alias("pos")))
-    edges = cut_lineage(fuzzy_union(memberships(knn_graph(named, "id", features, k))))
+    edges = cut_lineage(fuzzy_union(memberships(knn_graph(named, "id", "__vec", k))))
     final = layout(start, edges, dims, rows, epochs)
-    return final.join(named.select("id", key), "id").select(
-        key, *[F.col("pos")[j].alias(f"UMAP{j + 1}") for j in range(dims)])
+    return final.join(named.select("id", "__key"), "id").select(
+        F.col("__key").alias(key), *[F.col("pos")[j].alias(f"UMAP{j + 1}") for j in range(dims)])

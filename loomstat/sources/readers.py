@@ -181,28 +181,42 @@ def read_json(spark: SparkSession, path: str, normalize: bool = True) -> Loaded:
 
 # ---- Feather --------------------------------------------------------------------------
 
+def _spark_arrow(schema):
+    """The Arrow schema Spark can take: microsecond timestamps, categories as their values."""
+    import pyarrow as pa
+
+    def kind(t):
+        if pa.types.is_timestamp(t):
+            return pa.timestamp("us", t.tz)
+        if pa.types.is_dictionary(t):
+            return kind(t.value_type)
+        return pa.float32() if pa.types.is_float16(t) else t
+
+    return pa.schema([pa.field(f.name, kind(f.type)) for f in schema])
+
+
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
     """Feather files, one task per group of files; the format cannot be split further."""
+    import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
     files = spark.read.format("binaryFile").load(path).select("content")
 
-    def names(batches):
-        import pyarrow as pa
+    def tables(batches):
         import pyarrow.feather as feather
         for batch in batches:
             for content in batch.column("content"):
-                schema = feather.read_table(pa.BufferReader(content.as_py())).schema
-                yield pa.RecordBatch.from_pydict({"schema": [schema.serialize().to_pybytes()]})
+                table = feather.read_table(pa.BufferReader(content.as_py()))
+                yield table.cast(_spark_arrow(table.schema))
+
+    def names(batches):
+        for table in tables(batches):
+            yield pa.RecordBatch.from_pydict({"schema": [table.schema.serialize().to_pybytes()]})
 
     def rows(batches):
-        import pyarrow as pa
-        import pyarrow.feather as feather
-        for batch in batches:
-            for content in batch.column("content"):
-                yield from feather.read_table(pa.BufferReader(content.as_py())).to_batches()
+        for table in tables(batches):
+            yield from table.to_batches()
 
-    import pyarrow as pa
     first = files.limit(1).mapInArrow(names, "schema binary").first()
     if first is None:
         raise ValueError(f"no files at {path}")
