@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 2_000
 
@@ -74,6 +76,7 @@ def attach_by_value(rows: DataFrame, table: DataFrame, value: str, total: int,
     ranges = ranges_for(total, rows_per_range)
     if ranges == 1:
         return rows.join(table, value)
+    table = cut_lineage(table)          # read three times below
     heavy = F.broadcast(table.filter(F.col("cnt") * ranges > total))
     light = table.filter(F.col("cnt") * ranges <= total)
     hot = rows.join(heavy, value)

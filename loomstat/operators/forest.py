@@ -58,16 +58,22 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def path_lengths(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Path length of each row in one tree, all rows stepping down together."""
-    at = np.zeros(len(x), dtype="int64")
-    while True:
-        feature = nodes[at, 0].astype("int64")
-        inner = np.flatnonzero(feature >= 0)
-        if not len(inner):
-            return nodes[at, 4]
-        here = at[inner]
-        left = x[inner, feature[inner]] <= nodes[here, 1]
-        at[inner] = np.where(left, nodes[here, 2], nodes[here, 3]).astype("int64")
+    """Path length of each row in one tree: row sets split from the root down, so a node costs
+    one comparison over the rows that reach it."""
+    out = np.empty(len(x))
+    columns = np.ascontiguousarray(x.T)
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        at, rows = todo.pop()
+        feature, threshold, left, right, path = nodes[at]
+        if feature < 0:
+            out[rows] = path
+            continue
+        goes = columns[int(feature)][rows] <= threshold
+        for child, part in ((int(left), rows[goes]), (int(right), rows[~goes])):
+            if len(part):
+                todo.append((child, part))
+    return out
 
 
 @dataclass

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import as_double, q, vector_of
 from ..functions.ranking import value_counts_ranked
+from ..session import cut_lineage
 
 ROWS_PER_BLOCK = 2_000
 MAX_PIVOTS = 2_048
@@ -180,7 +181,8 @@ def _candidates(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> Dat
                 .applyInPandas(lambda pdf: alone(pdf.drop(columns="g", errors="ignore")), schema))
 
     pivots = choose_pivots(rows, wanted)
-    celled = nearest_pivot(rows, pivots)
+    # each of the next tables is read several times; written once instead of searched again
+    celled = cut_lineage(nearest_pivot(rows, pivots))
     sizes = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
     parts = {c: -(-s // rows_per_block) for c, s in sizes.items()}
     parts_of = F.create_map(*[F.lit(v) for item in parts.items() for v in item])
@@ -188,8 +190,8 @@ def _candidates(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> Dat
         "part", F.pmod(F.xxhash64("id", F.lit(7)), parts_of[F.col("cell")]).cast("int")) \
         .withColumn("asks", is_query)
 
-    own = blocked.groupBy("cell", "part").applyInPandas(
-        lambda pdf: _search(pdf[pdf["asks"]], pdf, k, fill), schema)
+    own = cut_lineage(blocked.groupBy("cell", "part").applyInPandas(
+        lambda pdf: _search(pdf[pdf["asks"]], pdf, k, fill), schema))
 
     # upper bound per query: its k-th distance so far (per missing coordinate: the worst)
     per_slot = own.groupBy("id", "slot").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
@@ -221,7 +223,8 @@ def _candidates(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> Dat
                 {"id": pd.Series(dtype="int64"), "vec": pd.Series(dtype="object"),
                  "cell": pd.Series(dtype="int32"), "part": pd.Series(dtype="int32")})
 
-    routed = asking.mapInPandas(route, "id long, vec array<double>, cell int, part int")
+    routed = cut_lineage(
+        asking.mapInPandas(route, "id long, vec array<double>, cell int, part int"))
     crowd = routed.groupBy("cell", "part").agg(F.count("*").alias("askers")).select(
         "cell", "part", F.ceil(F.col("askers") / F.lit(rows_per_block)).cast("int").alias("copies"))
     queries = routed.join(crowd, ["cell", "part"]).select(

@@ -75,13 +75,18 @@ def cardinality(df: DataFrame, cols: Sequence[str] | None = None,
     cols = list(cols or df.columns)
     if approximate:
         return aggregate_long(df, cols, {"n_unique": F.approx_count_distinct})
+    # columns of one type travel together, so no value is turned into text to be compared
+    kinds: dict[str, list[str]] = {}
+    for name, kind in df.dtypes:
+        if name in cols:
+            kinds.setdefault(kind, []).append(name)
     result = None
-    for part in chunks(cols):
-        pairs = (df.select(*[q(c).cast("string").alias(c) for c in part])
-                 .unpivot([], [q(c) for c in part], "column", "value")
-                 .groupBy("column", "value").agg(F.count("value").alias("n")))
-        counted = pairs.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n_unique"))
-        result = counted if result is None else result.unionByName(counted)
+    for same in kinds.values():
+        for part in chunks(same):
+            pairs = (df.select(*[q(c) for c in part]).unpivot([], [q(c) for c in part], "column", "value")
+                     .groupBy("column", "value").agg(F.count("value").alias("n")))
+            counted = pairs.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n_unique"))
+            result = counted if result is None else result.unionByName(counted)
     return result
 
 

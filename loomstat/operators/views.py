@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import aggregate_row, as_double, chunks, numeric_columns, q
+from ..functions.columns import aggregate_row, as_double, numeric_columns, q
 from ..functions.quantiles import exact_quantiles, grouped_quantiles
 from .prep import IQR_FACTOR
 
@@ -82,38 +84,49 @@ def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(x, y, correlation) for all column pairs over rows where both are present.
+    """(x, y, correlation) for all column pairs over the rows where both are present.
 
-    One scan: moments of each pair, shifted by the column means for accuracy. Undefined
-    correlations (a constant column) are NULL.
+    Every task reduces its rows to four d x d matrices (counts, sums, squares, products, taken
+    around the column means for accuracy), so one scan serves all pairs whatever their gaps.
+    Undefined correlations (a constant column) are NULL.
     """
     cols = list(cols or numeric_columns(df)[:CORRELATION_COLUMNS])
-    pairs = list(combinations(cols, 2))
-    out = None
-    for part in chunks(pairs, 45):
-        exprs = []
-        for i, (a, b) in enumerate(part):
-            both = as_double(a).isNotNull() & as_double(b).isNotNull()
-            x, y = F.when(both, as_double(a)), F.when(both, as_double(b))
-            exprs.append(F.struct(
-                F.lit(a).alias("x"), F.lit(b).alias("y"),
-                F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-                .alias("correlation")).alias(f"p{i}"))
-        wide = df.agg(*exprs)
-        long = wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(part))])))
-        out = long if out is None else out.unionByName(long)
-    if out is None:
+    if len(cols) < 2:
         raise ValueError("need at least 2 numeric columns")
-    # the matrix is symmetric; each pair row also gives its mirror, so nothing is scanned twice
-    both_ways = out.select(F.explode(F.array(
-        F.struct("x", "y", "correlation"),
-        F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "correlation"))).alias("c")).select("c.*")
-    diagonal = df.agg(*[F.when(F.stddev_pop(as_double(c)) > 0, F.lit(1.0)).alias(f"d{i}")
-                        for i, c in enumerate(cols)])
-    ones = diagonal.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.col(f"d{i}").alias("correlation"))
-        for i, c in enumerate(cols)])))
-    return both_ways.unionByName(ones)
+    d = len(cols)
+    at = aggregate_row(df, cols, {"m": lambda c: F.avg(c.cast("double")),
+                                  "lo": lambda c: F.min(c.cast("double")),
+                                  "hi": lambda c: F.max(c.cast("double"))})
+    centre = np.array([at[c]["m"] or 0.0 for c in cols])
+    flat = [at[c]["lo"] is None or at[c]["lo"] == at[c]["hi"] for c in cols]
+
+    def partial(batches):
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        slots = np.arange(4 * d * d, dtype="int32")
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total.ravel())], ["slot", "v"])
+
+    sums = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(cols)]) \
+        .mapInArrow(partial, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(4 * d * d)
+    for r in sums:
+        total[r.slot] = r.v
+    n, s, ss, p = total.reshape(4, d, d)
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            value = None
+            if not (flat[i] or flat[j]) and n[i, j] > 0:
+                # s[i, j]: sum of column i over the rows where column j is present
+                cov = p[i, j] - s[i, j] * s[j, i] / n[i, j]
+                spread = (ss[i, j] - s[i, j] ** 2 / n[i, j]) * (ss[j, i] - s[j, i] ** 2 / n[i, j])
+                value = float(cov / np.sqrt(spread)) if spread > 0 else None
+            rows.append((a, b, 1.0 if i == j and value is not None else value))
+    return df.sparkSession.createDataFrame(rows, "x string, y string, correlation double")
 
 
 def pair_histogram(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
