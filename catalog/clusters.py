@@ -69,13 +69,19 @@ def clustering_summary(spark, d):
 
 def cluster_feature_trends(spark, d):
     e = table(spark, d, "embeddings")
-    cols = [f"x{j}" for j in range(8)]
+    cols = [f"x{j}" for j in range(64)]
     wide = e.select("vec_id", *[F.col("embedding")[j].cast("double").alias(c)
                                 for j, c in enumerate(cols)])
     return rounded(evaluate.feature_trends(wide, _labelled(spark, d), "vec_id", cols, 3),
                    "mean", "shift")
 
 
+def labels_on_embeddings(spark, d):
+    e = table(spark, d, "embeddings")
+    emb = e.select("vec_id", *[F.col("embedding")[j].cast("double").alias(f"x{j + 1}") for j in range(3)])
+    return rounded(views.projection(emb, _noisy(spark, d), "vec_id", 3), "x1", "x2", "x3")
+
+
 def nearest_center(spark, d):
     points = _labelled(spark, d)
     centers = {r.cluster: list(r.centroid) for r in evaluate.cluster_stats(points).collect()}
@@ -87,8 +93,8 @@ def inertia_given_labels(spark, d):
 
 
 def elbow_k(spark, d):
-    curve = table(spark, d, "customer").filter(F.col("c_nationkey") < 10).groupBy(
-        (F.col("c_nationkey") + 1).alias("k")).agg(F.sum("c_acctbal").alias("inertia"))
+    curve = table(spark, d, "customer").groupBy(
+        (F.col("c_nationkey") % 10 + 1).alias("k")).agg(F.sum("c_acctbal").alias("inertia"))
     return kmeans.elbow_k(curve)
 
 
@@ -144,7 +150,7 @@ def hierarchical_cut(spark, d):
 QUERIES = {f.__name__: f for f in (
     k_distance, knee_eps, dbscan, dbscan_auto, hierarchical, hierarchical_cut, silhouette_samples, silhouette_score, silhouette_box, cluster_stats, cluster_balance,
     cluster_stats_table, cluster_label_table, clustering_summary, cluster_feature_trends,
-    nearest_center, inertia_given_labels, elbow_k, inertia_curve, silhouette_sweep, optimal_k)}
+    labels_on_embeddings, nearest_center, inertia_given_labels, elbow_k, inertia_curve, silhouette_sweep, optimal_k)}
 QUERIES["kmeans"] = kmeans_labels
 
 LABELLED = "select vec_id, cast(embedding as double[]) as v, label as cluster from embeddings"
@@ -174,7 +180,7 @@ def stats_sql(source, where=""):
 
 
 _VALID = f"select * from ({NOISY}) z where cluster <> -1"
-_X = [f"x{j}" for j in range(8)]
+_X = [f"x{j}" for j in range(64)]
 
 ORACLE = {
     "k_distance": """with g as (select a.vec_id, list_distance(a.v, b.v) as dist,
@@ -238,6 +244,9 @@ ORACLE = {
             order by round(abs(shift), 9) desc, feature) as rank from l)
         select cluster, feature, round(mean, 6) as mean, round(shift, 6) as shift, rank
         from r where rank <= 3""",
+    "labels_on_embeddings": f"""select e.vec_id, round(embedding[1]::double, 6) as x1,
+        round(embedding[2]::double, 6) as x2, round(embedding[3]::double, 6) as x3,
+        l.cluster::varchar as cluster from embeddings e join ({NOISY}) l on l.vec_id = e.vec_id""",
     "nearest_center": f"""with {stats_sql(LABELLED)}, r as (
         select vec_id, s.cluster, list_distance(v, centroid) as distance,
         row_number() over (partition by vec_id order by list_distance(v, centroid), s.cluster) as rn
@@ -246,8 +255,8 @@ ORACLE = {
     "inertia_given_labels": f"""with {stats_sql(LABELLED)} select
         round(sum(power(list_distance(v, centroid), 2)), 6) as inertia
         from ({LABELLED}) p join stats using (cluster)""",
-    "elbow_k": """with c as (select c_nationkey + 1 as k, sum(c_acctbal) as inertia from customer
-        where c_nationkey < 10 group by 1),
+    "elbow_k": """with c as (select c_nationkey % 10 + 1 as k, sum(c_acctbal) as inertia from customer
+        group by 1),
         b as (select k, abs(lead(inertia) over (order by k) - 2 * inertia + lag(inertia) over (order by k))
               as bend from c)
         select k::integer as elbow_k from b where bend is not null order by bend desc, k limit 1""",

@@ -76,9 +76,7 @@ def iqr_cap(spark, d):
 
 
 def outlier_counts(spark, d):
-    df = view(spark, d, PART).join(table(spark, d, "documents").selectExpr(
-        "doc_id as p_partkey", "n_chars"), "p_partkey", "left")
-    return prep.outlier_counts(df, NUM + ["n_chars"])
+    return prep.outlier_counts(view(spark, d, PART), NUM)
 
 
 def iqr_filter(spark, d):
@@ -225,11 +223,10 @@ ORACLE = {
         case when p_retailprice is not null then
           round(greatest(r1 - 1.5 * (r3 - r1), least(r3 + 1.5 * (r3 - r1), p_retailprice)), 6) end
           as p_retailprice from t, b""",
-    "outlier_counts": f"""with t as (select p.*, d.n_chars from ({PART_SQL}) p
-        left join documents d on d.doc_id = p.p_partkey) """ + _per_column(
+    "outlier_counts": f"with t as ({PART_SQL}) " + _per_column(
         """select '{c}' as "column", count(*) as outliers from t, (select
         quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.75) as q3 from t) b
-        where {c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)""", NUM + ["n_chars"]),
+        where {c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)""", NUM),
     "iqr_filter": """select doc_id, n_chars from documents, (select quantile_cont(n_chars, 0.25) as q1,
         quantile_cont(n_chars, 0.75) as q3 from documents) b
         where n_chars between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)""",

@@ -106,7 +106,10 @@ ORACLE = {
     "pca_2d": f"""with {_EIGEN} select p_partkey,
         round(s1 * (ux * (p_size - mx) + uy * (p_retailprice - my)), 6) as "PC1",
         round(s2 * (-uy * (p_size - mx) + ux * (p_retailprice - my)), 6) as "PC2" from part, w""",
-    "pca_auto_k": f"""with {_EIGEN} select 2 as k, true as reached from w""",
+    "pca_auto_k": f"""with {_EIGEN}, r as (select 1 as component, l1 / (l1 + l2) as total from l
+          union all select 2, (l1 + l2) / (l1 + l2) from l)
+        select greatest(2, coalesce(min(case when total >= 0.95 - 1e-12 then component end), 2))::integer as k,
+        bool_or(total >= 0.95 - 1e-12) as reached from r""",
     "pca_explained_variance_2d": f"""with {_EIGEN}
         select 'PC1' as component, round(l1 / (l1 + l2), 6) as ratio, round(l1 / (l1 + l2), 6) as cumulative
         from l union all

@@ -20,6 +20,8 @@ MAD_FACTOR = 3.0
 CONTAMINATION_RANGE = (0.01, 0.2)
 TOP = 10
 
+BROADCAST_TOP = 10_000
+
 
 def auto_contamination(df: DataFrame, cols: Sequence[str]) -> float:
     """Share of rows with any value beyond 3 median absolute deviations, kept in [0.01, 0.2]."""
@@ -81,7 +83,9 @@ def top_anomalies(features: DataFrame, scores: DataFrame, key: str, n: int = TOP
     The n scores are picked before the join, so only n rows look for their features.
     """
     top = scores.orderBy("anomaly_score", key).limit(n)
-    return features.join(F.broadcast(top), key).orderBy("anomaly_score", key)
+    if n <= BROADCAST_TOP:
+        top = F.broadcast(top)
+    return features.join(top, key).orderBy("anomaly_score", key)
 
 
 def local_outlier_factor(df: DataFrame, key: str, features: str = "features", k: int = 20,

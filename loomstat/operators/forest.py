@@ -114,7 +114,11 @@ def fit_forest(df: DataFrame, key: str, features: str = "features", trees: int =
         pool = pool.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
                            < F.lit(int(share * (1 << 40))))
     drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) \
-        .withColumn("h", F.xxhash64("id", "tree", F.lit(seed)))
+        .withColumn("h", F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 40)))
+    # the smallest hashes win; hashes beyond twice the wanted number cannot be among them
+    enough = 2.0 * sample / min(rows, pool_rows)
+    if sample >= SAMPLE_ROWS and enough < 1:
+        drawn = drawn.filter(F.col("h") < F.lit(int(enough * (1 << 40))))
     order = Window.partitionBy("tree").orderBy("h", "id")
     drawn = drawn.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import aggregate_row, as_double, numeric_columns, q
-from ..functions.quantiles import exact_quantiles, grouped_quantiles
+from ..functions.quantiles import IN_MEMORY_VALUES, exact_quantiles, grouped_quantiles
 from .prep import IQR_FACTOR
 
 # Fixed values of the charts.
@@ -59,28 +59,53 @@ def histogram(df: DataFrame, column: str, bins: int = BINS, by: str | None = Non
         (F.lit(lo) + (F.col("bin") + 1) * width).alias("hi"), "count")
 
 
-def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+def _fences(df: DataFrame, value: str, by: str, large: int) -> tuple[DataFrame, DataFrame, list]:
+    """Quartiles per group: (few large groups, all other groups, the large groups).
+
+    A group beyond ``large`` rows is measured by bounded passes over masked columns; there are
+    at most rows / large of them. The others fit one aggregation buffer each.
+    """
+    probs = [0.25, 0.5, 0.75]
+    kind = dict(df.dtypes)[by]
+    rows = df.filter(q(by).isNotNull() & q(value).isNotNull())
+    hot = [r[0] for r in rows.groupBy(q(by).alias("g")).agg(F.count("*").alias("n"))
+           .filter(F.col("n") > large).collect()]
+    found = grouped_quantiles(rows, by, value, probs, hot, large) if hot else {}
+    names = ["q1", "median", "q3"]
+    big = df.sparkSession.createDataFrame(
+        [(g, *v) for g, v in found.items()], f"g {kind}, q1 double, median double, q3 double")
+    rest = rows.filter(~q(by).isin(hot)) if hot else rows
+    p = F.percentile(as_double(value), F.array(*[F.lit(x) for x in probs]))
+    small = rest.groupBy(q(by).alias("g")).agg(p.alias("p")).select(
+        "g", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+    return big, small, hot
+
+
+def box_stats(df: DataFrame, value: str, by: str | None = None,
+              large: int = IN_MEMORY_VALUES) -> DataFrame:
     """(group, count, q1, median, q3, whisker_low, whisker_high): whiskers are the outermost
-    values within 1.5 IQR of the box. The number of groups is the number of boxes drawn."""
-    if by is None:
-        quart = {None: exact_quantiles(df, [value], [0.25, 0.5, 0.75])[value]}
-        group = F.lit(None).cast("string")
-    else:
-        labels = [r[0] for r in df.filter(q(by).isNotNull()).select(q(by)).distinct().collect()]
-        quart = grouped_quantiles(df, by, value, [0.25, 0.5, 0.75], labels)
-        group = q(by)
-    kind = "string" if by is None else dict(df.dtypes)[by]
-    rows = [(g, *v) for g, v in quart.items() if v]
-    fences = df.sparkSession.createDataFrame(
-        rows, f"g {kind}, q1 double, median double, q3 double")
+    values within 1.5 IQR of the box."""
     v = as_double(value)
     inside = v.between(F.col("q1") - IQR_FACTOR * (F.col("q3") - F.col("q1")),
                        F.col("q3") + IQR_FACTOR * (F.col("q3") - F.col("q1")))
-    joined = df.withColumn("__g", group).join(F.broadcast(fences), F.col("__g").eqNullSafe(F.col("g")))
-    return joined.groupBy("g", "q1", "median", "q3").agg(
-        F.count(v).alias("count"), F.min(F.when(inside, v)).alias("whisker_low"),
-        F.max(F.when(inside, v)).alias("whisker_high")).select(
-        F.col("g").alias(by or "group"), "count", "q1", "median", "q3", "whisker_low", "whisker_high")
+
+    def summary(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("g", "q1", "median", "q3").agg(
+            F.count(v).alias("count"), F.min(F.when(inside, v)).alias("whisker_low"),
+            F.max(F.when(inside, v)).alias("whisker_high")).select(
+            F.col("g").alias(by or "group"), "count", "q1", "median", "q3", "whisker_low",
+            "whisker_high")
+
+    if by is None:
+        quart = exact_quantiles(df, [value], [0.25, 0.5, 0.75], large)[value] or [None] * 3
+        return summary(df.select(q(value), F.lit(None).cast("string").alias("g"), *[
+            F.lit(x).cast("double").alias(n) for x, n in zip(quart, ("q1", "median", "q3"))]))
+    big, small, hot = _fences(df, value, by, large)
+    rows = df.select(q(by).alias("g"), q(value))
+    cold = summary((rows.filter(~F.col("g").isin(hot)) if hot else rows).join(small, "g"))
+    if not hot:
+        return cold
+    return cold.unionByName(summary(rows.filter(F.col("g").isin(hot)).join(F.broadcast(big), "g")))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

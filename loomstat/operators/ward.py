@@ -95,15 +95,21 @@ class WardTree:
 
 
 def fit_ward(df: DataFrame, key: str, features: str = "features", micro: int = MICRO) -> WardTree:
-    """Equal rows share one micro-cluster, so the exact level counts distinct rows."""
-    merged = df.groupBy(F.col(features).cast("array<double>").alias("v")).agg(F.count("*").alias("n"))
-    head = merged.limit(micro + 1).collect()
-    exact = len(head) <= micro
+    """Equal rows share one micro-cluster, so the exact level counts distinct rows.
+
+    A sketch tells tables with few distinct rows apart before any row is shuffled.
+    """
+    v = F.col(features).cast("array<double>")
+    about = df.agg(F.approx_count_distinct(F.xxhash64(v))).first()[0]
+    head = []
+    if about <= 2 * micro:
+        head = df.groupBy(v.alias("v")).agg(F.count("*").alias("n")).limit(micro + 1).collect()
+        if not head:
+            raise ValueError("no rows to cluster")
+    exact = 0 < len(head) <= micro
     if exact:
         centers = np.array([r.v for r in head], dtype="float64")
         weights = np.array([r.n for r in head], dtype="float64")
-        if not len(head):
-            raise ValueError("no rows to cluster")
     else:
         fit = fit_kmeans(df, micro, features, restarts=MICRO_ITERATION_RESTARTS)
         stats = cluster_stats(df.select(key, features).join(fit.labels(df, key, features), key),

@@ -127,3 +127,20 @@ def test_correlation_of_a_constant_is_null(spark):
 def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([(3.0,)] * 4, "x double")
     assert [(r.bin, r["count"]) for r in views.histogram(df, "x").collect()] == [(0, 4)]
+
+
+def test_boxes_with_large_and_small_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.normal(size=400)] + [("b", float(v)) for v in rng.normal(size=30)]
+    df = spark.createDataFrame(rows + [("a", 99.0), (None, 1.0)], "g string, v double")
+    few = sorted(views.box_stats(df, "v", "g", large=50).collect())
+    assert few == sorted(views.box_stats(df, "v", "g").collect())
+    assert [r["count"] for r in few] == [401, 30] and few[0].whisker_high < 99.0
+    one = views.box_stats(df, "v").first()
+    assert one["count"] == 432 and one.median == np.median([v for _g, v in rows] + [99.0, 1.0])
+
+
+def test_input_size(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "t"))
+    got = profile.input_bytes(spark.read.parquet(str(tmp_path / "t"))).first()
+    assert got.files == 3 and got.bytes == sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
