@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut_lineage
 
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 2_000
+MAX_RANGES = 20_000
 
 
 def range_edges(df: DataFrame, value: str, ranges: int) -> list[float]:

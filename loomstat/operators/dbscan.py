@@ -110,9 +110,9 @@ def neighbour_offsets(d: int) -> list[tuple[int, ...]]:
 
 
 def _around(cell: str, offsets: list[tuple[int, ...]]) -> Column:
-    return F.explode(F.array(*[
-        F.array(*[F.col(cell)[j] + F.lit(v).cast("long") for j, v in enumerate(o)])
-        for o in offsets]))
+    # one constant array of offsets keeps the generated code small in three and more dimensions
+    steps = F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offsets])
+    return F.explode(F.transform(steps, lambda o: F.zip_with(F.col(cell), o, lambda a, b: a + b)))
 
 
 def _probe(thin: DataFrame, rows: DataFrame, offsets: list, d: int, eps: float) -> DataFrame:

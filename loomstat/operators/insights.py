@@ -71,8 +71,9 @@ def _warning_above(value: Column, limit: float) -> Column:
     return F.when(value > limit, F.lit("warning")).otherwise(F.lit("info"))
 
 
-def initial_insights(df: DataFrame) -> DataFrame:
-    m = profile.data_summary(df)
+def initial_insights(df: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """From a table; its data summary row is taken over when it is already known."""
+    m = summary if summary is not None else profile.data_summary(df)
     base = _apply(
         m,
         _rule(F.lit(True), "dataset_overview", F.format_string(OVERVIEW, "rows", "columns"), "info"),
@@ -89,8 +90,8 @@ def initial_insights(df: DataFrame) -> DataFrame:
         F.lit(True), "distribution", F.format_string(SKEW, "column", side, "skewness"), "info")))
 
 
-def quality_insights(df: DataFrame) -> DataFrame:
-    m = profile.profile_missing(df)
+def quality_insights(df: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    m = summary if summary is not None else profile.profile_missing(df)
     numeric = profile.numeric_columns(df)
     out = _apply(
         m,

@@ -65,8 +65,8 @@ class Analysis:
             summary = cut_lineage(profile.data_summary(data).select(
                 F.lit(name).alias("filename"), F.lit(file_type).alias("file_type"), "*"))
             self.summaries["data"] = summary
-            self.workspace.add_insights(insights.initial_insights(data))
-            self.workspace.add_insights(insights.quality_insights(data))
+            self.workspace.add_insights(insights.initial_insights(data, summary))
+            self.workspace.add_insights(insights.quality_insights(data, summary))
             row = summary.first()
             return f"Loaded {row['rows']} rows, {row['columns']} columns"
         self._step("data_loading", work)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import aggregate_row, categorical_columns, numeric_columns, q
 from ..operators import prep
 from ..operators.neighbors import impute_knn
+from ..session import cut_lineage
 
 # Fixed values of the adaptive rules.
 KNN_MIN_ROWS = 100
@@ -157,14 +157,11 @@ class AdaptivePreprocessor:
                 log.append(f"Missing values in '{c}' filled with '{prep.MISSING_LABEL}'")
 
         filled = model.fill_missing(df, fitting=True)
-        # read by three aggregates below, so the shuffled result is kept while fitting
-        unique = prep.dedupe_rows(filled, key).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            before = filled.count() if imputer == "drop" else rows
-            self._fit_unique(model, unique, before, log, notes)
-        finally:
-            unique.unpersist()
-        model.fitted_table = model.finish(prep.dedupe_rows(filled, key))
+        before = rows if imputer != "drop" else filled.count()
+        # written once: the passes below and the fitted table all read the deduplicated rows
+        unique = cut_lineage(prep.dedupe_rows(filled, key))
+        self._fit_unique(model, unique, before, log, notes)
+        model.fitted_table = model.finish(unique)
         model.summary.update(
             columns_processed=len(model.fitted_table.columns) - 1,
             missing_values_handled=handled, numeric_features=len(model.numeric),

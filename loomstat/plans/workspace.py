@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 LOG_SCHEMA = "timestamp string, step string, status string, message string, execution_time double"
 INSIGHT_SCHEMA = "type string, message string, severity string, timestamp string"
@@ -20,7 +20,6 @@ class Workspace:
         self.tables: dict[str, DataFrame] = {}
         self._log: list[tuple] = []
         self._insights: list[tuple] = []
-        self._insight_tables: list[DataFrame] = []
 
     def log_step(self, step: str, status: str, message: str,
                  execution_time: float | None = None) -> None:
@@ -32,12 +31,11 @@ class Workspace:
         self._insights.append((kind, message, severity, datetime.now().isoformat()))
 
     def add_insights(self, rows: DataFrame | Iterable[tuple[str, str, str]]) -> None:
+        """Rule outputs hold a handful of rows (at most a few per column)."""
         if isinstance(rows, DataFrame):
-            self._insight_tables.append(rows.select("type", "message", "severity").withColumn(
-                "timestamp", F.lit(datetime.now().isoformat())))
-        else:
-            for row in rows:
-                self.add_insight(*row)
+            rows = rows.select("type", "message", "severity").collect()
+        for row in rows:
+            self.add_insight(*row)
 
     def log(self) -> DataFrame:
         return self.spark.createDataFrame(self._log, LOG_SCHEMA)
@@ -46,10 +44,7 @@ class Workspace:
         return self.spark.createDataFrame(self._log[-n:], LOG_SCHEMA)
 
     def insights(self) -> DataFrame:
-        out = self.spark.createDataFrame(self._insights, INSIGHT_SCHEMA)
-        for table in self._insight_tables:
-            out = out.unionByName(table)
-        return out
+        return self.spark.createDataFrame(self._insights, INSIGHT_SCHEMA)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         self.tables[name] = df
@@ -79,4 +74,3 @@ class Workspace:
         self.tables.clear()
         self._log.clear()
         self._insights.clear()
-        self._insight_tables.clear()

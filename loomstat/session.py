@@ -1,34 +1,36 @@
-"""Session helpers: checkpoint folder and lineage cutting."""
+"""Session helpers: the shared folder and lineage cutting."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: str | None = None
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local session may get a temporary one."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; only a local session may get a temporary one."""
+    global _local_folder
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomstat-checkpoint-"))
-    else:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="loomstat-")
+    return _local_folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+    """Write ``df`` as a table into the shared folder and read it back from there.
 
-    The files outlive any executor, so iterative jobs survive executor loss.
+    Unlike ``checkpoint()``, which runs the last stage once for the job and again for the
+    files, this runs everything once, and later plans know the size of the table. The files
+    outlive any executor, so iterative jobs survive executor loss.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def parallelism(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
