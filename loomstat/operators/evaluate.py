@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import side_by_side
 from ..functions.ranking import math_ceil
+from ..functions.text import text
 from .neighbors import choose_pivots, distances, nearest_pivot, stack
 
 EXACT_ROWS = 200_000
@@ -157,8 +158,8 @@ def cluster_stats_table(stats: DataFrame) -> DataFrame:
     """The statistics as display text."""
     return stats.select(
         F.format_string("Cluster %s", F.col("cluster").cast("string")).alias("Cluster"),
-        F.col("size").alias("Size"), F.format_string("%.1f%%", "percentage").alias("Percentage"),
-        F.format_string("%.3f", "spread").alias("Spread"))
+        F.col("size").alias("Size"), text("%.1f%%", "percentage").alias("Percentage"),
+        text("%.3f", "spread").alias("Spread"))
 
 
 def label_table(labels: dict[str, DataFrame], key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import side_by_side
+from ..functions.text import text
 from . import profile
 from .evaluate import IMBALANCE_REPORT, IMBALANCE_WARNING
 
@@ -63,8 +64,8 @@ def _rule(holds: Column, kind: str, message: Column, severity: Column | str) ->
 
 
 def _apply(metrics: DataFrame, *rules: Column) -> DataFrame:
-    return metrics.select(F.inline(F.array(*rules))).filter("holds") \
-        .select("type", "message", "severity")
+    return metrics.select(F.array(*rules).alias("rules")).select(F.inline("rules")) \
+        .filter("holds").select("type", "message", "severity")
 
 
 def _warning_above(value: Column, limit: float) -> Column:
@@ -76,18 +77,18 @@ def initial_insights(df: DataFrame, summary: DataFrame | None = None) -> DataFra
     m = summary if summary is not None else profile.data_summary(df)
     base = _apply(
         m,
-        _rule(F.lit(True), "dataset_overview", F.format_string(OVERVIEW, "rows", "columns"), "info"),
+        _rule(F.lit(True), "dataset_overview", text(OVERVIEW, "rows", "columns"), "info"),
         _rule(F.lit(True), "data_types",
-              F.format_string(TYPES, "numeric_columns", "categorical_columns"), "info"),
+              text(TYPES, "numeric_columns", "categorical_columns"), "info"),
         _rule(F.col("missing_values") > 0, "missing_values",
-              F.format_string(MISSING, "missing_values", "missing_percentage"),
+              text(MISSING, "missing_values", "missing_percentage"),
               _warning_above(F.col("missing_percentage"), MISSING_WARNING)))
     if not profile.numeric_columns(df):
         return base
     skew = profile.profile_skewness(df).filter("is_skewed")
     side = F.when(F.col("skewness") > 0, F.lit("positive")).otherwise(F.lit("negative"))
     return base.unionByName(_apply(skew, _rule(
-        F.lit(True), "distribution", F.format_string(SKEW, "column", side, "skewness"), "info")))
+        F.lit(True), "distribution", text(SKEW, "column", side, "skewness"), "info")))
 
 
 def quality_insights(df: DataFrame, summary: DataFrame | None = None) -> DataFrame:
@@ -96,24 +97,24 @@ def quality_insights(df: DataFrame, summary: DataFrame | None = None) -> DataFra
     out = _apply(
         m,
         _rule(F.col("missing_percentage") > MISSING_HIGH, "data_quality",
-              F.format_string(HIGH_MISSING, "missing_percentage"), "warning"),
+              text(HIGH_MISSING, "missing_percentage"), "warning"),
         _rule(F.lit(not numeric), "data_quality", F.lit(NO_NUMERIC), "warning"))
     if not numeric:
         return out
     flat = profile.constant_columns(df)
     return out.unionByName(_apply(flat, _rule(
-        F.lit(True), "data_quality", F.format_string(CONSTANT, "column"), "info")))
+        F.lit(True), "data_quality", text(CONSTANT, "column"), "info")))
 
 
 def preprocessing_insights(summary: DataFrame) -> DataFrame:
     return _apply(
         summary,
         _rule(F.lit(True), "preprocessing_summary",
-              F.format_string(PROCESSED, "rows_processed", "columns_processed"), "success"),
+              text(PROCESSED, "rows_processed", "columns_processed"), "success"),
         _rule(F.col("missing_values_handled") > 0, "preprocessing_detail",
-              F.format_string(HANDLED, "missing_values_handled"), "info"),
+              text(HANDLED, "missing_values_handled"), "info"),
         _rule(F.col("duplicates_removed") > 0, "preprocessing_detail",
-              F.format_string(DUPLICATES, "duplicates_removed"), "info"))
+              text(DUPLICATES, "duplicates_removed"), "info"))
 
 
 def clustering_insights(summary: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def clustering_insights(summary: DataFrame) -> DataFrame:
     return _apply(
         summary,
         _rule(many, "clustering_result",
-              F.format_string(CLUSTERS, "n_clusters", "silhouette_score"), "success"),
+              text(CLUSTERS, "n_clusters", "silhouette_score"), "success"),
         _rule(many & (balance < IMBALANCE_WARNING), "clustering_balance", F.lit(IMBALANCED), "warning"),
         _rule(~many, "clustering_result", F.lit(ONE_CLUSTER), "warning"))
 
@@ -133,7 +134,7 @@ def anomaly_insights(summary: DataFrame) -> DataFrame:
     return _apply(
         summary,
         _rule(some, "anomaly_result",
-              F.format_string(ANOMALIES, "anomalies_detected", "anomaly_percentage"),
+              text(ANOMALIES, "anomalies_detected", "anomaly_percentage"),
               _warning_above(F.col("anomaly_percentage"), ANOMALY_WARNING)),
         _rule(some & (F.col("anomaly_percentage") > ANOMALY_HIGH), "anomaly_high",
               F.lit(MANY_ANOMALIES), "warning"),
@@ -147,7 +148,8 @@ def _section(seq: int, holds: Column, category: str, title: Column | str, conten
 
 
 def _sections(metrics: DataFrame, *rules: Column) -> DataFrame:
-    return metrics.select(F.inline(F.array(*rules))).filter("holds").drop("holds")
+    return metrics.select(F.array(*rules).alias("rules")).select(F.inline("rules")) \
+        .filter("holds").drop("holds")
 
 
 def comprehensive_report(data: DataFrame | None = None, clusterings: dict[str, DataFrame] | None = None,
@@ -163,16 +165,16 @@ def comprehensive_report(data: DataFrame | None = None, clusterings: dict[str, D
     spark = tables[0].sparkSession
     one = spark.range(1)
 
-    def recommend(seq: int, table: DataFrame, holds: Column, text: str) -> None:
-        advice.append(table.filter(holds).select(F.lit(seq).alias("seq"), F.lit(text).alias("text")))
+    def recommend(seq: int, table: DataFrame, holds: Column, line: str) -> None:
+        advice.append(table.filter(holds).select(F.lit(seq).alias("seq"), F.lit(line).alias("text")))
 
     if data is not None:
         parts.append(_sections(
             data,
-            _section(1, F.lit(True), "Data Quality", "Dataset Overview", F.format_string(
+            _section(1, F.lit(True), "Data Quality", "Dataset Overview", text(
                 REPORT_OVERVIEW, "rows", "columns", "numeric_columns", "categorical_columns")),
             _section(2, F.col("missing_values") > 0, "Data Quality", "Missing Values",
-                     F.format_string(REPORT_MISSING, "missing_values", "missing_percentage"))))
+                     text(REPORT_MISSING, "missing_values", "missing_percentage"))))
         recommend(1, data, F.col("missing_values") > MISSING_RECOMMENDATION, ADVICE_MISSING)
     for i, (method, summary) in enumerate(clusterings.items()):
         many = F.col("n_clusters") > 1
@@ -180,17 +182,17 @@ def comprehensive_report(data: DataFrame | None = None, clusterings: dict[str, D
         parts.append(_sections(
             summary,
             _section(10 + 2 * i, many, "Clustering Analysis", f"{method.upper()} Clustering Results",
-                     F.format_string(REPORT_CLUSTERS, "n_clusters", "silhouette_score", "n_clusters")),
+                     text(REPORT_CLUSTERS, "n_clusters", "silhouette_score", "n_clusters")),
             _section(11 + 2 * i, many & (F.try_divide(smallest, largest) < IMBALANCE_REPORT),
                      "Clustering Analysis", "Cluster Balance",
-                     F.format_string(REPORT_BALANCE, largest, smallest))))
+                     text(REPORT_BALANCE, largest, smallest))))
     if clusterings:
         recommend(2, one, F.lit(True), ADVICE_CLUSTERS)
     if anomalies is not None:
         some = F.col("anomalies_detected") > 0
         parts.append(_sections(anomalies, _section(
             100, some, "Anomaly Detection", "Anomaly Overview",
-            F.format_string(REPORT_ANOMALIES, "anomalies_detected"))))
+            text(REPORT_ANOMALIES, "anomalies_detected"))))
         recommend(3, anomalies, some, ADVICE_ANOMALIES)
     if has_pca:
         parts.append(_sections(one, _section(
@@ -225,11 +227,11 @@ def tail(rows: DataFrame, seq: str, n: int) -> DataFrame:
 def executive_summary(data: DataFrame, clusterings: int, anomalies: DataFrame | None = None) -> DataFrame:
     """(seq, line)."""
     table = side_by_side(data, anomalies) if anomalies is not None else data
-    lines = [F.struct(F.lit(1).alias("seq"), F.format_string(SUMMARY_ROWS, "rows", "columns").alias("line"))]
+    lines = [F.struct(F.lit(1).alias("seq"), text(SUMMARY_ROWS, "rows", "columns").alias("line"))]
     if clusterings:
         lines.append(F.struct(F.lit(2).alias("seq"),
-                              F.format_string(SUMMARY_CLUSTERS, F.lit(clusterings)).alias("line")))
+                              text(SUMMARY_CLUSTERS, F.lit(clusterings)).alias("line")))
     if anomalies is not None:
-        lines.append(F.struct(F.lit(3).alias("seq"), F.format_string(
+        lines.append(F.struct(F.lit(3).alias("seq"), text(
             SUMMARY_ANOMALIES, "anomalies_detected").alias("line")))
     return table.select(F.inline(F.array(*lines)))

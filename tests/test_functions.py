@@ -87,3 +87,10 @@ def test_inference_needs_more_than_80_percent(spark):
     assert found == ["b"] and dict(out.dtypes)["a"] == "string"
     out, found = clean.infer_datetime(out)
     assert found == ["c"] and dict(out.dtypes)["c"] == "timestamp_ntz"
+
+
+def test_report_numbers_round_by_their_binary_value(spark):
+    from loomstat.functions.text import text
+    df = spark.createDataFrame([(9.95, 1234567, 2.675), (0.25, 5, None)], "a double, n long, b double")
+    got = [r[0] for r in df.select(text("%.1f%% of %,d, %.2f", "a", "n", "b")).collect()]
+    assert got == [f"{9.95:.1f}% of 1,234,567, {2.675:.2f}", f"{0.25:.1f}% of 5, null"]
