@@ -53,31 +53,77 @@ def chunks(cols: Sequence[str], size: int = CHUNK) -> list[list[str]]:
     return [list(cols[i:i + size]) for i in range(0, len(cols), size)]
 
 
+def same_kind(df: DataFrame, cols: Sequence[str]) -> list[list[str]]:
+    """Columns grouped by data type, each group fit for one array."""
+    kinds: dict[str, list[str]] = {}
+    types = dict(df.dtypes)
+    for c in cols:
+        kinds.setdefault(types[c], []).append(c)
+    return list(kinds.values())
+
+
+def long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(pos, value) for columns of one type; merged again before any shuffle by its users."""
+    return df.select(F.posexplode(F.array(*[q(c) for c in cols])).alias("pos", "value"))
+
+
 def aggregate_row(df: DataFrame, cols: Sequence[str],
                   measures: dict[str, Callable[[Column], Column]]) -> dict[str, dict]:
-    """{column: {measure: value}}; one scan per chunk of columns, O(columns) on the driver."""
+    """{column: {measure: value}} from one scan, O(columns) on the driver.
+
+    Up to CHUNK columns it is one wide aggregate. Wider tables are aggregated in long form
+    by column position, which plans in constant time and merges map-side.
+    """
     out: dict[str, dict] = {}
-    for part in chunks(cols):
-        row = df.agg(*[
-            F.struct(*[fn(q(c)).alias(m) for m, fn in measures.items()]).alias(f"s{i}")
-            for i, c in enumerate(part)]).first()
-        for i, c in enumerate(part):
-            out[c] = row[f"s{i}"].asDict()
-    return out
+    if len(cols) > CHUNK:
+        for same in same_kind(df, cols):
+            got = long_form(df, same).groupBy("pos").agg(
+                *[fn(F.col("value")).alias(m) for m, fn in measures.items()]).collect()
+            seen = {r["pos"]: {m: r[m] for m in measures} for r in got}
+            empty = None
+            for i, c in enumerate(same):
+                if i not in seen and empty is None:
+                    empty = df.limit(0).agg(*[fn(q(c)).alias(m) for m, fn in measures.items()]) \
+                        .first().asDict()
+                out[c] = seen.get(i, empty)
+        return out
+    if not cols:
+        return out
+    row = df.agg(*[
+        F.struct(*[fn(q(c)).alias(m) for m, fn in measures.items()]).alias(f"s{i}")
+        for i, c in enumerate(cols)]).first()
+    return {c: row[f"s{i}"].asDict() for i, c in enumerate(cols)}
 
 
 def aggregate_long(df: DataFrame, cols: Sequence[str],
                    measures: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """One output row (column, measure...) per input column, from one scan per chunk."""
-    result = None
-    for part in chunks(cols):
-        wide = df.agg(*[
-            F.struct(F.lit(c).alias("column"),
-                     *[fn(q(c)).alias(m) for m, fn in measures.items()]).alias(f"s{i}")
-            for i, c in enumerate(part)])
-        long = wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(part))])))
-        result = long if result is None else result.unionByName(long)
-    return result
+    """One output row (column, measure...) per input column, from one scan."""
+    if len(cols) > CHUNK:
+        result = None
+        for same in same_kind(df, cols):
+            names = F.array(*[F.lit(c) for c in same])
+            part = long_form(df, same).groupBy("pos").agg(
+                *[fn(F.col("value")).alias(m) for m, fn in measures.items()]) \
+                .select(names[F.col("pos")].alias("column"), *measures)
+            result = part if result is None else result.unionByName(part)
+        return result
+    wide = df.agg(*[
+        F.struct(F.lit(c).alias("column"),
+                 *[fn(q(c)).alias(m) for m, fn in measures.items()]).alias(f"s{i}")
+        for i, c in enumerate(cols)])
+    return wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
+
+
+def pack(df: DataFrame, cols: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """(keys, columns): what to group by so that equal rows meet, and how to get the columns
+    back. Wide tables are keyed by one array per data type instead of by thousands of columns."""
+    if len(cols) <= CHUNK:
+        return [q(c) for c in cols], [q(c) for c in cols]
+    keys, back = [], {}
+    for i, same in enumerate(same_kind(df, cols)):
+        keys.append(F.array(*[q(c) for c in same]).alias(f"__k{i}"))
+        back.update({c: F.col(f"__k{i}")[j].alias(c) for j, c in enumerate(same)})
+    return keys, [back[c] for c in cols]
 
 
 def as_double(c: str) -> Column:

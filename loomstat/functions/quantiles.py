@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import aggregate_row, as_double, chunks
+from .columns import CHUNK, aggregate_row, as_double, chunks, long_form
 
 IN_MEMORY_VALUES = 2_000_000
 GATHER = 50_000
 ACCURACY = 10_000
+LONG_VALUES = 50_000_000
 
 
 @dataclass
@@ -57,6 +58,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     small = [c for c in cols if 0 < counts[c] <= in_memory]
     large = [c for c in cols if counts[c] > in_memory]
     out: dict[str, list[float] | None] = {c: None for c in cols}
+    if len(small) > CHUNK and sum(counts[c] for c in small) <= LONG_VALUES:
+        array = F.array(*[F.lit(float(p)) for p in probs])
+        found = long_form(df.select(*[as_double(c).alias(c) for c in small]), small) \
+            .groupBy("pos").agg(F.percentile("value", array).alias("p")).collect()
+        out.update({small[r.pos]: list(r.p) for r in found})
+        small = []
     if small:
         width = max(1, min(100, in_memory // max(counts[c] for c in small)))
         array = F.array(*[F.lit(float(p)) for p in probs])

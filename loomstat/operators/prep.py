@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import (aggregate_row, as_double, categorical_columns, chunks,
-                                 numeric_columns, q)
+from ..functions.columns import (CHUNK, aggregate_row, as_double, categorical_columns, chunks,
+                                 long_form, numeric_columns, pack, q)
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import range_edges, ranges_for, with_range
 
@@ -131,8 +131,9 @@ def dedupe_rows(df: DataFrame, key: str) -> DataFrame:
     Equal rows merge before the shuffle, so a row copied millions of times is no hot spot.
     """
     cols = [c for c in df.columns if c != key]
-    return df.groupBy(*[q(c) for c in cols]).agg(F.min(q(key)).alias(key)) \
-        .select(*[q(c) for c in df.columns])
+    keys, back = pack(df, cols)
+    at = df.columns.index(key)
+    return df.groupBy(*keys).agg(F.min(q(key)).alias(key)).select(*back[:at], q(key), *back[at:])
 
 
 # ---- outliers -------------------------------------------------------------------------
@@ -170,13 +171,30 @@ def outside(c: str, lo: float, hi: float) -> Column:
     return (v < F.lit(lo)) | (v > F.lit(hi))
 
 
+def count_outside(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, int]:
+    """Values outside their bounds, per column, from one scan."""
+    cols = list(bounds)
+    if len(cols) > CHUNK:
+        lo = F.array(*[F.lit(bounds[c][0]) for c in cols])
+        hi = F.array(*[F.lit(bounds[c][1]) for c in cols])
+        v, at = F.col("value"), F.col("pos")
+        got = long_form(df.select(*[as_double(c).alias(c) for c in cols]), cols).groupBy("pos").agg(
+            F.count_if((v < lo[at]) | (v > hi[at])).alias("n")).collect()
+        found = {cols[r.pos]: r.n for r in got}
+        return {c: found.get(c, 0) for c in cols}
+    if not cols:
+        return {}
+    row = df.agg(*[F.count_if(outside(c, *bounds[c])).alias(f"o{i}") for i, c in enumerate(cols)]).first()
+    return {c: row[f"o{i}"] for i, c in enumerate(cols)}
+
+
 def outlier_counts(df: DataFrame, cols: Sequence[str] | None = None,
                    bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """(column, outliers) against the IQR bounds."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     bounds = bounds if bounds is not None else iqr_bounds(df, cols)
-    wide = df.agg(*[F.count_if(outside(c, *bounds[c])).alias(c) for c in cols])
-    return wide.unpivot([], [q(c) for c in cols], "column", "outliers")
+    return df.sparkSession.createDataFrame(list(count_outside(df, bounds).items()),
+                                           "column string, outliers long")
 
 
 def iqr_filter(df: DataFrame, cols: Sequence[str] | None = None,

@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (aggregate_long, as_double, chunks, datetime_columns,
-                                 numeric_columns, q, text_columns)
+                                 numeric_columns, pack, q, text_columns)
 
 
 def missing_cells(cols: Sequence[str]) -> Column:
-    """Number of missing cells of one row."""
-    total = F.lit(0)
-    for c in cols:
-        total = total + q(c).isNull().cast("int")
-    return total
+    """Number of missing cells of one row; a balanced sum, so wide tables plan safely."""
+    terms = [q(c).isNull().cast("int") for c in cols] or [F.lit(0)]
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2:]
+    return terms[0]
 
 
 def profile_missing(df: DataFrame) -> DataFrame:
@@ -42,8 +42,10 @@ def profile_summary(df: DataFrame) -> DataFrame:
 
 
 def merged_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number; copies merge before the shuffle."""
-    return df.groupBy(*[q(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
+    """Distinct rows with their number and missing cells; copies merge before the shuffle."""
+    keys, _back = pack(df, df.columns)
+    return df.groupBy(*keys).agg(F.count("*").alias("__copies"),
+                                 F.first(missing_cells(df.columns)).alias("__missing"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def data_summary(df: DataFrame) -> DataFrame:
     copies = F.col("__copies")
     return merged.agg(
         F.coalesce(F.sum(copies), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(copies * missing_cells(df.columns)), F.lit(0)).alias("missing_values"),
+        F.coalesce(F.sum(copies * F.col("__missing")), F.lit(0)).alias("missing_values"),
         F.coalesce(F.sum(copies - 1), F.lit(0)).alias("duplicate_rows"),
     ).select(
         "rows", F.lit(len(df.columns)).alias("columns"), "missing_values",

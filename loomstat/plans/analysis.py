@@ -23,6 +23,8 @@ from .workspace import Workspace
 PLOT_COMPONENTS = 3
 METHODS = ("kmeans", "dbscan", "hierarchical")
 
+WIDE = 100
+
 
 class Analysis:
     """The steps of one run; ``key`` names the row identity (``row_id`` is made if absent)."""
@@ -59,6 +61,9 @@ class Analysis:
             cleaned, notes = clean.clean(df)
             self.workspace.add_insights(notes)
             keyed = cleaned if self.key in cleaned.columns else clean.assign_row_id(cleaned, self.key)
+            if len(keyed.columns) > WIDE:
+                # thousands of cleaned columns are planned once, not again in every later step
+                keyed = cut_lineage(keyed)
             data = keyed.select(*[q(c) for c in keyed.columns if c != self.key])
             self.workspace.put("raw_data", keyed)
             # the profile is one row; materialised once, as every rule reads it
@@ -82,7 +87,9 @@ class Analysis:
         return self.use(got.df, path.rstrip("/").rsplit("/", 1)[-1], got.file_type)
 
     def load_sample(self, samples: int = SAMPLES, genes: int = GENES) -> DataFrame:
-        return self.use(widen(sample_expression(self.spark, samples, genes), genes), "sample", "sample")
+        # written before it is widened: a column of a computed array would compute it all again
+        profiles = cut_lineage(sample_expression(self.spark, samples, genes))
+        return self.use(widen(profiles, genes), "sample", "sample")
 
     def preprocess(self, **options) -> DataFrame:
         def work() -> str:

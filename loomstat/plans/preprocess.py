@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import aggregate_row, categorical_columns, numeric_columns, q
+from ..functions.columns import CHUNK, aggregate_row, categorical_columns, numeric_columns, q
 from ..operators import prep
 from ..operators.neighbors import impute_knn
 from ..session import cut_lineage
@@ -188,9 +188,7 @@ class AdaptivePreprocessor:
                           for c, (m, sd) in spread.items()}
             else:
                 bounds = prep.iqr_bounds(unique, numeric)
-            counted = unique.agg(*[F.count_if(prep.outside(c, *bounds[c])).alias(f"o{i}")
-                                   for i, c in enumerate(bounds)]).first() if bounds else ()
-            hit = [c for c, k in zip(bounds, counted) if k]
+            hit = [c for c, k in prep.count_outside(unique, bounds).items() if k]
             model.bounds = {c: bounds[c] for c in hit}
             model.outliers = "cap" if outliers == "cap" else "remove"
             if hit:
@@ -201,6 +199,9 @@ class AdaptivePreprocessor:
                               f"{verb} outliers in {len(hit)} columns using {method} method", "info"))
             table = prep.iqr_cap(unique, hit, model.bounds) if outliers == "cap" \
                 else prep.iqr_filter(unique, hit, model.bounds)
+            if len(hit) > CHUNK:
+                # hundreds of capped columns: written once, not planned again by each pass
+                table = cut_lineage(table)
 
         if len(numeric) > VARIANCE_MIN_COLUMNS:
             low = prep.low_variance_columns(table, numeric)

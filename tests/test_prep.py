@@ -144,3 +144,26 @@ def test_input_size(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(str(tmp_path / "t"))
     got = profile.input_bytes(spark.read.parquet(str(tmp_path / "t"))).first()
     assert got.files == 3 and got.bytes == sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+
+
+def test_wide_tables_take_the_long_path_with_equal_results(spark, monkeypatch):
+    from loomstat.functions import columns, quantiles
+    from loomstat.operators import prep as prep_module
+    from loomstat.plans import preprocess
+    df, _x = frame(spark, 130, columns=6)
+    df = df.unionByName(df.limit(9).withColumn("id", F.col("id") + 1000)).withColumn("n", F.lit(None).cast("double"))
+    data = df.drop("id")
+
+    def everything():
+        model = AdaptivePreprocessor("id", imputer="median").fit(df)
+        return (sorted(map(str, model.fitted_table.collect())), model.steps,
+                profile.data_summary(data).collect(), profile.duplicate_rows(data).collect(),
+                sorted(profile.null_fraction_by_column(data).collect()),
+                sorted(map(str, profile.constant_columns(data).collect())),
+                sorted(prep.outlier_counts(df, ["x0", "x1", "x2", "x3"]).collect()),
+                prep.dedupe_rows(df, "id").count())
+
+    narrow = everything()
+    for m in (columns, quantiles, prep_module, preprocess):
+        monkeypatch.setattr(m, "CHUNK", 3)
+    assert everything() == narrow
