@@ -4,69 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ranking import attach_by_value
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 
-# Graphs up to this many edges are solved on the driver; larger ones stay distributed.
-DRIVER_EDGES = 100_000
 
+def _toward_min(edges: DataFrame) -> DataFrame:
+    """(u, v, m): every edge with the smallest node among u and its neighbours. The minimum is
+    merged map-side; the join back splits the partitions of nodes with very many edges."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    return edges.join(low, "u").select("u", "v", F.least("u", "low").alias("m"))
 
-def _small(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
 
-    def root(i: int) -> int:
-        parent.setdefault(i, i)
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for a, b in edges:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-    return [(i, root(i)) for i in list(parent)]
-
-
-def _neighbourhood_min(edges: DataFrame, total: int) -> DataFrame:
-    """(u, v, m): every edge with the smallest node among u and its neighbours. A node with
-    very many edges is joined by broadcast, all others by an ordinary join."""
-    low = edges.groupBy("u").agg(F.count("*").alias("cnt"), F.min("v").alias("low"))
-    return attach_by_value(edges, low, "u", total).select("u", "v", F.least("u", "low").alias("m"))
-
-
-def connected_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES,
-                         rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected edges (u, v) of longs; the component is its smallest
-    node. Nodes without edges are not listed."""
-    spark = edges.sparkSession
-    edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")) \
-        .filter(F.col("u") != F.col("v")).distinct()
-    head = edges.limit(driver_edges + 1).collect()
-    if len(head) <= driver_edges:
-        return spark.createDataFrame(_small([(r.u, r.v) for r in head]), "node long, component long")
-
-    now = cut_lineage(edges)
+    node. Nodes without edges are not listed. Rounds run until nothing moves; each halves the
+    distance to the smallest node, and its table replaces the one before."""
+    now = cut_lineage(edges.select(F.col("u").cast("long"), F.col("v").cast("long"))
+                      .filter(F.col("u") != F.col("v"))
+                      .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours move to the smallest node of the neighbourhood
-        large = _neighbourhood_min(both, both.count()).filter(F.col("v") > F.col("u")) \
-            .select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .filter(F.col("u") != F.col("v")).distinct()
-        large = cut_lineage(large)
+        large = _toward_min(both).filter(F.col("v") > F.col("u")) \
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours move to the smallest of them
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _neighbourhood_min(down, down.count())
-        now = small.select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .unionByName(small.select("u", F.col("m").alias("v"))) \
-            .filter(F.col("u") != F.col("v")).distinct()
-        now = cut_lineage(now)
-        state = now.agg(F.count("*"), F.sum("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = _toward_min(large)
+        moved = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                            .unionByName(small.select("u", F.col("m").alias("v")))
+                            .filter(F.col("u") != F.col("v")).distinct())
+        state = moved.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(now)
+        now = moved
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

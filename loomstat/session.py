@@ -33,4 +33,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables that ``cut_lineage`` wrote, once their readers are done."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,11 +13,10 @@ def blobs(sizes, d=2, seed=0, spread=0.3):
 
 # ---- components and DBSCAN ------------------------------------------------------------
 
-@pytest.mark.parametrize("driver_edges", [0, 1000])
-def test_components(spark, driver_edges):
+def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 20)] + [(30, j) for j in range(31, 60)] + [(70, 71), (5, 5)]
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {r.node: r.component for r in graph.connected_components(df, driver_edges).collect()}
+    got = {r.node: r.component for r in graph.connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(21)}, **{i: 30 for i in range(30, 60)}, 70: 70, 71: 70}
 
 
