@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, decontam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,43 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe,)}
-ORACLE: dict[str, str] = {}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP9 = rf"""
+with doc as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents),
+item as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark),
+win as (
+    select distinct item_id, least(len(w), 10) as size,
+           array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as phrase
+    from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item where len(w) > 0) t),
+occ as (
+    select doc_id, start, size, array_to_string(w[start : start + size - 1], ' ') as phrase
+    from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as start
+          from doc, (select distinct size from win) s where len(w) >= size) t),
+hit as (select distinct doc_id, start, size, item_id from occ join win using (phrase, size)),
+covered as (
+    select doc_id, count(distinct place) as n_hit
+    from (select doc_id, unnest(range(start, start + size)) as place from hit) t group by doc_id),
+named as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+    from (select distinct doc_id, cast(item_id as varchar) as item from hit) t group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join covered using (doc_id) left join named using (doc_id)"""
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op9_decontamination)}
+ORACLE: dict[str, str] = {"op9_decontamination": OP9}
