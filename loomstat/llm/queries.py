@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam
+from . import bpe, decontam, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar_documents(documents(spark, sf_dir), k=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -35,6 +40,26 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+OP6 = rf"""
+with recursive doc as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x20\x09-\x0D]+') as w
+    from documents),
+sh as (
+    select distinct doc_id, array_to_string(w[i : i + 3], ' ') as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from doc where len(w) > 0) t),
+size as (select doc_id, count(*) as n from sh group by doc_id),
+pair as (select a.doc_id as u, b.doc_id as v, count(*) as c from sh a join sh b using (s)
+         where a.doc_id < b.doc_id group by 1, 2),
+link as (select u, v from pair join size x on u = x.doc_id join size y on v = y.doc_id
+         where 100 * c >= 85 * (x.n + y.n - c)),
+way as (select u, v from link union all select v, u from link),
+reach as (
+    select doc_id, doc_id as r from doc
+    union
+    select reach.doc_id, way.v from reach join way on reach.r = way.u)
+select doc_id, coalesce(n, 0) as n_shingles, component_id
+from doc left join size using (doc_id) join (select doc_id, min(r) as component_id from reach group by doc_id) c using (doc_id)"""
+
 OP9 = rf"""
 with doc as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}),
@@ -63,5 +88,5 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join covered using (doc_id) left join named using (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op9_decontamination)}
-ORACLE: dict[str, str] = {"op9_decontamination": OP9}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_ngram_join, op9_decontamination)}
+ORACLE: dict[str, str] = {"op6_ngram_join": OP6, "op9_decontamination": OP9}
