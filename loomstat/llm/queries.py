@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, ngram_join
+from ..session import shared_folder
+from . import bpe, decontam, ngram_join, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    rows = warc.with_revisits(table(spark, sf_dir, "pages"), "page_id", "html")
+    warc.write_archives(rows, folder).agg(F.sum("records")).collect()
+    return warc.read_archives(spark, folder).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_documents(documents(spark, sf_dir), k=4, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -40,6 +51,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+OP5 = """
+with page as (select page_id, coalesce(html, '') as body from pages),
+named as (select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes, sha1(body) as payload_digest
+          from page),
+kept as (select payload_digest, max(page_id) as response from named where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when response is null or response = page_id then 'response' else 'revisit' end as record_type,
+       case when response <> page_id then response end as refers_to
+from named left join kept using (payload_digest)"""
+
 OP6 = rf"""
 with recursive doc as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x20\x09-\x0D]+') as w
@@ -88,5 +109,5 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join covered using (doc_id) left join named using (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_ngram_join, op9_decontamination)}
-ORACLE: dict[str, str] = {"op6_ngram_join": OP6, "op9_decontamination": OP9}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_warc, op6_ngram_join, op9_decontamination)}
+ORACLE: dict[str, str] = {"op5_warc": OP5, "op6_ngram_join": OP6, "op9_decontamination": OP9}
