@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import ann, bpe, decontam, ngram_join, warc
+from . import ann, bpe, decontam, ngram_join, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda i: i % 20 == 0, k=20)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     rows = warc.with_revisits(table(spark, sf_dir, "pages"), "page_id", "html")
@@ -113,5 +118,5 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join covered using (doc_id) left join named using (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op5_warc, op6_ngram_join, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op5_warc, op6_ngram_join, op9_decontamination)}
 ORACLE: dict[str, str] = {"op5_warc": OP5, "op6_ngram_join": OP6, "op9_decontamination": OP9}
