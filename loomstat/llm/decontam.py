@@ -1,7 +1,8 @@
 """Benchmark decontamination by a positional inverted index.
 
-One pass over the training texts stores, for every term of the benchmark vocabulary, the
-positions at which it stands in each document. A phrase starts from its rarest term: that term's
+A first pass counts the terms of the benchmark vocabulary in all training texts. A second stores
+the positions at which they stand in each document that has the two rarest terms of some phrase.
+A phrase starts from its rarest term: that term's
 postings, shifted by its offset, propose starts; the lists of its other terms, in order of rarity
 and shifted by their offsets, are intersected with them. With ``slack`` 0 a match is an exact
 phrase, otherwise a proximity match: every term stands within ``slack`` words of its place.
@@ -18,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage
 from .text import ALNUM, LOWER, lists, slices, span_hashes, words
 
-# a vocabulary up to this many terms (8 bytes each) is broadcast to select postings while
-# reading; a larger one is not, and the index then holds the postings of all terms
+# up to this many terms (8 bytes each) are broadcast to select postings while reading; with more
+# the index holds the postings of all terms of all documents
 BROADCAST_TERMS = 4_000_000
 
 
@@ -51,36 +52,92 @@ def item_windows(items: DataFrame, key: str, text: str, size: int) -> DataFrame:
             .withColumn("phrase", F.xxhash64(F.col("terms"), F.size("terms"))))
 
 
-def positional_index(docs: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(row, key, n_words, postings): the positions of each vocabulary term in each document, as a
-    table in the shared folder. ``vocabulary`` has a column term."""
-    terms = vocabulary.select("term").distinct().limit(BROADCAST_TERMS + 1).toPandas()["term"].to_numpy(np.int64)
-    shared = None
-    if len(terms) <= BROADCAST_TERMS:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(terms))
+def _terms(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None):
+    """(term, text number, position, words per text) of the known terms, or of all."""
+    data = LOWER[data]
+    starts, ends, owner = words(data, offsets, ALNUM)
+    term = span_hashes(data, starts, ends).view(np.int64)
+    counts = np.bincount(owner, minlength=len(offsets) - 1)
+    place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if known is not None:
+        held = np.zeros(len(term), bool)
+        if len(known):
+            held = known[np.minimum(np.searchsorted(known, term), len(known) - 1)] == term
+        term, owner, place = term[held], owner[held], place[held]
+    return term, owner, place, counts
+
+
+def _small_enough(spark: SparkSession, df: DataFrame):
+    """The rows as numpy columns, broadcast; None if there are more than BROADCAST_TERMS."""
+    rows = df.limit(BROADCAST_TERMS + 1).toPandas()
+    if len(rows) > BROADCAST_TERMS:
+        return None
+    return spark.sparkContext.broadcast({c: rows[c].to_numpy(np.int64) for c in rows})
+
+
+def term_counts(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+    """(term, df): how often each vocabulary term stands in the documents, over all of them."""
+    shared = _small_enough(docs.sparkSession, vocabulary.select("term").distinct().orderBy("term"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value["term"] if shared else None
+        for batch in batches:
+            found = [_terms(data, offsets, known)[0] for _, _, data, offsets in slices(batch.column(0))]
+            term, count = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(count)], ["term", "df"])
+
+    return docs.select(text).mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def by_rarity(phrases: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(phrase, length, rest): the terms of each phrase with their offsets, rarest first. A phrase
+    with a term that no document has cannot match and is left out."""
+    return cut_lineage(
+        phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
+        .join(frequency, "term").groupBy("phrase", "length")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "off", "term"))).alias("rest"))
+        .filter(F.size("rest") == F.col("length")))
+
+
+def positional_index(docs: DataFrame, key: str, text: str, ordered: DataFrame) -> DataFrame:
+    """(row, key, n_words, postings): the positions of the phrases' terms in each document, as a table
+    in the shared folder. A document that lacks the rarest two terms of every phrase can match none
+    and gets no postings, which needs the phrases' terms in every task; if they are too many to be
+    broadcast, all postings of all documents are stored."""
+    spark = docs.sparkSession
+    terms = _small_enough(spark, ordered.select(F.explode("rest.term").alias("term")).distinct().orderBy("term"))
+    pairs = _small_enough(spark, ordered.select(
+        F.col("rest")[0]["term"].alias("x"), F.expr("rest[least(1, length - 1)].term").alias("y")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value if shared else None
+        known, x, y = None, None, None
+        if terms and pairs:
+            known = terms.value["term"]
+            x, y = (np.searchsorted(known, pairs.value[c]) for c in "xy")
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
                 n = last - first
-                data = LOWER[data]
-                starts, ends, owner = words(data, offsets, ALNUM)
-                term = span_hashes(data, starts, ends).view(np.int64)
-                counts = np.bincount(owner, minlength=n)
-                place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
-                if known is not None:
-                    at = np.minimum(np.searchsorted(known, term), max(0, len(known) - 1))
-                    held = known[at] == term if len(known) else np.zeros(len(term), bool)
-                    term, owner, place = term[held], owner[held], place[held]
+                term, owner, place, counts = _terms(data, offsets, known)
                 order = np.lexsort((term, owner))               # stable: positions stay ascending
                 term, owner, place = term[order], owner[order], place[order]
+                if known is not None:
+                    number = np.searchsorted(known, term)
+                    bounds = np.searchsorted(owner, np.arange(n + 1))
+                    promising = np.zeros(n, bool)
+                    has = np.zeros(len(known), bool)
+                    for i in np.flatnonzero(np.diff(bounds)):
+                        own = number[bounds[i]:bounds[i + 1]]
+                        has[own] = True
+                        promising[i] = (has[x] & has[y]).any()
+                        has[own] = False
+                    keep = promising[owner]
+                    term, owner, place = term[keep], owner[keep], place[keep]
                 new = np.ones(len(term), bool)
                 new[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
                 heads = np.flatnonzero(new)
                 sizes = np.diff(np.append(heads, len(term)))
-                places = lists(place, sizes, pa.int32())
-                entry = pa.StructArray.from_arrays([pa.array(term[heads], pa.int64()), places], ["term", "places"])
+                entry = pa.StructArray.from_arrays([pa.array(term[heads], pa.int64()), lists(place, sizes, pa.int32())],
+                                                   ["term", "places"])
                 bounds = np.zeros(n + 1, np.int32)
                 np.cumsum(np.bincount(owner[heads], minlength=n), out=bounds[1:])
                 yield pa.RecordBatch.from_arrays(
@@ -93,31 +150,25 @@ def positional_index(docs: DataFrame, key: str, text: str, vocabulary: DataFrame
                        .withColumn("row", F.monotonically_increasing_id()))
 
 
-def phrase_matches(index: DataFrame, phrases: DataFrame, slack: int = 0) -> DataFrame:
-    """(row, phrase, start, length): where the phrases (phrase, terms) stand in the documents."""
-    postings = index.select("row", F.explode("postings").alias("p")).select("row", "p.term", "p.places")
-    frequency = postings.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
-    by_rarity = (phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
-                 .join(frequency, "term")                      # a term no document has ends its phrase here
-                 .groupBy("phrase", "length")
-                 .agg(F.array_sort(F.collect_list(F.struct("df", "off", "term"))).alias("rest"))
-                 .filter(F.size("rest") == F.col("length")))
-    by_rarity = cut_lineage(by_rarity)
-    anchors = by_rarity.select("phrase", F.col("rest")[0]["term"].alias("term"), F.col("rest")[0]["off"].alias("off"))
-    starts = (postings.join(anchors, "term")
+def phrase_matches(index: DataFrame, ordered: DataFrame, slack: int = 0) -> DataFrame:
+    """(row, phrase, start, length): where the phrases of ``by_rarity`` stand in the documents."""
+    held = index.filter(F.size("postings") > 0)
+    anchors = ordered.select("phrase", F.col("rest")[0]["term"].alias("term"), F.col("rest")[0]["off"].alias("off"))
+    starts = (held.select("row", F.explode("postings").alias("p")).select("row", "p.term", "p.places")
+              .join(anchors, "term")
               .select("row", "phrase", F.explode(F.transform("places", lambda p: p - F.col("off"))).alias("start"))
               .filter(F.col("start") >= 0).distinct())
 
     # proposed starts meet the postings of their document; few documents have any
     proposed = starts.groupBy("row").agg(F.collect_list(F.struct("phrase", "start")).alias("proposed"))
-    lookup = index.select("row", F.map_from_entries(F.expr("transform(postings, p -> struct(p.term, p.places))"))
+    lookup = held.select("row", F.map_from_entries(F.expr("transform(postings, p -> struct(p.term, p.places))"))
                           .alias("places"))
     at_place = ("array_contains(places[x.term], start + x.off)" if not slack else
                 f"exists(places[x.term], p -> abs(p - start - x.off) <= {int(slack)})")
     return (proposed.join(lookup, "row")
             .select("row", F.explode("proposed").alias("s"), "places")
             .select("row", "s.phrase", "s.start", "places")
-            .join(by_rarity, "phrase")
+            .join(ordered, "phrase")
             .filter(F.expr(f"forall(rest, x -> coalesce({at_place}, false))"))
             .select("row", "phrase", "start", "length"))
 
@@ -128,8 +179,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     as text, of the items with a match), spans (start, length of the matches)."""
     windows = cut_lineage(item_windows(items, item_key, item_text, size))
     phrases = windows.select("phrase", "terms").dropDuplicates(["phrase"])
-    index = positional_index(docs, key, text, phrases.select(F.explode("terms").alias("term")))
-    found = cut_lineage(phrase_matches(index, phrases, slack))
+    ordered = by_rarity(phrases, term_counts(docs, text, phrases.select(F.explode("terms").alias("term"))))
+    index = positional_index(docs, key, text, ordered)
+    found = cut_lineage(phrase_matches(index, ordered, slack))
 
     upto = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     hits = (found.select("row", "start", "length", (F.col("start") + F.col("length")).alias("stop")).distinct()

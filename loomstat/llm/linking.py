@@ -17,47 +17,62 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.graph import connected_components
 from ..session import cut_lineage, discard
 
+BROADCAST_IDS = 1_000_000
+
 
 def members_of_shared_keys(postings: Callable[[], DataFrame]) -> DataFrame:
-    """(key, node, n, place, leader) for keys that at least two different nodes hold. Keys are
+    """(key, node, n, place, leader) for keys that at least two nodes hold. Keys are
     counted with map-side merging; ``postings`` is cheap to compute and so computed twice."""
-    shared = (postings().groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
-              .filter(F.col("leader") != F.col("other")).select("key", "leader"))
+    shared = (postings().groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("holders"))
+              .filter("holders > 1").select("key", "leader"))
     return cut_lineage(postings().join(shared, "key"))
 
 
-def least_overlap(num: int, den: int):
-    """Common elements that sets of a.n and b.n elements need to reach the Jaccard bound num/den."""
-    return F.expr(f"cast(ceil({num} * (a.n + b.n) / {num + den}) as bigint)")
+def within_broadcast(nodes: DataFrame) -> DataFrame:
+    """The ids, to be broadcast by a join if they are at most ``BROADCAST_IDS``."""
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): the pairs whose sets (node, items) have a Jaccard similarity of num/den or more."""
-    sides = (pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("x")), "u")
-             .join(sets.select(F.col("node").alias("v"), F.col("items").alias("y")), "v"))
-    common = sides.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return common.filter(den * F.col("common") >= num * (F.size("x") + F.size("y") - F.col("common"))) \
-        .select("u", "v").distinct()
+def enough_keys(pairs: DataFrame, num: int, den: int, single_from: int | None, share: int = 1) -> DataFrame:
+    """Pairs (u, v, nu, nv, keys) whose sizes and shared keys allow the Jaccard bound num/den. Of two
+    sets that post single elements, the one whose first elements end earlier shares all but n - o of
+    them, o being the overlap needed; ``share`` 2 asks for half of that."""
+    need = f"ceil({num} * (nu + nv) / {num + den}) - ceil({num} * greatest(nu, nv) / {den}) + 1"
+    fits = pairs.filter(F.expr(f"{den} * least(nu, nv) >= {num} * greatest(nu, nv)"))
+    if single_from is None:
+        return fits
+    return fits.filter(F.expr(f"least(nu, nv) < {single_from} or {share} * keys >= {need}"))
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("component", F.col("node"))
-    return members.join(labels, "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
+def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(u, v): the pairs whose sets have a Jaccard similarity of num/den or more, as a table."""
+    pairs = cut_lineage(pairs.select("u", "v"))
+    items = sets(cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
+    sides = (pairs.join(items.select(F.col("node").alias("u"), F.col("items").alias("x")), "u")
+             .join(items.select(F.col("node").alias("v"), F.col("items").alias("y")), "v"))
+    common = sides.withColumn("common", F.size(F.array_intersect("x", "y")))
+    return cut_lineage(common.filter(den * F.col("common") >= num * (F.size("x") + F.size("y") - F.col("common")))
+                       .select("u", "v").distinct())
 
 
-def link(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int,
+         single_from: int | None = None) -> DataFrame:
     """(node, component) of all nodes that link to another. ``members`` has (key, node, n, place,
     leader): n is the size of the node's set, place the rank of the key's first element in the order
-    all sets share (0 where there is none); ``sets`` has (node, items)."""
+    all sets share (0 where there is none). ``sets`` gives (node, items) of a table of nodes. Sets of
+    ``single_from`` elements or more have posted their first elements one by one."""
+    sizes = members.select("node", "n").distinct()
+
     def one_leader(candidates: DataFrame) -> DataFrame:
+        counted = (candidates.groupBy("u", "v", "nv").agg(F.count("*").alias("keys"))
+                   .join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u"))
         best = Window.partitionBy("v").orderBy(F.col("keys").desc(), "u")
-        return (candidates.groupBy("u", "v").agg(F.count("*").alias("keys"))
-                .withColumn("best", F.row_number().over(best)).filter("best = 1").select("u", "v"))
+        return (enough_keys(counted, num, den, single_from, share=2)
+                .withColumn("best", F.row_number().over(best)).filter("best = 1"))
 
-    first = members.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    edges = [cut_lineage(verified(one_leader(first), sets, num, den))]
+    first = (members.filter(F.col("node") != F.col("leader"))
+             .select(F.col("leader").alias("u"), F.col("node").alias("v"), F.col("n").alias("nv")))
+    edges = [verified(one_leader(first), sets, num, den)]
     labels = cut_lineage(connected_components(edges[0]))
 
     mixed = _mixed(members, labels)
@@ -65,24 +80,30 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     second = (mixed.join(heads, "key").filter(F.col("component") != F.col("low.component"))
               .groupBy("key").agg(F.min("node").alias("u")))
     again = (mixed.join(second, "key").filter(F.col("node") != F.col("u"))
-             .select("u", F.col("node").alias("v"), "component"))
-    edges.append(cut_lineage(verified(one_leader(again), sets, num, den)))
+             .select("u", F.col("node").alias("v"), F.col("n").alias("nv")))
+    edges.append(verified(one_leader(again), sets, num, den))
     before, labels = labels, cut_lineage(connected_components(edges[0].unionByName(edges[1])))
     discard(mixed, before)
 
     mixed = _mixed(members, labels)
     a, b = mixed.alias("a"), mixed.alias("b")
-    need = least_overlap(num, den)
     pairs = (a.join(b, F.expr("a.key = b.key and a.component < b.component"))
-             .filter(F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"))
-             .filter(F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= need)
-             .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct())
-    edges.append(cut_lineage(verified(pairs, sets, num, den)))
+             .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"),
+                     F.col("b.n").alias("nv"),
+                     F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")).alias("left"))
+             .filter(F.expr(f"{den} * least(nu, nv) >= {num} * greatest(nu, nv)"))
+             .groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("keys"), F.max("left").alias("left"))
+             .filter(F.expr(f"left >= ceil({num} * (nu + nv) / {num + den})")))
+    edges.append(verified(enough_keys(pairs, num, den, single_from), sets, num, den))
     out = cut_lineage(connected_components(edges[0].unionByName(edges[1]).unionByName(edges[2])))
     discard(mixed, labels, *edges)
     return out
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of keys whose members are in several components."""
     labelled = _labelled(members.select("key", "node", "n", "place"), labels)

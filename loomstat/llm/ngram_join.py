@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage, discard
-from .linking import link, members_of_shared_keys
+from .linking import link, members_of_shared_keys, within_broadcast
 from .text import LOWER, NOT_SPACE, distinct_by_owner, lists, mix, shingles, slices, span_hashes, words
 
 SKETCH_BITS = 18
@@ -144,8 +144,8 @@ def postings(sets: DataFrame, light: int, num: int, den: int) -> DataFrame:
     return sets.select("node", "n", "head").mapInArrow(run, "key bigint, node bigint, n bigint, place bigint")
 
 
-def whole_sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(node, items): the shingle set of every text."""
+def whole_sets(df: DataFrame, key: str, text: str, k: int, nodes: DataFrame) -> DataFrame:
+    """(node, items): the shingle sets of the texts whose key is among the nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
@@ -153,7 +153,8 @@ def whole_sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first),
                                                   lists(hashes.view(np.int64), n, pa.int64())], ["node", "items"])
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "node bigint, items array<bigint>")
+    asked = df.select(F.col(key).cast("long").alias("node"), text).join(within_broadcast(nodes), "node", "left_semi")
+    return asked.mapInArrow(run, "node bigint, items array<bigint>")
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
@@ -164,15 +165,16 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k:
     nodes = cut_lineage(sets.filter("n > 0 and key is not null").groupBy("d1", "d2")
                         .agg(F.min(F.col("key").cast("long")).alias("node"), F.first("n").alias("n"),
                              F.first("head").alias("head"), F.first("scan").alias("scan")))
+    rows = cut_lineage(sets.select("key", "n", "d1", "d2"))
+    discard(sets)
     light = boundary(nodes, num, den)
     members = members_of_shared_keys(lambda: postings(nodes, light, num, den))
-    compared = members.select("node").distinct()
-    full = cut_lineage(whole_sets(df.join(compared, F.col(key).cast("long") == F.col("node"), "left_semi"), key, text, k))
-    linked = link(members, full, num, den)
+    linked = link(members, lambda some: whole_sets(df, key, text, k, some), num, den,
+                  single_from=-(-num * light // den) if light > 1 else 1)
     named = nodes.select("d1", "d2", "node").join(linked, "node", "left") \
         .select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    discard(members, full)
-    return (sets.join(named, ["d1", "d2"], "left")
+    discard(members)
+    return (rows.join(named, ["d1", "d2"], "left")
             .select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                     F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("key").cast("long")).alias("component_id"),
                     F.struct("d1", "d2").alias("set_id")))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import ann, bpe, decontam, ngram_join, toxicity, warc
+from . import ann, bpe, decontam, langid, ngram_join, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -118,5 +122,5 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join covered using (doc_id) left join named using (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op5_warc, op6_ngram_join, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op5_warc, op6_ngram_join, op7_language_id, op9_decontamination)}
 ORACLE: dict[str, str] = {"op5_warc": OP5, "op6_ngram_join": OP6, "op9_decontamination": OP9}
