@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import ann, bpe, decontam, langid, ngram_join, toxicity, warc
+from . import ann, bpe, decontam, langid, line_dedup, ngram_join, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     rows = warc.with_revisits(table(spark, sf_dir, "pages"), "page_id", "html")
@@ -64,6 +69,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+OP4 = rf"""
+with line as (
+    select doc_id, no, line, list_distinct(regexp_extract_all(translate(line, {AZ}), '[^\x20\x09-\x0D]+')) as w
+    from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no
+          from documents) t),
+word as (select doc_id, no, len(w) as n, unnest(w) as s from line),
+gone as (
+    select b.doc_id, b.no
+    from word a join word b on a.s = b.s and (a.doc_id, a.no) < (b.doc_id, b.no)
+    where 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+    group by a.doc_id, a.no, b.doc_id, b.no, a.n, b.n
+    having 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+kept as (
+    select doc_id, count(*) as n_lines, count(*) filter (g.no is not null) as n_removed,
+           sha256(coalesce(string_agg(line, chr(10) order by no) filter (g.no is null), '')) as kept_sha256
+    from line left join (select distinct doc_id, no from gone) g using (doc_id, no) group by doc_id)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, kept_sha256
+from documents left join kept using (doc_id)"""
+
 OP5 = """
 with page as (select page_id, coalesce(html, '') as body from pages),
 named as (select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes, sha1(body) as payload_digest
@@ -122,5 +146,5 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join covered using (doc_id) left join named using (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op5_warc, op6_ngram_join, op7_language_id, op9_decontamination)}
-ORACLE: dict[str, str] = {"op5_warc": OP5, "op6_ngram_join": OP6, "op9_decontamination": OP9}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op4_line_dedup, op5_warc, op6_ngram_join, op7_language_id, op9_decontamination)}
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4, "op5_warc": OP5, "op6_ngram_join": OP6, "op9_decontamination": OP9}
