@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import ann, bpe, decontam, langid, line_dedup, ngram_join, paragraphs, toxicity, warc
+from . import ann, bpe, decontam, langid, line_dedup, ngram_join, paragraphs, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.cut_repeats(documents(spark, sf_dir), size=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP4 = rf"""
@@ -152,5 +158,5 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join covered using (doc_id) left join named using (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op4_line_dedup, op5_warc, op6_ngram_join, op7_language_id, op8_paragraph_minhash, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op4_line_dedup, op5_warc, op6_ngram_join, op7_language_id, op8_paragraph_minhash, op9_decontamination, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {"op4_line_dedup": OP4, "op5_warc": OP5, "op6_ngram_join": OP6, "op9_decontamination": OP9}
