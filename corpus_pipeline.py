@@ -1,8 +1,81 @@
-"""Documents to training tokens: five stages, each on all that the one before kept."""
+"""Documents to training tokens: five stages, each on all that the one before kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns the documents it keeps with the columns they came
+with; the last returns tokens. Null keys and repeated rows are documents like others. An empty table
+stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from loomstat.llm import bpe, decontam, langid, line_dedup, ngram_join
+from loomstat.llm.linking import within_broadcast
+from loomstat.llm.toxicity import fold
+from loomstat.session import cut_lineage
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a recognised language; those without text or letters go. The model learns from the
+    labelled documents of the folds that op7 learns from. Without any label nothing can be judged, and
+    all documents with a letter would be unknown, so then all stay."""
+    labelled = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
+    model = langid.fit(labelled)
+    if not model.langs:
+        return docs
+    found = langid.predict(docs, model, out="__lang", score="__score")
+    return found.filter(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier document or line has; those left with no word go."""
+    found = line_dedup.dedup_lines(docs)
+    kept = found.filter((F.col("n_removed") == 0) | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", length).select(*docs.columns)
+
+
+def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest key, of each group linked by a Jaccard similarity of 0.8 or
+    more on five-word shingles."""
+    found = ngram_join.similar_documents(docs, k=5, num=80, den=100)
+    gone = cut_lineage(found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct())
+    kept = docs.join(within_broadcast(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    again = found.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
+    if again.limit(1).count():                      # rows under one key are one document
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item stands."""
+    name = F.xxhash64("doc_id", "text")
+    found = decontam.contamination(docs.select(name.alias("name"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="name")
+    bad = cut_lineage(found.filter("n_hit > 0").select(F.col("name").alias("bad")).distinct())
+    return docs.join(within_broadcast(bad), name == F.col("bad"), "left_anti").select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    """Per document its key, language and source, the ids and byte offsets of its tokens, and the text
+    that the ids decode to."""
+    if ranks_path is None:
+        import public_tokenizers
+        ranks_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(ranks_path)
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks), ranks)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets",
+                        F.col("decoded").cast("string").alias("text"))
+
+
+STAGES = [("language ID", identify_language), ("line dedup", dedup_lines), ("n-gram Jaccard join", join_ngrams),
+          ("benchmark decontamination", decontaminate), ("byte-level BPE", encode_tokens)]
+
+# SQL can express neither the language model nor the tokenizer; tests/llm compare with brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
