@@ -14,6 +14,10 @@ def _toward_min(edges: DataFrame) -> DataFrame:
     return edges.join(low, "u").select("u", "v", F.least("u", "low").alias("m"))
 
 
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected edges (u, v) of longs; the component is its smallest
     node. Nodes without edges are not listed. Rounds run until nothing moves; each halves the
@@ -21,20 +25,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut_lineage(edges.select(F.col("u").cast("long"), F.col("v").cast("long"))
                       .filter(F.col("u") != F.col("v"))
                       .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours move to the smallest node of the neighbourhood
         large = _toward_min(both).filter(F.col("v") > F.col("u")) \
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours move to the smallest of them
-        small = _toward_min(large)
-        moved = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                            .unionByName(small.select("u", F.col("m").alias("v")))
-                            .filter(F.col("u") != F.col("v")).distinct())
-        state = moved.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        moved = cut_lineage(_toward_min(large)
+                            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                                                      F.struct("u", F.col("m").alias("v")))).alias("e"))
+                            .select("e.u", "e.v").filter("u != v").distinct())
         discard(now)
-        now = moved
+        now, state = moved, _state(moved)
         if state == before:
             break
         before = state
