@@ -101,9 +101,10 @@ def prefixes(lines: DataFrame, steps: bytes, num: int, den: int) -> DataFrame:
 
 
 def fits(num: int, den: int) -> Column:
-    """Length and positional filter for a pair of postings a and b."""
+    """Length and positional filter for a pair of postings a and b: the first two words that similar
+    lines share leave room in both for the rest of the overlap."""
     return F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) and "
-                  f"least(a.n - a.place, b.n - b.place) >= ceil({num} * (a.n + b.n) / {num + den})")
+                  f"least(a.n - a.place, b.n - b.place) + 1 >= ceil({num} * (a.n + b.n) / {num + den})")
 
 
 def similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -142,7 +143,7 @@ def similar_lines(docs: DataFrame, gone: DataFrame, num: int, den: int) -> DataF
             .groupBy(F.struct("a.doc", "a.no").alias("x"), F.struct("b.doc", "b.no").alias("y"), F.col("a.n").alias("nx"),
                      F.col("b.n").alias("ny")).agg(F.count("*").alias("shared"))
             # of two similar lines the one whose prefix ends first shares this many of its posted words
-            .filter(F.expr(f"shared >= ceil({num} * (nx + ny) / {num + den}) - ceil({num} * greatest(nx, ny) / {den}) + 1"))
+            .filter(F.expr(f"shared >= least(2, ceil({num} * (nx + ny) / {num + den}) - ceil({num} * greatest(nx, ny) / {den}) + 1)"))
             .select(F.col("x").alias("a"), F.col("y").alias("b")))
     second = similar(docs, rest, num, den).select("b.doc", "b.no").distinct()
     out = cut_lineage(first.unionByName(second))

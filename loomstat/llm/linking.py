@@ -1,11 +1,10 @@
 """Components of a similarity graph whose candidate pairs come from shared keys.
 
 Members of a key's list are not paired with each other at once. First every node is compared with
-one leader, the smallest node of the lists it shares most; what links shares a component from then
-on, which settles groups of near copies in linear work. Then a second leader is tried where a list
-still holds several components. In the end the pairs of a list whose members are in different
-components are all compared, so no link between components is missed; pairs inside one cannot
-change the result.
+one leader, the smallest node of the lists it shares most; what links shares a label from then on,
+which settles groups of near copies in linear work. Then the pairs of a list whose members have
+different labels are all compared, so no link between components is missed; a pair under one label
+is linked already and cannot change the result.
 """
 
 from __future__ import annotations
@@ -33,11 +32,12 @@ def within_broadcast(nodes: DataFrame) -> DataFrame:
     return F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
 
 
-def enough_keys(pairs: DataFrame, num: int, den: int, single_from: int | None, share: int = 1) -> DataFrame:
+def enough_keys(pairs: DataFrame, num: int, den: int, single_from: int | None, share: int = 1,
+                most: int = 1 << 30) -> DataFrame:
     """Pairs (u, v, nu, nv, keys) whose sizes and shared keys allow the Jaccard bound num/den. Of two
     sets that post single elements, the one whose first elements end earlier shares all but n - o of
-    them, o being the overlap needed; ``share`` 2 asks for half of that."""
-    need = f"ceil({num} * (nu + nv) / {num + den}) - ceil({num} * greatest(nu, nv) / {den}) + 1"
+    them, o being the overlap needed; ``share`` 2 asks for half of that, ``most`` never for more."""
+    need = f"least({most}, ceil({num} * (nu + nv) / {num + den}) - ceil({num} * greatest(nu, nv) / {den}) + 1)"
     fits = pairs.filter(F.expr(f"{den} * least(nu, nv) >= {num} * greatest(nu, nv)"))
     if single_from is None:
         return fits
@@ -72,31 +72,23 @@ def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, d
 
     first = (members.filter(F.col("node") != F.col("leader"))
              .select(F.col("leader").alias("u"), F.col("node").alias("v"), F.col("n").alias("nv")))
-    edges = [verified(one_leader(first), sets, num, den)]
-    labels = cut_lineage(connected_components(edges[0]))
-
-    mixed = _mixed(members, labels)
-    heads = mixed.groupBy("key").agg(F.min(F.struct("component", "node")).alias("low"))
-    second = (mixed.join(heads, "key").filter(F.col("component") != F.col("low.component"))
-              .groupBy("key").agg(F.min("node").alias("u")))
-    again = (mixed.join(second, "key").filter(F.col("node") != F.col("u"))
-             .select("u", F.col("node").alias("v"), F.col("n").alias("nv")))
-    edges.append(verified(one_leader(again), sets, num, den))
-    before, labels = labels, cut_lineage(connected_components(edges[0].unionByName(edges[1])))
-    discard(mixed, before)
+    starred = verified(one_leader(first), sets, num, den)
+    # each node has one leader at most, so the leader's leader stands for most of a component
+    above = starred.select(F.col("u").alias("above"), F.col("v").alias("u"))
+    labels = cut_lineage(starred.join(above, "u", "left")
+                         .select(F.col("v").alias("node"), F.coalesce("above", "u").alias("component")))
 
     mixed = _mixed(members, labels)
     a, b = mixed.alias("a"), mixed.alias("b")
-    pairs = (a.join(b, F.expr("a.key = b.key and a.component < b.component"))
-             .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"),
-                     F.col("b.n").alias("nv"),
-                     F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")).alias("left"))
-             .filter(F.expr(f"{den} * least(nu, nv) >= {num} * greatest(nu, nv)"))
-             .groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("keys"), F.max("left").alias("left"))
-             .filter(F.expr(f"left >= ceil({num} * (nu + nv) / {num + den})")))
-    edges.append(verified(enough_keys(pairs, num, den, single_from), sets, num, den))
-    out = cut_lineage(connected_components(edges[0].unionByName(edges[1]).unionByName(edges[2])))
-    discard(mixed, labels, *edges)
+    # the first two elements that similar sets share leave room in both for the rest of the overlap
+    fits = (f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) and "
+            f"least(a.n - a.place, b.n - b.place) + 1 >= ceil({num} * (a.n + b.n) / {num + den})")
+    pairs = (a.join(b, F.expr(f"a.key = b.key and a.component < b.component and {fits}"))
+             .groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"))
+             .agg(F.count("*").alias("keys")))
+    others = verified(enough_keys(pairs, num, den, single_from, most=2), sets, num, den)
+    out = cut_lineage(connected_components(starred.unionByName(others)))
+    discard(mixed, labels, starred, others)
     return out
 
 
