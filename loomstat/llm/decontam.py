@@ -27,6 +27,8 @@ from .text import ALNUM, LOWER, lists, slices, span_hashes, words
 # up to this many terms (8 bytes each) are broadcast to select postings while reading; with more
 # the index holds the postings of all terms of all documents
 BROADCAST_TERMS = 4_000_000
+# phrases (some 300 bytes each) up to this many are broadcast to the proposed starts
+BROADCAST_PHRASES = 200_000
 
 
 def item_windows(items: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -168,7 +170,7 @@ def phrase_matches(index: DataFrame, ordered: DataFrame, slack: int = 0) -> Data
     return (proposed.join(lookup, "row")
             .select("row", F.explode("proposed").alias("s"), "places")
             .select("row", "s.phrase", "s.start", "places")
-            .join(ordered, "phrase")
+            .join(F.broadcast(ordered) if ordered.count() <= BROADCAST_PHRASES else ordered, "phrase")
             .filter(F.expr(f"forall(rest, x -> coalesce({at_place}, false))"))
             .select("row", "phrase", "start", "length"))
 
