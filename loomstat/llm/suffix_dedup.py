@@ -186,8 +186,8 @@ def bodies(docs: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
                     [*(pa.array([r[c] for r in rows], pa.int64()) for c in names),
                      pa.array([raw[r["start"]:r["start"] + r["count"] + size - 1] for r in rows], pa.binary())], [*names, "body"])
 
-    once = docs.join(within_broadcast(asked), "doc").dropDuplicates(["doc"]).select("text", "asked")
-    return once.mapInArrow(run, "anchor bigint, digest bigint, copies bigint, body binary")
+    # repeated rows give their stretches again; readers take each once
+    return docs.join(within_broadcast(asked), "doc").select("text", "asked").mapInArrow(run, "anchor bigint, digest bigint, copies bigint, body binary")
 
 
 def transformed(found: DataFrame, size: int, chunk: int | None = None) -> DataFrame:
@@ -205,6 +205,8 @@ def transformed(found: DataFrame, size: int, chunk: int | None = None) -> DataFr
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and row[:2] == held[-1][:2]:
+                    continue
                 if total >= limit and row[0] != last:
                     yield flush()
                     held, total = [], 0
@@ -250,7 +252,7 @@ def repeated_spans(docs: DataFrame, size: int = 400, hot: int | None = None) ->
     held = cut_lineage(bodies(docs, kinds, size))
     starts = transformed(held.join(many, "anchor", "left_anti"), size)
     if many.limit(1).count():
-        starts = starts.unionByName(counted(held.join(many, "anchor"), size))
+        starts = starts.unionByName(counted(held.join(many, "anchor").dropDuplicates(["anchor", "digest"]), size))
     starts = cut_lineage(starts.filter(F.size("runs") > 0))
     discard(kinds, held)
     spans = (placed.join(starts, ["anchor", "digest"])
