@@ -11,6 +11,8 @@ from ..session import cut_lineage
 
 # The share of rows that must parse, and the number forms that count as one.
 PARSE_SHARE = 0.8
+DATE_FORMS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yyyy/M/d H:mm:ss", "MMM d, yyyy", "MMMM d, yyyy",
+              "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy")
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
 
@@ -25,13 +27,19 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
-    """Second and later uses of a name get the suffixes _1, _2, ..."""
-    used: dict[str, int] = {}
+    """Second and later uses of a name get the suffixes _1, _2, ... As Spark does not tell names
+    apart by case, neither does this; a suffixed name that is taken moves on to the next number."""
+    taken = {n.lower() for n in names}
+    seen: set[str] = set()
+    repeats: dict[str, int] = {}
     out = []
     for name in names:
-        repeat = used.get(name, -1) + 1
-        used[name] = repeat
-        out.append(f"{name}_{repeat}" if repeat else name)
+        new, low = name, name.lower()
+        while new.lower() in seen or (new != name and new.lower() in taken):
+            repeats[low] = repeats.get(low, 0) + 1
+            new = f"{name}_{repeats[low]}"
+        seen.add(new.lower())
+        out.append(new)
     return out
 
 
@@ -44,7 +52,10 @@ def number_or_null(c: Column) -> Column:
 
 
 def timestamp_or_null(c: Column) -> Column:
-    return F.trim(c).try_cast("timestamp_ntz")
+    """ISO dates and times, then the first of DATE_FORMS that reads the text."""
+    text = F.trim(c)
+    return F.coalesce(text.try_cast("timestamp_ntz"), *[
+        F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz") for form in DATE_FORMS])
 
 
 def _convert(df: DataFrame, cols: Sequence[str], parse) -> tuple[DataFrame, list[str]]:

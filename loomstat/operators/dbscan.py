@@ -16,6 +16,7 @@ from itertools import product
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.keys import any_key
 from ..functions.ranking import attach_by_value, value_counts_ranked
 from ..session import cut_lineage
 from .graph import connected_components
@@ -205,6 +206,7 @@ def _touching_cells(core: DataFrame, side: float, d: int, eps: float, offsets: l
 
 # ---- DBSCAN ---------------------------------------------------------------------------
 
+@any_key()
 def dbscan(points: DataFrame, key: str, eps: float, features: str = "features",
            min_samples: int = MIN_SAMPLES, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """(key, cluster, is_core): clusters numbered by their smallest core key, noise is -1.

@@ -9,11 +9,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import side_by_side
+from ..functions.keys import any_key
 from ..functions.ranking import math_ceil
 from ..functions.text import text
 from .neighbors import choose_pivots, distances, nearest_pivot, stack
 
-EXACT_ROWS = 200_000
 ROWS_PER_TILE = 2_000
 SUMMARY_CELLS = 512
 
@@ -101,22 +101,24 @@ def _summary_sums(rows: DataFrame, cells: int) -> DataFrame:
     return rows.mapInPandas(batch, "id long, own int, cluster int, total double, n long")
 
 
+@any_key()
 def silhouette_samples(points: DataFrame, key: str, features: str = "features",
                        label: str = "cluster", exclude_noise: bool = False,
-                       exact_rows: int = EXACT_ROWS, rows_per_tile: int = ROWS_PER_TILE,
+                       method: str = "exact", rows_per_tile: int = ROWS_PER_TILE,
                        cells: int = SUMMARY_CELLS) -> DataFrame:
     """(key, cluster, silhouette) with Euclidean distances; a row alone in its cluster has 0.
 
-    Up to ``exact_rows`` rows the distance sums are exact. They cost n * n distance
-    evaluations, so larger tables are measured against cell centroids instead; raise
-    ``exact_rows`` to force the exact sums, or ``cells`` to tighten the summary.
+    ``method`` "exact" costs n * n distance evaluations, whatever the size of the table;
+    "cells" measures against the centroids of ``cells`` cells per cluster instead, which is
+    another, approximate number and is only used where it is asked for.
     """
     rows = points.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("own"),
                          F.col(features).cast("array<double>").alias("vec"))
     if exclude_noise:
         rows = rows.filter(F.col("own") != -1)
-    n = rows.count()
-    sums = _tile_sums(rows, n, rows_per_tile) if n <= exact_rows else _summary_sums(rows, cells)
+    if method not in ("exact", "cells"):
+        raise ValueError(f"unknown method: {method}")
+    sums = _tile_sums(rows, rows.count(), rows_per_tile) if method == "exact" else _summary_sums(rows, cells)
     return _score(sums).withColumnRenamed("id", key)
 
 

@@ -21,9 +21,6 @@ SAMPLE_ROWS = 256
 SEED = 42
 EULER_GAMMA = 0.5772156649015329
 
-# Rows the tree samples are drawn from; a hash of the key picks them on larger tables.
-POOL_ROWS = 50_000
-
 
 def average_path(n):
     """Mean path length of an unsuccessful search in a binary tree over n rows."""
@@ -100,25 +97,21 @@ class Forest:
 
 
 def fit_forest(df: DataFrame, key: str, features: str = "features", trees: int = TREES,
-               sample: int = SAMPLE_ROWS, seed: int = SEED, rows: int | None = None,
-               pool_rows: int = POOL_ROWS) -> Forest:
-    """Grow the trees; each draws ``sample`` rows without replacement by a hash of (key, tree)."""
+               sample: int = SAMPLE_ROWS, seed: int = SEED, rows: int | None = None) -> Forest:
+    """Grow the trees; each draws ``sample`` of all rows without replacement by a hash of (key, tree)."""
     rows = df.count() if rows is None else rows
     if rows < 2:
         raise ValueError("the forest needs at least 2 rows")
     sample = min(sample, rows)
-    pool = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("vec"))
-    if rows > pool_rows:
-        # keep about pool_rows rows: a fixed share of the hash range, no sort of the table
-        share = pool_rows / rows
-        pool = pool.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
-                           < F.lit(int(share * (1 << 40))))
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) \
-        .withColumn("h", F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 40)))
-    # the smallest hashes win; hashes beyond twice the wanted number cannot be among them
-    enough = 2.0 * sample / min(rows, pool_rows)
-    if sample >= SAMPLE_ROWS and enough < 1:
-        drawn = drawn.filter(F.col("h") < F.lit(int(enough * (1 << 40))))
+    # the smallest hashes win; those beyond twice the wanted number (and some) cannot be among them,
+    # so each row leaves the scan only for the trees that may draw it
+    enough = min(1.0, (2.0 * sample + 200) / rows)
+    draws = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+            t.alias("tree"), F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 40)).alias("h"))),
+        lambda d: d["h"] < F.lit(int(enough * (1 << 40))))
+    drawn = (df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("vec"))
+             .withColumn("d", F.explode(draws)).select("id", "vec", "d.tree", "d.h"))
     order = Window.partitionBy("tree").orderBy("h", "id")
     drawn = drawn.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample)
 

@@ -2,9 +2,11 @@
 
 All models of a run (every k, every restart) advance together: one pass over the rows updates
 all of them, so a sweep over ten k with five restarts reads the data as often as its slowest
-model needs, not fifty times as often. Starts are drawn and settled on a bounded hash sample first,
-which leaves few passes over all rows; the result is a fixed point of the full data. A pass leaves one partial sum per (model, cluster,
-coordinate) and partition. Only centres ever reach the driver.
+model needs, not fifty times as often. Starts come from one set of candidates drawn over all rows in
+rounds, each row with the weight of its squared distance to those drawn before (k-means||), weighted
+by the rows nearest to them, so copies of a row neither crowd out others nor are overlooked. The
+result is a fixed point of the full data. A pass leaves one partial sum per (model, cluster,
+coordinate) and partition. Only candidates and centres ever reach the driver.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ MAX_CLUSTERS = 15
 MIN_ROWS_FOR_SWEEP = 10
 DEFAULT_K = 2
 
-MAX_ITERATIONS = 100
+MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
-START_ROWS = 4_096
+START_ROUNDS = 5
+DRAWN_PER_CENTER = 4
 
 
 @dataclass
@@ -70,26 +73,27 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return label, (gap * gap).sum(axis=1)
 
 
-def spread_start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: every further centre is drawn with weight of its squared distance."""
-    picked = [x[rng.integers(len(x))]]
+def spread_start(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over weighted points: each further centre is drawn with the weight of its points
+    times their squared distance."""
+    picked = [x[rng.choice(len(x), p=weight / weight.sum())]]
     gap = ((x - picked[0]) ** 2).sum(axis=1)
     while len(picked) < k:
-        total = gap.sum()
-        at = rng.choice(len(x), p=gap / total) if total > 0 else rng.integers(len(x))
+        mass = gap * weight
+        at = rng.choice(len(x), p=mass / mass.sum()) if mass.sum() > 0 else rng.integers(len(x))
         picked.append(x[at])
         gap = np.minimum(gap, ((x - x[at]) ** 2).sum(axis=1))
     return np.array(picked)
 
 
-def settle(x: np.ndarray, centers: np.ndarray, stop: float, limit: int) -> np.ndarray:
-    """Move centres on the bounded start sample, so that few passes over all rows remain."""
+def settle(x: np.ndarray, weight: np.ndarray, centers: np.ndarray, stop: float, limit: int) -> np.ndarray:
+    """Move centres on the weighted candidates, so that few passes over all rows remain."""
     for _ in range(limit):
         label = nearest(x, centers)[0]
-        size = np.bincount(label, minlength=len(centers))[:, None]
-        total = np.stack([np.bincount(label, weights=x[:, j], minlength=len(centers))
+        size = np.bincount(label, weights=weight, minlength=len(centers))[:, None]
+        total = np.stack([np.bincount(label, weights=weight * x[:, j], minlength=len(centers))
                           for j in range(x.shape[1])], axis=1)
-        new = np.where(size > 0, total / np.maximum(size, 1), centers)
+        new = np.where(size > 0, total / np.where(size > 0, size, 1.0), centers)
         moved = ((new - centers) ** 2).sum()
         centers = new
         if moved <= stop:
@@ -97,8 +101,46 @@ def settle(x: np.ndarray, centers: np.ndarray, stop: float, limit: int) -> np.nd
     return centers
 
 
-def _advance(vec: DataFrame, models: dict[int, np.ndarray]) -> tuple[dict, dict]:
-    """One pass: new centres and the cost under the old ones, per model."""
+def _draw(vec: DataFrame, known: np.ndarray | None, wanted: int, seed: int) -> np.ndarray:
+    """Up to ``wanted`` rows, drawn without replacement with the weight of their squared distance to
+    the known candidates. Every task keeps its rows with the largest keys, the largest of all win."""
+
+    def keyed(batches):
+        from pyspark import TaskContext
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        best = pd.DataFrame({"rank": pd.Series(dtype="float64"), "vec": pd.Series(dtype="object")})
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = stack(pdf["vec"])
+            weight = np.ones(len(x)) if known is None else nearest(x, known)[1]
+            draws = rng.random(len(x))
+            with np.errstate(divide="ignore"):
+                rank = np.where(weight > 0, np.log(draws) / weight, -np.inf)
+            pdf = pd.DataFrame({"rank": rank, "vec": list(x)})
+            best = pd.concat([best, pdf[pdf["rank"] > -np.inf]]).nlargest(wanted, "rank")
+        yield best
+
+    top = (vec.mapInPandas(keyed, "rank double, vec array<double>")
+           .orderBy(F.desc("rank"), "vec").limit(wanted).collect())
+    return np.array([r.vec for r in top], dtype="float64")
+
+
+def candidates(vec: DataFrame, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(points, weights): candidates for starts of up to ``most`` centres, drawn over all rows."""
+    points = _draw(vec, None, 1, seed)
+    if not len(points):
+        raise ValueError("no rows to cluster")
+    for turn in range(START_ROUNDS):
+        drawn = _draw(vec, points, DRAWN_PER_CENTER * most, seed + turn + 1)
+        if not len(drawn):
+            break                                       # every row is a candidate
+        points = np.unique(np.concatenate([points, drawn]), axis=0)
+    return points, _advance(vec, {0: points})[2][0]
+
+
+def _advance(vec: DataFrame, models: dict[int, np.ndarray]) -> tuple[dict, dict, dict]:
+    """One pass: new centres, the cost under the old ones and the rows of each, per model."""
 
     def partial(batches):
         sums = {m: np.zeros((len(c), c.shape[1] + 2)) for m, c in models.items()}
@@ -125,12 +167,13 @@ def _advance(vec: DataFrame, models: dict[int, np.ndarray]) -> tuple[dict, dict]
     totals = {m: np.zeros((len(c), c.shape[1] + 2)) for m, c in models.items()}
     for r in rows:
         totals[r.model][r.cluster, r.slot] = r.value
-    centers, costs = {}, {}
+    centers, costs, sizes = {}, {}, {}
     for m, t in totals.items():
         held = t[:, -2:-1] > 0
         centers[m] = np.where(held, t[:, :-2] / np.where(held, t[:, -2:-1], 1.0), models[m])
         costs[m] = float(t[:, -1].sum())
-    return centers, costs
+        sizes[m] = t[:, -2]
+    return centers, costs, sizes
 
 
 def fit_all(df: DataFrame, jobs: list[tuple[int, int]], features: str = "features",
@@ -139,23 +182,21 @@ def fit_all(df: DataFrame, jobs: list[tuple[int, int]], features: str = "feature
     vec = df.select(F.col(features).cast("array<double>").alias("vec"))
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        start = vec.orderBy(F.xxhash64("vec"), "vec").limit(START_ROWS).collect()
-        sample = np.array([r.vec for r in start], dtype="float64")
-        if not len(sample):
-            raise ValueError("no rows to cluster")
-        stop = TOLERANCE * float(sample.var(axis=0).mean())
-        models = {i: settle(sample, spread_start(sample, k, np.random.default_rng(seed)),
+        points, weight = candidates(vec, max(k for k, _ in jobs), min(seed for _, seed in jobs))
+        middle = np.average(points, axis=0, weights=weight)
+        stop = TOLERANCE * float(np.average((points - middle) ** 2, axis=0, weights=weight).mean())
+        models = {i: settle(points, weight, spread_start(points, weight, k, np.random.default_rng(seed)),
                             stop, max_iterations) for i, (k, seed) in enumerate(jobs)}
         moving = set(models)
         for _ in range(max_iterations):
-            new, _cost = _advance(vec, {m: models[m] for m in moving})
+            new, _cost, _size = _advance(vec, {m: models[m] for m in moving})
             for m in list(moving):
                 if ((new[m] - models[m]) ** 2).sum() <= stop:
                     moving.discard(m)
                 models[m] = new[m]
             if not moving:
                 break
-        _last, costs = _advance(vec, models)
+        _last, costs, _size = _advance(vec, models)
     finally:
         vec.unpersist()
     fits = []

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import as_double, q, vector_of
+from ..functions.keys import any_key, is_integral
 from ..functions.ranking import value_counts_ranked
 from ..session import cut_lineage
 
@@ -129,7 +130,8 @@ def nearest_pivot(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 pdf = pdf.assign(cell=pd.Series(dtype="int32"))
             yield pdf
 
-    return rows.mapInPandas(assign, "id long, vec array<double>, cell int")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(assign, f"{schema}, cell int")
 
 
 def cell_boxes(celled: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -168,17 +170,19 @@ def cell_boxes(celled: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.
 
 
 def _candidates(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> DataFrame:
-    """(id, slot, dst, dist, val): a superset of the k best per (id, slot)."""
+    """(id, slot, dst, dist, val): a superset of the k best per (id, slot). With columns asks and
+    gives only some rows ask and only some answer; otherwise all do."""
     schema = "id long, slot int, dst long, dist double, val double"
+    if "gives" not in rows.columns:
+        rows = rows.withColumns({"asks": F.lit(True), "gives": F.lit(True)})
+    if fill:
+        rows = rows.withColumn("asks", F.col("asks") & F.exists("vec", lambda v: v.isNull() | F.isnan(v)))
+    rows = rows.select("id", "vec", "asks", "gives")
     n = rows.count()
-    is_query = F.exists("vec", lambda v: v.isNull() | F.isnan(v)) if fill else F.lit(True)
     wanted = -(-n // rows_per_block)
     if wanted <= 1:
-        def alone(pdf):
-            data = pdf.drop(columns="asks")
-            return _search(data[pdf["asks"]], data, k, fill)
-        return (rows.withColumn("asks", is_query).groupBy(F.lit(0).alias("g"))
-                .applyInPandas(lambda pdf: alone(pdf.drop(columns="g", errors="ignore")), schema))
+        return rows.groupBy(F.lit(0).alias("g")).applyInPandas(
+            lambda pdf: _search(pdf[pdf["asks"]], pdf[pdf["gives"]], k, fill), schema)
 
     pivots = choose_pivots(rows, wanted)
     # each of the next tables is read several times; written once instead of searched again
@@ -187,11 +191,10 @@ def _candidates(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> Dat
     parts = {c: -(-s // rows_per_block) for c, s in sizes.items()}
     parts_of = F.create_map(*[F.lit(v) for item in parts.items() for v in item])
     blocked = celled.withColumn(
-        "part", F.pmod(F.xxhash64("id", F.lit(7)), parts_of[F.col("cell")]).cast("int")) \
-        .withColumn("asks", is_query)
+        "part", F.pmod(F.xxhash64("id", F.lit(7)), parts_of[F.col("cell")]).cast("int"))
 
     own = cut_lineage(blocked.groupBy("cell", "part").applyInPandas(
-        lambda pdf: _search(pdf[pdf["asks"]], pdf, k, fill), schema))
+        lambda pdf: _search(pdf[pdf["asks"]], pdf[pdf["gives"]], k, fill), schema))
 
     # upper bound per query: its k-th distance so far (per missing coordinate: the worst)
     per_slot = own.groupBy("id", "slot").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
@@ -230,7 +233,7 @@ def _candidates(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> Dat
     queries = routed.join(crowd, ["cell", "part"]).select(
         "id", "vec", "cell", "part", F.lit(True).alias("asks"),
         F.pmod(F.xxhash64("id", F.lit(3)), F.col("copies")).cast("int").alias("copy"))
-    data = blocked.select("id", "vec", "cell", "part").join(crowd, ["cell", "part"]).select(
+    data = blocked.filter("gives").select("id", "vec", "cell", "part").join(crowd, ["cell", "part"]).select(
         "id", "vec", "cell", "part", F.lit(False).alias("asks"),
         F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     far = queries.unionByName(data).groupBy("cell", "part", "copy").applyInPandas(
@@ -243,6 +246,7 @@ def _top(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+@any_key("src", "dst")
 def knn_graph(df: DataFrame, key: str, features: str, k: int,
               rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(src, dst, rank, dist): the k nearest other rows of each row, ties to the smaller id."""
@@ -272,21 +276,28 @@ def k_distance_curve(kdist: DataFrame, rows_per_range: int = 200_000) -> DataFra
     return value_counts_ranked(kdist, "distance", rows_per_range)[0]
 
 
+@any_key()
 def impute_knn(df: DataFrame, key: str, cols: Sequence[str], k: int = 5,
                donors: DataFrame | None = None,
                rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Fill each missing number by the mean of the k nearest rows that have it.
 
-    Without any usable donor the column mean is used. With ``donors`` the neighbours come
-    from another table of the same columns, whose keys must differ from those of ``df``.
+    Without any usable donor the column mean is used. With ``donors`` the neighbours come from
+    that table of the same columns alone, so a row's result does not depend on its batch.
     """
     cols = list(cols)
     rows = df.select(q(key).cast("long").alias("id"), vector_of(cols).alias("vec"))
     pool = rows
     if donors is not None:
-        full = donors.select(q(key).cast("long").alias("id"), vector_of(cols).alias("vec"))
-        pool = rows.unionByName(full)
+        # even ids ask, odd ids answer: keys of the two tables may be the same
+        asking = rows.select((F.col("id") * 2).alias("id"), "vec", F.lit(True).alias("asks"), F.lit(False).alias("gives"))
+        name = q(key).cast("long") if is_integral(donors, key) else F.xxhash64(q(key)).bitwiseAND(F.lit((1 << 61) - 1))
+        giving = donors.select((name * 2 + 1).alias("id"), vector_of(cols).alias("vec"),
+                               F.lit(False).alias("asks"), F.lit(True).alias("gives"))
+        pool = asking.unionByName(giving)
     best = _top(_candidates(pool, k, True, rows_per_block), k)
+    if donors is not None:
+        best = best.withColumn("id", F.shiftright("id", 1))
     filled = best.groupBy("id", "slot").agg(F.avg("val").alias("v"))
     by_row = filled.groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("__fill"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.columns import feature_matrix, q
+from ..functions.columns import feature_matrix, nan_to_null, q
 from ..operators import anomaly, clean, dbscan, evaluate, insights, kmeans, pca, profile, umap, ward
 from ..session import cut_lineage
 from ..sources import readers, writers
@@ -58,7 +58,7 @@ class Analysis:
     def use(self, df: DataFrame, name: str = "table", file_type: str = "table") -> DataFrame:
         """Clean, key and profile a table that is already a DataFrame."""
         def work() -> str:
-            cleaned, notes = clean.clean(df)
+            cleaned, notes = clean.clean(nan_to_null(df))
             self.workspace.add_insights(notes)
             keyed = cleaned if self.key in cleaned.columns else clean.assign_row_id(cleaned, self.key)
             if len(keyed.columns) > WIDE:

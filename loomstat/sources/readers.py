@@ -1,7 +1,6 @@
 """Table readers: format, delimiter and encoding detection, JSON flattening, quarantine.
 
-Detection looks at a handful of head lines on the driver; the data itself is always read by
-Spark. Every reader reports what it tried.
+Detection counts over all lines in Spark; only the first line reaches the driver. Every reader reports what it tried.
 """
 
 from __future__ import annotations
@@ -19,7 +18,8 @@ from ..operators.clean import unique_names
 # Readable extensions and the delimiters in the order they are tried.
 EXTENSIONS = ("csv", "tsv", "txt", "parquet", "json", "feather")
 DELIMITERS = (",", "\t", ";", "|", " ")
-HEAD_LINES = 200
+# a delimiter may leave this share of the lines with surplus fields, if none leaves fewer
+SURPLUS_SHARE = 0.01
 
 
 @dataclass
@@ -71,53 +71,66 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if valid is not False else "ISO-8859-1"
 
 
-def _head(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    if encoding == "UTF-16":
-        rows = spark.read.csv(path, sep="\u0001", quote="", encoding=encoding, multiLine=True) \
-            .limit(HEAD_LINES).collect()
-        return [r[0] for r in rows if r[0] is not None]
-    rows = spark.read.text(path).select(F.col("value").cast("binary").alias("b")) \
-        .limit(HEAD_LINES).collect()
-    return [bytes(r.b).decode(encoding) for r in rows]
+def header_of(first: str, sep: str) -> list[str]:
+    return next(csv.reader(io.StringIO(first), delimiter=sep))
 
 
-def choose_delimiter(lines: list[str]) -> tuple[str | None, list[str], list[str]]:
-    """(delimiter, header, attempts): the first delimiter that gives more than one column.
+def surplus_shares(lines: DataFrame, first: str) -> tuple[dict[str, float], bool]:
+    """({delimiter: share of the lines with more fields than the first}, whether a line break stands
+    inside quotes). One pass over all lines; text in quotes does not count."""
+    bare = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
+    wider = [F.avg((F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
+                    >= len(header_of(first, sep))).cast("int")) for sep in DELIMITERS]
+    row = lines.filter(F.trim("value") != "").agg(*wider, F.max(F.contains(bare, F.lit('"')))).first()
+    return dict(zip(DELIMITERS, row[:-1])), bool(row[-1])
 
-    A delimiter fails when a later line has more fields than the header. If none gives more
-    than one column, the last one that did not fail stays.
-    """
-    lines = [x for x in lines if x.strip()]
-    attempts: list[str] = []
-    kept: tuple[str | None, list[str]] = (None, [])
-    if not lines:
+
+def choose_delimiter(first: str | None, surplus: dict[str, float]) -> tuple[str | None, list[str], list[str]]:
+    """(delimiter, header, attempts): the first delimiter that gives more than one column and no line
+    with more fields than the header; failing that, the first with at most SURPLUS_SHARE such lines,
+    which go to quarantine; failing that, the last that gives one column."""
+    if not first:
         return None, [], ["Failed: no lines"]
-    for sep in DELIMITERS:
-        parsed = list(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep))
-        header = parsed[0]
-        widest = max(len(r) for r in parsed)
-        if widest > len(header):
-            attempts.append(f"Failed with delimiter '{sep}': expected {len(header)} fields, saw {widest}")
-            continue
-        kept = (sep, header)
-        if len(header) > 1:
-            attempts.append(f"Success with delimiter '{sep}'")
-            return sep, header, attempts
-    return kept[0], kept[1], attempts
+    attempts: list[str] = []
+    headers = {sep: header_of(first, sep) for sep in DELIMITERS}
+    for most in (0.0, SURPLUS_SHARE):
+        for sep, header in headers.items():
+            if len(header) > 1 and surplus[sep] <= most:
+                attempts.append(f"Success with delimiter '{sep}'")
+                return sep, header, attempts
+            if surplus[sep] > most:
+                attempts.append(f"Failed with delimiter '{sep}': {surplus[sep]:.2%} of the lines have more than {len(header)} fields")
+    single = [sep for sep, header in headers.items() if surplus[sep] == 0]
+    return (single[-1], headers[single[-1]], attempts) if single else (None, [], attempts)
+
+
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(value): the lines of the files as text."""
+    if encoding == "UTF-16":
+        return spark.read.csv(path, sep="\u0001", quote="", encoding=encoding, multiLine=True, schema="value string")
+    return spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
 
 
 def read_delimited(spark: SparkSession, path: str, fmt: str = "csv",
                    sampling_ratio: float = 1.0) -> Loaded:
+    """Delimited text with a header. Quoted fields may hold delimiters, doubled quotes and line breaks;
+    files with such breaks, like UTF-16 ones, cannot be split and are read by one task each."""
     encoding = detect_encoding(spark, path)
-    sep, header, attempts = choose_delimiter(_head(spark, path, encoding))
+    lines = _lines(spark, path, encoding)
+    first = lines.filter(F.trim("value") != "").head()
+    first, surplus, broken = first and first.value, {}, False
+    if first:
+        surplus, broken = surplus_shares(lines, first)
+        if broken:          # lines are not records here, so parsed records are counted
+            surplus = {sep: _surplus_records(spark, path, encoding, sep, len(header_of(first, sep))) for sep in DELIMITERS}
+    sep, header, attempts = choose_delimiter(first, surplus)
     if encoding != "UTF-8":
         attempts.append(f"Success with encoding {encoding}")
     if sep is None:
         attempts.append("Success reading as raw text")
         return Loaded(read_raw_text(spark, path), fmt, attempts)
-    # UTF-16 lines cannot be split by bytes, so such a file is parsed as a whole
-    options = dict(sep=sep, header=True, encoding=encoding, multiLine=encoding == "UTF-16",
-                   mode="PERMISSIVE", nanValue="NaN")
+    options = dict(sep=sep, header=True, encoding=encoding, multiLine=broken or encoding == "UTF-16",
+                   mode="PERMISSIVE", nanValue="NaN", quote='"', escape='"')
     inferred = spark.read.csv(path, inferSchema=True, samplingRatio=sampling_ratio, **options).schema
     names = unique_names([h.strip() or f"Unnamed: {i}" for i, h in enumerate(header)])
     # one column more than the header catches rows with surplus fields; short rows get nulls
@@ -128,6 +141,13 @@ def read_delimited(spark: SparkSession, path: str, fmt: str = "csv",
     return Loaded(good, fmt, attempts, raw.filter(F.col("__surplus").isNotNull()))
 
 
+def _surplus_records(spark: SparkSession, path: str, encoding: str, sep: str, fields: int) -> float:
+    """The share of records with more fields than that."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(fields + 1)])
+    rows = spark.read.csv(path, schema=schema, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"')
+    return rows.agg(F.avg(F.col(f"c{fields}").isNotNull().cast("int"))).first()[0] or 0.0
+
+
 def read_raw_text(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
     """Whitespace-split non-blank lines as positional columns "0", "1", ..."""
     lines = spark.read.text(path)

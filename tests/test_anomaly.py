@@ -26,7 +26,7 @@ def test_pool_of_a_larger_table(points):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(2000, 2)), [[30.0, 30.0]]])
     df = points(x)
-    f = forest.fit_forest(df, "id", trees=20, sample=64, pool_rows=400)
+    f = forest.fit_forest(df, "id", trees=20, sample=64)
     assert len(f.trees) == 20 and f.sample == 64
     scores = {r.id: r.raw_score for r in f.score(df, "id").collect()}
     # the far row may be in no sample, but then it ends in the outermost leaves

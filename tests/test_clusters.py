@@ -99,11 +99,14 @@ def test_small_tables_and_clamping(points):
         kmeans.clamp_k(2, 3)
 
 
-def test_start_sample_smaller_than_table(points, monkeypatch):
-    monkeypatch.setattr(kmeans, "START_ROWS", 20)
-    x = blobs([100, 100])
-    fit = kmeans.fit_kmeans(points(x), 2)
-    assert np.allclose(fit.centers, [x[:100].mean(axis=0), x[100:].mean(axis=0)])
+def test_copies_do_not_crowd_out_the_start(points):
+    """6,000 copies of one point beside four blobs: one centre in each blob."""
+    x = blobs([1500] * 4)
+    df = points(np.concatenate([x, np.repeat(x[:1], 6000, axis=0)]))
+    fit = kmeans.fit_kmeans(df, 4)
+    means = np.array([x[i:i + 1500].mean(axis=0) for i in range(0, 6000, 1500)])
+    means[0] = (means[0] * 1500 + x[0] * 6000) / 7500
+    assert np.allclose(fit.centers, means[np.lexsort(means.T[::-1])], atol=1e-6)
 
 
 # ---- Ward -----------------------------------------------------------------------------
@@ -150,7 +153,7 @@ def test_summarised_silhouette_is_close(spark):
     df = spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, label))],
                                "id long, features array<double>, cluster int")
     got = {r.id: r.silhouette for r in
-           evaluate.silhouette_samples(df, "id", exact_rows=0, cells=100).collect()}
+           evaluate.silhouette_samples(df, "id", method="cells", cells=100).collect()}
     assert np.abs(np.array([got[i] for i in range(300)]) - brute.silhouette(x, label)).max() < 0.05
 
 

@@ -93,3 +93,28 @@ def test_embedding_keeps_neighbours_and_paths_agree(spark, points):
     one = umap.layout(start, edges, 2, 90, epochs=2).orderBy("id").collect()
     two = umap.layout(start, edges, 2, 90, epochs=2, shared_rows=0).orderBy("id").collect()
     assert np.allclose([r.pos for r in one], [r.pos for r in two])
+
+
+def test_fitted_imputation_uses_only_the_donors(spark):
+    """New rows never answer, however near they are, and a row's result does not depend on its batch."""
+    fit = spark.createDataFrame([(i, float(i), 50.0 + i % 3) for i in range(20)], "id long, x double, y double")
+    new = [(3, 10.0, None), (4, 10.1, 9999.0), (5, 10.2, 9999.0)]
+    whole = {r.id: r.y for r in neighbors.impute_knn(spark.createDataFrame(new, "id long, x double, y double"), "id", ["x", "y"],
+                                                      donors=fit).collect()}
+    alone = neighbors.impute_knn(spark.createDataFrame(new[:1], "id long, x double, y double"), "id", ["x", "y"], donors=fit).first().y
+    nearest = sorted(range(20), key=lambda i: (abs(i - 10.0), i))[:5]
+    assert whole[3] == alone == pytest.approx(np.mean([50.0 + i % 3 for i in nearest]))
+    assert whole[4] == 9999.0
+    blocks = neighbors.impute_knn(spark.createDataFrame(new, "id long, x double, y double"), "id", ["x", "y"], donors=fit, rows_per_block=4)
+    assert {r.id: r.y for r in blocks.collect()} == pytest.approx(whole)
+
+
+def test_string_keys(spark):
+    rows = [(f"s{i:02d}", [float(i), float(i % 3)]) for i in range(30)]
+    named = spark.createDataFrame(rows, "sid string, features array<double>")
+    plain = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows)], "sid long, features array<double>")
+    want = {(f"s{r.src:02d}", f"s{r.dst:02d}", r.dist) for r in neighbors.knn_graph(plain, "sid", "features", 3).collect()}
+    assert {(r.src, r.dst, r.dist) for r in neighbors.knn_graph(named, "sid", "features", 3).collect()} == want
+    gaps = named.selectExpr("sid", "case when sid < 's05' then null else features[0] end as a", "features[1] as b")
+    filled = neighbors.impute_knn(gaps, "sid", ["a", "b"]).collect()
+    assert {r.sid for r in filled} == {s for s, _ in rows} and all(r.a is not None for r in filled)

@@ -130,3 +130,26 @@ def test_synthetic_table(spark):
     assert synthetic.widen(df, 300).columns[:2] == ["Sample_ID", "Gene_00000"]
     assert df.orderBy("Sample_ID").first() == \
         synthetic.sample_expression(spark, 400, 300).repartition(3).orderBy("Sample_ID").first()
+
+
+def test_quoted_text_survives(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('id,text,n\n1,"x ""y"", z",10\n2,"line one\nline two",20\n3,plain,30\n')
+    got = readers.load_table(spark, str(path))
+    assert sorted((r.id, r.text, r.n) for r in got.df.collect()) == [
+        (1, 'x "y", z', 10), (2, "line one\nline two", 20), (3, "plain", 30)]
+    assert got.quarantine.count() == 0
+
+
+def test_delimiter_is_judged_by_all_lines(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_text("a;b,c\n" + "1;2,3\n" * 300 + "1;2,3,4\n")
+    got = readers.load_table(spark, str(path))
+    assert got.df.columns == ["a", "b,c"] and got.df.count() == 301 and got.quarantine.count() == 0
+
+
+def test_names_that_differ_in_case(spark, tmp_path):
+    path = tmp_path / "case.csv"
+    path.write_text("a,A,b,a_1\n1,2,3,4\n")
+    got = readers.load_table(spark, str(path)).df
+    assert got.columns == ["a", "A_2", "b", "a_1"] and tuple(got.first()) == (1, 2, 3, 4)
