@@ -80,3 +80,21 @@ def test_rules_without_findings(spark):
                                 "silhouette_score double, labels_assigned long, cluster_sizes array<long>")
     assert [r.message for r in insights.clustering_insights(one).collect()] == [insights.ONE_CLUSTER]
     assert insights.comprehensive_report(clusterings={"dbscan": one}).count() == 1
+
+
+@pytest.mark.parametrize("method", ["kmeans", "dbscan", "hierarchical"])
+def test_a_run_with_string_keys_and_nan(spark, method):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    rows = [(f"S{i:03d}", *(float(v) for v in rng.normal(4 * (i % 3), 0.4, 2))) for i in range(90)]
+    rows[5] = ("S005", float("nan"), rows[5][2])
+    run = Analysis(spark, key="sid")
+    run.use(spark.createDataFrame(rows, "sid string, x double, y double"))
+    assert run.workspace.tables["raw_data"].filter("x is null").count() == 1
+    run.preprocess()
+    run.reduce("PCA", 2)
+    run.cluster(method, clusters=3, eps=0.8)
+    labels = run.workspace.tables["clustering_results"]
+    assert {r.sid for r in labels.select("sid").collect()} == {r[0] for r in rows}
+    run.anomalies(0.1)
+    assert run.top_anomalies().count() > 0
