@@ -44,6 +44,13 @@ def impute_knn(spark, d):
     return rounded(neighbors.impute_knn(gaps, "vec_id", cols), *cols)
 
 
+def impute_knn_new_rows(spark, d):
+    """All rows, filled by the donors a fitted imputer would hold, through the block search."""
+    gaps = points_gaps_spark(spark, d)
+    cols = ["x1", "x2", "x3", "x4"]
+    return rounded(neighbors.impute_knn(gaps, "vec_id", cols, donors=gaps.filter("vec_id % 3 <> 0"), rows_per_block=200), *cols)
+
+
 def impute_categorical(spark, d):
     return prep.impute_categorical(view(spark, d, PART), ["p_brand", "p_type"])
 
@@ -120,7 +127,7 @@ def preprocessing_summary(spark, d):
 
 QUERIES = {
     **{f.__name__: f for f in (
-        drop_high_missing, impute_median, impute_knn, impute_categorical, impute_mode, forward_fill,
+        drop_high_missing, impute_median, impute_knn, impute_knn_new_rows, impute_categorical, impute_mode, forward_fill,
         drop_missing_rows, dedupe_rows, quartiles, iqr_cap, outlier_counts, iqr_filter,
         variance_filter, zscore_filter, one_hot, hash_encode, adaptive_pipeline,
         preprocessing_summary)},
@@ -153,12 +160,12 @@ _SHARED = " + ".join(
     f"case when a.{c} is null or b.{c} is null then 0 else 1 end" for c in _KNN_COLS)
 
 
-def _knn_fill(c):
+def _knn_fill(c, donors="true"):
     return f"""select a.vec_id, avg(b.{c}) as v from (
           select a.vec_id, b.vec_id as donor, b.{c},
                  row_number() over (partition by a.vec_id
                    order by sqrt(4.0 * ({_GAP}) / ({_SHARED})), b.vec_id) as rn
-          from t a, t b where a.{c} is null and b.{c} is not null) a, t b
+          from t a, t b where a.{c} is null and b.{c} is not null and {donors}) a, t b
         where a.rn <= 5 and b.vec_id = a.donor group by a.vec_id"""
 
 
@@ -196,6 +203,11 @@ ORACLE = {
         select t.vec_id, round(coalesce(x1, f1.v), 6) as x1, round(x2, 6) as x2,
                round(coalesce(x3, f3.v), 6) as x3, round(x4, 6) as x4
         from t left join f1 on f1.vec_id = t.vec_id left join f3 on f3.vec_id = t.vec_id""",
+    "impute_knn_new_rows": f"""with t as ({points_gaps_oracle()}),
+        f1 as ({_knn_fill('x1', 'b.vec_id % 3 <> 0')}), f3 as ({_knn_fill('x3', 'b.vec_id % 3 <> 0')})
+        select t.vec_id, round(coalesce(x1, f1.v), 6) as x1, round(x2, 6) as x2,
+               round(coalesce(x3, f3.v), 6) as x3, round(x4, 6) as x4
+        from t left join f1 on f1.vec_id = t.vec_id left join f3 on f3.vec_id = t.vec_id""",
     "impute_categorical": f"""select p_partkey, coalesce(p_brand, 'Missing') as p_brand,
         coalesce(p_type, 'Missing') as p_type, p_name, p_size, p_retailprice from ({PART_SQL}) t""",
     "impute_mode": f"""with t as ({PART_SQL}), m as (select p_brand from t where p_brand is not null

@@ -50,7 +50,8 @@ def pca_top_features(spark, d):
 
 
 def knn_graph(spark, d):
-    return rounded(neighbors.knn_graph(vectors(spark, d), "vec_id", "features", 5), "dist")
+    # small blocks, so that the search over several of them is what runs on small tables too
+    return rounded(neighbors.knn_graph(vectors(spark, d), "vec_id", "features", 5, rows_per_block=200), "dist")
 
 
 def fuzzy_union(spark, d):
