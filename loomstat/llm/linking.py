@@ -1,7 +1,7 @@
 """Components of a similarity graph whose candidate pairs come from shared keys.
 
 Members of a key's list are not paired with each other at once. First every node is compared with
-one leader, the smallest node of the lists it shares most; what links shares a label from then on,
+one leader, that of the lists it shares most; what links shares a label from then on,
 which settles groups of near copies in linear work. Then the pairs of a list whose members have
 different labels are all compared, so no link between components is missed; a pair under one label
 is linked already and cannot change the result.
@@ -20,10 +20,9 @@ BROADCAST_IDS = 1_000_000
 
 
 def members_of_shared_keys(postings: Callable[[], DataFrame]) -> DataFrame:
-    """(key, node, n, place, leader) for keys that at least two nodes hold. Keys are
+    """(key, node, n, place) for keys that at least two nodes hold. Keys are
     counted with map-side merging; ``postings`` is cheap to compute and so computed twice."""
-    shared = (postings().groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("holders"))
-              .filter("holders > 1").select("key", "leader"))
+    shared = postings().groupBy("key").agg(F.count("*").alias("holders")).filter("holders > 1").select("key")
     return cut_lineage(postings().join(shared, "key"))
 
 
@@ -57,22 +56,20 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int,
 
 def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int,
          single_from: int | None = None) -> DataFrame:
-    """(node, component) of all nodes that link to another. ``members`` has (key, node, n, place,
-    leader): n is the size of the node's set, place the rank of the key's first element in the order
+    """(node, component) of all nodes that link to another. ``members`` has (key, node, n, place):
+    n is the size of the node's set, place the rank of the key's first element in the order
     all sets share (0 where there is none). ``sets`` gives (node, items) of a table of nodes. Sets of
     ``single_from`` elements or more have posted their first elements one by one."""
-    sizes = members.select("node", "n").distinct()
-
-    def one_leader(candidates: DataFrame) -> DataFrame:
-        counted = (candidates.groupBy("u", "v", "nv").agg(F.count("*").alias("keys"))
-                   .join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u"))
-        best = Window.partitionBy("v").orderBy(F.col("keys").desc(), "u")
-        return (enough_keys(counted, num, den, single_from, share=2)
-                .withColumn("best", F.row_number().over(best)).filter("best = 1"))
-
-    first = (members.filter(F.col("node") != F.col("leader"))
-             .select(F.col("leader").alias("u"), F.col("node").alias("v"), F.col("n").alias("nv")))
-    starred = verified(one_leader(first), sets, num, den)
+    # the node that shares most leads a list: of near copies the one that is changed least
+    shared = members.groupBy("node").agg(F.count("*").alias("shares"))
+    lead = (members.join(shared, "node").groupBy("key")
+            .agg(F.max(F.struct("shares", (-F.col("node")).alias("back"), "n")).alias("lead")))
+    met = (members.join(lead, "key")
+           .select((-F.col("lead.back")).alias("u"), F.col("lead.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
+           .filter("u <> v").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("keys")))
+    best = Window.partitionBy("v").orderBy(F.col("keys").desc(), "u")
+    starred = verified(enough_keys(met, num, den, single_from, share=2)
+                       .withColumn("best", F.row_number().over(best)).filter("best = 1"), sets, num, den)
     # each node has one leader at most, so the leader's leader stands for most of a component
     above = starred.select(F.col("u").alias("above"), F.col("v").alias("u"))
     labels = cut_lineage(starred.join(above, "u", "left")
