@@ -96,16 +96,14 @@ def write_archives(rows: DataFrame, folder: str, dictionary_bytes: int = 32 * 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        task = TaskContext.get()
-        part = task.partitionId()
-        if task.attemptNumber() or task.stageAttemptNumber():          # an earlier run may have left more archives
-            for old in place.get_file_info(fs.FileSelector(base)):
-                if old.base_name.startswith(f"part-{part:06d}-"):
-                    place.delete_file(old.path)
+        part = TaskContext.get().partitionId()
         names, counts, sizes, held, total = [], [], [], [], 0
 
+        def name_of(number: int) -> str:
+            return f"part-{part:06d}-{number:05d}.warc.zst"
+
         def flush():
-            name = f"part-{part:06d}-{len(names):05d}.warc.zst"
+            name = name_of(len(names))
             body = pack(held, train(held, dictionary_bytes, samples, sample_bytes), level)
             with place.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(body)
@@ -123,6 +121,11 @@ def write_archives(rows: DataFrame, folder: str, dictionary_bytes: int = 32 * 10
                         held, total = [], 0
         if held:
             flush()
+        # an earlier run of this task may have written more archives
+        left = len(names)
+        while place.get_file_info(f"{base}/{name_of(left)}").type != fs.FileType.NotFound:
+            place.delete_file(f"{base}/{name_of(left)}")
+            left += 1
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()),
                                           pa.array(sizes, pa.int64())], ["archive", "records", "bytes"])
 
