@@ -76,10 +76,10 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << 9) | np.roll(codes, -j)
     done = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        step = np.empty(len(order), np.int64)
-        step[0] = 0
-        step[1:] = key[order][1:] != key[order][:-1]
+        order = np.argsort(key)
+        key = key[order]
+        step = np.zeros(len(order), np.int64)
+        step[1:] = key[1:] != key[:-1]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(step)
         if done >= depth or rank[order[-1]] == len(order) - 1:
@@ -94,7 +94,7 @@ def repeat_classes(text: np.ndarray, size: int) -> np.ndarray:
     order = suffix_order(text, size)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    bwt = text[order - 1].astype(np.int64)
+    front, bwt = text[order].astype(np.int64), text[order - 1].astype(np.int64)
     back = rank[order - 1]                              # where a suffix goes when extended to the left
     common = np.full(n + 1, -1, np.int32)               # of a suffix and the one before it, once known
     common[0] = common[n] = 0
@@ -105,14 +105,27 @@ def repeat_classes(text: np.ndarray, size: int) -> np.ndarray:
         new_low, new_high = [back[low[one]]], [back[low[one]]]
         low, width = low[~one], width[~one]
         if len(low):
-            owner = np.repeat(np.arange(len(low)), width)
-            at = np.arange(len(owner)) + np.repeat(low - (np.cumsum(width) - width), width)
-            group = owner * 512 + bwt[at]
-            by = np.argsort(group, kind="stable")
-            heads = np.flatnonzero(np.diff(group[by], prepend=-1))
-            target = back[at[by]]
-            new_low.append(np.minimum.reduceat(target, heads))
-            new_high.append(np.maximum.reduceat(target, heads))
+            first = np.cumsum(width) - width
+            at = np.arange(int(width.sum())) + np.repeat(low - first, width)
+            chars, target = bwt[at], back[at]
+            same = np.minimum.reduceat(chars, first) == np.maximum.reduceat(chars, first)
+            new_low.append(np.minimum.reduceat(target, first)[same])
+            new_high.append(np.maximum.reduceat(target, first)[same])
+            mixed = np.repeat(~same, width)
+            if mixed.any():                             # one new interval for each value in front
+                owner, target = np.repeat(np.arange(len(low)), width)[mixed], target[mixed]
+                if len(target) > n // 16:               # in order of target by its place, else by sorting
+                    held = np.full(n, -1, np.int64)
+                    held[target] = owner
+                    target = np.flatnonzero(held >= 0)
+                    group = held[target] * 512 + front[target]
+                else:
+                    target = np.sort(target * len(low) + owner)
+                    target, group = target // len(low), target % len(low)
+                    group = group * 512 + front[target]
+                heads = np.flatnonzero(np.diff(group, prepend=-1))
+                new_low.append(target[heads])
+                new_high.append(target[np.append(heads[1:], len(target)) - 1])
         low, high = np.concatenate(new_low), np.concatenate(new_high)
         open_ = common[high + 1] < 0
         low, high = low[open_], high[open_]
