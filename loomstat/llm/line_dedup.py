@@ -66,13 +66,15 @@ def by_document(lines: DataFrame) -> DataFrame:
 
 
 def equal_sets(docs: DataFrame) -> DataFrame:
-    """(doc, no) of the lines whose set an earlier line has. Digests are counted with map-side
+    """(doc, nos) of the lines whose set an earlier line has. Digests are counted with map-side
     merging, and only those held twice are joined back."""
-    digest = hashed_lines(docs).withColumn("words", F.sort_array("words")).select(
-        "doc", "no", F.xxhash64("words").alias("d1"), F.xxhash64(F.reverse("words"), "n").alias("d2"))
+    digest = cut_lineage(hashed_lines(docs).withColumn("words", F.sort_array("words")).select(
+        "doc", "no", F.xxhash64("words").alias("d1"), F.xxhash64(F.reverse("words"), "n").alias("d2")))
     firsts = (digest.groupBy("d1", "d2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("copies"))
               .filter("copies > 1").drop("copies"))
-    return digest.join(firsts, ["d1", "d2"]).filter(F.struct("doc", "no") > F.col("first")).select("doc", "no")
+    gone = by_document(digest.join(firsts, ["d1", "d2"]).filter(F.struct("doc", "no") > F.col("first")))
+    discard(digest)
+    return gone
 
 
 def rarity(lines: DataFrame) -> bytes:
@@ -153,7 +155,7 @@ def similar_lines(docs: DataFrame, gone: DataFrame, num: int, den: int) -> DataF
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """(doc, nos): the numbers, from 0, of the lines to remove from each document (doc, text)."""
-    gone = by_document(equal_sets(docs))
+    gone = equal_sets(docs)
     more = similar_lines(docs, gone, num, den)
     return by_document(gone.select("doc", F.explode("nos").alias("no")).unionByName(more))
 
