@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage, discard
-from .linking import within_broadcast
+from .linking import BROADCAST_IDS
 from .text import mix, powers, prefix_hashes, slices
 
 GRAM = 64
@@ -183,6 +183,12 @@ def all_stretches(docs: DataFrame, size: int) -> DataFrame:
         run, "anchor bigint, digest bigint, doc bigint, start bigint, count bigint")
 
 
+def bounded(table: DataFrame, lists_: str) -> DataFrame:
+    """To be broadcast by a join if its lists have at most ``BROADCAST_IDS`` entries in all."""
+    entries = table.agg(F.sum(F.size(lists_))).first()[0] or 0
+    return F.broadcast(table) if entries <= BROADCAST_IDS else table
+
+
 def bodies(docs: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
     """(anchor, digest, copies, body): the bytes of each different stretch, from its first occurrence."""
     asked = kinds.groupBy("first.doc").agg(F.collect_list(F.struct(
@@ -200,7 +206,7 @@ def bodies(docs: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
                      pa.array([raw[r["start"]:r["start"] + r["count"] + size - 1] for r in rows], pa.binary())], [*names, "body"])
 
     # repeated rows give their stretches again; readers take each once
-    return docs.join(within_broadcast(asked), "doc").select("text", "asked").mapInArrow(run, "anchor bigint, digest bigint, copies bigint, body binary")
+    return docs.join(bounded(asked, "asked"), "doc").select("text", "asked").mapInArrow(run, "anchor bigint, digest bigint, copies bigint, body binary")
 
 
 def transformed(found: DataFrame, size: int, chunk: int | None = None) -> DataFrame:
@@ -307,4 +313,4 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
     schema = (f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, "
               "n_removed bigint, kept binary")
-    return docs.join(within_broadcast(found), "doc", "left").select("key", "text", "spans").mapInArrow(run, schema)
+    return docs.join(bounded(found, "spans"), "doc", "left").select("key", "text", "spans").mapInArrow(run, schema)
