@@ -19,10 +19,12 @@ from ..session import cut_lineage, discard
 BROADCAST_IDS = 1_000_000
 
 
-def members_of_shared_keys(postings: Callable[[], DataFrame]) -> DataFrame:
+def members_of_shared_keys(postings: Callable[[], DataFrame], num: int | None = None, den: int = 1) -> DataFrame:
     """(key, node, n, place) for keys that at least two nodes hold. Keys are
-    counted with map-side merging; ``postings`` is cheap to compute and so computed twice."""
-    shared = postings().groupBy("key").agg(F.count("*").alias("holders")).filter("holders > 1").select("key")
+    counted with map-side merging; ``postings`` is cheap to compute and so computed twice. With a bound
+    num/den, keys of two nodes whose sizes n rule it out are left away (a line and a piece of it)."""
+    shared = postings().groupBy("key").agg(F.count("*").alias("holders"), *([] if num is None else [F.min("n").alias("low"), F.max("n").alias("high")])) \
+        .filter("holders > 1" if num is None else f"holders > 2 or holders = 2 and {den} * low >= {num} * high").select("key")
     return cut_lineage(postings().join(shared, "key"))
 
 

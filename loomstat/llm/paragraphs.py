@@ -1,16 +1,19 @@
 """Substring dedup: repeated paragraphs found by MinHash banding.
 
-A paragraph is a line, or a part of one: long lines are cut where the text itself decides, before
-the word pair whose hash is the least among those of ``REACH`` words on either side. So a passage
-that is pasted into other text falls into the same parts there, all but those at its ends.
-
-Each paragraph of five words or more has the set of its 5-word shingles. ``tune`` chooses the fewest
-hashes, as bands of rows, that reach the wanted recall at the similarity; paragraphs that agree in a
-band are compared by exact Jaccard similarity, and components of the links are classes. Of a class
-the earliest paragraph, by (key, position), stays and the others are removed.
+A paragraph is a line of five words or more. A line of more than ``LONG`` words is also cut into pieces
+where the text itself decides, before the word pair whose hash is the least among those of ``REACH``
+words on either side. So a passage that is pasted into other text falls into the same pieces there, all
+but those at its ends. Between two cuts stand more than ``REACH`` words; a shorter piece at an end of
+the line is joined to its neighbour, which is a piece by itself too. Lines and pieces are treated alike.
+
+Each paragraph has the set of its 5-word shingles. ``tune`` chooses the fewest hashes, as bands of
+rows, that reach the wanted recall at the similarity; paragraphs that agree in a band are compared by
+exact Jaccard similarity, and components of the links are classes. Of a class the paragraph that ends
+first, by (key, position), stays, and all that begin where it ends or later are removed; so a line
+and its own pieces never remove each other.
 
 Equal paragraphs are one node, so copies are never paired; lists of a key are compared as in
-``linking``. Defined cases: null texts have no paragraphs and stay null; paragraphs of fewer than
+``linking``. Defined cases: null texts have no paragraphs and stay null; lines of fewer than
 five words always stay; rows with a null key are left as they are; rows that share a key and a text
 have the same positions, and stay or go together. Columns other than key and text pass through;
 columns named like outputs are replaced.
@@ -26,10 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage, discard
-from .linking import link, members_of_shared_keys, within_broadcast
-from .text import LOWER, NOT_SPACE, distinct_by_owner, lists, mix, shingles, slices, span_hashes, words
+from .linking import BROADCAST_IDS, link, members_of_shared_keys, within_broadcast
+from .text import LOWER, NOT_SPACE, distinct_by_owner, lists, mix, powers, shingles, slices, span_hashes, words
 
 REACH = 6
+LONG = 2 * REACH
 SHINGLE = 5
 
 
@@ -42,89 +46,118 @@ def tune(similarity: float, recall: float = 0.995, most: int = 64) -> tuple[int,
 
 
 class Paragraphs:
-    """The paragraphs of a slice of texts."""
+    """The paragraphs of a slice of texts: ``node`` (a hash of the words), ``owner`` (text number), ``start``
+    and ``stop`` (bytes of the text), and the runs of ``shingles`` from ``low`` to before ``high``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, owner = words(data, offsets, NOT_SPACE)
-        n = len(starts)
-        self.hashes = span_hashes(LOWER[data], starts, ends)
-        lines = np.concatenate([[0], np.cumsum(data == 10)])
-        line = lines[starts] + owner                                # differs where text or line differs
-        first = np.ones(n, bool)
-        first[1:] = line[1:] != line[:-1]
-        if n:
-            value = mix(self.hashes + mix(np.append(self.hashes[1:], np.uint64(0))))
-            last = np.ones(n, bool)
-            last[:-1] = first[1:]
-            value[last] = ~np.uint64(0)                             # the pair would leave the line
-            cut = ~last
-            for d in range(1, REACH + 1):
-                same = line[d:] == line[:-d]
-                cut[d:] &= ~same | (value[d:] < value[:-d])
-                cut[:-d] &= ~same | (value[:-d] <= value[d:])
-            first |= cut
-        self.head = np.flatnonzero(first)
-        self.size = np.diff(np.append(self.head, n))
-        self.owner = owner[self.head]
-        self.start = starts[self.head] - offsets[self.owner]
-        follows = np.ones(len(self.head), bool)                     # another paragraph of the same text
-        follows[:-1] = self.owner[1:] != self.owner[:-1]
-        after = np.append(starts[self.head][1:], 0)
-        self.stop = np.where(follows, offsets[self.owner + 1], after) - offsets[self.owner]
-        place = np.arange(n) - np.repeat(self.head, self.size)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hashes + mix(place.astype(np.uint64) + np.uint64(1))))])
-        self.node = mix(total[self.head + self.size] - total[self.head] + self.size.astype(np.uint64)).view(np.int64)
-        self.long = self.size >= SHINGLE
-
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, paragraph number) of the long paragraphs, in order."""
-        part = np.repeat(np.arange(len(self.head)), self.size)
-        inside = self.long[part]
-        return shingles(self.hashes[inside], part[inside], len(self.head), SHINGLE)
+        line = np.concatenate([[0], np.cumsum(data == 10)])[starts] + owner    # differs where text or line differs
+        size = np.diff(np.append(np.flatnonzero(np.diff(line, prepend=-1)), len(starts)))
+        at = np.flatnonzero(np.repeat(size >= SHINGLE, size))       # the words of lines that can be removed
+        size = size[size >= SHINGLE]
+        hashes = span_hashes(LOWER[data], starts, ends)[at]
+        line = np.repeat(np.arange(len(size)), size)
+        self.shingles = shingles(hashes, line, len(size), SHINGLE)[0]
+        first, last = self._spans(hashes, line, size)
+        self.low = first - (SHINGLE - 1) * line[first]
+        self.high = last - (SHINGLE - 1) * (line[first] + 1)
+        up, down = powers(len(at) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:len(at)])])
+        self.node = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
+        self.owner = owner[at][first]
+        self.start = starts[at][first] - offsets[self.owner]
+        after = at[last - 1] + 1                                    # the next word, if it is of the same text
+        inside = np.append(owner, -1)[after] == self.owner
+        self.stop = np.where(inside, np.append(starts, 0)[after], offsets[self.owner + 1]) - offsets[self.owner]
+
+    def sizes(self) -> np.ndarray:
+        """How many different shingles each paragraph has."""
+        order = np.argsort(self.shingles, kind="stable")
+        again = self.shingles[order][1:] == self.shingles[order][:-1]
+        before, at = order[:-1][again], order[1:][again]
+        by_place = np.argsort(at)
+        before, at = before[by_place], at[by_place]
+        a, z = np.searchsorted(at, self.low), np.searchsorted(at, self.high)
+        part = np.repeat(np.arange(len(a)), z - a)
+        place = np.arange(len(part)) + (a - np.cumsum(z - a) + (z - a))[part]
+        twice = np.bincount(part[before[place] >= self.low[part]], minlength=len(a))
+        return self.high - self.low - twice
+
+    @staticmethod
+    def _spans(hashes: np.ndarray, line: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, word after the last) of each different paragraph, by place."""
+        n = len(hashes)
+        end = np.cumsum(size)
+        begin = end - size
+        if not n:
+            return begin, end
+        value = mix(hashes + mix(np.append(hashes[1:], np.uint64(0))))
+        value[end - 1] = ~np.uint64(0)                              # the pair would leave the line
+        cut = np.repeat(size > LONG, size)
+        cut[end - 1] = cut[begin] = False
+        for d in range(1, REACH + 1):
+            same = line[d:] == line[:-d]
+            cut[d:] &= ~same | (value[d:] < value[:-d])
+            cut[:-d] &= ~same | (value[:-d] <= value[d:])
+        cut[begin] = True
+        head = np.flatnonzero(cut)
+        tail = np.append(head[1:], n)
+        short = tail - head < SHINGLE                               # only at the ends of a line that has other pieces
+        front, back = np.flatnonzero(short & np.isin(head, begin)), np.flatnonzero(short & np.isin(tail, end))
+        first = np.concatenate([begin, head[~short], head[front], head[back - 1]])
+        last = np.concatenate([end, tail[~short], tail[front + 1], tail[back]])
+        different = np.unique(first * (n + 1) + last)
+        return different // (n + 1), different % (n + 1)
 
 
 def _postings(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, node, n, place): a key for each band of each different paragraph."""
+    """(key, node, n, place): a key for each band of each different paragraph, n being its shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 p = Paragraphs(data, offsets)
-                hashes, part = p.shingles()
-                heads = np.flatnonzero(np.diff(part, prepend=-1))
-                node, keep = np.unique(p.node[part[heads]], return_index=True)
+                node, keep = np.unique(p.node, return_index=True)
+                bounds = np.column_stack([p.low[keep], p.high[keep]]).ravel()
                 out = []
-                for b in range(bands if len(heads) else 0):
-                    key = np.full(len(heads), b + 1, np.uint64)
+                for b in range(bands if len(node) else 0):
+                    key = np.full(len(node), b + 1, np.uint64)
                     for r in range(rows):
-                        salt = mix(np.array([b * rows + r + 77], np.uint64))[0]
-                        key = mix(key + np.minimum.reduceat(mix(hashes ^ salt), heads))
-                    out.append(key[keep])
+                        # the shingles are scrambled already; an odd factor orders them anew by all their bits
+                        factor = mix(np.array([b * rows + r + 77], np.uint64))[0] | np.uint64(1)
+                        value = np.append(p.shingles * factor, ~np.uint64(0))
+                        key = mix(key + np.minimum.reduceat(value, bounds)[::2])
+                    out.append(key)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)),
-                                                      pa.array(np.tile(node, bands))], ["key", "node"])
+                                                      pa.array(np.tile(node, bands)),
+                                                      pa.array(np.tile(p.sizes()[keep], bands))], ["key", "node", "n"])
 
-    # sizes are not used to filter here
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint").distinct() \
-        .withColumns({"n": F.lit(1).cast("long"), "place": F.lit(0).cast("long")})
+    return docs.select("text").mapInArrow(run, "key bigint, node bigint, n bigint").distinct() \
+        .withColumn("place", F.lit(0).cast("long"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, items): the shingles of the paragraphs asked for."""
+    few = nodes.count() <= BROADCAST_IDS
+    asked = docs.sparkSession.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy())) if few else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 p = Paragraphs(data, offsets)
-                hashes, part = p.shingles()
-                node, keep = np.unique(p.node[p.long], return_index=True)
-                number = np.full(len(p.head), -1)
-                number[np.flatnonzero(p.long)[keep]] = np.arange(len(node))
-                mine = number[part] >= 0
-                hashes, counts = distinct_by_owner(hashes[mine], number[part[mine]], len(node))
+                node, keep = np.unique(p.node, return_index=True)
+                if asked is not None:
+                    mine = np.isin(node, asked.value)
+                    node, keep = node[mine], keep[mine]
+                low, count = p.low[keep], (p.high - p.low)[keep]
+                part = np.repeat(np.arange(len(node)), count)
+                place = np.arange(len(part)) + (low - np.cumsum(count) + count)[part]
+                hashes, counts = distinct_by_owner(p.shingles[place], part, len(node))
                 yield pa.RecordBatch.from_arrays([pa.array(node), lists(hashes.view(np.int64), counts, pa.int64())],
                                                  ["node", "items"])
 
     found = docs.select("text").mapInArrow(run, "node bigint, items array<bigint>")
-    return found.join(within_broadcast(nodes), "node", "left_semi").dropDuplicates(["node"])
+    return (found if few else found.join(nodes, "node", "left_semi")).dropDuplicates(["node"])
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -135,8 +168,8 @@ def _placed(docs: DataFrame) -> DataFrame:
                 p = Paragraphs(data, offsets)
                 doc = np.asarray(batch.column(0).slice(first, last - first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.node[p.long]), pa.array(doc[p.owner[p.long]], pa.int64()), pa.array(p.start[p.long], pa.int64()),
-                     pa.array(p.stop[p.long], pa.int64())], ["node", "doc", "start", "stop"])
+                    [pa.array(p.node), pa.array(doc[p.owner], pa.int64()), pa.array(p.start, pa.int64()),
+                     pa.array(p.stop, pa.int64())], ["node", "doc", "start", "stop"])
 
     return docs.select("doc", "text").mapInArrow(run, "node bigint, doc bigint, start bigint, stop bigint")
 
@@ -145,14 +178,14 @@ def repeated_paragraphs(docs: DataFrame, num: int = 4, den: int = 5, recall: flo
     """(doc, spans): for each document (doc, text) the paragraphs to remove, as structs of start and stop
     in bytes and of, the key of the document whose paragraph stays."""
     bands, rows = tune(num / den, recall)
-    members = members_of_shared_keys(lambda: _postings(docs, bands, rows))
+    members = members_of_shared_keys(lambda: _postings(docs, bands, rows), num, den)
     classes = link(members, lambda nodes: _sets(docs, nodes), num, den)
     discard(members)
     placed = _placed(docs).join(within_broadcast(classes), "node", "left") \
         .select(F.coalesce("component", "node").alias("class"), "doc", "start", "stop")
-    first = (placed.groupBy("class").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("held"))
+    first = (placed.groupBy("class").agg(F.min(F.struct("doc", "stop")).alias("first"), F.count("*").alias("held"))
              .filter("held > 1").drop("held"))
-    gone = placed.join(first, "class").filter(F.struct("doc", "start") > F.col("first"))
+    gone = placed.join(first, "class").filter(F.struct("doc", F.col("start").alias("stop")) >= F.col("first"))
     return cut_lineage(gone.groupBy("doc").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop", F.col("first.doc").alias("of")))).alias("spans")))
 

@@ -239,6 +239,59 @@ def test_paragraphs(spark):
     assert 1 - (1 - 0.8 ** size) ** bands >= 0.995
 
 
+def brute_paragraphs(rows):
+    """Texts left when every pair of paragraphs is compared: lines of five words or more, and the pieces of long ones."""
+    spans = []
+    for i, t in rows:
+        p = paragraphs.Paragraphs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        found = {(int(a), int(z)) for a, z in zip(p.start, p.stop)}
+        at = 0
+        for line in t.split("\n"):
+            if len(line.split()) >= 5:                  # each such line is there as a whole
+                assert any(t[a:z].strip().startswith(line.strip()) and a == at + len(line) - len(line.lstrip()) for a, z in found)
+            if 5 <= len(line.split()) <= paragraphs.LONG:
+                assert len([a for a, z in found if at <= a < at + len(line)]) == 1
+            at += len(line) + 1
+        spans += [(i, a, z, t[a:z].lower().split("\n")[0].split()) for a, z in sorted(found)]
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for *_, w in spans]
+    label = list(range(len(spans)))
+    for a in range(len(spans)):
+        for b in range(a):
+            if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    gone = collections.defaultdict(set)
+    for (i, a, z, _), x in zip(spans, label):
+        if any(y == x and (j, stop) <= (i, a) for (j, _, stop, _), y in zip(spans, label)):
+            gone[i].update(range(a, z))
+    return {i: "".join(c for k, c in enumerate(t) if k not in gone[i]) for i, t in rows}
+
+
+def test_paragraphs_against_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    fresh = lambda n: " ".join(f"v{rng.integers(10**9)}" for _ in range(n))
+    common = [fresh(n) for n in (3, 4, 5, 5, 6, 6, 7, 7, 8, 9, 10, 12, 13, 15, 20, 25, 40, 70, 100)]
+    rows = []
+    for i in range(24):
+        lines = [fresh(int(rng.integers(3, 30))) for _ in range(3)]
+        for c in rng.choice(len(common), 6):
+            words = common[c].split()
+            if len(words) >= 40 and rng.random() < 0.5:
+                words[int(rng.integers(len(words)))] = fresh(1)          # a near copy
+            if len(words) >= 40 and rng.random() < 0.3:
+                words = fresh(8).split() + words + fresh(9).split()      # a passage in other text
+            lines.append(" ".join(words).upper() if rng.random() < 0.2 else " ".join(words))
+        rows.append((i, "\n".join(rng.permutation(lines))))
+    rows.append((90, common[17] + " " + common[17]))                     # repeats itself
+    want = brute_paragraphs(rows)
+    got = {r.doc_id: r.text for r in paragraphs.dedup_paragraphs(docs(spark, rows)).collect()}
+    assert got == want
+    first = set()
+    for i, _ in rows:                                   # of the short common lines only the first copies are left
+        for c in common[2:12]:
+            assert not (c.lower() in got[i].lower() and c in first)
+            first |= {c} if c.lower() in got[i].lower() else set()
+
+
 def brute_windows(docs_, items, size=10):
     import re
     cut = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
