@@ -6,8 +6,9 @@ mean profiles are most alike are merged until about the square root of their num
 linear support vector machine per family tells it from the rest; within a family one machine for
 each pair of languages votes, and margins break ties.
 
-The machines are fitted on at most ``sample_rows`` texts, an even number per language, chosen by a
-hash of the text; that bounds what reaches the driver. Predictions read every text whole.
+The machines are fitted on at most ``sample_rows`` different texts, an even number per language (20 at
+least, or all it has), chosen by a hash of the text; that bounds what reaches the driver. Copies count
+once and texts without a letter take no place. Predictions read every text whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no labelled
 text everything is; one known language is predicted for all other texts. Null labels and null keys
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .text import mix, slices
 from .toxicity import LETTERS, fold, lowered
 
@@ -157,20 +159,36 @@ def _by_rows(data: np.ndarray, offsets: np.ndarray):
         yield a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
 
 
+def training_texts(df: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 2_000) -> DataFrame | None:
+    """(lang, text): different texts with a letter, as many of each language as it has or as its share of
+    ``sample_rows``; None without any."""
+    known = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")) \
+        .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    different = cut_lineage(known.select("lang", "h").distinct().withColumn("at", F.pmod("h", F.lit(1 << 30))))
+    counts = {r.lang: r["count"] for r in different.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    each = max(20, sample_rows // len(counts))
+    # a hash threshold per language thins the texts before any are ranked; it is widened where too few pass
+    share = {k: min(1.0, (2 * each + 50) / c) for k, c in counts.items()}
+    while True:
+        limit = F.create_map(*[F.lit(v) for k, x in share.items() for v in (k, int(x * (1 << 30)))])
+        thinned = different.filter(F.col("at") <= limit[F.col("lang")])
+        passed = {r.lang: r["count"] for r in thinned.groupBy("lang").count().collect()}
+        short = [k for k, c in counts.items() if passed.get(k, 0) < min(each, c)]
+        if not short:
+            break
+        share |= {k: min(1.0, 4 * share[k]) for k in short}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "h"))
+    chosen = thinned.withColumn("no", rank).filter(F.col("no") <= each).select("lang", "h")
+    return known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 2_000) -> Model:
     """Learn from (text, lang); rows with a null in either, or without a letter, teach nothing."""
-    known = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")) \
-        .filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(counts)
-    if not langs:
+    chosen = training_texts(df, text, lang, sample_rows)
+    if chosen is None:
         return Model(np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), [])
-    each = max(20, sample_rows // len(langs))
-    # a hash threshold per language thins the texts before any are ranked
-    share = F.create_map(*[F.lit(v) for k, c in counts.items() for v in (k, int(min(1.0, (2 * each + 50) / c) * (1 << 30)))])
-    thinned = known.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).filter(F.col("h") <= share[F.col("lang")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    chosen = thinned.withColumn("at", rank).filter(F.col("at") <= each).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -221,6 +221,26 @@ def test_languages(spark):
     assert {r.lang_pred for r in one} == {"aa", "und"}
 
 
+def test_languages_of_few_texts_and_many_copies(spark):
+    rng = np.random.default_rng(7)
+    sounds = {"aa": "taka", "ab": "popo", "ba": "schrung", "bb": "oomij"}
+    made = lambda lang: " ".join("".join(rng.choice(list(sounds[lang]), 5)) for _ in range(30))
+    texts = {"aa": [made("aa") for _ in range(3)], "ab": [made("ab")], "ba": [made("ba") for _ in range(150)], "bb": [made("bb") for _ in range(30)]}
+    copies = {"aa": 400, "ab": 1200, "ba": 8, "bb": 1}
+    rows = [(t, lang) for lang, some in texts.items() for t in some for _ in range(copies[lang])]
+    rows += [(f"{i} !", "bb") for i in range(3000)]                 # without a letter
+    table = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = collections.defaultdict(list)
+    for r in langid.training_texts(table, sample_rows=80).collect():
+        got[r.lang].append(r.text)
+    assert all(len(v) == len(set(v)) and set(v) <= set(texts[k]) for k, v in got.items())
+    assert {k: len(v) for k, v in got.items()} == {"aa": 3, "ab": 1, "ba": 20, "bb": 20}
+    model = langid.fit(table, sample_rows=80)
+    assert model.langs == sorted(texts)
+    ask = spark.createDataFrame([(some[0], lang) for lang, some in texts.items()], "text string, lang string")
+    assert all(r.lang == r.lang_pred for r in langid.predict(ask, model).collect())
+
+
 def test_paragraphs(spark):
     rng = np.random.default_rng(9)
     fresh = lambda n: " ".join(f"v{rng.integers(10**9)}" for _ in range(n))
