@@ -14,11 +14,11 @@ from functools import reduce
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import any_key
-from ..functions.ranking import attach_by_value, value_counts_ranked
-from ..session import cut_lineage
+from ..functions.ranking import ROWS_PER_RANGE, attach_by_value, range_edges, ranges_for, value_counts_ranked, with_range
+from ..session import cut_lineage, discard
 from .graph import connected_components
 from .neighbors import k_distance, k_distance_curve
 
@@ -36,7 +36,7 @@ CURVE_POINTS = 10_000
 # ---- automatic radius -----------------------------------------------------------------
 
 def knee(x: np.ndarray, y: np.ndarray, sensitivity: float = SENSITIVITY) -> int | None:
-    """Position of the knee of a convex increasing curve (Kneedle, Satopaa 2011)."""
+    """Position of the knee of a convex increasing curve (Kneedle, Satopaa 2011); ``knee_value`` finds it on tables."""
     n = len(y)
     if n < 3 or y[-1] == y[0] or x[-1] == x[0]:
         return None
@@ -68,7 +68,8 @@ def knee(x: np.ndarray, y: np.ndarray, sensitivity: float = SENSITIVITY) -> int
 
 
 def sampled_curve(curve: DataFrame, rows: int, points: int = CURVE_POINTS) -> np.ndarray:
-    """The ascending values at equally spaced ranks: all of them up to ``points`` rows."""
+    """The ascending values at equally spaced ranks: all of them up to ``points`` rows. For drawing; the
+    radius is found on all rows."""
     take = min(rows, points)
     if take < 2:
         return np.array([])
@@ -82,14 +83,53 @@ def sampled_curve(curve: DataFrame, rows: int, points: int = CURVE_POINTS) -> np
     return np.concatenate([np.full(r.z - r.a + 1, r.distance) for r in got])
 
 
+def knee_value(curve: DataFrame, sensitivity: float = SENSITIVITY,
+               rows_per_range: int = ROWS_PER_RANGE) -> float | None:
+    """The distance that ``knee`` finds on all rows of the curve (distance, cnt, below).
+
+    Within a run of equal distances the difference curve only falls, so the first and last row of
+    a run stand for it. The rows are numbered from the largest distance down and cut into ranges;
+    what a range needs of the others comes from one row per range.
+    """
+    n, low, high = curve.agg(F.sum("cnt"), F.min("distance"), F.max("distance")).first()
+    if not n or n < 3 or low == high:
+        return None
+    step = F.lit(float(n - 1))
+    edges = range_edges(curve, "distance", ranges_for(n, rows_per_range))
+    rows = (with_range(curve, "distance", edges, "range")
+            .select((-F.col("range")).alias("range"), "distance",
+                    F.explode(F.array_distinct(F.array(F.lit(n) - F.col("below") - F.col("cnt"),
+                                                       F.lit(n - 1) - F.col("below")))).alias("at"))
+            .withColumn("bulge", (F.lit(high) - F.col("distance")) / F.lit(high - low) - F.col("at") / step))
+    inside, by_range = Window.partitionBy("range").orderBy("at"), Window.orderBy("range")
+    rows = cut_lineage(rows)
+    ends = (rows.groupBy("range").agg(F.min_by("bulge", "at").alias("head"), F.max_by("bulge", "at").alias("tail"))
+            .select("range", F.lag("tail").over(by_range).alias("before"), F.lead("head").over(by_range).alias("after")))
+    left = F.coalesce(F.lag("bulge").over(inside), "before")
+    right = F.coalesce(F.lead("bulge").over(inside), "after")
+    near = rows.join(F.broadcast(ends), "range").withColumns({"left": left, "right": right})
+    up = F.coalesce(F.col("bulge") >= F.col("left"), F.lit(True)) & F.coalesce(F.col("bulge") >= F.col("right"), F.lit(True))
+    down = F.coalesce(F.col("bulge") <= F.col("left"), F.lit(True)) & F.coalesce(F.col("bulge") <= F.col("right"), F.lit(True))
+    marked = cut_lineage(near.select(
+        "range", "at", "bulge", F.when(up, F.col("distance")).alias("peak"),
+        F.when(down, F.lit(0.0)).when(up, F.col("bulge") - F.lit(sensitivity) / step).alias("bar")))
+    passed = Window.unboundedPreceding
+    carried = (marked.groupBy("range").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("peak", "bar")])
+        .select("range", *[F.last(c, True).over(by_range.rowsBetween(passed, -1)).alias(f"{c}_before") for c in ("peak", "bar")]))
+    state = marked.join(F.broadcast(carried), "range").select("at", "bulge", *[
+        F.coalesce(F.last(c, True).over(inside.rowsBetween(passed, -1)), f"{c}_before").alias(c) for c in ("peak", "bar")])
+    found = state.filter("peak is not null and bulge < bar").agg(F.min_by("peak", "at")).first()[0]
+    discard(rows, marked)
+    return found
+
+
 def knee_eps(points: DataFrame, key: str, features: str = "features",
              min_samples: int = MIN_SAMPLES) -> float:
     """Radius at the knee of the k-distance curve; 0.5 when there is none."""
-    kdist = cut_lineage(k_distance(points, key, features, min_samples))
-    rows = kdist.count()
-    y = sampled_curve(k_distance_curve(kdist), rows)
-    at = knee(np.arange(len(y), dtype=float), y) if len(y) else None
-    return float(y[at]) if at else DEFAULT_EPS
+    curve = cut_lineage(k_distance_curve(k_distance(points, key, features, min_samples)))
+    found = knee_value(curve)
+    return float(found) if found is not None else DEFAULT_EPS
 
 
 # ---- grid helpers ---------------------------------------------------------------------

@@ -50,6 +50,28 @@ def test_dbscan_limits(points):
         dbscan.dbscan(points(np.zeros((6, 2))), "id", 0.0)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_knee_of_all_rows(spark, seed):
+    """On more rows than CURVE_POINTS, over several ranges, as on the whole array."""
+    rng = np.random.default_rng(seed)
+    y = np.sort(np.concatenate([rng.gamma(2, 0.01, 14_000), rng.gamma(3, 0.4, 900), np.full(2_000, 0.013)]))
+    value, count = np.unique(y, return_counts=True)
+    below = np.cumsum(count) - count
+    curve = spark.createDataFrame([(float(v), int(c), int(b)) for v, c, b in zip(value, count, below)], "distance double, cnt long, below long")
+    want = float(y[dbscan.knee(np.arange(len(y), dtype=float), y)])
+    assert dbscan.knee_value(curve) == want
+    assert dbscan.knee_value(curve, rows_per_range=1_000) == want
+    assert dbscan.knee_value(curve.limit(0)) is None and dbscan.knee_value(curve.limit(1)) is None
+
+
+def test_knee_eps_takes_every_row(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    y = np.sort(np.concatenate([rng.gamma(2, 0.01, 11_000), rng.gamma(3, 0.4, 700)]))
+    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, distance double")
+    monkeypatch.setattr(dbscan, "k_distance", lambda *_: table)
+    assert dbscan.knee_eps(table, "id") == float(y[dbscan.knee(np.arange(len(y), dtype=float), y)])
+
+
 def test_knee_of_a_bent_curve():
     x = np.arange(100, dtype=float)
     y = np.concatenate([np.linspace(0, 1, 80), np.linspace(1.5, 30, 20)])
