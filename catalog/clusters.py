@@ -110,7 +110,7 @@ def inertia_curve(spark, d):
 
 def silhouette_sweep(spark, d):
     points = _plane(spark, d)
-    fits = kmeans.sweep(points, list(range(2, 6)))
+    fits = kmeans.sweep(points, list(range(2, kmeans.MAX_SWEEP + 1)))
     return rounded(kmeans.silhouette_sweep(points, "vec_id", fits), "silhouette")
 
 

@@ -30,8 +30,9 @@ def pca_auto_k(spark, d):
 
 def pca_embed(spark, d):
     e = vectors(spark, d)
-    return rounded(pca.fit_pca(e, k="auto").transform(e, "vec_id").select("vec_id", "PC1", "PC2"),
-                   "PC1", "PC2")
+    found = pca.fit_pca(e, k="auto").transform(e, "vec_id")
+    parts = [c for c in found.columns if c.startswith("PC")]
+    return rounded(found.select("vec_id", *parts), *parts)
 
 
 def pca_explained_variance(spark, d):

@@ -41,3 +41,13 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_sweep_and_embedding_are_whole(spark):
+    from catalog import base, clusters, reduction
+    from loomstat.operators import kmeans, pca
+    small = "/root/testdata/sf0.001"
+    assert sorted(r.k for r in clusters.silhouette_sweep(spark, small).collect()) == list(range(2, kmeans.MAX_SWEEP + 1))
+    ratios = pca.explained_variance(pca.fit_pca(base.vectors(spark, small), k="auto"), spark).count()
+    assert ratios > 2
+    assert reduction.pca_embed(spark, small).columns == ["vec_id", *[f"PC{i + 1}" for i in range(ratios)]]
