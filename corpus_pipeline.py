@@ -36,15 +36,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest key, of each group linked by a Jaccard similarity of 0.8 or
-    more on five-word shingles."""
-    found = ngram_join.similar_documents(docs, k=5, num=80, den=100)
-    gone = cut_lineage(found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct())
-    kept = docs.join(within_broadcast(gone), F.col("doc_id") == F.col("gone"), "left_anti")
-    again = found.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
-    if again.limit(1).count():                      # rows under one key are one document
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept.select(*docs.columns)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, that
+    with the smallest key, a null key last. Each different pair of key and text is a document."""
+    name = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    found = ngram_join.similar_documents(docs.select(name.alias("name"), "text"), key="name", k=5, num=80, den=100)
+    named = docs.select(name.alias("name"), "doc_id").join(found.select("name", "component_id").distinct(), "name")
+    first = cut_lineage(named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("first"))
+                        .select(F.col("first.name").alias("name")))
+    kept = docs.withColumn("name", name).join(within_broadcast(first), "name", "left_semi")
+    return kept.dropDuplicates(["name"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -421,3 +421,13 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, empty, place).count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.createDataFrame(rows, schema), place).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_joins_texts_not_keys(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda: " ".join(f"v{rng.integers(10**9)}" for _ in range(20))
+    a, b, c, d = (fresh() for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (None, c), (None, a + " end"), (4, b)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.join_ngrams(spark, table, "").collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d)])
