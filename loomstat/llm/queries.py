@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import ann, bpe, decontam, langid, line_dedup, ngram_join, paragraphs, suffix_dedup, toxicity, warc
+from . import (ann, bpe, centroids, decontam, langid, line_dedup, ngram_join, paragraphs, periodic, suffix_dedup,
+               token_counts, toxicity, warc)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", size=64, k=40,
+                              rounds=5, scale=256, seed="2:")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(periodic.with_periodic_tails(documents(spark, sf_dir)))
+    best = F.col("longest")
+    each = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"),
+        best.period.alias("period"), F.floor(1000 * best.length / best.period).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(each, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP4 = rf"""
@@ -158,5 +181,74 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join covered using (doc_id) left join named using (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op4_line_dedup, op5_warc, op6_ngram_join, op7_language_id, op8_paragraph_minhash, op9_decontamination, op10_suffix_dedup)}
-ORACLE: dict[str, str] = {"op4_line_dedup": OP4, "op5_warc": OP5, "op6_ngram_join": OP6, "op9_decontamination": OP9}
+
+
+def _assign(n: int) -> str:
+    return f"""
+a{n} as (
+    select x.vec_id, x.v, arg_min(c.no, (d, c.no)) as cluster, min(d) as distance
+    from (select x.vec_id, x.v, c.no, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+          from x cross join c{n} c) p join x using (vec_id) join (select no from c{n}) c using (no)
+    group by 1, 2)"""
+
+
+def _move(n: int) -> str:
+    # integer division that rounds down
+    return f"""
+m{n} as (
+    select cluster as no, i, sum(e)::bigint as s, count(*) as n
+    from (select cluster, unnest(v) as e, generate_subscripts(v, 1) as i from a{n}) t group by 1, 2),
+c{n + 1} as (
+    select no, coalesce(w.v, c.v) as v
+    from c{n} c left join (select no, list((s - ((s % n) + n) % n) // n order by i) as v from m{n} group by no) w using (no))"""
+
+
+OP12 = f"""
+with x as (
+    select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as v
+    from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: isfinite(e::double))) = 64),
+c0 as (
+    select row_number() over (order by sha256('2:' || vec_id)) - 1 as no, v
+    from x order by sha256('2:' || vec_id) limit 40),
+{",".join(_assign(i) + "," + _move(i) for i in range(5))},{_assign(5)}
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+       (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c5.v, ',')) as centroid_sha256
+from a5 join c5 on cluster = no"""
+
+OP13 = rf"""
+with doc as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+           xor(4294967295, list_reduce(
+               list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda s: ord(s)::bigint)),
+               lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                          lambda y, u: xor(y >> 1, 3988292384 * (y & 1))))) as h
+    from documents),
+tail as (
+    select doc_id, w, h, len(w) as n, case when len(w) > 0 then (h // 10) % len(w) end as a from doc),
+word as (
+    select doc_id, i, case when h % 10 = 0 and i >= a then w[1 + a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8))] else w[1 + i] end as s
+    from (select *, unnest(range(n)) as i from tail) t),
+same as (select a.doc_id, b.i - a.i as q, a.i from word a join word b on a.doc_id = b.doc_id and a.s = b.s and a.i < b.i),
+stretch as (
+    select doc_id, q, min(i) as start, count(*) + q as length
+    from (select *, i - row_number() over (partition by doc_id, q order by i) as island from same) t
+    group by doc_id, q, island),
+run as (
+    select doc_id, start, length, min(q) as period from stretch where length >= greatest(12, 2 * q)
+    group by doc_id, start, length),
+listed as (
+    select doc_id, count(*) as n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period)) as runs_sha256
+    from run group by doc_id),
+best as (select * from (select *, row_number() over (partition by doc_id order by length desc, start, period) as rk from run) t where rk = 1),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from run),
+kept as (
+    select doc_id, sha256(string_agg(s, ' ' order by i)) as collapsed_sha256
+    from word anti join gone using (doc_id, i) group by doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+       coalesce(runs_sha256, sha256('')) as runs_sha256, coalesce(collapsed_sha256, sha256('')) as collapsed_sha256
+from doc left join listed using (doc_id) left join best using (doc_id) left join kept using (doc_id)"""
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_toxicity, op4_line_dedup, op5_warc, op6_ngram_join, op7_language_id, op8_paragraph_minhash, op9_decontamination, op10_suffix_dedup,
+                                  op11_token_counts, op12_centroids, op13_periodic_runs)}
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4, "op5_warc": OP5, "op6_ngram_join": OP6, "op9_decontamination": OP9, "op12_centroids": OP12,
+                          "op13_periodic_runs": OP13}
