@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
 from .bpe import Pairs
-from .text import slices
+from .text import SLICE, slices
 
 HEAD = 500_000          # entries of the vocabulary that are broadcast, each a key of at most 64 bytes
 LONG_KEY = 32           # bytes; longer pre-tokens go by their SHA-256
 STRETCH = 1 << 20       # characters of a long text read at once
 HELD = 200_000          # different pre-tokens that a task holds before it passes them on
 BATCHED = 64            # bytes; longer pre-tokens are merged one by one
+SPACE, LETTER, NUMBER, OTHER = range(4)
 
 # fixed values: the parts that a tokenizer file must have to be read here
 NORMALIZER = ["NFC", "Replace", "Lowercase"]
@@ -56,10 +57,20 @@ def _ranges(points: Iterable[int]) -> str:
     return "".join(out)
 
 
+@dataclass
+class CodePoints:
+    """What is known of every code point: its class, its lower case, and whether a text with it must be
+    read by the patterns, because composition may change it or its lower case is not one code point."""
+
+    kind: np.ndarray            # uint8: SPACE, LETTER, NUMBER, OTHER
+    lower: np.ndarray           # uint32
+    slow: np.ndarray            # bool
+
+
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[str, str], dict[str, str]]:
-    """Patterns by the characters of a text, and the code points whose lower case is not Python's, as
-    the tokenizers library classes code points. Driver only."""
+def _tables() -> tuple[dict[str, str], dict[str, str], CodePoints]:
+    """Patterns by the characters of a text, the code points whose lower case is not Python's, and the
+    same as arrays, as the tokenizers library classes code points. Driver only."""
     from tokenizers import Regex, normalizers, pre_tokenizers
     points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
 
@@ -81,7 +92,19 @@ def _tables() -> tuple[dict[str, str], dict[str, str]]:
         letters, numbers, spaces = ([c for c in x if c < limit] for x in kinds)
         patterns[name] = (f"{CONTRACTIONS}|[{_ranges(letters)}]+|[{_ranges(numbers)}]"
                           f"|[^{_ranges([*letters, *numbers, *spaces])}]+")
-    return patterns, lowered
+    kind, slow = np.full(0x110000, OTHER, np.uint8), np.zeros(0x110000, bool)
+    for name, points_of in zip((LETTER, NUMBER, SPACE), kinds):
+        kind[points_of] = name
+    slow[moving] = True
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in points:
+        x = lowered.get(c, c.lower())
+        if len(x) != 1:
+            slow[ord(c)] = True
+        else:
+            lower[ord(c)] = ord(x)
+    # lower case may be of another class, and is what the classes are about
+    return patterns, lowered, CodePoints(kind[lower], lower, slow)
 
 
 @dataclass
@@ -91,13 +114,14 @@ class Splitter:
 
     patterns: dict[str, str]
     lowered: dict[str, str]
+    points: CodePoints
     compiled: dict[str, re.Pattern] = field(default_factory=dict, repr=False)
 
     @classmethod
     def with_special(cls, special: list[str]) -> Splitter:
-        patterns, lowered = _tables()
+        patterns, lowered, points = _tables()
         longest_first = sorted(special, key=len, reverse=True)
-        return cls(patterns | ({"special": "|".join(map(re.escape, longest_first))} if special else {}), lowered)
+        return cls(patterns | ({"special": "|".join(map(re.escape, longest_first))} if special else {}), lowered, points)
 
     def __getstate__(self):
         return self.__dict__ | {"compiled": {}}
@@ -148,6 +172,83 @@ class Splitter:
         return len(parts) - 1
 
 
+def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, their first bytes) of UTF-8; what is not UTF-8 comes out as a code point beyond all."""
+    text = data.tobytes().decode("utf-8", "surrogateescape")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+    width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+    return points, np.cumsum(width, dtype=np.int64) - width
+
+
+def cut(splitter: Splitter, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(pre-tokens of all texts one after another, the text of each, texts that must be read by the
+    patterns instead). Whole arrays at once: a pre-token begins where the class of code points changes,
+    at every number, and after a contraction, which only an apostrophe that stands alone can begin."""
+    n = len(offsets) - 1
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    if len(data) == 0 or data.max() < 0x80:
+        points, at = data, None
+    else:
+        points, at = _points(data)
+        heads = np.searchsorted(at, heads)
+    begins = np.searchsorted(at, offsets) if at is not None else offsets
+    table = splitter.points
+    late = np.zeros(n, bool)
+    strange = table.slow[points] | ((points >= 0xD800) & (points <= 0xDFFF)) if at is not None else np.zeros(0, bool)
+    if strange.any():
+        late[np.searchsorted(begins[1:], np.flatnonzero(strange), "right")] = True
+    raw = data.tobytes()
+    if "special" in splitter.patterns and b"<|" in raw:
+        for i in range(n):
+            late[i] |= raw.find(b"<|", offsets[i], offsets[i + 1]) >= 0
+    low, kind = table.lower[points], table.kind[points]
+    if late.any():
+        kind = np.where(np.repeat(late, np.diff(begins)), np.uint8(SPACE), kind)
+    word = kind != SPACE
+    start = word.copy()
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    start[heads] = word[heads]
+    size = len(kind)
+    head = np.zeros(size + 4, bool)
+    head[heads] = True
+    head[size:] = True
+    # an apostrophe between something else and a letter of the same text
+    quote = np.flatnonzero(start & (low == 39))
+    quote = quote[(quote + 1 < size) & ~head[quote + 1]]
+    quote = quote[kind[quote + 1] == LETTER]
+    if len(quote):
+        first, second = low[quote + 1], np.where(head[quote + 2], 0, low[np.minimum(quote + 2, size - 1)])
+        one = np.isin(first, [ord(c) for c in "stmd"])
+        two = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+        for at_quote, length in ((quote[one], 2), (quote[two], 3)):
+            start[at_quote + 1] = False
+            rest = at_quote + length
+            rest = rest[~head[rest]]
+            start[rest[kind[rest] == LETTER]] = True
+    bound = np.append(np.flatnonzero(start | ~word | head[:size]), size)
+    starts = np.flatnonzero(start)
+    ends = bound[np.searchsorted(bound, starts, "right")]
+    owner = np.searchsorted(begins[1:], starts, "right")
+    if at is None:
+        body = low.astype(np.uint8)
+        place = None
+    else:
+        safe = np.where(word, low, 32)
+        body = np.frombuffer(safe.tobytes().decode("utf-32-le").encode(), np.uint8)
+        wide = 1 + (safe > 0x7F).astype(np.int8) + (safe > 0x7FF) + (safe > 0xFFFF)
+        place = np.concatenate([[0], np.cumsum(wide, dtype=np.int64)])
+        starts, ends = place[starts], place[ends]
+    lengths = ends - starts
+    covered = np.zeros(len(body) + 1, np.int8)
+    covered[starts] += 1
+    covered[ends] -= 1
+    inside = np.cumsum(covered[:-1], dtype=np.int8) > 0
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    made = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(body[inside])])
+    return made, owner, np.flatnonzero(late)
+
+
 class MergePairs(Pairs):
     """Pairs of symbols to the rank of their merge."""
 
@@ -282,36 +383,34 @@ def key_of(piece: str) -> str:
         else hashlib.sha256(raw).hexdigest()
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, bytes]]:
-    for first, last, data, offsets in slices(column):
-        raw, at = data.tobytes(), offsets.tolist()
-        for i in range(last - first):
-            yield first + i, raw[at[i]:at[i + 1]]
+def _keys(pieces: list[str]) -> pa.Array:
+    return pa.array(map(key_of, pieces), pa.string())
+
+
+def _counted(splitter: Splitter, raw: bytes) -> tuple[Counter, int]:
+    seen: Counter = Counter()
+    return seen, splitter.count(raw.decode("utf-8", "replace"), seen)
 
 
 def vocabulary(docs: DataFrame, splitter: Splitter, counter: PieceCounter, text: str) -> DataFrame:
     """(key, times, pieces): every different pre-token with the number of its pieces."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def passed() -> pa.RecordBatch:
-            names = list(seen)
-            out = pa.RecordBatch.from_arrays([pa.array(map(key_of, names), pa.string()), pa.array(names, pa.string()),
-                                              pa.array(seen.values(), pa.int64())], ["key", "piece", "times"])
-            seen.clear()
-            return out
+        def passed(names: list[str], times: Iterable) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_keys(names), pa.array(names, pa.string()), pa.array(times, pa.int64())], ["key", "piece", "times"])
 
         for batch in batches:
-            read = 0
-            for _, raw in _texts(batch.column(0)):
-                splitter.count(raw.decode("utf-8", "replace"), seen)
-                read += len(raw)
-                if len(seen) > HELD or read > (1 << 27):
-                    yield passed()
-                    read = 0
-        if seen:
-            yield passed()
+            for _, _, data, offsets in slices(batch.column(0), 4 * SLICE):
+                pieces, _, late = cut(splitter, data, offsets)
+                named = pieces.dictionary_encode()
+                yield passed(named.dictionary.to_pylist(), np.bincount(np.asarray(named.indices), minlength=len(named.dictionary)))
+                seen: Counter = Counter()
+                for i in late.tolist():
+                    splitter.count(data[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8", "replace"), seen)
+                    if len(seen) > HELD:
+                        yield passed(list(seen), seen.values())
+                        seen.clear()
+                yield passed(list(seen), seen.values())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,36 +438,43 @@ def frequencies(docs: DataFrame, splitter: Splitter) -> DataFrame:
     for c, kind in (("n_bytes", "long"), ("special", "long"), ("key", "string"), ("times", "long")):
         schema = schema.add(c, kind)
 
-    def rows(batch: pa.RecordBatch, owners: list, sizes: list, marks: list, counts: list) -> pa.RecordBatch:
-        lengths = np.array([max(1, len(c)) for c in counts], np.int64)
-        later = np.ones(int(lengths.sum()), bool)
-        later[np.cumsum(lengths) - lengths] = False
-        at = np.repeat(np.arange(len(owners)), lengths)
-        owner = np.array(owners)[at]
-        first, place = pa.array(owner, mask=later), pa.array(at, mask=later)
-        keys, times = [], []
-        for c in counts:
-            keys += map(key_of, c) if c else [None]
-            times += c.values() if c else [0]
+    def rows(batch: pa.RecordBatch, owner: np.ndarray, size: np.ndarray, special: np.ndarray, lengths: np.ndarray,
+             keys: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+        """Rows of the documents ``owner``, ``lengths`` of them each; none means one with a null key."""
+        several = np.maximum(lengths, 1)
+        begin = np.cumsum(several) - several
+        later = np.ones(int(several.sum()), bool)
+        later[begin] = False
+        at = np.repeat(np.arange(len(owner)), several)
+        if (lengths == 0).any():
+            empty = np.zeros(len(at), bool)
+            empty[begin[lengths == 0]] = True
+            place = np.cumsum(~empty) - 1
+            keys = keys.take(pa.array(np.maximum(place, 0), mask=empty)) if len(keys) else pa.nulls(len(at), pa.string())
+            times = np.where(empty, 0, times[np.maximum(place, 0)]) if len(times) else np.zeros(len(at), np.int64)
+        first, once = pa.array(owner[at], mask=later), pa.array(at, mask=later)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(owner)), *[batch.column(1 + i).take(first) for i in range(len(names))],
-             pa.array(sizes, pa.int64()).take(place), pa.array(marks, pa.int64()).take(place),
-             pa.array(keys, pa.string()), pa.array(times, pa.int64())], schema.names)
+            [batch.column(0).take(pa.array(owner[at])), *[batch.column(1 + i).take(first) for i in range(len(names))],
+             pa.array(size, pa.int64()).take(once), pa.array(special, pa.int64()).take(once), keys, pa.array(times, pa.int64())], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, held = ([], [], [], []), 0
-            for i, raw in _texts(batch.column(batch.num_columns - 1)):
-                seen: Counter = Counter()
-                special = splitter.count(raw.decode("utf-8", "replace"), seen)
-                for into, value in zip(part, (i, len(raw), special, seen)):
-                    into.append(value)
-                held += len(seen)
-                if held > HELD // 2:
-                    yield rows(batch, *part)
-                    part, held = ([], [], [], []), 0
-            if part[0]:
-                yield rows(batch, *part)
+            for first, last, data, offsets in slices(batch.column(batch.num_columns - 1)):
+                n, size = last - first, np.diff(offsets)
+                pieces, owner, late = cut(splitter, data, offsets)
+                named = pieces.dictionary_encode()
+                words = len(named.dictionary)
+                pairs, times = np.unique(owner * max(words, 1) + np.asarray(named.indices), return_counts=True)
+                keys = _keys(named.dictionary.to_pylist()).take(pa.array(pairs % max(words, 1)))
+                quick = np.ones(n, bool)
+                quick[late] = False
+                lengths = np.bincount(pairs // max(words, 1), minlength=n)[quick]
+                if len(lengths):
+                    yield rows(batch, first + np.flatnonzero(quick), size[quick], np.zeros(len(lengths), np.int64), lengths, keys, times)
+                for i in late.tolist():
+                    seen, special = _counted(splitter, data[offsets[i]:offsets[i + 1]].tobytes())
+                    yield rows(batch, np.array([first + i]), size[[i]], np.array([special]), np.array([len(seen)]),
+                               _keys(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
 
     return docs.mapInArrow(run, schema)
 

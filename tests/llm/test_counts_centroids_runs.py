@@ -173,3 +173,23 @@ def test_periodic_tails(spark):
             p = 1 + (n - a) // (3 + g % 8)
             t = " ".join(w[j] if j < a else w[a + (j - a) % p] for j in range(n))
         assert got[i] == t
+
+
+def test_cutting_whole_arrays_equals_the_patterns():
+    splitter, _ = token_counts.read_tokenizer(WORDS)
+    rng = random.Random(5)
+    alphabet = ["'", "'", "s", "t", "re", "ve", "ll", "l", "d", "m", "A", "É", "ß", " ", "\n", " ", "1", "٢", "!", "-", "“", "”", "漢",
+                "😀", "<|endoftext|>", "<|", "Σ", "İ", "é", "x" * 40]
+    for _ in range(40):
+        texts = ["".join(rng.choice(alphabet[:rng.choice([14, 19, len(alphabet)])]) for _ in range(rng.choice([0, 1, 2, 5, 40])))
+                 for _ in range(30)]
+        raw = [t.encode() for t in texts]
+        pieces, owner, late = token_counts.cut(splitter, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        got = collections.defaultdict(list)
+        for piece, i in zip(pieces.to_pylist(), owner.tolist()):
+            got[i].append(piece)
+        for i, t in enumerate(texts):
+            if i in late:
+                assert i not in got
+            else:
+                assert "<|" not in t and got[i] == splitter.split(t)
