@@ -132,23 +132,34 @@ def dbscan(spark, d):
     return grid.dbscan(vectors(spark, d, dims=2), "vec_id", 0.02)
 
 
+def dbscan_vectors(spark, d):
+    """Over all coordinates of the embeddings."""
+    return grid.dbscan(vectors(spark, d), "vec_id", 0.6)
+
+
 def dbscan_auto(spark, d):
     points = _plane(spark, d)
     return grid.dbscan(points, "vec_id", grid.knee_eps(points, "vec_id"))
 
 
 def hierarchical(spark, d):
-    points = _plane(spark, d)
+    points = vectors(spark, d)
     return ward.fit_ward(points, "vec_id").labels(points, "vec_id", clusters=4)
 
 
 def hierarchical_cut(spark, d):
-    points = _plane(spark, d)
-    return ward.fit_ward(points, "vec_id").labels(points, "vec_id", height=3.0)
+    points = vectors(spark, d)
+    return ward.fit_ward(points, "vec_id").labels(points, "vec_id", height=2.0)
+
+
+def hierarchical_merges(spark, d):
+    # small blocks, so that merges across several of them are what runs on small tables too
+    return rounded(ward.fit_ward(vectors(spark, d), "vec_id", rows_per_block=300).merges, "height").withColumn("size", F.col("size").cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (
-    k_distance, knee_eps, dbscan, dbscan_auto, hierarchical, hierarchical_cut, silhouette_samples, silhouette_score, silhouette_box, cluster_stats, cluster_balance,
+    k_distance, knee_eps, dbscan, dbscan_vectors, dbscan_auto, hierarchical, hierarchical_cut, hierarchical_merges,
+    silhouette_samples, silhouette_score, silhouette_box, cluster_stats, cluster_balance,
     cluster_stats_table, cluster_label_table, clustering_summary, cluster_feature_trends,
     labels_on_embeddings, nearest_center, inertia_given_labels, elbow_k, inertia_curve, silhouette_sweep, optimal_k)}
 QUERIES["kmeans"] = kmeans_labels
@@ -179,10 +190,53 @@ def stats_sql(source, where=""):
                 from dims join sizes using (cluster) where cluster <> -1 group by 1, 2, 3)"""
 
 
+def dbscan_sql(points, eps):
+    return f"""with recursive
+        p as ({points}),
+        near as (select a.id as a, b.id as b from p a, p b where list_distance(a.v, b.v) <= {eps}),
+        core as (select a as id from near group by a having count(*) >= 5),
+        edge as (select a, b from near where a in (select id from core) and b in (select id from core)),
+        reach(id, root) as (select id, id from core union
+          select e.b, r.root from reach r join edge e on e.a = r.id),
+        comp as (select id, min(root) as root from reach group by id),
+        num as (select id, dense_rank() over (order by root) - 1 as cluster from comp),
+        border as (select n.a as id, min(num.cluster) as cluster from near n join num on num.id = n.b
+          where n.a not in (select id from core) group by n.a)
+        select p.id as vec_id, coalesce(num.cluster, border.cluster, -1)::integer as cluster,
+          num.id is not null as is_core
+        from p left join num on num.id = p.id left join border on border.id = p.id"""
+
+
+# every step merges the two clusters of the least cost; the clusters of a step are the rows of that step
+WARD = """c(step, id, v, w, a, b, height) as (
+      select 0, vec_id, embedding::double[], 1.0::double, null::bigint, null::bigint, null::double from embeddings
+      union all
+      (with m as (select min({'cost': 2 * x.w * y.w / (x.w + y.w) * list_distance(x.v, y.v) ** 2, 'a': x.id, 'b': y.id}) as p
+            from c x, c y where x.id < y.id),
+         g as (select x.step + 1 as step, x.id, list_transform(list_zip(x.v, y.v), lambda z: (z[1] * x.w + z[2] * y.w) / (x.w + y.w)) as v,
+            x.w + y.w as w, x.id as a, y.id as b, sqrt(m.p.cost) as height from m, c x, c y where x.id = m.p.a and y.id = m.p.b)
+       select * from g union all select c.step + 1, c.id, c.v, c.w, null, null, null from c, g where c.id <> g.a and c.id <> g.b))"""
+
+
+def ward_labels(made):
+    return f"""with recursive {WARD},
+        made as (select a, b from c where a is not null and {made}),
+        way as (select a as u, b as v from made union all select b, a from made),
+        reach(id, root) as (select vec_id, vec_id from embeddings union select r.id, way.v from reach r join way on way.u = r.root),
+        comp as (select id, min(root) as root from reach group by id),
+        num as (select root, row_number() over (order by min(embedding::double[])) - 1 as cluster
+                from comp join embeddings on vec_id = id group by root)
+        select id as vec_id, cluster::integer as cluster from comp join num using (root)"""
+
+
 _VALID = f"select * from ({NOISY}) z where cluster <> -1"
 _X = [f"x{j}" for j in range(64)]
 
 ORACLE = {
+    "hierarchical": ward_labels("step <= (select count(*) from embeddings) - 4"),
+    "hierarchical_cut": ward_labels("height < 2.0"),
+    "hierarchical_merges": f"""with recursive {WARD} select a, b, round(height, 6) as height, w::bigint as size
+        from c where a is not null""",
     "k_distance": """with g as (select a.vec_id, list_distance(a.v, b.v) as dist,
           row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) as rn
           from (select vec_id, cast(embedding as double[]) as v from embeddings) a,
@@ -192,21 +246,8 @@ ORACLE = {
         select round(distance, 6) as distance, count(*) as cnt,
         (sum(count(*)) over (order by distance) - count(*))::bigint as below
         from k group by k.distance""",
-    "dbscan": """with recursive
-        p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
-        near as (select a.id as a, b.id as b from p a, p b
-          where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02),
-        core as (select a as id from near group by a having count(*) >= 5),
-        edge as (select a, b from near where a in (select id from core) and b in (select id from core)),
-        reach(id, root) as (select id, id from core union
-          select e.b, r.root from reach r join edge e on e.a = r.id),
-        comp as (select id, min(root) as root from reach group by id),
-        num as (select id, dense_rank() over (order by root) - 1 as cluster from comp),
-        border as (select n.a as id, min(num.cluster) as cluster from near n join num on num.id = n.b
-          where n.a not in (select id from core) group by n.a)
-        select p.id as vec_id, coalesce(num.cluster, border.cluster, -1)::integer as cluster,
-          num.id is not null as is_core
-        from p left join num on num.id = p.id left join border on border.id = p.id""",
+    "dbscan": dbscan_sql("select vec_id as id, embedding[1:2]::double[] as v from embeddings", 0.02),
+    "dbscan_vectors": dbscan_sql("select vec_id as id, embedding::double[] as v from embeddings", 0.6),
     "silhouette_samples": f"""with {samples_sql(LABELLED)} select vec_id, cluster,
         round(silhouette, 6) as silhouette from sil""",
     "silhouette_score": f"""with {samples_sql(_VALID)}

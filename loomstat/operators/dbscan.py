@@ -1,4 +1,5 @@
-"""DBSCAN on a grid, exact, without listing the pairs of a crowded cell.
+"""DBSCAN, exact, without listing the pairs of a crowded cell: on a grid up to four dimensions, where
+cells have few neighbours, and on a tree of balls (``balls.py``) beyond; both give the same clusters.
 
 Cells have the side eps / sqrt(d), so rows of one cell are always neighbours: a cell with
 ``min_samples`` rows consists of core rows, and all core rows of a cell share a cluster.
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.keys import any_key
 from ..functions.ranking import ROWS_PER_RANGE, attach_by_value, range_edges, ranges_for, value_counts_ranked, with_range
 from ..session import cut_lineage, discard
+from .balls import dbscan_balls
 from .graph import connected_components
 from .neighbors import k_distance, k_distance_curve
 
@@ -27,7 +29,7 @@ MIN_SAMPLES = 5
 DEFAULT_EPS = 0.5
 SENSITIVITY = 1.0
 
-MAX_DIMENSIONS = 4
+GRID_DIMENSIONS = 4
 ROWS_PER_PROBE = 50_000
 DIRECT_PAIRS = 10_000
 CURVE_POINTS = 10_000
@@ -261,9 +263,8 @@ def dbscan(points: DataFrame, key: str, eps: float, features: str = "features",
     if first is None:
         raise ValueError("no rows to cluster")
     d = len(first.x)
-    if d > MAX_DIMENSIONS:
-        raise ValueError(f"the grid takes at most {MAX_DIMENSIONS} dimensions, got {d}: "
-                         "reduce the features first")
+    if d > GRID_DIMENSIONS:
+        return dbscan_balls(rows, eps, min_samples).withColumnRenamed("id", key)
     # a hair under eps / sqrt(d): rows of one cell stay within eps despite rounding
     side = eps / float(np.sqrt(d)) * (1 - 1e-9)
     offsets = neighbour_offsets(d)

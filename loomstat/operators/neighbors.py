@@ -1,14 +1,13 @@
 """Exact nearest neighbours: kNN graph, k-distance curve, KNN imputation.
 
-Rows are cut into blocks of bounded size around pivot rows, and each block keeps its bounding
-box. Round one searches the query's own block, which gives an upper bound on its k-th
-distance. Round two sends the query only to blocks whose box is not farther away than that
-bound. A crowded pivot is split into as many blocks as its rows need, and a block wanted by
-many queries is copied to several groups of queries, so no group grows with the data. Only
-the k best of each (query, block) leave a task; the pairs themselves are never materialised.
+Equal vectors are searched for once. They sit in a tree of blocks (``blocks.py``). The first round
+searches a vector's own block, which gives an upper bound on its k-th distance; the second the
+nearest other blocks that can beat it, which tightens it; the third what is then still within reach.
+Only the k best of each (vector, block) leave a task; the pairs themselves are never materialised.
 
 Missing coordinates use the nan-Euclidean distance sqrt(d / shared * sum of squares over the
-shared coordinates); the box bound below holds for it too.
+shared coordinates); blocks then keep boxes in the coordinates themselves, and the box bound
+below holds for that distance too.
 """
 
 from __future__ import annotations
@@ -17,14 +16,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import as_double, q, vector_of
 from ..functions.keys import any_key, is_integral
 from ..functions.ranking import value_counts_ranked
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
+from .blocks import PAIRS, Blocks, build, entries, matrix, rough_squares, route, visit
 
 ROWS_PER_BLOCK = 2_000
+NEAREST = 2             # blocks visited before the reach is tightened
 MAX_PIVOTS = 2_048
 
 
@@ -85,28 +87,6 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return ok[np.lexsort((ids[ok], dist[ok]))][:k]
 
 
-def _search(queries: pd.DataFrame, data: pd.DataFrame, k: int, fill: bool) -> pd.DataFrame:
-    """k best data rows per query, or per (query, missing coordinate) when ``fill``."""
-    out: list[tuple] = []
-    if len(queries) and len(data):
-        x, y = stack(queries["vec"]), stack(data["vec"])
-        ids, names = data["id"].to_numpy(), queries["id"].to_numpy()
-        step = max(1, 4_000_000 // len(y))
-        for s in range(0, len(x), step):
-            dist = distances(x[s:s + step], y)
-            for i, row in enumerate(dist):
-                me = names[s + i]
-                if fill:
-                    for j in np.flatnonzero(np.isnan(x[s + i])):
-                        donors = np.where(np.isnan(y[:, j]), np.nan, row)
-                        out += [(me, int(j), ids[b], donors[b], y[b, j])
-                                for b in _best(donors, ids, k)]
-                else:
-                    other = np.where(ids == me, np.nan, row)
-                    out += [(me, -1, ids[b], other[b], 0.0) for b in _best(other, ids, k)]
-    return pd.DataFrame(out, columns=["id", "slot", "dst", "dist", "val"])
-
-
 # ---- the block join -------------------------------------------------------------------
 
 def choose_pivots(rows: DataFrame, wanted: int) -> np.ndarray:
@@ -169,81 +149,135 @@ def cell_boxes(celled: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.
     return boxes
 
 
-def _candidates(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> DataFrame:
-    """(id, slot, dst, dist, val): a superset of the k best per (id, slot). With columns asks and
-    gives only some rows ask and only some answer; otherwise all do."""
-    schema = "id long, slot int, dst long, dist double, val double"
-    if "gives" not in rows.columns:
-        rows = rows.withColumns({"asks": F.lit(True), "gives": F.lit(True)})
-    if fill:
-        rows = rows.withColumn("asks", F.col("asks") & F.exists("vec", lambda v: v.isNull() | F.isnan(v)))
-    rows = rows.select("id", "vec", "asks", "gives")
-    n = rows.count()
-    wanted = -(-n // rows_per_block)
-    if wanted <= 1:
-        return rows.groupBy(F.lit(0).alias("g")).applyInPandas(
-            lambda pdf: _search(pdf[pdf["asks"]], pdf[pdf["gives"]], k, fill), schema)
-
-    pivots = choose_pivots(rows, wanted)
-    # each of the next tables is read several times; written once instead of searched again
-    celled = cut_lineage(nearest_pivot(rows, pivots))
-    sizes = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
-    parts = {c: -(-s // rows_per_block) for c, s in sizes.items()}
-    parts_of = F.create_map(*[F.lit(v) for item in parts.items() for v in item])
-    blocked = celled.withColumn(
-        "part", F.pmod(F.xxhash64("id", F.lit(7)), parts_of[F.col("cell")]).cast("int"))
-
-    own = cut_lineage(blocked.groupBy("cell", "part").applyInPandas(
-        lambda pdf: _search(pdf[pdf["asks"]], pdf[pdf["gives"]], k, fill), schema))
-
-    # upper bound per query: its k-th distance so far (per missing coordinate: the worst)
-    per_slot = own.groupBy("id", "slot").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
-    reach = per_slot.groupBy("id").agg(
-        F.max(F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))).alias("reach"),
-        F.count("*").alias("slots"))
-    holes = F.size(F.filter("vec", lambda v: v.isNull() | F.isnan(v))) if fill else F.lit(1)
-    asking = (blocked.filter("asks").withColumn("holes", holes).join(reach, "id", "left")
-              .withColumn("reach", F.when(F.col("slots") == F.col("holes"), F.col("reach"))
-                          .otherwise(F.lit(float("inf"))))
-              .select("id", "vec", "cell", "part", "reach"))
-
-    boxes = cell_boxes(celled)
-
-    def route(batches):
-        for pdf in batches:
-            out = []
-            if len(pdf):
-                x = stack(pdf["vec"])
-                cells, home = pdf["cell"].to_numpy(), pdf["part"].to_numpy()
-                reach_ = pdf["reach"].to_numpy()
-                for c, (lo, hi, gone) in boxes.items():
-                    near = np.flatnonzero(box_bound(x, lo, hi, gone) <= reach_)
-                    for p in range(parts[c]):
-                        go = near[~((cells[near] == c) & (home[near] == p))]
-                        if len(go):
-                            out.append(pdf.iloc[go][["id", "vec"]].assign(cell=c, part=p))
-            yield pd.concat(out) if out else pd.DataFrame(
-                {"id": pd.Series(dtype="int64"), "vec": pd.Series(dtype="object"),
-                 "cell": pd.Series(dtype="int32"), "part": pd.Series(dtype="int32")})
-
-    routed = cut_lineage(
-        asking.mapInPandas(route, "id long, vec array<double>, cell int, part int"))
-    crowd = routed.groupBy("cell", "part").agg(F.count("*").alias("askers")).select(
-        "cell", "part", F.ceil(F.col("askers") / F.lit(rows_per_block)).cast("int").alias("copies"))
-    queries = routed.join(crowd, ["cell", "part"]).select(
-        "id", "vec", "cell", "part", F.lit(True).alias("asks"),
-        F.pmod(F.xxhash64("id", F.lit(3)), F.col("copies")).cast("int").alias("copy"))
-    data = blocked.filter("gives").select("id", "vec", "cell", "part").join(crowd, ["cell", "part"]).select(
-        "id", "vec", "cell", "part", F.lit(False).alias("asks"),
-        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    far = queries.unionByName(data).groupBy("cell", "part", "copy").applyInPandas(
-        lambda pdf: _search(pdf[pdf["asks"]], pdf[~pdf["asks"]], k, fill), schema)
-    return own.unionByName(far)
+class BoxBlocks(Blocks):
+    """Blocks over vectors with missing coordinates: boxes in the coordinates themselves."""
+
+    def __init__(self, blocks: Blocks):
+        boxes = cell_boxes(blocks.rows.select("vec", F.col("block").alias("cell")))
+        width = len(next(iter(boxes.values()))[0])
+        gone = np.full(width, np.nan)
+        self.boxes = [boxes.get(b, (gone, gone, np.ones(width, bool))) for b in range(len(blocks.lo))]
+        super().__init__(blocks.rows, blocks.lo, blocks.hi, blocks.cell, "vec")
+
+    def near(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for b, (lo, hi, holes) in enumerate(self.boxes):
+            bound = box_bound(x, lo, hi, holes)
+            ok = bound <= reach
+            found.append((np.flatnonzero(ok), np.full(int(ok.sum()), b), bound[ok]))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def __getstate__(self):
+        return {"boxes": self.boxes}
+
+
+def _search(k: int, fill: bool, holes: bool):
+    """Of the entries of a block, those that hold the k nearest rows of each row that asks, or of each
+    of its missing coordinates: (eid, slot, dst, dist, val)."""
+    schema = pa.schema([("eid", pa.int64()), ("slot", pa.int32()), ("dst", pa.int64()), ("dist", pa.float64()), ("val", pa.float64())])
+
+    def run(asks: pa.Table, gives: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asks.num_rows and gives.num_rows:
+            names, reach, x = (asks.column("eid").to_numpy(), asks.column("reach").to_numpy(), matrix(asks.column("vec")))
+            y, ids = matrix(gives.column("vec")), gives.column("ids").combine_chunks()
+            per, flat = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy()
+            begin = np.cumsum(per) - per
+            first = flat[begin]
+            step = max(1, PAIRS // len(y))
+            for s in range(0, len(x), step):
+                part = x[s:s + step]
+                if holes:
+                    far, error = distances(part, y), None
+                else:
+                    far, error = rough_squares(part, y)
+                for i in range(len(part)):
+                    if fill:
+                        for j in np.flatnonzero(np.isnan(part[i])):
+                            donors = np.where(np.isnan(y[:, j]), np.nan, far[i])
+                            at = _best(donors, first, k)
+                            out.append((names[s + i], int(j), at, donors[at]))
+                    elif holes:
+                        at = _best(far[i], first, k)
+                        out.append((names[s + i], -1, at, far[i][at]))
+                    else:
+                        top = np.partition(far[i], k - 1)[k - 1] if len(y) > k else np.inf
+                        limit = min(top, reach[s + i] ** 2 * (1 + 1e-9)) + 2 * error[i]
+                        at = np.flatnonzero(far[i] <= limit)
+                        dist = np.sqrt(((part[i] - y[at]) ** 2).sum(axis=1))
+                        order = np.lexsort((first[at], dist))[:k]
+                        out.append((names[s + i], -1, at[order], dist[order]))
+        if not out:
+            return schema.empty_table()
+        size = np.array([len(o[2]) for o in out])
+        eid, slot = (np.repeat(np.array([o[c] for o in out]), size) for c in (0, 1))
+        at, dist = np.concatenate([o[2] for o in out]), np.concatenate([o[3] for o in out])
+        val = y[at, slot] if fill else np.zeros(len(at))
+        # one row per id that an entry lists
+        times = per[at]
+        again = np.repeat(np.arange(len(at)), times)
+        dst = flat[begin[at][again] + np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)]
+        return pa.table([pa.array(eid[again], pa.int64()), pa.array(slot[again], pa.int32()), pa.array(dst),
+                         pa.array(dist[again]), pa.array(val[again])], schema=schema)
+
+    return run
 
 
 def _top(cands: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("id", "slot").orderBy("dist", "dst")
-    return cands.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("eid", "slot").orderBy("dist", "dst")
+    return cands.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+
+
+def nearest_entries(rows: DataFrame, k: int, fill: bool, rows_per_block: int) -> tuple[DataFrame, DataFrame | None]:
+    """((eid, slot, dst, dist, val): the k nearest giving rows of every asking vector, equal rows
+    included; (id, eid) of the rows whose vector stands more than once, or None).
+
+    Three rounds: a vector's own block, the ``NEAREST`` blocks that come next, and what is then still
+    within reach. Only names of blocks and rows are written between them.
+    """
+    schema = "eid long, slot int, dst long, dist double, val double"
+    missing = F.exists("vec", lambda v: v.isNull() | F.isnan(v))
+    if "gives" not in rows.columns:
+        rows = rows.withColumns({"asks": F.lit(True), "gives": F.lit(True)})
+    if fill:
+        rows = rows.withColumn("asks", F.col("asks") & missing)
+    table, copies = entries(rows.select("id", "vec", "asks", "gives"), k)
+    n, holes = table.agg(F.count("*"), F.coalesce(F.max(missing), F.lit(False))).first()
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema), None
+    blocks = build(table, rows_per_block, n)
+    search = _search(k, fill, holes)
+    data = blocks.rows.filter(F.size("ids") > 0).select("eid", "block", "ids", "vec")
+    asking = blocks.rows.filter("asks")
+    own = visit(asking.select("eid", "block", "vec", F.lit(float("inf")).alias("reach")), data, search, schema, rows_per_block)
+    if len(blocks.lo) == 1:
+        return _top(own, k), copies
+    if holes:
+        blocks = BoxBlocks(blocks)
+    best = cut_lineage(_top(own, k))
+    slots = F.size(F.filter("vec", lambda v: v.isNull() | F.isnan(v))) if fill else F.lit(1)
+    for step in ({"nearest_first": NEAREST}, {"skip": NEAREST}):
+        per_slot = best.groupBy("eid", "slot").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
+        reach = per_slot.groupBy("eid").agg(F.max(F.when(F.col("n") >= k, F.col("far"))).alias("far"), F.count_if(F.col("n") >= k).alias("full"))
+        # entries of one vector are one, so nothing else lies at distance zero
+        known = asking.join(reach, "eid", "left").select(
+            "eid", "z", "vec", "block", F.when(F.col("full") == slots, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach")) \
+            .filter(F.col("reach") > 0)
+        wants = cut_lineage(route(known, blocks, **step))
+        if wants.isEmpty():
+            continue
+        found = visit(wants.join(known.select("eid", "vec", "reach"), "eid"), data, search, schema, rows_per_block)
+        following = cut_lineage(_top(best.unionByName(found), k))
+        discard(best, wants)
+        best = following
+    return best, copies
+
+
+def by_row(best: DataFrame, copies: DataFrame | None) -> DataFrame:
+    """The same per row: every row takes what its vector found. Adds id."""
+    if copies is None:
+        return best.withColumn("id", F.col("eid"))
+    return best.join(copies, "eid", "left").withColumn("id", F.coalesce("id", "eid"))
 
 
 @any_key("src", "dst")
@@ -252,8 +286,10 @@ def knn_graph(df: DataFrame, key: str, features: str, k: int,
     """(src, dst, rank, dist): the k nearest other rows of each row, ties to the smaller id."""
     rows = df.select(F.col(key).cast("long").alias("id"),
                      F.col(features).cast("array<double>").alias("vec"))
-    return _top(_candidates(rows, k, False, rows_per_block), k).select(
-        F.col("id").alias("src"), "dst", "rank", "dist")
+    best, copies = nearest_entries(rows, k + 1, False, rows_per_block)       # itself may be among them
+    order = Window.partitionBy("id").orderBy("dist", "dst")
+    return by_row(best, copies).filter("id <> dst").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
+        .select(F.col("id").alias("src"), "dst", "rank", "dist")
 
 
 def graph_neighbors(rows: int) -> int:
@@ -295,15 +331,15 @@ def impute_knn(df: DataFrame, key: str, cols: Sequence[str], k: int = 5,
         giving = donors.select((name * 2 + 1).alias("id"), vector_of(cols).alias("vec"),
                                F.lit(False).alias("asks"), F.lit(True).alias("gives"))
         pool = asking.unionByName(giving)
-    best = _top(_candidates(pool, k, True, rows_per_block), k)
+    best, copies = nearest_entries(pool, k, True, rows_per_block)
+    filled = best.groupBy("eid", "slot").agg(F.avg("val").alias("v"))
+    fills = by_row(filled.groupBy("eid").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("__fill")), copies)
     if donors is not None:
-        best = best.withColumn("id", F.shiftright("id", 1))
-    filled = best.groupBy("id", "slot").agg(F.avg("val").alias("v"))
-    by_row = filled.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("__fill"))
+        fills = fills.filter("id % 2 = 0").withColumn("id", F.shiftright("id", 1))
+    fills = fills.select("id", "__fill")
     base = donors if donors is not None else df
     means = base.agg(*[F.avg(as_double(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    joined = df.join(by_row.withColumnRenamed("id", "__id"), q(key) == F.col("__id"), "left")
+    joined = df.join(fills.withColumnRenamed("id", "__id"), q(key) == F.col("__id"), "left")
     new = {c: F.coalesce(as_double(c), F.col("__fill")[i], F.lit(means[f"m{i}"]))
            for i, c in enumerate(cols)}
     return joined.select(*[new[c].alias(c) if c in new else q(c) for c in df.columns])

@@ -1,121 +1,252 @@
-"""Ward clustering in two levels: micro-clusters on Spark, merges over their centres.
-
-Exact Ward needs every pair of clusters. Up to ``MICRO`` rows each row is its own
-micro-cluster and the result is exact; larger tables are first reduced to ``MICRO`` weighted
-centres by one k-means fit over all rows, and only these centres are merged.
+"""Ward clustering by rounds of mutual nearest clusters, as tables.
+
+Two clusters that are nearest to each other may be merged in any order without changing the tree
+(Ward's cost is reducible), so many merges can be made at once. Clusters sit in blocks of bounded size.
+A task merges the pairs of its block as long as no cluster of another block can be nearer: the boxes of
+the other blocks bound how near those can ever come, as a merged centre stays inside the box of its
+parts. When blocks overlap so much that this makes little progress, a round of exact searches across
+blocks merges all mutual nearest pairs of the whole table. Once the clusters left fit one block, a task
+ends the tree. Nothing is merged on the driver, and the tree is a table with one row per merge.
+
+Equal rows are one cluster of their weight from the start. In high dimension the searches approach all
+pairs of clusters; ``micro`` then asks for the tree over that many weighted k-means centres instead,
+which is another, coarser tree.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .evaluate import cluster_stats
+from ..functions.columns import q
+from ..functions.keys import is_integral
+from ..session import cut_lineage, discard
+from .blocks import PAIRS, Blocks, Projection, build, entries, matrix, rough_squares, route, vectors, visit
+from .clean import assign_row_id
+from .graph import connected_components
 from .kmeans import fit_kmeans
-from .neighbors import stack
-
-MICRO = 1_000
-MICRO_ITERATION_RESTARTS = 1
-
-
-def ward_merges(centers: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
-    """(a, b, height) in merge order; merged cluster i gets the number len(centers) + i."""
-    n = len(centers)
-    c, w = centers.astype(float).copy(), weights.astype(float).copy()
-    name = np.arange(n)
-    gap = np.zeros((n, n))
-    for j in range(c.shape[1]):
-        gap += (c[:, j, None] - c[None, :, j]) ** 2
-    cost = 2.0 * (w[:, None] * w[None, :]) / (w[:, None] + w[None, :]) * gap
-    np.fill_diagonal(cost, np.inf)
-    merges = []
-    for step in range(n - 1):
-        i, j = divmod(int(cost.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        merges.append((int(name[i]), int(name[j]), float(np.sqrt(cost[i, j]))))
-        c[i] = (w[i] * c[i] + w[j] * c[j]) / (w[i] + w[j])
-        w[i] += w[j]
-        name[i] = n + step
-        cost[j, :] = cost[:, j] = np.inf
-        alive = np.isfinite(cost[i])
-        alive[i] = alive[j] = False
-        near = ((c[alive] - c[i]) ** 2).sum(axis=1)
-        cost[i, alive] = cost[alive, i] = 2.0 * w[i] * w[alive] / (w[i] + w[alive]) * near
-    return merges
-
-
-def cut(merges: list[tuple[int, int, float]], n: int, clusters: int) -> np.ndarray:
-    """Cluster number per leaf after the first n - clusters merges."""
-    parent = list(range(2 * n))
-    for step, (a, b, _h) in enumerate(merges[:max(0, n - clusters)]):
-        parent[a] = parent[b] = n + step
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    roots = [root(i) for i in range(n)]
-    number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-    return np.array([number[r] for r in roots])
+
+ROWS_PER_BLOCK = 1_000
+PROGRESS = 0.2          # share of the clusters that local merges must save to be tried again
+RESTARTS = 1            # starts of the k-means that makes micro-clusters
+
+CLUSTERS = "eid long, vec array<double>, w double"
+ROWS = f"{CLUSTERS}, a long, b long, height double, size double"
+
+
+def merge_costs(c: np.ndarray, w: np.ndarray, centre: np.ndarray, weight: float) -> np.ndarray:
+    """Twice the growth of the sum of squares when a cluster joins each of the others."""
+    return 2.0 * w * weight / (w + weight) * ((c - centre) ** 2).sum(axis=1)
+
+
+def local_merges(names: np.ndarray, c: np.ndarray, w: np.ndarray, outside) -> list[tuple[int, int, float, float]]:
+    """(a, b, height, weight) of the merges that clusters elsewhere cannot come before. ``outside`` gives
+    for a centre and weight the least cost of a merge with any of those. The arrays become those of the
+    clusters that are left; a merged cluster keeps the smaller name, and the row of the other has weight 0."""
+    n = len(c)
+    cost = np.full((n, n), np.inf)
+    for i in range(n):
+        cost[i] = merge_costs(c, w, c[i], w[i])
+        cost[i, i] = np.inf
+    own, low = cost.argmin(axis=1), cost.min(axis=1)
+    far = np.array([outside(c[i], w[i]) for i in range(n)])
+    open_ = np.isfinite(low)
+    done = []
+    while True:
+        best = np.where(open_, low, np.inf)
+        i = int(best.argmin())
+        if not np.isfinite(best[i]):
+            return done
+        j = int(own[i])
+        # what lies elsewhere only moves away as clusters grow, so a cluster that is not sure now never will be
+        if not open_[j] or low[i] > far[i]:
+            open_[i] = False
+            continue
+        if low[i] > far[j]:
+            open_[i] = open_[j] = False
+            continue
+        a, b = (i, j) if names[i] < names[j] else (j, i)
+        done.append((int(names[a]), int(names[b]), float(np.sqrt(low[i])), float(w[a] + w[b])))
+        c[a] = (w[a] * c[a] + w[b] * c[b]) / (w[a] + w[b])
+        w[a] += w[b]
+        w[b] = 0.0
+        cost[b, :] = cost[:, b] = np.inf
+        alive = np.flatnonzero(w > 0)
+        alive = alive[alive != a]
+        cost[a, alive] = cost[alive, a] = merge_costs(c[alive], w[alive], c[a], w[a])
+        open_[b], low[b] = False, np.inf
+        far[a] = outside(c[a], w[a])
+        nearer = alive[cost[alive, a] < low[alive]]
+        own[nearer], low[nearer] = a, cost[nearer, a]
+        stale = np.append(np.flatnonzero((w > 0) & ((own == a) | (own == b))), a)
+        own[stale], low[stale] = cost[stale].argmin(axis=1), cost[stale].min(axis=1)
+
+
+def _merge_locally(clusters: DataFrame, blocks: Blocks, project: Projection | None, light: float, per_task: int) -> DataFrame:
+    """Survivors (a null) and merges of one pass over the blocks."""
+    lo, hi = blocks.lo.copy(), blocks.hi.copy()
+    lo[:, -1] = 0.0             # what is left over of a mean may be shorter than that of its parts
+    scale = float(max(np.abs(lo).max(), np.abs(hi).max()))
+
+    def run(t: pa.Table) -> pa.Table:
+        names, c, w = t.column("eid").to_numpy(), matrix(t.column("vec")).copy(), t.column("w").to_numpy().copy()
+        order = np.argsort(names)
+        names, c, w = names[order], c[order], w[order]
+        block, parts = t.column("block")[0].as_py(), t.column("parts")[0].as_py()
+        others = np.arange(len(lo)) != block
+        if parts > 1:
+            others[block] = True                # its other parts are in the same box
+
+        def outside(centre: np.ndarray, weight: float) -> float:
+            if project is None or not others.any():
+                return np.inf
+            z = project(centre[None, :])
+            gap = np.sqrt((np.maximum(0.0, np.maximum(lo[others] - z, z - hi[others])) ** 2).sum(axis=1)).min()
+            gap = max(0.0, gap * (1 - 1e-9) - 1e-9 * scale)
+            return 2.0 * weight * light / (weight + light) * gap * gap
+
+        done = local_merges(names, c, w, outside)
+        left = w > 0
+        n, m = int(left.sum()), len(done)
+        none = pa.nulls(n, pa.int64())
+        survivors = [pa.array(names[left], pa.int64()), vectors(c[left]), pa.array(w[left]), none, none, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
+        merges = [pa.nulls(m, pa.int64()), pa.nulls(m, survivors[1].type), pa.nulls(m, pa.float64()),
+                  *[pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]]
+        return pa.table([pa.chunked_array([s, d]) for s, d in zip(survivors, merges)], names=["eid", "vec", "w", "a", "b", "height", "size"])
+
+    sizes = blocks.rows.groupBy("block").agg(F.ceil(F.count("*") / F.lit(2 * per_task)).cast("int").alias("parts"))
+    return blocks.rows.select("eid", "vec", "w", "block").join(F.broadcast(sizes), "block") \
+        .withColumn("part", F.pmod(F.xxhash64("eid", F.lit(5)), F.col("parts")).cast("int")) \
+        .groupBy("block", "part").applyInArrow(run, ROWS)
+
+
+def _nearest(asks: pa.Table, gives: pa.Table) -> pa.Table:
+    """The cluster of a block that is cheapest to merge with each that asks; ties to the smaller name."""
+    names, x, w = asks.column("eid").to_numpy(), matrix(asks.column("vec")), asks.column("w").to_numpy()
+    other, y, v = gives.column("eid").to_numpy(), matrix(gives.column("vec")), gives.column("w").to_numpy()
+    who, best = np.full(len(x), -1, np.int64), np.full(len(x), np.inf)
+    if len(x) and len(y):
+        step = max(1, PAIRS // len(y))
+        for s in range(0, len(x), step):
+            rough, error = rough_squares(x[s:s + step], y)
+            factor = 2.0 * w[s:s + step, None] * v[None, :] / (w[s:s + step, None] + v[None, :])
+            rough = np.where(names[s:s + step, None] == other[None, :], np.inf, rough)
+            upper = ((rough + error[:, None]) * factor).min(axis=1)
+            for i, j in enumerate((rough - error[:, None]) * factor <= upper[:, None] * (1 + 1e-9)):
+                at = np.flatnonzero(j & np.isfinite(rough[i]))
+                if len(at):
+                    cost = merge_costs(y[at], v[at], x[s + i], w[s + i])
+                    k = at[np.lexsort((other[at], cost))[0]]
+                    who[s + i], best[s + i] = other[k], cost.min()
+    found = who >= 0
+    return pa.table({"eid": pa.array(names[found], pa.int64()), "other": pa.array(who[found], pa.int64()), "cost": pa.array(best[found])})
+
+
+def _merge_mutual(blocks: Blocks, light: float, per_task: int) -> tuple[DataFrame, DataFrame]:
+    """(clusters, merges) after one round of mutual nearest pairs over the whole table."""
+    schema = "eid long, other long, cost double"
+    table = blocks.rows.select("eid", "vec", "w", "z", "block")
+    data = table.select("eid", "vec", "w", "block")
+    # both ends of a pair order it the same way, so the cheapest pair of all is always mutual
+    order = F.struct("cost", F.least("eid", "other"), F.greatest("eid", "other"))
+    own = cut_lineage(visit(data, data, _nearest, schema, per_task).groupBy("eid").agg(
+        F.min(order).alias("o"), F.min_by("other", order).alias("other"), F.min("cost").alias("cost")).drop("o"))
+    reach = F.sqrt(F.col("cost") * (F.col("w") + F.lit(light)) / (2.0 * F.col("w") * F.lit(light)))
+    asking = table.join(own.select("eid", "cost"), "eid", "left").withColumn("reach", F.coalesce(reach * (1 + 1e-9), F.lit(float("inf"))))
+    wants = cut_lineage(route(asking, blocks).join(table.select("eid", F.col("block").alias("mine")), "eid").filter("block <> mine").drop("mine"))
+    across = visit(wants.join(table.select("eid", "vec", "w"), "eid"), data, _nearest, schema, per_task)
+    best = cut_lineage(own.unionByName(across).groupBy("eid").agg(F.min_by("other", order).alias("other"), F.min("cost").alias("cost")))
+    back = best.select(F.col("eid").alias("other"), F.col("other").alias("eid"))
+    pairs = cut_lineage(best.filter("eid < other").join(back, ["eid", "other"]).select("eid", "other", "cost"))
+    one = pairs.join(table.select("eid", F.col("vec").alias("x"), F.col("w").alias("u")), "eid") \
+        .join(table.select(F.col("eid").alias("other"), F.col("vec").alias("y"), F.col("w").alias("v")), "other")
+    total = F.col("u") + F.col("v")
+    merged = cut_lineage(one.select(
+        "eid", F.zip_with("x", "y", lambda p, s: (p * F.col("u") + s * F.col("v")) / total).alias("vec"), total.alias("w"),
+        F.col("eid").alias("a"), F.col("other").alias("b"), F.sqrt("cost").alias("height"), total.alias("size")))
+    gone = pairs.select("eid").unionByName(pairs.select(F.col("other").alias("eid")))
+    left = table.select("eid", "vec", "w").join(gone, "eid", "left_anti").unionByName(merged.select("eid", "vec", "w"))
+    out = cut_lineage(left)
+    discard(own, wants, best)
+    return out, merged.select("a", "b", "height", "size")
 
 
 @dataclass
 class WardTree:
-    centers: np.ndarray            # micro-cluster centres in canonical order
-    weights: np.ndarray
-    merges: list[tuple[int, int, float]]
-    exact: bool
+    """``merges`` (a, b, height, size): two clusters, each named by its smallest leaf, become one named a.
+    ``leaves`` (eid, vec, w)."""
 
-    def heights(self) -> list[float]:
-        return [h for _a, _b, h in self.merges]
+    leaves: DataFrame
+    merges: DataFrame
+    count: int
+    micro: object = None            # the k-means fit whose clusters the leaves are, if there is one
 
     def clusters_below(self, height: float) -> int:
         """Number of clusters left when no merge at or above ``height`` is made."""
-        return 1 + sum(h >= height for h in self.heights())
+        return 1 + self.merges.filter(F.col("height") >= height).count()
+
+    def leaf_labels(self, clusters: int | None = None, height: float | None = None) -> DataFrame:
+        """(eid, cluster) after all merges below ``height``, or all but the last ``clusters`` - 1.
+        Clusters are numbered by their smallest leaf vector."""
+        if clusters is not None:
+            last = self.merges.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).limit(max(0, clusters - 1)).select("a", "b")
+            made = self.merges.join(F.broadcast(last), ["a", "b"], "left_anti")
+        else:
+            made = self.merges.filter(F.col("height") < height)
+        comps = connected_components(made.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        named = cut_lineage(self.leaves.join(comps, F.col("eid") == F.col("node"), "left").select(
+            "eid", "vec", F.coalesce("component", "eid").alias("component")))
+        order = named.groupBy("component").agg(F.min("vec").alias("first"))
+        # numbered without a window over all clusters: by range-partitioned sorting
+        ranked = assign_row_id(order.orderBy("first"), "cluster")
+        return named.join(ranked.select("component", F.col("cluster").cast("int").alias("cluster")), "component").select("eid", "vec", "cluster")
 
     def labels(self, df: DataFrame, key: str, clusters: int | None = None,
                height: float | None = None, features: str = "features") -> DataFrame:
-        """(key, cluster): rows take the cluster of their micro-cluster centre."""
-        wanted = clusters if clusters is not None else self.clusters_below(height)
-        number, centers = cut(self.merges, len(self.centers), wanted), self.centers
-
-        def assign(batches):
-            import pandas as pd
-            from .kmeans import nearest
-            for pdf in batches:
-                got = number[nearest(stack(pdf["__vec"]), centers)[0]] if len(pdf) else []
-                yield pd.DataFrame({key: pdf[key], "cluster": np.asarray(got, dtype="int32")})
-
-        kind = df.schema[key].dataType.simpleString()
-        return df.select(key, F.col(features).alias("__vec")).mapInPandas(
-            assign, f"`{key}` {kind}, cluster int")
-
-
-def fit_ward(df: DataFrame, key: str, features: str = "features", micro: int = MICRO) -> WardTree:
-    """Equal rows share one micro-cluster, so the exact level counts distinct rows.
-
-    A sketch tells tables with few distinct rows apart before any row is shuffled.
-    """
-    v = F.col(features).cast("array<double>")
-    about = df.agg(F.approx_count_distinct(F.xxhash64(v))).first()[0]
-    head = []
-    if about <= 2 * micro:
-        head = df.groupBy(v.alias("v")).agg(F.count("*").alias("n")).limit(micro + 1).collect()
-        if not head:
-            raise ValueError("no rows to cluster")
-    exact = 0 < len(head) <= micro
-    if exact:
-        centers = np.array([r.v for r in head], dtype="float64")
-        weights = np.array([r.n for r in head], dtype="float64")
+        """(key, cluster) of the rows the tree was fitted on; with micro-clusters, of any rows."""
+        found = self.leaf_labels(clusters, height)
+        if self.micro is not None:
+            near = self.micro.labels(df, key, features).withColumnRenamed("cluster", "eid")
+            return near.withColumn("eid", F.col("eid").cast("long")).join(found, "eid").select(q(key), F.col("cluster"))
+        rows = df.select(q(key), F.col(features).cast("array<double>").alias("vec"))
+        return rows.join(found, "vec").select(q(key), "cluster")
+
+
+def fit_ward(df: DataFrame, key: str, features: str = "features", micro: int | None = None,
+             rows_per_block: int = ROWS_PER_BLOCK) -> WardTree:
+    """The whole tree over the rows, or over ``micro`` k-means centres weighted by their rows."""
+    fit = None
+    if micro is not None:
+        fit = fit_kmeans(df, micro, features, restarts=RESTARTS)
+        sizes = fit.labels(df, key, features).groupBy("cluster").agg(F.count("*").cast("double").alias("w"))
+        centres = df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(fit.centers)], "eid long, vec array<double>")
+        leaves = cut_lineage(centres.join(sizes, F.col("eid") == F.col("cluster")).select("eid", "vec", "w"))
     else:
-        fit = fit_kmeans(df, micro, features, restarts=MICRO_ITERATION_RESTARTS)
-        stats = cluster_stats(df.select(key, features).join(fit.labels(df, key, features), key),
-                              features).collect()
-        centers = np.array([r.centroid for r in stats])
-        weights = np.array([r.size for r in stats], dtype="float64")
-    order = np.lexsort(centers.T[::-1])
-    centers, weights = centers[order], weights[order]
-    return WardTree(centers, weights, ward_merges(centers, weights), exact)
+        table = df if is_integral(df, key) else assign_row_id(df.drop(key), key)
+        rows = table.select(q(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("vec"),
+                            F.lit(True).alias("asks"), F.lit(True).alias("gives"))
+        leaves = entries(rows, 1)[0].select("eid", "vec", F.col("cnt").cast("double").alias("w"))
+    count = leaves.count()
+    if not count:
+        raise ValueError("no rows to cluster")
+    made, clusters, n, locally = [], leaves, count, True
+    while n > 1:
+        light = float(clusters.agg(F.min("w")).first()[0])
+        blocks = build(clusters, rows_per_block, n)
+        single = len(blocks.lo) == 1
+        if locally or single:
+            found = cut_lineage(_merge_locally(clusters, blocks, blocks.project, light, rows_per_block))
+            made.append(found.filter("a is not null").select("a", "b", "height", "size"))
+            clusters = found.filter("a is null").select("eid", "vec", "w")
+        else:
+            clusters, merges = _merge_mutual(blocks, light, rows_per_block)
+            made.append(merges)
+        left = clusters.count()
+        # after a pass that saved little, search across blocks; then blocks may come apart again
+        locally, n = (not locally) or left <= n * (1 - PROGRESS), left
+    empty = df.sparkSession.createDataFrame([], "a long, b long, height double, size double")
+    return WardTree(leaves, reduce(DataFrame.unionByName, made, empty), count, fit)

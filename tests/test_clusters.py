@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstat.operators import dbscan, evaluate, graph, kmeans, pca, ward
+from loomstat.operators import balls, dbscan, evaluate, graph, kmeans, pca, ward
 
 
 def blobs(sizes, d=2, seed=0, spread=0.3):
@@ -43,9 +43,30 @@ def test_dbscan_equals_brute_force(points, kind, direct):
     assert [r.is_core for r in got] == core.tolist()
 
 
-def test_dbscan_limits(points):
-    with pytest.raises(ValueError):
-        dbscan.dbscan(points(np.zeros((6, 7))), "id", 1.0)
+@pytest.mark.parametrize("kind, block", [("clustered", 12), ("clustered", 2_000), ("sparse", 12), ("copies", 12), ("chain", 30), ("plane", 40)])
+def test_dbscan_on_balls_equals_brute_force(points, kind, block):
+    rng = np.random.default_rng(8)
+    if kind == "clustered":
+        x, eps = np.concatenate([rng.normal(4 * c, 0.4, (40, 8)) for c in range(3)] + [rng.uniform(-3, 11, (25, 8))]), 1.4
+    elif kind == "sparse":
+        x, eps = rng.uniform(0, 3, (150, 6)), 0.9
+    elif kind == "copies":
+        x, eps = np.concatenate([np.zeros((70, 6)), np.full((3, 6), 0.4), np.full((4, 6), 9.0), rng.normal(20, 0.1, (20, 6))]), 1.0
+    elif kind == "chain":                       # each row touches only the next ones
+        x, eps = np.linspace(0, 60, 150)[:, None] * np.ones(5) / np.sqrt(5), 1.0
+    else:
+        x, eps = np.column_stack([rng.uniform(0, 6, (160, 2)), np.zeros((160, 4))]), 0.7
+    want, core = brute.dbscan(x, eps, 5)
+    table = points(x).select("id", F.col("features").alias("x"))
+    got = balls.dbscan_balls(table, eps, 5, rows_per_block=block).orderBy("id").collect()
+    assert [r.cluster for r in got] == want.tolist()
+    assert [r.is_core for r in got] == core.tolist()
+
+
+def test_dbscan_takes_any_dimension(points):
+    x = np.concatenate([np.random.default_rng(2).normal(6 * c, 0.3, (20, 9)) for c in range(2)])
+    got = dbscan.dbscan(points(x, start=5), "id", 2.0).orderBy("id").collect()
+    assert [r.cluster for r in got] == [0] * 20 + [1] * 20 and got[0].id == 5
     with pytest.raises(ValueError):
         dbscan.dbscan(points(np.zeros((6, 2))), "id", 0.0)
 
@@ -133,29 +154,54 @@ def test_copies_do_not_crowd_out_the_start(points):
 
 # ---- Ward -----------------------------------------------------------------------------
 
-def test_ward_equals_brute_force(points):
-    x = np.random.default_rng(8).normal(size=(40, 2))
+@pytest.mark.parametrize("d, block", [(2, 1_000), (7, 9)])
+def test_ward_equals_brute_force(points, block, d):
+    x = np.random.default_rng(8).normal(size=(40, d))
+    x[30:35] = x[30]                            # equal rows
     df = points(x)
-    tree = ward.fit_ward(df, "id")
-    assert tree.exact and tree.heights() == sorted(tree.heights())
-    for k in (2, 3, 6):
+    tree = ward.fit_ward(df, "id", rows_per_block=block)
+    heights = sorted(r.height for r in tree.merges.collect())
+    assert tree.count == 36 and len(heights) == 35
+    # every merge adds half its squared height to the sum of squares
+    assert sum(h * h for h in heights) / 2 == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
+    for k in (2, 6):
         got = {r.id: r.cluster for r in tree.labels(df, "id", clusters=k).collect()}
-        assert brute.partition(got) == brute.ward(x, k)
-    height = tree.heights()[-2]
-    assert tree.clusters_below(height) == 3
-    cut = {r.id: r.cluster for r in tree.labels(df, "id", height=height).collect()}
+        assert brute.partition(got) == brute.ward(x, k) and set(got.values()) == set(range(k))
+    assert tree.clusters_below(heights[-2]) == 3
+    cut = {r.id: r.cluster for r in tree.labels(df, "id", height=heights[-2]).collect()}
     assert brute.partition(cut) == brute.ward(x, 3)
 
 
+def test_ward_merges_locally_only_what_is_sure(points, monkeypatch):
+    """Far blobs come apart into blocks that end on their own; overlapping ones need searches across blocks."""
+    calls = []
+    real = ward._merge_mutual
+    monkeypatch.setattr(ward, "_merge_mutual", lambda *a: calls.append(1) or real(*a))
+    far = np.concatenate([np.random.default_rng(c).normal(100 * c, 1, size=(20, 3)) for c in range(3)])
+    tree = ward.fit_ward(points(far), "id", rows_per_block=25)
+    got = {r.id: r.cluster for r in tree.labels(points(far), "id", clusters=3).collect()}
+    assert sorted(np.bincount(list(got.values()))) == [20, 20, 20] and not calls
+    near = np.random.default_rng(1).normal(size=(60, 12))
+    tree = ward.fit_ward(points(near), "id", rows_per_block=15)
+    got = {r.id: r.cluster for r in tree.labels(points(near), "id", clusters=5).collect()}
+    assert brute.partition(got) == brute.ward(near, 5) and calls
+
+
 def test_ward_over_micro_clusters(points):
     x = blobs([80, 80, 80])
     df = points(x)
     tree = ward.fit_ward(df, "id", micro=20)
-    assert not tree.exact and tree.weights.sum() == 240
+    assert tree.count == 20 and tree.leaves.agg(F.sum("w")).first()[0] == 240
     got = {r.id: r.cluster for r in tree.labels(df, "id", clusters=3).collect()}
     assert sorted(np.bincount(list(got.values()))) == [80, 80, 80]
 
 
+def test_ward_of_one_row(points):
+    tree = ward.fit_ward(points(np.zeros((3, 2))), "id")
+    assert tree.count == 1 and tree.merges.count() == 0
+    assert [r.cluster for r in tree.labels(points(np.zeros((3, 2))), "id", clusters=1).collect()] == [0, 0, 0]
+
+
 # ---- evaluation -----------------------------------------------------------------------
 
 @pytest.mark.parametrize("tile", [13, 5000])
