@@ -34,6 +34,17 @@ def silhouette_score(spark, d):
     return rounded(evaluate.silhouette_score(s), "silhouette_score")
 
 
+def silhouettes(spark, d):
+    """Three labelings of the same vectors in one pass over their distances."""
+    e = vectors(spark, d).withColumn("labels", F.array(
+        F.col("label"), (F.col("vec_id") % 3).cast("int"), F.when(F.col("vec_id") % 9 == 0, -1).otherwise(F.col("label"))))
+    return rounded(evaluate.silhouettes(e, "vec_id", "labels"), "silhouette")
+
+
+def silhouette_estimate(spark, d):
+    return rounded(evaluate.silhouette_estimate(_noisy(spark, d), "vec_id"), "silhouette_score", "low", "high")
+
+
 def silhouette_box(spark, d):
     s = evaluate.silhouette_samples(_labelled(spark, d), "vec_id")
     return rounded(views.box_stats(s, "silhouette", "cluster"),
@@ -159,7 +170,7 @@ def hierarchical_merges(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     k_distance, knee_eps, dbscan, dbscan_vectors, dbscan_auto, hierarchical, hierarchical_cut, hierarchical_merges,
-    silhouette_samples, silhouette_score, silhouette_box, cluster_stats, cluster_balance,
+    silhouette_samples, silhouette_score, silhouettes, silhouette_estimate, silhouette_box, cluster_stats, cluster_balance,
     cluster_stats_table, cluster_label_table, clustering_summary, cluster_feature_trends,
     labels_on_embeddings, nearest_center, inertia_given_labels, elbow_k, inertia_curve, silhouette_sweep, optimal_k)}
 QUERIES["kmeans"] = kmeans_labels
@@ -252,6 +263,13 @@ ORACLE = {
         round(silhouette, 6) as silhouette from sil""",
     "silhouette_score": f"""with {samples_sql(_VALID)}
         select round(avg(silhouette), 6) as silhouette_score from sil""",
+    "silhouettes": " union all ".join(f"""select {i}::integer as labeling, round(s, 6) as silhouette from (
+        with {samples_sql(source)} select avg(silhouette) as s from sil) t{i}""" for i, source in enumerate((
+            LABELLED, LABELLED.replace("label as cluster", "vec_id % 3 as cluster"), _VALID))),
+    # the sample has all rows of small tables
+    "silhouette_estimate": f"""with {samples_sql(_VALID)},
+        m as (select avg(silhouette) as s, 1.96 * stddev_samp(silhouette) / sqrt(count(*)) as e, count(*) as n from sil)
+        select round(s, 6) as silhouette_score, round(s - e, 6) as low, round(s + e, 6) as high, n as measured from m""",
     "silhouette_box": f"""with {samples_sql(LABELLED)},
         b as (select cluster, quantile_cont(silhouette, 0.25) as q1, quantile_cont(silhouette, 0.5)
               as median, quantile_cont(silhouette, 0.75) as q3 from sil group by 1)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import side_by_side
-from ..functions.keys import any_key
+from ..functions.columns import q, side_by_side
+from ..functions.keys import any_key, is_integral
 from ..functions.ranking import math_ceil
 from ..functions.text import text
+from ..session import cut_lineage
+from .blocks import PAIRS, matrix, rough_squares
+from .clean import assign_row_id
 from .neighbors import choose_pivots, distances, nearest_pivot, stack
 
 ROWS_PER_TILE = 2_000
@@ -23,52 +27,76 @@ IMBALANCE_REPORT = 0.3
 
 
 def _score(sums: DataFrame) -> DataFrame:
-    """(id, silhouette) from (id, own, cluster, total distance, rows) summed over all rows."""
-    per = sums.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"),
-                                                   F.sum("n").alias("n"))
+    """(id, labeling, cluster, silhouette) from (id, labeling, own, cluster, total distance, rows) summed over all rows."""
+    per = sums.groupBy("id", "labeling", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mine = F.col("cluster") == F.col("own")
-    scored = per.groupBy("id", "own").agg(
+    scored = per.groupBy("id", "labeling", "own").agg(
         # the row itself adds distance 0 to its own cluster
         F.max(F.when(mine, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
         F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"),
         F.max(F.when(mine, F.col("n"))).alias("size"))
     value = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    return scored.select("id", F.col("own").alias("cluster"),
+    return scored.select("id", "labeling", F.col("own").alias("cluster"),
                          F.when(F.col("size") > 1, F.coalesce(value, F.lit(0.0)))
                          .otherwise(F.lit(0.0)).alias("silhouette"))
 
 
+SUMS = pa.schema([("id", pa.int64()), ("labeling", pa.int32()), ("own", pa.int32()), ("cluster", pa.int32()),
+                  ("total", pa.float64()), ("n", pa.int64())])
+
+
+def straight(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances by one product; those that it leaves to rounding are measured directly."""
+    rough, _ = rough_squares(a, b)
+    i, j = np.nonzero(rough <= 1e-7 * max(float(np.abs(rough).max(initial=0.0)), 1e-300))
+    out = np.sqrt(np.maximum(rough, 0.0))
+    out[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+    return out
+
+
+def _sums_to(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, labels: np.ndarray) -> list[list[np.ndarray]]:
+    """Distance sums of the rows x to the clusters of the rows y, for every labeling (rows x labelings);
+    a row without a cluster in a labeling (NaN) neither asks nor answers in it."""
+    members = [np.unique(labels[:, c][~np.isnan(labels[:, c])]) for c in range(labels.shape[1])]
+    member = np.hstack([(labels[:, [c]] == names).astype(float) for c, names in enumerate(members)])
+    sizes = member.sum(axis=0).astype(np.int64)
+    which = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    cluster = np.concatenate(members) if members else np.zeros(0, np.int64)
+    out, step = [], max(1, PAIRS // max(1, len(y)))
+    for s in range(0, len(x) if len(cluster) else 0, step):
+        totals = straight(x[s:s + step], y) @ member
+        asks = own[s:s + step][:, which]
+        i, c = np.nonzero(~np.isnan(asks))
+        out.append([ids[s:s + step][i], which[c], asks[i, c], cluster[c], totals[i, c], sizes[c]])
+    return out
+
+
+def _table(parts: list[list[np.ndarray]]) -> pa.Table:
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 6
+    return pa.table([pa.array(c.astype(f.type.to_pandas_dtype(), copy=False), f.type) for c, f in zip(columns, SUMS)], schema=SUMS)
+
+
 def _tile_sums(rows: DataFrame, n: int, rows_per_tile: int) -> DataFrame:
-    """Distance sums per (row, cluster), tile by tile: a tile holds a bounded number of rows
-    of two blocks and gives one record per (row, cluster), never the pairs."""
+    """Distance sums per (row, labeling, cluster), tile by tile: a tile holds a bounded number of rows
+    of two blocks, measures each pair once for both rows and all labelings, and gives one record per
+    (row, labeling, cluster), never the pairs."""
     blocks = max(1, math_ceil(n, rows_per_tile))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ask = placed.withColumn("other", every).withColumn("asks", F.lit(True))
-    answer = placed.withColumnRenamed("block", "other").withColumn("block", every) \
-        .withColumn("asks", F.lit(False))
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    met = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
+        .select("id", "labels", "vec", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+
+    def tile(t: pa.Table) -> pa.Table:
+        ids, x, labels = t.column("id").to_numpy(), matrix(t.column("vec")), matrix(t.column("labels"))
+        block, a, b = t.column("block").to_numpy(), t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        p, o = block == a, block == b
         out = []
-        if len(a) and len(b):
-            x, y, owner = stack(a["vec"]), stack(b["vec"]), b["own"].to_numpy()
-            names = np.unique(owner)
-            member = (owner[:, None] == names[None, :]).astype(float)
-            sizes = member.sum(axis=0)
-            step = max(1, 4_000_000 // len(y))
-            for s in range(0, len(x), step):
-                totals = distances(x[s:s + step], y) @ member
-                for j, c in enumerate(names):
-                    out.append(pd.DataFrame({
-                        "id": a["id"].to_numpy()[s:s + step], "own": a["own"].to_numpy()[s:s + step],
-                        "cluster": c, "total": totals[:, j], "n": int(sizes[j])}))
-        return pd.concat(out) if out else pd.DataFrame(
-            columns=["id", "own", "cluster", "total", "n"]).astype(
-            {"id": "int64", "own": "int32", "cluster": "int32", "total": "float64", "n": "int64"})
-
-    return ask.unionByName(answer).groupBy("block", "other").applyInPandas(
-        tile, "id long, own int, cluster int, total double, n long")
+        if p.any() and o.any():
+            out = _sums_to(ids[p], x[p], labels[p], x[o], labels[o])
+            if a != b:
+                out += _sums_to(ids[o], x[o], labels[o], x[p], labels[p])
+        return _table(out)
+
+    return met.groupBy("a", "b").applyInArrow(tile, "id long, labeling int, own int, cluster int, total double, n long")
 
 
 def _summary_sums(rows: DataFrame, cells: int) -> DataFrame:
@@ -95,10 +123,10 @@ def _summary_sums(rows: DataFrame, cells: int) -> DataFrame:
                 continue
             totals = distances(stack(pdf["vec"]), centre) @ member
             for j, c in enumerate(names):
-                yield pd.DataFrame({"id": pdf["id"], "own": pdf["own"], "cluster": int(c),
+                yield pd.DataFrame({"id": pdf["id"], "labeling": 0, "own": pdf["own"], "cluster": int(c),
                                     "total": totals[:, j], "n": int(sizes[j])})
 
-    return rows.mapInPandas(batch, "id long, own int, cluster int, total double, n long")
+    return rows.mapInPandas(batch, "id long, labeling int, own int, cluster int, total double, n long")
 
 
 @any_key()
@@ -118,8 +146,59 @@ def silhouette_samples(points: DataFrame, key: str, features: str = "features",
         rows = rows.filter(F.col("own") != -1)
     if method not in ("exact", "cells"):
         raise ValueError(f"unknown method: {method}")
-    sums = _tile_sums(rows, rows.count(), rows_per_tile) if method == "exact" else _summary_sums(rows, cells)
-    return _score(sums).withColumnRenamed("id", key)
+    sums = _tile_sums(rows.select("id", "vec", F.array("own").alias("labels")), rows.count(), rows_per_tile) if method == "exact" \
+        else _summary_sums(rows, cells)
+    return _score(sums).drop("labeling").withColumnRenamed("id", key)
+
+
+def silhouettes(points: DataFrame, key: str, labels: str, features: str = "features",
+                rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """(labeling, silhouette): the mean score of each of several labelings, 0 with at most one cluster.
+
+    ``labels`` is an array with one cluster per labeling, -1 for none. All labelings share one pass
+    over the distances, and each score is the exact one.
+    """
+    table = points if is_integral(points, key) else assign_row_id(points.drop(key), key)
+    some = F.transform(q(labels).cast("array<int>"), lambda c: F.when(c != -1, c))
+    rows = cut_lineage(table.select(q(key).cast("long").alias("id"), q(features).cast("array<double>").alias("vec"), some.alias("labels")))
+    scored = _score(_tile_sums(rows, rows.count(), rows_per_tile))
+    several = F.count_distinct("cluster") > 1
+    return scored.groupBy("labeling").agg(F.when(several, F.avg("silhouette")).otherwise(F.lit(0.0)).alias("silhouette"))
+
+
+def silhouette_estimate(points: DataFrame, key: str, features: str = "features", label: str = "cluster",
+                        sample: int = 2_000, z: float = 1.96) -> DataFrame:
+    """(silhouette_score, low, high, measured): the mean exact silhouette of ``sample`` rows, drawn by hash
+    from those with a cluster, against all rows, and the interval that holds the score of all rows with
+    the confidence of ``z`` standard errors. Linear in the table; only the sample is sent to the tasks.
+    """
+    rows = points.select(F.xxhash64(q(key), F.lit(42)).alias("id"), q(label).cast("int").alias("own"),
+                         q(features).cast("array<double>").alias("vec")).filter("own <> -1")
+    drawn = rows.orderBy("id").limit(sample).collect()
+    if not drawn:
+        return points.sparkSession.createDataFrame([], "silhouette_score double, low double, high double, measured long")
+    ids, own = np.arange(len(drawn)), np.array([r.own for r in drawn])
+    x = np.array([r.vec for r in drawn], dtype="float64")
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        count: dict[int, int] = {}
+        for batch in batches:
+            y, mine = matrix(batch.column(0)), np.asarray(batch.column(1))
+            for c in np.unique(mine) if len(y) else []:
+                part = y[mine == c]
+                step = max(1, PAIRS // len(x))
+                for s in range(0, len(part), step):
+                    total[c] = total.get(c, 0.0) + straight(x, part[s:s + step]).sum(axis=1)
+                count[c] = count.get(c, 0) + len(part)
+        yield from _table([[ids, np.zeros(len(ids)), own, np.full(len(ids), c), t, np.full(len(ids), count[c])]
+                           for c, t in total.items()]).to_batches()
+
+    scored = _score(rows.select("vec", "own").mapInArrow(run, "id long, labeling int, own int, cluster int, total double, n long"))
+    error = F.lit(z) * F.coalesce(F.stddev_samp("silhouette"), F.lit(0.0)) / F.sqrt(F.count("*"))
+    return scored.agg(F.avg("silhouette").alias("silhouette_score"), error.alias("error"), F.count("*").alias("measured")).select(
+        "silhouette_score", (F.col("silhouette_score") - F.col("error")).alias("low"),
+        (F.col("silhouette_score") + F.col("error")).alias("high"), "measured")
 
 
 def silhouette_score(samples: DataFrame) -> DataFrame:

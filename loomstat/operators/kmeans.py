@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .evaluate import silhouette_samples, silhouette_score
+from .evaluate import silhouettes
 from .neighbors import stack
 
 # Fixed values of the clustering rules.
@@ -251,19 +251,31 @@ def elbow_k(curve: DataFrame) -> DataFrame:
         F.coalesce(best, F.lit(DEFAULT_K)).cast("int").alias("elbow_k"))
 
 
+def label_all(df: DataFrame, key: str, fits: list[KMeansFit], features: str = "features") -> DataFrame:
+    """(key, features, labels): the cluster of each row in every fit, in one pass."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = stack(pdf[features])
+                each = np.column_stack([nearest(x, f.centers)[0] for f in fits])
+                yield pdf.assign(labels=list(each.astype("int32")))
+
+    rows = df.select(F.col(key), F.col(features).cast("array<double>").alias(features))
+    return rows.mapInPandas(run, f"`{key}` {kind}, `{features}` array<double>, labels array<int>")
+
+
 def silhouette_sweep(df: DataFrame, key: str, fits: dict[int, KMeansFit],
                      features: str = "features") -> DataFrame:
-    """(k, silhouette) for every fitted k above 1; an undefined score counts as 0."""
-    rows = []
-    points = df.select(F.col(key), F.col(features).cast("array<double>").alias(features))
-    for k in sorted(fits):
-        if k < 2:
-            continue
-        centers = {i: list(map(float, c)) for i, c in enumerate(fits[k].centers)}
-        labelled = nearest_center(points, key, centers, features, keep_features=True)
-        score = silhouette_score(silhouette_samples(labelled, key, features)).first()[0]
-        rows.append((k, float(score or 0.0)))
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
+    """(k, silhouette) for every fitted k above 1; an undefined score counts as 0. The distances are
+    measured once for all k."""
+    ks = sorted(k for k in fits if k >= 2)
+    if not ks:
+        return df.sparkSession.createDataFrame([], "k int, silhouette double")
+    labelled = label_all(df, key, [fits[k] for k in ks], features)
+    found = {r.labeling: r.silhouette for r in silhouettes(labelled, key, "labels", features).collect()}
+    return df.sparkSession.createDataFrame([(k, float(found.get(i) or 0.0)) for i, k in enumerate(ks)], "k int, silhouette double")
 
 
 def combine_k(elbow: int, silhouette: int, largest: int) -> int:

@@ -215,6 +215,41 @@ def test_silhouette_equals_brute_force(spark, tile):
     assert np.allclose([got[i] for i in range(91)], brute.silhouette(x, label))
 
 
+def test_silhouettes_of_several_labelings_share_a_pass(spark, monkeypatch):
+    x = np.concatenate([blobs([30, 40, 20], spread=1.5), np.full((5, 2), 3.0)])
+    rng = np.random.default_rng(1)
+    labels = np.column_stack([rng.integers(0, k, len(x)) for k in (1, 2, 5)])
+    labels[::7, 1] = -1
+    df = spark.createDataFrame([(f"k{i}", r.tolist(), [int(v) for v in c]) for i, (r, c) in enumerate(zip(x, labels))],
+                               "id string, features array<double>, labels array<int>")
+    got = {r.labeling: r.silhouette for r in evaluate.silhouettes(df, "id", "labels", rows_per_tile=13).collect()}
+    some = labels[:, 1] >= 0
+    assert got[0] == 0.0
+    assert got[1] == pytest.approx(brute.silhouette(x[some], labels[some, 1]).mean())
+    assert got[2] == pytest.approx(brute.silhouette(x, labels[:, 2]).mean())
+    passes = []
+    real = evaluate._tile_sums
+    monkeypatch.setattr(evaluate, "_tile_sums", lambda *a: passes.append(1) or real(*a))
+    fits = kmeans.sweep(df.select("id", "features"), [2, 3, 4])
+    found = {r.k: r.silhouette for r in kmeans.silhouette_sweep(df, "id", fits).collect()}
+    assert len(passes) == 1
+    for k in found:
+        own = ((x[:, None] - fits[k].centers[None]) ** 2).sum(-1).argmin(axis=1)
+        assert found[k] == pytest.approx(brute.silhouette(x, own).mean())
+
+
+def test_silhouette_estimate_holds_the_score(spark):
+    x = blobs([300, 200, 100], spread=1.4)
+    label = np.repeat([0, 1, 2], [300, 200, 100])
+    df = spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, label))], "id long, features array<double>, cluster int")
+    exact = brute.silhouette(x, label).mean()
+    part = evaluate.silhouette_estimate(df, "id", sample=150).first()
+    assert part.measured == 150 and part.low <= exact <= part.high and part.high - part.low < 0.2
+    whole = evaluate.silhouette_estimate(df.unionByName(df.selectExpr("id + 1000 as id", "features", "-1 as cluster")), "id").first()
+    assert whole.measured == 600 and whole.silhouette_score == pytest.approx(exact)
+    assert evaluate.silhouette_estimate(df.limit(0), "id").count() == 0
+
+
 def test_summarised_silhouette_is_close(spark):
     x = blobs([150, 150], spread=1.2)
     label = np.array([0] * 150 + [1] * 150)

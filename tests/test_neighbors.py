@@ -78,21 +78,55 @@ def test_memberships_sum_to_log2_k(points):
         assert abs(r.s - 3.0) < 1e-3 and abs(r.m - 1.0) < 1e-9
 
 
-def test_embedding_keeps_neighbours_and_paths_agree(spark, points):
-    x = clustered(90, 6, 7)
-    df = points(x)
-    got = umap.umap_embed(df, "id", epochs=20).orderBy("id").collect()
-    y = np.array([[r.UMAP1, r.UMAP2] for r in got])
-    assert np.isfinite(y).all() and len(y) == 90
-    near, kept = brute.knn(x, 8), brute.knn(y, 8)
-    overlap = np.mean([len(set(near[i]) & set(kept[i])) / 8 for i in range(90)])
-    assert overlap > 2 * 8 / 89
-    start = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:, :2])],
-                                  "id long, pos array<double>")
-    edges = umap.fuzzy_union(umap.memberships(neighbors.knn_graph(df, "id", "features", 6)))
-    one = umap.layout(start, edges, 2, 90, epochs=2).orderBy("id").collect()
-    two = umap.layout(start, edges, 2, 90, epochs=2, shared_rows=0).orderBy("id").collect()
-    assert np.allclose([r.pos for r in one], [r.pos for r in two])
+def trustworthiness(x, y, k):
+    """1 for a layout whose nearest rows are all near in the input (Venna and Kaski 2001)."""
+    n = len(x)
+    dx, dy = brute.nan_distances(x), brute.nan_distances(y)
+    rank = np.argsort(np.argsort(dx + np.where(np.eye(n) > 0, -1, 0), axis=1), axis=1)
+    near = np.argsort(dy + np.where(np.eye(n) > 0, np.inf, 0), axis=1)[:, :k]
+    excess = np.maximum(rank[np.arange(n)[:, None], near] - k, 0).sum()
+    return 1 - 2 * excess / (n * k * (2 * n - 3 * k - 1))
+
+
+@pytest.mark.parametrize("block", [45, 4_000])
+def test_embedding_is_trustworthy(points, block):
+    x = clustered(150, 6, 7)
+    x[140:150] = x[140]                         # equal rows share a position
+    df = points(x).select(F.concat(F.lit("k"), "id").alias("id"), "features")
+    got = {int(r.id[1:]): [r.UMAP1, r.UMAP2] for r in umap.umap_embed(df, "id", epochs=200, rows_per_block=block).collect()}
+    y = np.array([got[i] for i in range(150)])
+    assert np.isfinite(y).all() and (y[140:] == y[140]).all()
+    assert trustworthiness(x, y, 8) > 0.9
+
+
+def test_spectral_start(points):
+    """Orthonormal vectors, orthogonal to the trivial one, close to those of the whole matrix."""
+    x = clustered(90, 4, 3) * 0.5
+    n = len(x)
+    edges = umap.fuzzy_union(umap.memberships(neighbors.knn_graph(points(x), "id", "features", 10)))
+    w = np.zeros((n, n))
+    for r in edges.collect():
+        w[r.a, r.b] = w[r.b, r.a] = r.w
+    degree = w.sum(axis=1)
+    graph = w / np.sqrt(np.outer(degree, degree))
+    found, values = umap.spectral_start(edges, points(x[:, :2]).withColumnRenamed("features", "pos"), 2, rounds=12)
+    v = np.array([r.pos for r in found.orderBy("id").collect()])
+    assert np.allclose(v.T @ v, np.eye(2), atol=1e-6) and np.allclose(np.sqrt(degree) @ v, 0, atol=1e-5)
+    assert values == pytest.approx(np.linalg.eigvalsh(graph)[::-1][1:3], abs=2e-2)
+    assert np.linalg.norm(graph @ v - v * values, axis=0).max() < 0.1
+
+
+def test_edges_act_by_their_weight():
+    """Over all epochs an edge of rate r acts r times as often as one of rate 1, evenly."""
+    for rate in (1.0, 0.5, 0.13):
+        acts = [np.floor((t + 1) * rate) > np.floor(t * rate) for t in range(200)]
+        assert sum(acts) == int(200 * rate) and max(np.diff(np.flatnonzero(acts))) <= np.ceil(1 / rate)
+    rng = np.random.default_rng(0)
+    pos = np.array([[0.0, 0.0], [8.0, 0.0]])
+    edges = dict(src=np.array([0, 1]), inside=np.array([1, 0]), fixed=np.zeros((2, 2)), pool=np.zeros((0, 2)), others=0.0)
+    strong = umap.descend(pos, rate=np.ones(2), epochs=range(60), total=60, rng=rng, **edges)
+    weak = umap.descend(pos, rate=np.full(2, 0.05), epochs=range(60), total=60, rng=rng, **edges)
+    assert np.linalg.norm(strong[0] - strong[1]) < np.linalg.norm(weak[0] - weak[1]) < 8.5
 
 
 def test_fitted_imputation_uses_only_the_donors(spark):
