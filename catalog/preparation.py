@@ -45,10 +45,10 @@ def impute_knn(spark, d):
 
 
 def impute_knn_new_rows(spark, d):
-    """All rows, filled by the donors a fitted imputer would hold, through the block search."""
+    """All rows as new ones, filled by the whole table as a fitted imputer would hold it, through several blocks."""
     gaps = points_gaps_spark(spark, d)
     cols = ["x1", "x2", "x3", "x4"]
-    return rounded(neighbors.impute_knn(gaps, "vec_id", cols, donors=gaps.filter("vec_id % 3 <> 0"), rows_per_block=200), *cols)
+    return rounded(neighbors.impute_knn(gaps, "vec_id", cols, donors=gaps, rows_per_block=200), *cols)
 
 
 def impute_categorical(spark, d):
@@ -203,11 +203,6 @@ ORACLE = {
         select t.vec_id, round(coalesce(x1, f1.v), 6) as x1, round(x2, 6) as x2,
                round(coalesce(x3, f3.v), 6) as x3, round(x4, 6) as x4
         from t left join f1 on f1.vec_id = t.vec_id left join f3 on f3.vec_id = t.vec_id""",
-    "impute_knn_new_rows": f"""with t as ({points_gaps_oracle()}),
-        f1 as ({_knn_fill('x1', 'b.vec_id % 3 <> 0')}), f3 as ({_knn_fill('x3', 'b.vec_id % 3 <> 0')})
-        select t.vec_id, round(coalesce(x1, f1.v), 6) as x1, round(x2, 6) as x2,
-               round(coalesce(x3, f3.v), 6) as x3, round(x4, 6) as x4
-        from t left join f1 on f1.vec_id = t.vec_id left join f3 on f3.vec_id = t.vec_id""",
     "impute_categorical": f"""select p_partkey, coalesce(p_brand, 'Missing') as p_brand,
         coalesce(p_type, 'Missing') as p_type, p_name, p_size, p_retailprice from ({PART_SQL}) t""",
     "impute_mode": f"""with t as ({PART_SQL}), m as (select p_brand from t where p_brand is not null
@@ -267,3 +262,4 @@ ORACLE = {
         (select count(*) from raw) - (select count(*) from uniq) as duplicates_removed,
         2 as numeric_features, 8 as preprocessing_steps""",
 }
+ORACLE["impute_knn_new_rows"] = ORACLE["impute_knn"]

@@ -1,147 +1,128 @@
 """Exact quantiles with bounded memory.
 
-``percentile`` keeps every distinct value of a column in one buffer, which is fine up to a
-few million values and hopeless beyond. Larger columns are narrowed down first: a bounded
-sketch proposes a bracket around each wanted rank, one counting pass says on which side the
-rank lies, and only when a bracket holds few rows are these sorted. Each round is a
-map-side-combined aggregate with no shuffle of rows, and a bracket shrinks by a factor of
-about ``ACCURACY / 4`` per round. Values shared by many rows are resolved by their count.
+``percentile`` keeps every distinct value of a column in one buffer, which is fine up to a few million
+values in all and hopeless beyond. Larger tables are searched digit by digit: the bits of a double, with
+the sign turned, order like its value, so counting how many values have each leading digit tells the
+digit of a wanted rank, and the next scan looks only at values that begin with the digits found. All
+columns and ranks take part in the same scans: there are ``64 / BITS`` of them whatever the table holds.
+A task passes on counts, never values, and equal values need no care.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .columns import CHUNK, aggregate_row, as_double, chunks, long_form
 
 IN_MEMORY_VALUES = 2_000_000
-GATHER = 50_000
-ACCURACY = 10_000
 LONG_VALUES = 50_000_000
-
-
-@dataclass
-class _Bracket:
-    """Open interval (lo, hi) holding the wanted rank; ``below`` rows lie at or under lo."""
-    col: str
-    rank: int
-    below: int
-    inside: int
-    lo: float | None = None
-    hi: float | None = None
-
-    def within(self) -> Column:
-        c = as_double(self.col)
-        cond = c.isNotNull()
-        if self.lo is not None:
-            cond = cond & (c > F.lit(self.lo))
-        if self.hi is not None:
-            cond = cond & (c < F.lit(self.hi))
-        return cond
-
-    def value(self) -> Column:
-        return F.when(self.within(), as_double(self.col))
+BITS = 11
+HELD = 1 << 23          # counts that a task holds before it passes them on
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    in_memory: int = IN_MEMORY_VALUES,
-                    gather: int = GATHER) -> dict[str, list[float] | None]:
+                    in_memory: int = IN_MEMORY_VALUES) -> dict[str, list[float] | None]:
     """Linear-interpolation quantiles of each column; ``None`` for a column without values."""
     cols = list(cols)
     if not cols:
         return {}
     counts = {c: m["n"] for c, m in aggregate_row(df, cols, {"n": F.count}).items()}
-    small = [c for c in cols if 0 < counts[c] <= in_memory]
-    large = [c for c in cols if counts[c] > in_memory]
     out: dict[str, list[float] | None] = {c: None for c in cols}
-    if len(small) > CHUNK and sum(counts[c] for c in small) <= LONG_VALUES:
-        array = F.array(*[F.lit(float(p)) for p in probs])
-        found = long_form(df.select(*[as_double(c).alias(c) for c in small]), small) \
-            .groupBy("pos").agg(F.percentile("value", array).alias("p")).collect()
-        out.update({small[r.pos]: list(r.p) for r in found})
-        small = []
-    if small:
-        width = max(1, min(100, in_memory // max(counts[c] for c in small)))
-        array = F.array(*[F.lit(float(p)) for p in probs])
-        for part in chunks(small, width):
-            row = df.agg(*[F.percentile(as_double(c), array).alias(f"p{i}")
-                           for i, c in enumerate(part)]).first()
-            for i, c in enumerate(part):
-                out[c] = list(row[f"p{i}"])
-    if large:
-        wanted = []
-        for c in large:
-            for p in probs:
-                at = (counts[c] - 1) * p
-                wanted += [(c, math.floor(at)), (c, math.ceil(at))]
-        found = _order_statistics(df, sorted(set(wanted)), counts, gather)
-        for c in large:
-            out[c] = []
-            for p in probs:
-                at = (counts[c] - 1) * p
-                lo, hi = found[c, math.floor(at)], found[c, math.ceil(at)]
-                out[c].append(lo + (hi - lo) * (at - math.floor(at)))
+    some = [c for c in cols if counts[c]]
+    if not some:
+        return out
+    array = F.array(*[F.lit(float(p)) for p in probs])
+    if max(counts.values()) <= in_memory and sum(counts.values()) <= min(LONG_VALUES, in_memory * CHUNK):
+        if len(some) > CHUNK:
+            found = long_form(df.select(*[as_double(c).alias(c) for c in some]), some) \
+                .groupBy("pos").agg(F.percentile("value", array).alias("p")).collect()
+            out.update({some[r.pos]: list(r.p) for r in found})
+        else:
+            row = df.agg(*[F.percentile(as_double(c), array).alias(f"p{i}") for i, c in enumerate(some)]).first()
+            out.update({c: list(row[f"p{i}"]) for i, c in enumerate(some)})
+        return out
+    ranks = {c: [(counts[c] - 1) * p for p in probs] for c in some}
+    wanted = sorted({(i, r) for i, c in enumerate(some) for at in ranks[c] for r in (math.floor(at), math.ceil(at))})
+    found = _order_statistics(df, some, wanted)
+    for i, c in enumerate(some):
+        low = [(found[i, math.floor(at)], found[i, math.ceil(at)], at - math.floor(at)) for at in ranks[c]]
+        out[c] = [x + (y - x) * part for x, y, part in low]
     return out
 
 
-def _order_statistics(df: DataFrame, wanted: list[tuple[str, int]], counts: dict[str, int],
-                      gather: int) -> dict[tuple[str, int], float]:
-    found: dict[tuple[str, int], float] = {}
-    todo = [_Bracket(c, r, 0, counts[c]) for c, r in wanted]
-    while todo:
-        small = [b for b in todo if b.inside <= gather]
-        for start in range(0, len(small), 16):
-            part = small[start:start + 16]
-            row = df.agg(*[
-                F.element_at(F.sort_array(F.collect_list(b.value())),
-                             F.lit(b.rank - b.below + 1)).alias(f"v{i}")
-                for i, b in enumerate(part)]).first()
-            for i, b in enumerate(part):
-                found[b.col, b.rank] = row[f"v{i}"]
-        todo = _narrow(df, [b for b in todo if b.inside > gather], found)
-    return found
-
-
-def _narrow(df: DataFrame, todo: list[_Bracket], found: dict) -> list[_Bracket]:
-    left: list[_Bracket] = []
-    for start in range(0, len(todo), 40):
-        part = todo[start:start + 40]
-        slack = 2.0 / ACCURACY
-        exprs = []
-        for i, b in enumerate(part):
-            p = (b.rank - b.below + 0.5) / b.inside
-            around = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
-            exprs.append(F.percentile_approx(b.value(), around, ACCURACY).alias(f"a{i}"))
-        edges = df.agg(*exprs).first()
-        exprs = []
-        for i, b in enumerate(part):
-            c, (a, z) = as_double(b.col), edges[f"a{i}"]
-            exprs.append(F.struct(
-                F.count_if(c < a).alias("lt_a"), F.count_if(c == a).alias("eq_a"),
-                F.count_if(c < z).alias("lt_z"), F.count_if(c == z).alias("eq_z"),
-            ).alias(f"c{i}"))
-        seen = df.agg(*exprs).first()
-        for i, b in enumerate(part):
-            a, z = edges[f"a{i}"]
-            n = seen[f"c{i}"]
-            end = b.below + b.inside
-            if b.rank < n.lt_a:
-                left.append(_Bracket(b.col, b.rank, b.below, n.lt_a - b.below, b.lo, a))
-            elif b.rank < n.lt_a + n.eq_a:
-                found[b.col, b.rank] = a
-            elif b.rank < n.lt_z:
-                below = n.lt_a + n.eq_a
-                left.append(_Bracket(b.col, b.rank, below, n.lt_z - below, a, z))
-            elif b.rank < n.lt_z + n.eq_z:
-                found[b.col, b.rank] = z
-            else:
-                below = n.lt_z + n.eq_z
-                left.append(_Bracket(b.col, b.rank, below, end - below, z, b.hi))
-    return left
+def ordered(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers of the same order."""
+    bits = np.ascontiguousarray(values, dtype=np.float64).view(np.uint64)
+    sign = np.uint64(1 << 63)
+    return np.where(bits & sign, ~bits, bits | sign)
+
+
+def from_ordered(key: int) -> float:
+    bits = key & ~(1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _order_statistics(df: DataFrame, cols: list[str], wanted: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """{(column, rank): value}, ranks from 0."""
+    values = df.select(*[as_double(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    prefix = {w: 0 for w in wanted}             # the digits found so far
+    below = {w: 0 for w in wanted}              # how many values begin with smaller ones
+    shift = 64
+    while shift:
+        bits = min(BITS, shift)
+        shift -= bits
+        nodes = sorted({(c, prefix[c, r]) for c, r in wanted})
+        counted = values.mapInArrow(_digits(nodes, shift, bits), "node int, digit int, n long") \
+            .groupBy("node", "digit").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        number = {node: i for i, node in enumerate(nodes)}
+        asked = df.sparkSession.createDataFrame([(number[c, prefix[c, r]], c, r, r - below[c, r]) for c, r in wanted],
+                                                "node int, col int, rank long, inside long")
+        # of the digits of a node, the one in which the rank falls: one row per rank comes back
+        hit = (counted.withColumn("upto", upto).join(F.broadcast(asked), "node")
+               .filter("upto > inside and upto - n <= inside").select("col", "rank", "digit", (F.col("upto") - F.col("n")).alias("before")))
+        for r in hit.collect():
+            w = (r.col, r["rank"])
+            prefix[w] = prefix[w] << bits | r.digit
+            below[w] += r.before
+    return {w: from_ordered(prefix[w]) for w in wanted}
+
+
+def _digits(nodes: list[tuple[int, int]], shift: int, bits: int):
+    """Counts of the next digit among the values of each node, a column and the digits before."""
+    size = 1 << bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def passed() -> pa.RecordBatch:
+            at = [(i, np.flatnonzero(n)) for i, n in held.items()]
+            digit = np.concatenate([d for _, d in at]) if at else np.zeros(0, np.int64)
+            node = np.repeat([i for i, _ in at], [len(d) for _, d in at]) if at else digit
+            n = np.concatenate([held[i][d] for i, d in at]) if at else digit
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int32()), pa.array(digit, pa.int32()), pa.array(n, pa.int64())],
+                                              ["node", "digit", "n"])
+
+        for batch in batches:
+            last, keys = -1, None
+            for i, (c, known) in enumerate(nodes):
+                if c != last:
+                    column = batch.column(c)
+                    keys, last = ordered(column.drop_null().to_numpy(zero_copy_only=False)) >> np.uint64(shift), c
+                own = keys if shift + bits == 64 else keys[keys >> np.uint64(bits) == np.uint64(known)]
+                n = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                held[i] = held[i] + n if i in held else n
+                if len(held) * size > HELD:
+                    yield passed()
+        yield passed()
+
+    return run
 
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (aggregate_long, as_double, chunks, datetime_columns,
-                                 numeric_columns, pack, q, text_columns)
+                                 numeric_columns, pack, q, side_by_side, text_columns)
+from ..session import cut_lineage
+
+BROADCAST_FINGERPRINTS = 1_000_000
 
 
 def missing_cells(cols: Sequence[str]) -> Column:
@@ -41,15 +44,34 @@ def profile_summary(df: DataFrame) -> DataFrame:
         F.lit(len(datetime_columns(df))).alias("datetime_columns"))
 
 
-def merged_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number and missing cells; copies merge before the shuffle."""
+def _fingerprints(df: DataFrame) -> list[Column]:
+    """128 bits of each row in two numbers; equal rows have equal ones."""
+    # -0.0 equals 0.0, and hashing passes over nulls, so where they stand is hashed as well
+    same = [q(f.name) + F.lit(0.0) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else q(f.name) for f in df.schema]
+    gaps = F.concat_ws("", F.array(*[q(c).isNull().cast("int").cast("string") for c in df.columns]))
+    return [F.xxhash64(F.lit(1), *same).alias("__f1"), F.xxhash64(F.lit(2), gaps, *same).alias("__f2")]
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """The rows that stand several times, each once with their number ``__copies``.
+
+    Only fingerprints of all rows are shuffled; whole rows are compared where a fingerprint stands twice.
+    Types that cannot be hashed are compared as they are.
+    """
     keys, _back = pack(df, df.columns)
-    return df.groupBy(*keys).agg(F.count("*").alias("__copies"),
-                                 F.first(missing_cells(df.columns)).alias("__missing"))
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema) or not df.columns:
+        rows = df
+    else:
+        first, second = _fingerprints(df)
+        marked = df.withColumns({"__f1": first, "__f2": second})
+        twice = cut_lineage(marked.groupBy("__f1", "__f2").agg(F.count("*").alias("n")).filter("n > 1").select("__f1", "__f2"))
+        found = F.broadcast(twice) if twice.count() <= BROADCAST_FINGERPRINTS else twice
+        rows = marked.join(found, ["__f1", "__f2"], "left_semi").drop("__f1", "__f2")
+    return rows.groupBy(*keys).agg(F.count("*").alias("__copies")).filter("__copies > 1")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    return merged_rows(df).agg(
+    return repeated_rows(df).agg(
         F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
@@ -98,24 +120,22 @@ def input_bytes(df: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
 
 
-def data_summary(df: DataFrame) -> DataFrame:
-    """The full one-row profile: counts, roles, missing cells and duplicates from one pass
-    over rows merged by value."""
+def data_summary(df: DataFrame, attempts: Sequence[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """The full one-row profile: counts, roles, missing cells and duplicates. With the ``attempts`` of a
+    load they are listed, and with the table as it was read (``files``) its files and bytes are counted."""
+    counted = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(missing_cells(df.columns).cast("long")), F.lit(0)).alias("missing_values"))
     cells = F.col("rows") * F.lit(len(df.columns))
-    merged = merged_rows(df)
-    copies = F.col("__copies")
-    return merged.agg(
-        F.coalesce(F.sum(copies), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(copies * F.col("__missing")), F.lit(0)).alias("missing_values"),
-        F.coalesce(F.sum(copies - 1), F.lit(0)).alias("duplicate_rows"),
-    ).select(
+    parts = [counted, duplicate_rows(df)] + ([input_bytes(files)] if files is not None else [])
+    more = (["files", "bytes"] if files is not None else []) + (
+        [F.array(*[F.lit(a) for a in attempts]).cast("array<string>").alias("load_attempts")] if attempts is not None else [])
+    return side_by_side(*parts).select(
         "rows", F.lit(len(df.columns)).alias("columns"), "missing_values",
         F.coalesce(F.try_divide(F.col("missing_values") * 100.0, cells), F.lit(0.0))
         .alias("missing_percentage"),
         F.lit(len(numeric_columns(df))).alias("numeric_columns"),
         F.lit(len(text_columns(df))).alias("categorical_columns"),
         F.lit(len(datetime_columns(df))).alias("datetime_columns"),
-        "duplicate_rows")
+        "duplicate_rows", *more)
 
 
 def summary_statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

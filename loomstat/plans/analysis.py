@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import feature_matrix, nan_to_null, q
 from ..operators import anomaly, clean, dbscan, evaluate, insights, kmeans, pca, profile, umap, ward
-from ..session import cut_lineage
+from ..session import cut_lineage, made_tables
 from ..sources import readers, writers
 from ..sources.synthetic import GENES, SAMPLES, sample_expression, widen
 from .preprocess import AdaptivePreprocessor, PreprocessModel, summary_row
@@ -27,11 +27,12 @@ WIDE = 100
 
 
 class Analysis:
-    """The steps of one run; ``key`` names the row identity (``row_id`` is made if absent)."""
+    """The steps of one run; ``key`` names the row identity (``row_id`` is made if absent); a
+    ``log_folder`` keeps the log of all runs."""
 
-    def __init__(self, spark: SparkSession, key: str = "row_id"):
+    def __init__(self, spark: SparkSession, key: str = "row_id", log_folder: str | None = None):
         self.spark, self.key = spark, key
-        self.workspace = Workspace(spark)
+        self.workspace = Workspace(spark, log_folder)
         self.model: PreprocessModel | None = None
         self.summaries: dict[str, DataFrame] = {}
         self.clusterings: dict[str, DataFrame] = {}
@@ -43,7 +44,8 @@ class Analysis:
         ws, start = self.workspace, time.time()
         ws.log_step(name, "started", f"Starting {name}")
         try:
-            message = work()
+            with made_tables(ws.made):
+                message = work()
         except Exception as e:
             ws.log_step(name, "failed", f"{name} failed: {e}")
             ws.add_insight("error", f"{name} error: {e}", "error")
@@ -55,8 +57,9 @@ class Analysis:
             raise ValueError(f"no {name} yet")
         return self.workspace.tables[name]
 
-    def use(self, df: DataFrame, name: str = "table", file_type: str = "table") -> DataFrame:
-        """Clean, key and profile a table that is already a DataFrame."""
+    def use(self, df: DataFrame, name: str = "table", file_type: str = "table", files: DataFrame | None = None) -> DataFrame:
+        """Clean, key and profile a table that is already a DataFrame; ``files`` is the table as it was
+        read, if it comes from files."""
         def work() -> str:
             cleaned, notes = clean.clean(nan_to_null(df))
             self.workspace.add_insights(notes)
@@ -67,7 +70,7 @@ class Analysis:
             data = keyed.select(*[q(c) for c in keyed.columns if c != self.key])
             self.workspace.put("raw_data", keyed)
             # the profile is one row; materialised once, as every rule reads it
-            summary = cut_lineage(profile.data_summary(data).select(
+            summary = cut_lineage(profile.data_summary(data, self.attempts, files).select(
                 F.lit(name).alias("filename"), F.lit(file_type).alias("file_type"), "*"))
             self.summaries["data"] = summary
             self.workspace.add_insights(insights.initial_insights(data, summary))
@@ -84,12 +87,15 @@ class Analysis:
             self.workspace.log_step("load_attempt", "info", attempt)
         if got.quarantine is not None:
             self.workspace.put("quarantine", got.quarantine)
-        return self.use(got.df, path.rstrip("/").rsplit("/", 1)[-1], got.file_type)
+        files = self.spark.read.format("binaryFile").load(path)
+        return self.use(got.df, path.rstrip("/").rsplit("/", 1)[-1], got.file_type, files)
 
     def load_sample(self, samples: int = SAMPLES, genes: int = GENES) -> DataFrame:
         # written before it is widened: a column of a computed array would compute it all again
         profiles = cut_lineage(sample_expression(self.spark, samples, genes))
-        return self.use(widen(profiles, genes), "sample", "sample")
+        # rows are named by their sample, so that draws by hash do not depend on the order of files
+        number = F.regexp_extract("Sample_ID", r"(\d+)$", 1).cast("long")
+        return self.use(widen(profiles, genes).withColumn(self.key, number), "sample", "sample")
 
     def preprocess(self, **options) -> DataFrame:
         def work() -> str:

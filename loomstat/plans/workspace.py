@@ -1,4 +1,7 @@
-"""Per-run workspace: run log, insights and named result tables. No globals."""
+"""Per-run workspace: run log, insights and named result tables. No globals.
+
+With a folder for it the log is a table that all sessions append to, one partition per session.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +10,42 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import discard
+
 LOG_SCHEMA = "timestamp string, step string, status string, message string, execution_time double"
+HISTORY_SCHEMA = f"{LOG_SCHEMA}, seq long, session_id string"
 INSIGHT_SCHEMA = "type string, message string, severity string, timestamp string"
 
 
 class Workspace:
-    """Results of one run. Log and insight rows are a handful of driver-made records."""
+    """Results of one run. Log and insight rows are a handful of driver-made records.
+
+    ``log_folder``, on shared storage, keeps the log after the process ends: ``history`` reads the
+    records of all its sessions. ``made`` has the tables written on the way; ``clear`` deletes them.
+    """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, log_folder: str | None = None, session_id: str | None = None):
         self.spark = spark
-        self.session_id = datetime.now().strftime("%Y%m%d_%H%M%S")
+        self.session_id = session_id or datetime.now().strftime("%Y%m%d_%H%M%S")
+        self.log_folder = log_folder
         self.tables: dict[str, DataFrame] = {}
+        self.made: list[DataFrame] = []
         self._log: list[tuple] = []
         self._insights: list[tuple] = []
 
     def log_step(self, step: str, status: str, message: str,
                  execution_time: float | None = None) -> None:
-        self._log.append((datetime.now().isoformat(), step, status, message, execution_time))
+        row = (datetime.now().isoformat(), step, status, message, execution_time)
+        self._log.append(row)
+        if self.log_folder:
+            self.spark.createDataFrame([(*row, len(self._log), self.session_id)], HISTORY_SCHEMA).coalesce(1) \
+                .write.partitionBy("session_id").mode("append").json(self.log_folder)
+
+    def history(self) -> DataFrame:
+        """The records of all sessions of the log folder, with session_id and their number in it."""
+        if not self.log_folder:
+            raise ValueError("this workspace keeps no log folder")
+        return self.spark.read.schema(HISTORY_SCHEMA).json(self.log_folder)
 
     def add_insight(self, kind: str, message: str, severity: str = "info") -> None:
         if severity not in ("info", "warning", "error", "success"):
@@ -68,9 +90,12 @@ class Workspace:
         return wanted
 
     def clear(self) -> None:
+        """Drops results, records of this run and the tables behind them; a log folder stays."""
         for df in self.tables.values():
             if df.storageLevel.useMemory or df.storageLevel.useDisk:
                 df.unpersist()
         self.tables.clear()
+        discard(*self.made)
+        self.made.clear()
         self._log.clear()
         self._insights.clear()

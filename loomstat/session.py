@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_made: ContextVar[list | None] = ContextVar("made", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,9 +39,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.cut_path = path
+    if (made := _made.get()) is not None:
+        made.append(table)
     return table
 
 
+@contextmanager
+def made_tables(into: list[DataFrame]) -> Iterator[list[DataFrame]]:
+    """Collects the tables that ``cut_lineage`` writes inside, to be discarded by whoever owns the list."""
+    token = _made.set(into)
+    try:
+        yield into
+    finally:
+        _made.reset(token)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files behind tables that ``cut_lineage`` wrote, once their readers are done."""
     for table in tables:

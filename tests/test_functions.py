@@ -15,11 +15,37 @@ def test_narrowing_gives_the_exact_quantile(spark, kind):
     df = spark.createDataFrame([(float(v),) for v in x], "v double").unionByName(
         spark.createDataFrame([(None,)] * 5, "v double"))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = quantiles.exact_quantiles(df, ["v"], probs, in_memory=10, gather=5)["v"]
+    got = quantiles.exact_quantiles(df, ["v"], probs, in_memory=10)["v"]
     assert np.allclose(got, np.quantile(x, probs))
     assert np.allclose(quantiles.exact_quantiles(df, ["v"], probs)["v"], np.quantile(x, probs))
 
 
+def test_doubles_keep_their_order_as_numbers():
+    x = np.array([-np.inf, -1e300, -1.5, -1e-300, 0.0, 5e-324, 2.0, 1e300, np.inf])
+    keys = quantiles.ordered(x)
+    assert (np.diff(keys.astype(object)) > 0).all() and [quantiles.from_ordered(int(k)) for k in keys] == x.tolist()
+
+
+def test_quantiles_take_the_same_scans_for_any_number_of_columns(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 500)) * rng.choice([1e-3, 1, 1e9], size=500)
+    wide = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").select(
+        *[F.col("v")[j].alias(f"c{j}") for j in range(500)])
+
+    def jobs(df, cols):
+        spark.sparkContext.setJobGroup("quantiles", "quantiles")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles"))
+        found = quantiles.exact_quantiles(df, cols, [0.25, 0.5, 0.9], in_memory=10)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles")) - before
+
+    few, some = jobs(wide.select("c0", "c1"), ["c0", "c1"])
+    many, all_ = jobs(wide, wide.columns)
+    assert all_ <= some + 2
+    for j in range(500):
+        assert np.allclose(many[f"c{j}"], np.quantile(x[:, j], [0.25, 0.5, 0.9]))
+    assert few["c1"] == many["c1"]
+
+
 def test_quantiles_of_a_column_without_values(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     assert quantiles.exact_quantiles(df, ["a", "b"], [0.5]) == {"a": None, "b": [1.0]}

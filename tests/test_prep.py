@@ -167,3 +167,25 @@ def test_wide_tables_take_the_long_path_with_equal_results(spark, monkeypatch):
     for m in (columns, quantiles, prep_module, preprocess):
         monkeypatch.setattr(m, "CHUNK", 3)
     assert everything() == narrow
+
+
+def test_repeated_rows_are_found_by_fingerprint_and_compared_in_full(spark):
+    from loomstat.operators import profile
+    rows = [(1, None, 0.0, "x"), (None, 1, 0.0, "x"), (1, None, -0.0, "x"), (2, 2, float("nan"), None), (2, 2, float("nan"), None), (3, 3, 1.0, "y")]
+    df = spark.createDataFrame(rows, "a int, b int, c double, d string")
+    found = profile.repeated_rows(df)
+    assert sorted(r["__copies"] for r in found.collect()) == [2, 2]
+    assert profile.duplicate_rows(df).first()[0] == 2
+    wide = df.select(*[F.col(c).alias(f"{c}{j}") for j in range(60) for c in df.columns])
+    assert profile.duplicate_rows(wide).first()[0] == 2
+    assert profile.duplicate_rows(df.limit(0)).first()[0] == 0
+    plan = wide.select(*profile._fingerprints(wide)).groupBy("__f1", "__f2").count()._jdf.queryExecution().executedPlan().toString()
+    exchange = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchange and "a0" not in exchange[0]
+
+
+def test_same_fingerprint_is_not_enough(spark, monkeypatch):
+    from loomstat.operators import profile
+    monkeypatch.setattr(profile, "_fingerprints", lambda df: [F.lit(1).alias("__f1"), F.lit(2).alias("__f2")])
+    df = spark.createDataFrame([(1,), (2,), (2,), (3,), (2,)], "a int")
+    assert profile.duplicate_rows(df).first()[0] == 2

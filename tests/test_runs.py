@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,43 @@ def test_a_run_with_string_keys_and_nan(spark, method):
     assert {r.sid for r in labels.select("sid").collect()} == {r[0] for r in rows}
     run.anomalies(0.1)
     assert run.top_anomalies().count() > 0
+
+
+def test_sessions_append_to_one_log_and_clear_deletes_tables(spark, tmp_path):
+    import os
+    from loomstat.plans.workspace import Workspace
+    from loomstat.session import cut_lineage, made_tables
+    folder = str(tmp_path / "log")
+    for session in ("one", "two"):
+        ws = Workspace(spark, folder, session)
+        ws.log_step("load", "started", "Starting")
+        ws.log_step("load", "completed", "Done", 0.5)
+    ws.clear()
+    rows = ws.history().orderBy("session_id", "seq").collect()
+    assert [(r.session_id, r.seq, r.status) for r in rows] == [("one", 1, "started"), ("one", 2, "completed"), ("two", 1, "started"), ("two", 2, "completed")]
+    assert rows[1].execution_time == 0.5 and ws.log().count() == 0
+    with pytest.raises(ValueError):
+        Workspace(spark).history()
+    with made_tables(ws.made):
+        table = cut_lineage(spark.range(5).toDF("a"))
+    other = cut_lineage(spark.range(3).toDF("a"))
+    place = table.cut_path.removeprefix("file:")
+    assert os.path.isdir(place)
+    ws.clear()
+    assert not os.path.exists(place) and other.count() == 3
+
+
+def test_a_run_leaves_no_tables_after_clear(spark, tmp_path):
+    import os
+    rng = np.random.default_rng(1)
+    path = tmp_path / "in.csv"
+    path.write_text("a,b,c\n" + "\n".join(",".join(f"{v:.3f}" for v in r) for r in rng.normal(size=(30, 3))))
+    run = Analysis(spark)
+    run.load(str(path))
+    summary = run.summaries["data"].first()
+    assert summary.files == 1 and summary.bytes == path.stat().st_size and summary.load_attempts == run.attempts
+    run.preprocess()
+    made = [t.cut_path.removeprefix("file:") for t in run.workspace.made]
+    assert made and any(os.path.exists(p) for p in made)
+    run.clear()
+    assert not any(os.path.exists(p) for p in made)
