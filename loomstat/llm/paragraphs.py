@@ -8,9 +8,12 @@ the line is joined to its neighbour, which is a piece by itself too. Lines and p
 
 Each paragraph has the set of its 5-word shingles. ``tune`` chooses the fewest hashes, as bands of
 rows, that reach the wanted recall at the similarity; paragraphs that agree in a band are compared by
-exact Jaccard similarity, and components of the links are classes. Of a class the paragraph that ends
-first, by (key, position), stays, and all that begin where it ends or later are removed; so a line
-and its own pieces never remove each other.
+exact Jaccard similarity, and components of the links are classes. Lines are decided first: of the lines
+of a class the one that ends first, by (key, position), stays and the later ones are removed. Then
+the lines that are left and their pieces are: of a class the paragraph that ends first stays, and those
+that begin where it ends or later are removed, but for paragraphs in which what stays of another class
+would go with them. So what stays of a class is never removed through another, no passage leaves the
+corpus as a whole, and a line and its own pieces never remove each other.
 
 Equal paragraphs are one node, so copies are never paired; lists of a key are compared as in
 ``linking``. Defined cases: null texts have no paragraphs and stay null; lines of fewer than
@@ -65,6 +68,9 @@ class Paragraphs:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:len(at)])])
         self.node = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
         self.owner = owner[at][first]
+        whole = np.cumsum(size)
+        self.is_line = (first == (whole - size)[line[first]]) & (last == whole[line[first]])
+        self.head = starts[at][(whole - size)[line[first]]] - offsets[self.owner]      # where its line begins
         self.start = starts[at][first] - offsets[self.owner]
         after = at[last - 1] + 1                                    # the next word, if it is of the same text
         inside = np.append(owner, -1)[after] == self.owner
@@ -161,7 +167,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """(node, doc, start, stop) of every paragraph that can be removed."""
+    """(node, doc, start, stop, head, is_line) of every paragraph that can be removed; head is where its line begins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
@@ -169,9 +175,10 @@ def _placed(docs: DataFrame) -> DataFrame:
                 doc = np.asarray(batch.column(0).slice(first, last - first))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(p.node), pa.array(doc[p.owner], pa.int64()), pa.array(p.start, pa.int64()),
-                     pa.array(p.stop, pa.int64())], ["node", "doc", "start", "stop"])
+                     pa.array(p.stop, pa.int64()), pa.array(p.head, pa.int64()), pa.array(p.is_line)],
+                    ["node", "doc", "start", "stop", "head", "is_line"])
 
-    return docs.select("doc", "text").mapInArrow(run, "node bigint, doc bigint, start bigint, stop bigint")
+    return docs.select("doc", "text").mapInArrow(run, "node bigint, doc bigint, start bigint, stop bigint, head bigint, is_line boolean")
 
 
 def repeated_paragraphs(docs: DataFrame, num: int = 4, den: int = 5, recall: float = 0.995) -> DataFrame:
@@ -181,13 +188,45 @@ def repeated_paragraphs(docs: DataFrame, num: int = 4, den: int = 5, recall: flo
     members = members_of_shared_keys(lambda: _postings(docs, bands, rows), num, den)
     classes = link(members, lambda nodes: _sets(docs, nodes), num, den)
     discard(members)
-    placed = _placed(docs).join(within_broadcast(classes), "node", "left") \
-        .select(F.coalesce("component", "node").alias("class"), "doc", "start", "stop")
-    first = (placed.groupBy("class").agg(F.min(F.struct("doc", "stop")).alias("first"), F.count("*").alias("held"))
-             .filter("held > 1").drop("held"))
-    gone = placed.join(first, "class").filter(F.struct("doc", F.col("start").alias("stop")) >= F.col("first"))
-    return cut_lineage(gone.groupBy("doc").agg(
-        F.array_sort(F.collect_set(F.struct("start", "stop", F.col("first.doc").alias("of")))).alias("spans")))
+    # paragraphs alone in their class stay: they neither repeat anything nor are repeated
+    placed = cut_lineage(_in_shared_classes(_placed(docs), classes))
+    lines = _later(placed.filter("is_line"))
+    left = placed.join(lines.select("doc", "head"), ["doc", "head"], "left_anti")
+    gone = cut_lineage(_later(left))
+    stays = cut_lineage(_first(left).select("first.*").distinct())
+    # pieces of a line overlap where they begin or end at one place; a line overlaps all of its own
+    inside = gone.join(stays.filter("not is_line").select("doc", "head"), ["doc", "head"], "left_semi").filter("is_line")
+    around = gone.join(stays.filter("is_line").select("doc", "head"), ["doc", "head"], "left_semi")
+    begins, ends = (gone.join(stays.select("doc", c), ["doc", c], "left_semi") for c in ("start", "stop"))
+    place = ["doc", "start", "stop"]
+    spared = inside.select(place).unionByName(around.select(place)).unionByName(begins.select(place)).unionByName(ends.select(place)).distinct()
+    removed = lines.select(*place, "of").unionByName(gone.join(spared, place, "left_anti").select(*place, "of"))
+    out = cut_lineage(removed.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "of"))).alias("spans")))
+    discard(placed, gone, stays)
+    return out
+
+
+def _in_shared_classes(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``placed`` with its class, without paragraphs that are alone in theirs."""
+    named = placed.join(within_broadcast(classes), "node", "left") \
+        .select(F.coalesce("component", "node").alias("class"), "doc", "start", "stop", "head", "is_line")
+    place = F.struct("doc", "start", "stop")            # the same for repeated rows
+    held = named.groupBy("class").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("class")
+    return named.join(held, "class", "left_semi")
+
+
+def _first(placed: DataFrame) -> DataFrame:
+    """(class, first): the paragraph of each class of several that ends first."""
+    place = F.struct("doc", "stop", "start", "head", "is_line")
+    return (placed.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+            .filter("first <> last").drop("last"))
+
+
+def _later(placed: DataFrame) -> DataFrame:
+    """``placed`` without what stays of each class and what overlaps it, with ``of``, the key of the
+    document in which it stays."""
+    return (placed.join(_first(placed), "class").filter("struct(doc, start) >= struct(first.doc, first.stop)")
+            .select("doc", "start", "stop", "head", "is_line", F.col("first.doc").alias("of")))
 
 
 def without_spans(df: DataFrame, text: str = "text") -> DataFrame:
