@@ -19,8 +19,10 @@ the larger counts; without labels of both classes every score is 0. Repeated row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -30,6 +32,7 @@ from .text import LOWER, slices, words
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 BROADCAST_ROWS = 8_000_000
+FOLDS = (0, 1, 3)               # fold 2 is never learned from
 FEATURES = ["first", "second", "third", "mean"]
 
 
@@ -239,27 +242,45 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
              order: int = 5, threshold: float = 0.3, curve_rows: int = 20_000,
              broadcast_rows: int | None = None) -> DataFrame:
     """One row per document: key, held_out, FEATURES, score, predicted. Learns from labelled documents
-    whose fold is not 2: the curve from at most ``curve_rows`` of fold 3, those with the smallest key
-    hashes, judged by counts of folds 0 and 1; then scores come from the counts of all three."""
+    whose fold is not 2: the curve from at most ``curve_rows`` of the folds, those with the smallest key
+    hashes, each fold judged by the counts of the other two; then scores come from the counts of all.
+
+    Fold 3 judged by 0 and 1 makes the curve as long as both sides have both classes; otherwise all folds
+    are judged, so that any fold with a class of its own serves. If no fold can be judged by others with both
+    classes, the score is that of the plain log-likelihood ratio; without both classes anywhere it is 0."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     marks = (labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(F.col(key)) != 2))
              .groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("label")))
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
     taught = docs.join(marks, "key")
-    part = [cut_lineage(gram_counts(taught.filter(chosen), "text", "label", order))
-            for chosen in (fold(F.col("key")) < 2, fold(F.col("key")) == 3)]
-    both = part[0].agg(F.sum("toxic"), F.sum("ordinary")).first()
+    counts = {f: cut_lineage(gram_counts(taught.filter(fold(F.col("key")) == f), "text", "label", order)) for f in FOLDS}
+    held = {f: c.agg(F.sum("toxic"), F.sum("ordinary")).first() for f, c in counts.items()}
+    has = {f: [bool(n) for n in h] for f, h in held.items()}
+
+    def both(folds) -> bool:
+        return all(any(has[f][c] for f in folds) for c in (0, 1))
+
+    def merged(folds) -> DataFrame:
+        rows = [counts[f] for f in folds]
+        whole = reduce(DataFrame.unionByName, rows)
+        return whole.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+    def judged(f: int) -> pd.DataFrame:
+        model = fit_ratios(cut_lineage(merged([g for g in FOLDS if g != f])), order)
+        rows = features(taught.filter(fold(F.col("key")) == f), "text", *model, order, broadcast_rows)
+        return rows.orderBy(F.xxhash64("key"), *FEATURES).limit(curve_rows).select("label", *FEATURES).toPandas()
+
     weights, constant = np.zeros(4), -30.0
-    if both[0] and both[1]:
-        model = fit_ratios(part[0], order)
-        judged = features(taught.filter(fold(F.col("key")) == 3), "text", *model, order, broadcast_rows)
-        rows = judged.orderBy(F.xxhash64("key"), *FEATURES).limit(curve_rows).select("label", *FEATURES).toPandas()
+    if both(FOLDS):
+        last = FOLDS[-1]
+        chosen = [last] if both([last]) and both(FOLDS[:-1]) else [f for f in FOLDS if any(has[f]) and both([g for g in FOLDS if g != f])]
+        rows = pd.concat([judged(f) for f in chosen]) if chosen else pd.DataFrame({"label": []})
         if rows["label"].nunique() == 2:
             weights, constant = fit_curve(rows[FEATURES].to_numpy(), rows["label"].to_numpy())
-        whole = part[0].unionByName(part[1]).groupBy("gram").agg(
-            F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-        scored = features(docs, "text", *fit_ratios(cut_lineage(whole), order), order, broadcast_rows)
+        else:
+            weights, constant = np.array([float(c == "mean") for c in FEATURES]), 0.0
+        scored = features(docs, "text", *fit_ratios(cut_lineage(merged(FOLDS)), order), order, broadcast_rows)
     else:
         scored = docs.drop("text").withColumns({c: F.lit(0.0) for c in FEATURES})
     total = F.lit(constant)
