@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .text import lists, slices
+from .text import SLICE, lists, slices
 
 # states
 START, LETTER, NUMBER, OTHER, SPACE, WHITE, QUOTE, QUOTE_RV, QUOTE_L, CLOSED = range(10)
@@ -320,34 +320,72 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-_workers: dict[str, Encoder] = {}      # of this Python process, by call of encode()
+_workers: dict[str, tuple[Encoder, Decoder | None]] = {}      # of this Python process, by call of encode()
 
 
 def _keep(df: DataFrame, drop: set[str]) -> list[str]:
     return [c for c in df.columns if c not in drop]
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text", cached: int = 300_000) -> DataFrame:
+class Decoder:
+    """Ids to bytes by a table of all tokens, laid out by the end offset of each token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = sorted((i, token) for token, i in ranks.items())
+        self.sizes = np.zeros(by_id[-1][0] + 1, np.int64)
+        self.sizes[[i for i, _ in by_id]] = [len(x) for _, x in by_id]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.table = np.frombuffer(b"".join(x for _, x in by_id), np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray, ends: np.ndarray | None = None) -> pa.BinaryArray:
+        """One value per text; without end offsets the lengths of the tokens say where each goes."""
+        size, last = self.sizes[ids], np.cumsum(counts)
+        if ends is not None:
+            totals = np.where(counts > 0, ends[np.maximum(last, 1) - 1] if len(ends) else 0, 0)
+        else:
+            sums = np.concatenate([[0], np.cumsum(size)])
+            totals = sums[last] - sums[last - counts]
+            ends = sums[1:] - np.repeat(sums[last - counts], counts)
+        base = np.cumsum(totals) - totals
+        # byte j of token t goes to its text's base + its end - its size + j
+        target = np.repeat(np.repeat(base, counts) + ends - size - (np.cumsum(size) - size), size)
+        source = np.repeat(self.begins[ids] - (np.cumsum(size) - size), size)
+        step = np.arange(len(source))
+        body = np.empty(int(totals.sum()), np.uint8)
+        body[target + step] = self.table[source + step]
+        bounds = np.concatenate([[0], np.cumsum(totals)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(totals), [None, pa.py_buffer(bounds), pa.py_buffer(body)])
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text", cached: int = 300_000, decoded: str | None = None) -> DataFrame:
     """The columns of ``df`` but its text, then ids (array<int>) and offsets (array<int>: the byte
     at which each token ends). The vocabulary, whose size does not depend on the data, is broadcast;
-    each worker caches the ids of at most ``cached`` short pieces."""
+    each worker caches the ids of at most ``cached`` short pieces. With ``decoded`` a column of that
+    name has the bytes that the ids decode to: a round trip that needs one worker instead of two."""
     shared = df.sparkSession.sparkContext.broadcast((ranks, code_point_classes()))
-    kept = _keep(df, {text, "ids", "offsets"})
+    out = ["ids", "offsets", *([decoded] if decoded else [])]
+    kept = _keep(df, {text, *out})
     schema = StructType([df.schema[c] for c in kept]
-                        + [StructField(c, ArrayType(IntegerType(), False)) for c in ("ids", "offsets")])
+                        + [StructField(c, ArrayType(IntegerType(), False)) for c in ("ids", "offsets")]
+                        + ([StructField(decoded, BinaryType())] if decoded else []))
 
     tag = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = _workers.get(tag)
-        if worker is None:
-            worker = _workers.setdefault(tag, Encoder(*shared.value, cached))
+        known = _workers.get(tag)
+        if known is None:
+            ranks, classes = shared.value
+            known = _workers.setdefault(tag, (Encoder(ranks, classes, cached), Decoder(ranks) if decoded else None))
+        worker, back = known
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column(len(kept))):
+            # a round trip holds 24 bytes for each of the text, so it takes smaller slices
+            for first, last, data, offsets in slices(batch.column(len(kept)), SLICE // 4 if decoded else None):
                 ids, ends, counts = worker.encode(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(first, last - first) for i in range(len(kept))),
-                     lists(ids, counts, pa.int32()), lists(ends, counts, pa.int32())], [*kept, "ids", "offsets"])
+                columns = [lists(ids, counts, pa.int32()), lists(ends, counts, pa.int32())]
+                if decoded:
+                    columns.append(back.decode(ids, counts, ends))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in range(len(kept))), *columns],
+                                                 [*kept, *out])
 
     return df.select(*[f"`{c}`" for c in kept], f"`{text}`").mapInArrow(run, schema)
 
@@ -361,36 +399,14 @@ def decode(df: DataFrame, ranks: dict[bytes, int], out: str = "decoded") -> Data
     ids_at, ends_at = kept.index("ids"), kept.index("offsets") if "offsets" in kept else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = sorted((i, token) for token, i in shared.value.items())
-        sizes = np.zeros(by_id[-1][0] + 1, np.int64)
-        sizes[[i for i, _ in by_id]] = [len(x) for _, x in by_id]
-        begins = np.cumsum(sizes) - sizes
-        table = np.frombuffer(b"".join(x for _, x in by_id), np.uint8)
+        back = Decoder(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 column = batch.column(ids_at)
                 counts = np.array(column.value_lengths().fill_null(0), np.int64)
-                ids = np.array(column.flatten(), np.int64)
-                size = sizes[ids]
-                last = np.cumsum(counts)
-                if ends_at is not None:
-                    ends = np.array(batch.column(ends_at).flatten(), np.int64)
-                    totals = np.where(counts > 0, ends[np.maximum(last, 1) - 1] if len(ends) else 0, 0)
-                else:
-                    sums = np.concatenate([[0], np.cumsum(size)])
-                    totals = sums[last] - sums[last - counts]
-                    ends = sums[1:] - np.repeat(sums[last - counts], counts)
-                base = np.cumsum(totals) - totals
-                # byte j of token t goes to its text's base + its end - its size + j
-                target = np.repeat(np.repeat(base, counts) + ends - size - (np.cumsum(size) - size), size)
-                source = np.repeat(begins[ids] - (np.cumsum(size) - size), size)
-                step = np.arange(len(source))
-                body = np.empty(int(totals.sum()), np.uint8)
-                body[target + step] = table[source + step]
-                bounds = np.concatenate([[0], np.cumsum(totals)]).astype(np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), len(totals),
-                                                [None, pa.py_buffer(bounds), pa.py_buffer(body)])
+                ends = np.array(batch.column(ends_at).flatten(), np.int64) if ends_at is not None else None
+                decoded = back.decode(np.array(column.flatten(), np.int64), counts, ends)
                 if column.null_count:
                     decoded = pa.compute.if_else(column.is_valid(), decoded, pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*kept, out])

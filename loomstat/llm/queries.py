@@ -22,7 +22,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks), ranks)
+    coded = bpe.encode(documents(spark, sf_dir), ranks, decoded="decoded")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -33,6 +33,8 @@ def test_bpe_round_trip(spark):
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
     table = docs(spark, ROWS)
     got = bpe.decode(bpe.encode(table, RANKS), RANKS).collect()
+    once = bpe.encode(table, RANKS, decoded="decoded").collect()
+    assert collections.Counter(map(str, once)) == collections.Counter(map(str, got))
     assert len(got) == len(ROWS)
     want = collections.Counter((i, tuple(known.encode_ordinary(t or "")), (t or "").encode()) for i, t in ROWS)
     assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got) == want
@@ -109,6 +111,26 @@ def test_toxicity(spark):
     assert len(none) == len(rows) and all(r.score == 0 and r.predicted == 0 for r in none)
 
 
+@pytest.mark.parametrize("folds", [(0, 1), (1, 3), (0, 3), (0, 1, 3)])
+def test_toxicity_with_a_fold_of_one_class(spark, folds):
+    """Toxic documents stand in some folds only; the curve then comes from those that others can judge."""
+    import zlib
+    plain = ["table", "garden", "river", "window", "paper", "music", "winter"]
+    rng = np.random.default_rng(4)
+    rows, marks, want = [], [], {}
+    for i in range(400):
+        toxic = int(i % 3 == 0 and zlib.crc32(str(i).encode()) % 4 in (*folds, 2))
+        words = list(rng.choice(plain, 30))
+        if toxic:
+            words[::10] = [f"zorgle{rng.choice(plain)}"] * 3
+        rows.append((i, " ".join(words)))
+        marks.append((i, toxic))
+        want[i] = toxic
+    got = {r.doc_id: r for r in toxicity.toxicity(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    assert {i: r.predicted for i, r in got.items()} == want
+    assert min(got[i].score for i in want if want[i]) > max(got[i].score for i in want if not want[i])
+
+
 def test_lines(spark):
     rows = [(1, "a b c d e\nx y\n\n"), (2, "A b c d e\nnew line here\nx y"), (2, "A b c d e\nnew line here\nx y"), (None, "x y"), (3, None),
             (4, ""), (5, "e d c b a\n  \nonly here"), (6, "a b c d q\na b c d e f\n" + LONG), (7, LONG + " end")]
@@ -264,26 +286,59 @@ def brute_paragraphs(rows):
     spans = []
     for i, t in rows:
         p = paragraphs.Paragraphs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
-        found = {(int(a), int(z)) for a, z in zip(p.start, p.stop)}
+        found = {(int(a), int(z)): (int(h), bool(x)) for a, z, h, x in zip(p.start, p.stop, p.head, p.is_line)}
         at = 0
         for line in t.split("\n"):
             if len(line.split()) >= 5:                  # each such line is there as a whole
                 assert any(t[a:z].strip().startswith(line.strip()) and a == at + len(line) - len(line.lstrip()) for a, z in found)
+                assert found[next((a, z) for a, z in found if found[a, z] == (at + len(line) - len(line.lstrip()), True))]
             if 5 <= len(line.split()) <= paragraphs.LONG:
                 assert len([a for a, z in found if at <= a < at + len(line)]) == 1
             at += len(line) + 1
-        spans += [(i, a, z, t[a:z].lower().split("\n")[0].split()) for a, z in sorted(found)]
+        spans += [(i, a, z, *found[a, z], t[a:z].lower().split("\n")[0].split()) for a, z in sorted(found)]
     sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for *_, w in spans]
     label = list(range(len(spans)))
     for a in range(len(spans)):
         for b in range(a):
             if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 label = [label[b] if x == label[a] else x for x in label]
-    gone = collections.defaultdict(set)
-    for (i, a, z, _), x in zip(spans, label):
-        if any(y == x and (j, stop) <= (i, a) for (j, _, stop, _), y in zip(spans, label)):
-            gone[i].update(range(a, z))
-    return {i: "".join(c for k, c in enumerate(t) if k not in gone[i]) for i, t in rows}
+    first = lambda units: {x: min((s[0], s[2], s[1]) for s, y in units if y == x) for _, x in units}
+    later = lambda units, f: [(s, x) for s, x in units if (s[0], s[1]) >= f[x][:2]]
+    units = list(zip(spans, label))
+    lines = [u for u in units if u[0][4]]
+    gone = later(lines, first(lines))
+    cut = {(s[0], s[3]) for s, _ in gone}
+    units = [u for u in units if (u[0][0], u[0][3]) not in cut]
+    stays = first(units)
+    held = collections.Counter(x for _, x in units)
+    stays = {x: f for x, f in stays.items() if held[x] > 1}
+    for s, x in later([u for u in units if u[1] in stays], stays):
+        if not any(i == s[0] and a < s[2] and s[1] < z for i, z, a in stays.values()):
+            gone.append((s, x))
+    bytes_ = collections.defaultdict(set)
+    for s, _ in gone:
+        bytes_[s[0]].update(range(s[1], s[2]))
+    return {i: "".join(c for k, c in enumerate(t) if k not in bytes_[i]) for i, t in rows}
+
+
+def test_paragraphs_lose_no_text(spark):
+    """A near copy that goes is no place where a passage of another class stays."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: " ".join(f"v{rng.integers(10**9)}" for _ in range(n))
+    a, p, q, x, y = fresh(200), fresh(20), fresh(20), fresh(40), fresh(40)
+    rows = [(1, f"{a} {q}"), (2, f"{a} {p}"), (3, f"{x} {p} {y}"), (4, p)]
+    got = {r.doc_id: r.text for r in paragraphs.dedup_paragraphs(docs(spark, rows)).collect()}
+    # the ends of P are cut otherwise inside other text, so some of its words stay twice
+    assert got[1] == rows[0][1] and got[2] == "" and p in got[3] and len(got[4]) < 0.5 * len(p)
+    assert paragraphs.dedup_paragraphs(docs(spark, rows).withColumn("repeats", F.lit("clash"))).count() == 4
+    # long lines that share pieces: whatever goes, each word of the input stays somewhere
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        parts = [fresh(int(n)) for n in rng.integers(14, 60, 8)]
+        rows = [(i, "\n".join(" ".join(parts[j] for j in rng.choice(8, int(rng.integers(1, 5)), replace=False)) for _ in range(2))) for i in range(12)]
+        left = " ".join(r.text for r in paragraphs.dedup_paragraphs(docs(spark, rows)).collect()).split()
+        lost = set(" ".join(t for _, t in rows).split()) - set(left)
+        assert len(lost) <= 0.02 * len(set(" ".join(parts).split())), (seed, len(lost))
 
 
 def test_paragraphs_against_all_pairs(spark):
