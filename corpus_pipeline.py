@@ -1,8 +1,9 @@
 """Documents to training tokens: five stages, each on all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps with the columns they came
-with; the last returns tokens. Null keys and repeated rows are documents like others. An empty table
-stays empty.
+with; the last returns tokens. The columns doc_id, text, lang, source and n_chars are needed; others pass
+through unchanged, whatever their names, up to the last stage. Null keys and repeated rows are documents
+like others. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or line has; those left with no word go."""
-    found = line_dedup.dedup_lines(docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")))
     kept = found.filter((F.col("n_removed") == 0) | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
-    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", length).select(*docs.columns)
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("others.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else length.alias(c) if c == "n_chars"
+                         else F.col("others").getField(c).alias(c) for c in docs.columns])
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +46,9 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.select(name.alias("name"), "doc_id").join(found.select("name", "component_id").distinct(), "name")
     first = cut_lineage(named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("first"))
                         .select(F.col("first.name").alias("name")))
-    kept = docs.withColumn("name", name).join(within_broadcast(first), "name", "left_semi")
-    return kept.dropDuplicates(["name"]).select(*docs.columns)
+    kept = docs.select(name.alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) \
+        .join(within_broadcast(first), "name", "left_semi").dropDuplicates(["name"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     name = F.xxhash64("doc_id", "text")
     found = decontam.contamination(docs.select(name.alias("name"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="name")
     bad = cut_lineage(found.filter("n_hit > 0").select(F.col("name").alias("bad")).distinct())
-    return docs.join(within_broadcast(bad), name == F.col("bad"), "left_anti").select(*docs.columns)
+    whole = docs.select(name.alias("bad"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(within_broadcast(bad), "bad", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
@@ -62,7 +67,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, ranks_path:
         import public_tokenizers
         ranks_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = bpe.read_ranks(ranks_path)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks), ranks)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, decoded="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets",
                         F.col("decoded").cast("string").alias("text"))
 
