@@ -121,6 +121,14 @@ def adaptive_pipeline(spark, d):
     return rounded(_fit(spark, d).fitted_table, *NUM)
 
 
+def adaptive_pipeline_knn(spark, d):
+    """All choices automatic, on four columns, where the imputer is that by nearest rows."""
+    model = AdaptivePreprocessor("vec_id").fit(points_gaps_spark(spark, d))
+    if model.imputer != "knn":
+        raise ValueError(f"the rows were filled by {model.imputer}")
+    return rounded(model.fitted_table, "x1", "x2", "x3", "x4")
+
+
 def preprocessing_summary(spark, d):
     return summary_row(_fit(spark, d), spark)
 
@@ -129,7 +137,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         drop_high_missing, impute_median, impute_knn, impute_knn_new_rows, impute_categorical, impute_mode, forward_fill,
         drop_missing_rows, dedupe_rows, quartiles, iqr_cap, outlier_counts, iqr_filter,
-        variance_filter, zscore_filter, one_hot, hash_encode, adaptive_pipeline,
+        variance_filter, zscore_filter, one_hot, hash_encode, adaptive_pipeline, adaptive_pipeline_knn,
         preprocessing_summary)},
     "scale_standard": _scale(prep.scale_standard),
     "scale_robust": _scale(prep.scale_robust),
@@ -263,3 +271,18 @@ ORACLE = {
         2 as numeric_features, 8 as preprocessing_steps""",
 }
 ORACLE["impute_knn_new_rows"] = ORACLE["impute_knn"]
+
+_POINTS = ["x1", "x2", "x3", "x4"]
+_BOUND = "quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) as l_{c}, " \
+         "quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) as h_{c}"
+# above 1,000 rows by mean and deviation, up to that by median and quartiles
+_CENTRE = "case when count(*) > 1000 then avg({c}) else quantile_cont({c}, 0.5) end as m_{c}, case when count(*) > 1000 " \
+          "then stddev_pop({c}) else quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) end as d_{c}"
+ORACLE["adaptive_pipeline_knn"] = f"""with t as ({points_gaps_oracle()}), f1 as ({_knn_fill('x1')}), f3 as ({_knn_fill('x3')}),
+    filled as (select t.vec_id, coalesce(x1, f1.v) as x1, x2, coalesce(x3, f3.v) as x3, x4
+        from t left join f1 on f1.vec_id = t.vec_id left join f3 on f3.vec_id = t.vec_id),
+    uniq as (select min(vec_id) as vec_id, x1, x2, x3, x4 from filled group by x1, x2, x3, x4),
+    bound as (select {", ".join(_BOUND.format(c=c) for c in _POINTS)} from uniq),
+    capped as (select vec_id, {", ".join(f"greatest(l_{c}, least(h_{c}, {c})) as {c}" for c in _POINTS)} from uniq, bound),
+    centre as (select {", ".join(_CENTRE.format(c=c) for c in _POINTS)} from capped)
+    select vec_id, {", ".join(f"round(({c} - m_{c}) / coalesce(nullif(d_{c}, 0), 1), 6) as {c}" for c in _POINTS)} from capped, centre"""
