@@ -75,35 +75,52 @@ def matrix(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column)).reshape(len(column), -1)
 
 
-def permutations(x: np.ndarray, longest: float, pivots: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` nearest pivots of each vector, nearest first."""
-    rest = np.sqrt(np.maximum(0.0, longest ** 2 - (x * x).sum(1)))
-    order = np.argsort(-(x @ pivots[:, :-1].T + rest[:, None] * pivots[:, -1]), axis=1, kind="stable")
-    return order[:, :depth].astype(np.int32)
+def permutations(y: np.ndarray, points: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` nearest pivots of each vector, nearest first, ties to the smaller pivot."""
+    score = -(y @ points.T)
+    # at least the depth nearest, ties of the last one included, then in order
+    edge = np.partition(score, depth - 1, axis=1)[:, depth - 1:depth]
+    score[score > edge] = np.inf
+    return np.argsort(score, axis=1, kind="stable")[:, :depth].astype(np.int32)
 
 
 class Block:
-    """The inverted files of one block of the index."""
+    """The inverted files of one block of the index: per pivot its rows and the rank it has for them."""
 
     def __init__(self, perm: np.ndarray, pivots: int):
         self.n, self.depth = perm.shape
         order = np.argsort(perm.ravel(), kind="stable")
-        self.row, self.rank = (order // self.depth).astype(np.int32), (order % self.depth).astype(np.int32)
+        self.row, self.rank = (order // self.depth).astype(np.intp), (order % self.depth).astype(np.int32)
         self.bounds = np.searchsorted(perm.ravel()[order], np.arange(pivots + 1))
 
     def footrule(self, query: np.ndarray) -> np.ndarray:
-        """Sum over both sides' pivots of the difference in rank, for every row of the block."""
-        begin, end = self.bounds[query], self.bounds[query + 1]
-        size = end - begin
-        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        mine, theirs = np.repeat(np.arange(len(query)), size), self.rank[at]
+        """Sum over both sides' pivots of the difference in rank, less what two vectors without a shared
+        pivot have, for every row of the block. Only the files of the query's own pivots are read."""
+        files = [slice(self.bounds[p], self.bounds[p + 1]) for p in query]
+        rows = np.concatenate([self.row[f] for f in files])
         # both missing sides counted first; a shared pivot replaces its two parts by the difference
-        saved = np.abs(mine - theirs) - (self.depth - mine) - (self.depth - theirs)
-        return np.bincount(self.row[at], weights=saved, minlength=self.n)
+        saved = np.concatenate([np.abs(self.rank[f] - mine) + self.rank[f] + (mine - 2 * self.depth)
+                                for mine, f in enumerate(files)])
+        return np.bincount(rows, weights=saved, minlength=self.n)
 
 
-def search(df: DataFrame, key: str, vector: str, is_query, k: int = 20, pivots: int = 256, depth: int = 128,
-           share: float = 0.06, least: int = 300, index_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def indexed(entries: DataFrame, shared, depth: int) -> DataFrame:
+    """The entries with ``perm``, the numbers of their nearest pivots as bytes: found once for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, longest = shared.value
+        for batch in batches:
+            perm = pa.array([], pa.binary())
+            if batch.num_rows:
+                x = matrix(batch.column("vec").to_pylist())
+                rest = np.sqrt(np.maximum(0.0, longest ** 2 - (x * x).sum(1)))
+                perm = pa.array([p.tobytes() for p in permutations(np.column_stack([x, rest]), points, depth)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, perm], [*batch.schema.names, "perm"])
+
+    return entries.select("rep", "vec", "ids").mapInArrow(run, "rep bigint, vec binary, ids array<bigint>, perm binary")
+
+
+def search(df: DataFrame, key: str, vector: str, is_query, k: int = 20, pivots: int = 256, depth: int = 48,
+           share: float = 0.2, least: int = 300, index_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row for which the
     condition ``is_query`` on id holds. ``share`` of each block, and ``least`` rows at least, are ranked exactly."""
     spark = df.sparkSession
@@ -125,6 +142,7 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 20, pivots:
     rest = np.sqrt(np.maximum(0.0, longest ** 2 - (points * points).sum(1)))
     shared = spark.sparkContext.broadcast((np.column_stack([points, rest]), longest))
     depth = min(depth, len(sample))
+    index = cut_lineage(indexed(entries, shared, depth))
     blocks = -(-total // index_rows)
 
     asked = rows.filter(is_query(F.col("id"))).distinct()
@@ -132,33 +150,36 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 20, pivots:
     queries = named.select("rep", "vec").distinct()
     parts = max(1, -(-queries.count() // query_rows))
     part_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = (entries.withColumn("block", part_of("rep", blocks))
+    left = (index.withColumn("block", part_of("rep", blocks))
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
     right = (queries.withColumn("part", part_of("rep", parts))
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
 
     def compare(index: pa.Table, asking: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out_q, out_row, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if index.num_rows and asking.num_rows:
-            points, longest = shared.value
+            points, _ = shared.value
             x, y = matrix(index["vec"].to_pylist()), matrix(asking["vec"].to_pylist())
-            ids = index["ids"].to_pylist()
             rep = np.asarray(index["rep"])
-            files = Block(permutations(x, longest, points, depth), len(points))
+            files = Block(np.frombuffer(b"".join(index["perm"].to_pylist()), np.int32).reshape(len(x), -1), len(points))
             keep = min(len(x), max(least, int(share * len(x))) + 1)
-            zero = np.zeros(y.shape[0])                            # queries are not filled up
-            near = np.argsort(-(y @ points[:, :-1].T + zero[:, None]), axis=1, kind="stable")[:, :depth]
+            # queries are not filled up
+            near = permutations(np.column_stack([y, np.zeros(len(y))]), points, depth)
             for q, perm, vec in zip(asking["rep"].to_pylist(), near, y):
-                distance = files.footrule(perm)
-                chosen = np.argpartition(distance, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
+                chosen = np.argpartition(files.footrule(perm), keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
                 score = (x[chosen] * vec).sum(1)
-                for i in np.lexsort((rep[chosen], -score))[:k + 1]:
-                    own = ids[chosen[i]]
-                    out_q += [q] * len(own)
-                    out_v += own
-                    out_s += [float(score[i])] * len(own)
-        return pa.table({"rep": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()),
-                         "score": pa.array(out_s, pa.float64())})
+                if k + 1 < len(chosen):                             # the best, ties of the last one included
+                    high = score >= -np.partition(-score, k)[k]
+                    chosen, score = chosen[high], score[high]
+                best = np.lexsort((rep[chosen], -score))[:k + 1]
+                out_q.append(np.full(len(best), q))
+                out_row.append(chosen[best])
+                out_s.append(score[best])
+        row = np.concatenate(out_row)
+        names = index["ids"].combine_chunks().take(pa.array(row)) if len(row) else pa.array([], pa.list_(pa.int64()))
+        size = np.asarray(names.value_lengths(), np.int64)
+        return pa.table({"rep": pa.array(np.repeat(np.concatenate(out_q), size), pa.int64()), "vec_id": names.flatten(),
+                         "score": pa.array(np.repeat(np.concatenate(out_s), size), pa.float64())})
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(
         compare, "rep bigint, vec_id bigint, score double")

@@ -88,6 +88,31 @@ def test_neighbours(spark):
     assert sorted((r.rank, r.query_id) for r in few) == [(1, 0), (2, 0)]
 
 
+def test_neighbours_when_the_footrule_decides(spark):
+    """A fifth of each block is ranked, so what the index puts first decides what is found."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 12))
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(table, "vec_id", "v", lambda i: i % 50 == 0, least=20, index_rows=1000, query_rows=40).collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 50):
+        score = (x * x[q]).sum(1)
+        hits += len({i for i in np.lexsort((np.arange(3000), -score))[:21] if i != q} & set(got[q]))
+    assert all(len(found) == 20 for found in got.values()) and 0.9 * 20 * 60 <= hits
+
+
+def test_footrule(spark):
+    """The files of a block give the footrule of whole permutations, less the same for every row."""
+    rng = np.random.default_rng(1)
+    perm = np.array([rng.permutation(30)[:7] for _ in range(50)], np.int32)
+    query = rng.permutation(30)[:7]
+    rank = lambda p, i: list(p).index(i) if i in p else 7
+    want = [sum(abs(rank(p, i) - rank(query, i)) for i in range(30)) for p in perm]
+    assert (ann.Block(perm, 30).footrule(query) + 2 * sum(range(1, 8))).tolist() == want
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     plain = ["table", "garden", "river", "window", "paper", "music", "winter"]
