@@ -59,7 +59,7 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int,
 def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int,
          single_from: int | None = None) -> DataFrame:
     """(node, component) of all nodes that link to another. ``members`` has (key, node, n, place):
-    n is the size of the node's set, place the rank of the key's first element in the order
+    n is the size of the node's set, place the rank of the key's last element in the order
     all sets share (0 where there is none). ``sets`` gives (node, items) of a table of nodes. Sets of
     ``single_from`` elements or more have posted their first elements one by one."""
     # the node that shares most leads a list: of near copies the one that is changed least
@@ -79,7 +79,7 @@ def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, d
 
     mixed = _mixed(members, labels)
     a, b = mixed.alias("a"), mixed.alias("b")
-    # the first two elements that similar sets share leave room in both for the rest of the overlap
+    # the first two elements that similar sets share, or the key of both, leave room for the rest of the overlap
     fits = (f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) and "
             f"least(a.n - a.place, b.n - b.place) + 1 >= ceil({num} * (a.n + b.n) / {num + den})")
     pairs = (a.join(b, F.expr(f"a.key = b.key and a.component < b.component and {fits}"))

@@ -111,7 +111,7 @@ def boundary(sets: DataFrame, num: int, den: int) -> int:
 
 
 def postings(sets: DataFrame, light: int, num: int, den: int) -> DataFrame:
-    """(key, node, n, place): subsets of two elements from light sets, single ones from sets that
+    """(key, node, n, place of the last element): subsets of two elements from light sets, single ones from sets that
     are heavy or can reach a heavy one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +128,7 @@ def postings(sets: DataFrame, light: int, num: int, den: int) -> DataFrame:
                     table = items[begin[own][:, None] + np.arange(q)]
                     keys.append(mix(mix(table[:, i] + np.uint64(1)) + table[:, j]).ravel())
                     owners.append(np.repeat(own, len(i)))
-                    places.append(np.tile(i, len(own)))
+                    places.append(np.tile(j, len(own)))
                 single = np.flatnonzero(den * n >= num * light + (light == 1))
                 count = np.maximum(size[single] - (n[single] > 1), 0)
                 owner = np.repeat(single, count)
