@@ -27,6 +27,10 @@ LEAD = 16               # coordinates of the projection
 SAMPLE = 4_096          # rows that shape one level of a cell
 FAN = 256               # cells per level
 PAIRS = 4_000_000       # numbers held at once by one numpy step
+SWEEPS = 24             # parts of the rows that ask in a sweep; each entry goes to each part at most once
+HELD = 100_000          # rows that ask which one task of a sweep holds
+MEETING = 4_096         # entries that they meet at once
+FOUND = 200_000         # results that a task gathers before it merges them
 
 
 # ---- arrays of vectors ----------------------------------------------------------------
@@ -163,6 +167,10 @@ class Blocks:
     def __getstate__(self):     # tasks get the boxes alone
         return {k: v for k, v in self.__dict__.items() if k != "rows"}
 
+    def bound(self, z: np.ndarray, block: int) -> np.ndarray:
+        """What an entry of a block is away at least from each row."""
+        return _gap(z, self.lo[block], self.hi[block], float(max(np.abs(self.lo).max(), np.abs(self.hi).max())))
+
     def near(self, z: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, block, bound) of all blocks that can hold an entry within reach of each row. Cells
         that are too far as a whole are passed over."""
@@ -337,3 +345,117 @@ def visit(asking: DataFrame, data: DataFrame, fn: Callable[[pa.Table, pa.Table],
     left, right = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (left, right))
     keys = ("block", "part", "copy")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(fn, schema)
+
+
+def first_of(keys: list[np.ndarray], group: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k first rows of each group in the order of ``keys``, the most important last."""
+    order = np.lexsort((*keys, group))
+    begin = np.flatnonzero(np.diff(group[order], prepend=group[order][0] - 1)) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return order[rank < k]
+
+
+def sweep(asking: DataFrame, blocks: Blocks, data: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table],
+          merge: Callable[[pa.Table], pa.Table], schema: str, per_task: int, later_only: bool = False,
+          tighten: Callable[[pa.Table, np.ndarray, pa.Table], np.ndarray] | None = None) -> DataFrame:
+    """``merge`` over what ``meet`` finds for the rows that ask (eid, the column that the blocks go by,
+    block, reach, ...) in all entries (eid, block, ...) of blocks within their reach.
+
+    The rows that ask are cut into at most ``SWEEPS`` parts along the blocks, or more if a part would
+    exceed ``HELD`` rows. A task holds its part while the entries that one of its rows can need stream
+    past, so a row is written once and an entry as often as there are parts, however many blocks there are.
+    A row meets an entry at most once; it may meet some beyond its reach. ``merge`` is applied again and
+    again within a task, and ``tighten`` then gives the reach that is still needed. With ``later_only`` a
+    block is met by rows of blocks up to it.
+    """
+    crowd = {r.block: r["count"] for r in asking.groupBy("block").count().collect()}
+    total = sum(crowd.values())
+    if not total:
+        return asking.sparkSession.createDataFrame([], schema)
+    tasks = max(min(SWEEPS, -(-total // per_task)), -(-total // HELD))
+    home, before = [], 0
+    for b in sorted(crowd):
+        first, last = before * tasks // total, (before + crowd[b] - 1) * tasks // total
+        if crowd[b] * tasks <= total:
+            first = last = (before + crowd[b] // 2) * tasks // total
+        home.append((b, first, last - first + 1))
+        before += crowd[b]
+    home = asking.sparkSession.createDataFrame(home, "block int, first int, span int")      # one row per block
+    part = F.col("first") + F.pmod(F.xxhash64("eid", F.lit(3)), F.col("span")).cast("int")
+    mine = asking.join(F.broadcast(home), "block").withColumn("task", part).drop("first", "span")
+    by, near = blocks.by, blocks.near
+
+    def needed(batches):
+        for batch in batches:
+            task, place, own, reach = np.asarray(batch.column(0)), matrix(batch.column(1)), np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            step = max(1, PAIRS // (8 * len(blocks.cell)))
+            for s in range(0, len(task), step):
+                i, b, _ = near(place[s:s + step], reach[s:s + step])
+                ok = b >= own[s:s + step][i] if later_only else np.ones(len(i), bool)
+                found = np.unique(np.column_stack([task[s:s + step][i[ok]], b[ok]]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int32()), pa.array(found[:, 1], pa.int32())], ["task", "block"])
+
+    if len(blocks.cell) == 1:
+        theirs = data.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    else:
+        wanted = cut_lineage(mine.select("task", by, "block", "reach").mapInArrow(needed, "task int, block int")
+                             .groupBy("block").agg(F.collect_set("task").alias("task")))
+        theirs = data.join(F.broadcast(wanted), "block").withColumn("task", F.explode("task"))
+    asks, gives = list(mine.drop("task").columns), list(data.columns)
+    # both may come from one table: new column identities keep them apart
+    mine, theirs = (t.select(*[F.col(c).alias(c) for c in t.columns], F.lit(g).alias("gives")) for t, g in ((mine, False), (theirs, True)))
+    # rows that ask come first, then entries block by block
+    dealt = mine.unionByName(theirs, allowMissingColumns=True).repartitionById(tasks, "task").sortWithinPartitions("gives", "block") \
+        .select("gives", *dict.fromkeys(asks + gives))
+
+    def run(batches):
+        held, waiting, size = [], [], 0
+        rows = place = reach = own = None
+        found, count, merged = [], 0, 0
+
+        def met() -> None:
+            nonlocal reach, found, count, merged, waiting, size
+            entries_ = pa.Table.from_batches(waiting).combine_chunks()
+            waiting, size = [], 0
+            wants = np.zeros(len(place), bool)
+            for b in np.unique(entries_.column("block").to_numpy()):
+                ok = blocks.bound(place, int(b)) <= reach
+                wants |= ok & (own <= b) if later_only else ok
+            if not wants.any():
+                return
+            some = rows.set_column(rows.column_names.index("reach"), "reach", pa.array(reach))
+            got = meet(some if wants.all() else some.filter(pa.array(wants)), entries_)
+            if got.num_rows:
+                found.append(got)
+                count += got.num_rows
+            if count - merged > max(FOUND, merged):
+                found = [merge(pa.concat_tables(found).combine_chunks())]
+                count = merged = found[0].num_rows
+                if tighten is not None:
+                    reach = tighten(rows, reach, found[0])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ask = batch.num_rows - batch.column("gives").true_count
+            if ask:
+                held.append(batch.slice(0, ask).select(asks))
+            if ask == batch.num_rows:
+                continue
+            if rows is None:
+                if not held:
+                    return
+                rows = pa.Table.from_batches(held).combine_chunks()
+                place, reach, own = matrix(rows.column(by)), rows.column("reach").to_numpy().copy(), rows.column("block").to_numpy()
+            for s in range(ask, batch.num_rows, MEETING):
+                part = batch.slice(s, MEETING).select(gives)
+                waiting.append(part)
+                size += part.num_rows
+                if size >= MEETING:
+                    met()
+        if waiting:
+            met()
+        if found:
+            yield from merge(pa.concat_tables(found).combine_chunks()).to_batches(10_000)
+
+    return dealt.mapInArrow(run, schema)

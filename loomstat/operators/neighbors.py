@@ -2,8 +2,9 @@
 
 Equal vectors are searched for once. They sit in a tree of blocks (``blocks.py``). The first round
 searches a vector's own block, which gives an upper bound on its k-th distance; the second the
-nearest other blocks that can beat it, which tightens it; the third what is then still within reach.
-Only the k best of each (vector, block) leave a task; the pairs themselves are never materialised.
+nearest other blocks that can beat it, which tightens it; the third sweeps over what is then still within
+reach, and the bound goes down on the way. Only the k best of each (vector, block) leave a task of the
+first two rounds, the k best of each vector one of the third; the pairs themselves are never materialised.
 
 Missing coordinates use the nan-Euclidean distance sqrt(d / shared * sum of squares over the
 shared coordinates); blocks then keep boxes in the coordinates themselves, and the box bound
@@ -23,7 +24,7 @@ from ..functions.columns import as_double, q, vector_of
 from ..functions.keys import any_key, is_integral
 from ..functions.ranking import value_counts_ranked
 from ..session import cut_lineage, discard
-from .blocks import PAIRS, Blocks, build, entries, matrix, rough_squares, route, visit
+from .blocks import PAIRS, Blocks, build, entries, first_of, matrix, rough_squares, route, sweep, visit
 
 ROWS_PER_BLOCK = 2_000
 NEAREST = 2             # blocks visited before the reach is tightened
@@ -167,8 +168,11 @@ class BoxBlocks(Blocks):
             found.append((np.flatnonzero(ok), np.full(int(ok.sum()), b), bound[ok]))
         return tuple(np.concatenate(c) for c in zip(*found))
 
+    def bound(self, x: np.ndarray, block: int) -> np.ndarray:
+        return box_bound(x, *self.boxes[block])
+
     def __getstate__(self):
-        return {"boxes": self.boxes}
+        return {"boxes": self.boxes, "by": self.by, "cell": self.cell}
 
 
 def _search(k: int, fill: bool, holes: bool):
@@ -177,41 +181,29 @@ def _search(k: int, fill: bool, holes: bool):
     schema = pa.schema([("eid", pa.int64()), ("slot", pa.int32()), ("dst", pa.int64()), ("dist", pa.float64()), ("val", pa.float64())])
 
     def run(asks: pa.Table, gives: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[list[np.ndarray]] = []
         if asks.num_rows and gives.num_rows:
             names, reach, x = (asks.column("eid").to_numpy(), asks.column("reach").to_numpy(), matrix(asks.column("vec")))
             y, ids = matrix(gives.column("vec")), gives.column("ids").combine_chunks()
             per, flat = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy()
             begin = np.cumsum(per) - per
             first = flat[begin]
-            step = max(1, PAIRS // len(y))
+            step = max(1, PAIRS // 4 // len(y))
             for s in range(0, len(x), step):
                 part = x[s:s + step]
-                if holes:
-                    far, error = distances(part, y), None
-                else:
-                    far, error = rough_squares(part, y)
+                if not holes:
+                    i, at, dist = _closest(part, y, first, reach[s:s + step], k)
+                    out.append([names[s + i], np.full(len(i), -1), at, dist])
+                    continue
+                far = distances(part, y)
                 for i in range(len(part)):
-                    if fill:
-                        for j in np.flatnonzero(np.isnan(part[i])):
-                            donors = np.where(np.isnan(y[:, j]), np.nan, far[i])
-                            at = _best(donors, first, k)
-                            out.append((names[s + i], int(j), at, donors[at]))
-                    elif holes:
-                        at = _best(far[i], first, k)
-                        out.append((names[s + i], -1, at, far[i][at]))
-                    else:
-                        top = np.partition(far[i], k - 1)[k - 1] if len(y) > k else np.inf
-                        limit = min(top, reach[s + i] ** 2 * (1 + 1e-9)) + 2 * error[i]
-                        at = np.flatnonzero(far[i] <= limit)
-                        dist = np.sqrt(((part[i] - y[at]) ** 2).sum(axis=1))
-                        order = np.lexsort((first[at], dist))[:k]
-                        out.append((names[s + i], -1, at[order], dist[order]))
+                    for j in np.flatnonzero(np.isnan(part[i])) if fill else [-1]:
+                        donors = np.where(np.isnan(y[:, j]), np.nan, far[i]) if fill else far[i]
+                        at = _best(donors, first, k)
+                        out.append([np.full(len(at), names[s + i]), np.full(len(at), j), at, donors[at]])
         if not out:
             return schema.empty_table()
-        size = np.array([len(o[2]) for o in out])
-        eid, slot = (np.repeat(np.array([o[c] for o in out]), size) for c in (0, 1))
-        at, dist = np.concatenate([o[2] for o in out]), np.concatenate([o[3] for o in out])
+        eid, slot, at, dist = (np.concatenate(c) for c in zip(*out))
         val = y[at, slot] if fill else np.zeros(len(at))
         # one row per id that an entry lists
         times = per[at]
@@ -223,6 +215,50 @@ def _search(k: int, fill: bool, holes: bool):
     return run
 
 
+def _closest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, entry, distance) of the k nearest entries of each row within its reach, ties to the smaller id.
+    Rows with many entries within reach are cut at their k-th rough distance before any is measured."""
+    rough, error = rough_squares(x, y)
+    limit = reach ** 2 * (1 + 1e-9) + 2 * error
+    near = rough <= limit[:, None]
+    many = np.flatnonzero(near.sum(axis=1) > 4 * k)
+    if len(many):
+        top = np.partition(rough[many], k - 1, axis=1)[:, k - 1]
+        limit[many] = np.minimum(limit[many], top + 2 * error[many])
+        near[many] = rough[many] <= limit[many, None]
+    i, j = np.nonzero(near)
+    dist = np.empty(len(i))
+    step = max(1, PAIRS // max(1, x.shape[1]))
+    for s in range(0, len(i), step):
+        dist[s:s + step] = np.sqrt(((x[i[s:s + step]] - y[j[s:s + step]]) ** 2).sum(axis=1))
+    kept = first_of([ids[j], dist], i, k)
+    return i[kept], j[kept], dist[kept]
+
+
+def _merge(k: int):
+    def run(t: pa.Table) -> pa.Table:
+        eid, slot, dst, dist = (t.column(c).to_numpy() for c in ("eid", "slot", "dst", "dist"))
+        _, group = np.unique(np.column_stack([eid, slot]), axis=0, return_inverse=True) if (slot >= 0).any() else (None, eid)
+        return t.take(pa.array(first_of([dst, dist], group, k)))
+
+    return run
+
+
+def _tighten(k: int):
+    def run(asks: pa.Table, reach: np.ndarray, best: pa.Table) -> np.ndarray:
+        """The distance of the k-th row that was found, for rows with so many."""
+        eid, far = best.column("eid").to_numpy(), best.column("dist").to_numpy()
+        names, at, size = np.unique(eid, return_inverse=True, return_counts=True)
+        low = np.zeros(len(names))
+        np.maximum.at(low, at, far)
+        low[size < k] = np.inf
+        rows = asks.column("eid").to_numpy()
+        place = np.minimum(np.searchsorted(names, rows), len(names) - 1)
+        return np.where(names[place] == rows, np.minimum(reach, low[place]), reach)
+
+    return run
+
+
 def _top(cands: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("eid", "slot").orderBy("dist", "dst")
     return cands.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
@@ -232,8 +268,8 @@ def nearest_entries(rows: DataFrame, k: int, fill: bool, rows_per_block: int) ->
     """((eid, slot, dst, dist, val): the k nearest giving rows of every asking vector, equal rows
     included; (id, eid) of the rows whose vector stands more than once, or None).
 
-    Three rounds: a vector's own block, the ``NEAREST`` blocks that come next, and what is then still
-    within reach. Only names of blocks and rows are written between them.
+    Three rounds: a vector's own block, the ``NEAREST`` blocks that come next, and a sweep over what is
+    then still within reach, those blocks included, whose result is whole.
     """
     schema = "eid long, slot int, dst long, dist double, val double"
     missing = F.exists("vec", lambda v: v.isNull() | F.isnan(v))
@@ -256,21 +292,26 @@ def nearest_entries(rows: DataFrame, k: int, fill: bool, rows_per_block: int) ->
         blocks = BoxBlocks(blocks)
     best = cut_lineage(_top(own, k))
     slots = F.size(F.filter("vec", lambda v: v.isNull() | F.isnan(v))) if fill else F.lit(1)
-    for step in ({"nearest_first": NEAREST}, {"skip": NEAREST}):
+
+    def known() -> DataFrame:
         per_slot = best.groupBy("eid", "slot").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
         reach = per_slot.groupBy("eid").agg(F.max(F.when(F.col("n") >= k, F.col("far"))).alias("far"), F.count_if(F.col("n") >= k).alias("full"))
-        # entries of one vector are one, so nothing else lies at distance zero
-        known = asking.join(reach, "eid", "left").select(
-            "eid", "z", "vec", "block", F.when(F.col("full") == slots, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach")) \
-            .filter(F.col("reach") > 0)
-        wants = cut_lineage(route(known, blocks, **step))
-        if wants.isEmpty():
-            continue
-        found = visit(wants.join(known.select("eid", "vec", "reach"), "eid"), data, search, schema, rows_per_block)
+        return asking.join(reach, "eid", "left").select(
+            "eid", "z", "vec", "block", F.when(F.col("full") == slots, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach"))
+
+    # entries of one vector are one, so nothing else lies at distance zero
+    open_ = known().filter(F.col("reach") > 0)
+    wants = cut_lineage(route(open_, blocks, nearest_first=NEAREST))
+    if not wants.isEmpty():
+        # the names of rows take little space in files, and much more as a table sent to all tasks
+        found = visit(wants.hint("merge").join(open_.select("eid", "vec", "reach"), "eid"), data, search, schema, rows_per_block)
         following = cut_lineage(_top(best.unionByName(found), k))
         discard(best, wants)
         best = following
-    return best, copies
+    rest = cut_lineage(known().select(*dict.fromkeys(["eid", blocks.by, "vec"]), "block", "reach"))
+    out = cut_lineage(sweep(rest, blocks, data, search, _merge(k), schema, rows_per_block, tighten=None if holes else _tighten(k)))
+    discard(best, rest)
+    return out, copies
 
 
 def by_row(best: DataFrame, copies: DataFrame | None) -> DataFrame:

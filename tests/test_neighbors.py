@@ -152,3 +152,23 @@ def test_string_keys(spark):
     gaps = named.selectExpr("sid", "case when sid < 's05' then null else features[0] end as a", "features[1] as b")
     filled = neighbors.impute_knn(gaps, "sid", ["a", "b"]).collect()
     assert {r.sid for r in filled} == {s for s, _ in rows} and all(r.a is not None for r in filled)
+
+
+def test_search_writes_no_row_per_row_and_block(points, monkeypatch):
+    # boxes of directions without structure all overlap, so every row needs every block
+    from loomstat.operators import blocks
+    from loomstat.session import made_tables
+    x = np.random.default_rng(3).normal(size=(900, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(neighbors, "discard", lambda *tables: None)
+    monkeypatch.setattr(blocks, "FOUND", 500)
+    with made_tables([]) as made:
+        got = neighbors.knn_graph(points(x), "id", "features", 4, rows_per_block=20).collect()
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :4]
+    found = np.zeros((900, 4))
+    for r in got:
+        found[r.src, r["rank"] - 1] = r.dist
+    assert np.allclose(found, want, atol=1e-12) and len(got) == 3600
+    assert max(t.count() for t in made) <= 900 * 8
