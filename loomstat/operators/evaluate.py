@@ -14,11 +14,12 @@ from ..functions.keys import any_key, is_integral
 from ..functions.ranking import math_ceil
 from ..functions.text import text
 from ..session import cut_lineage
-from .blocks import PAIRS, matrix, rough_squares
+from .blocks import HELD, PAIRS, SWEEPS, matrix
 from .clean import assign_row_id
 from .neighbors import choose_pivots, distances, nearest_pivot, stack
 
 ROWS_PER_TILE = 2_000
+NUMBERS = 500_000       # distances measured at once
 SUMMARY_CELLS = 512
 
 # Fixed values of the balance rules.
@@ -47,28 +48,61 @@ SUMS = pa.schema([("id", pa.int64()), ("labeling", pa.int32()), ("own", pa.int32
 
 def straight(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances by one product; those that it leaves to rounding are measured directly."""
-    rough, _ = rough_squares(a, b)
-    i, j = np.nonzero(rough <= 1e-7 * max(float(np.abs(rough).max(initial=0.0)), 1e-300))
-    out = np.sqrt(np.maximum(rough, 0.0))
-    out[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+    middle = b.mean(axis=0)
+    p, o = a - middle, b - middle
+    pp, oo = (p * p).sum(axis=1), (o * o).sum(axis=1)
+    # one product gives p.p + o.o - 2 p.o
+    out = np.column_stack([p, pp, np.ones(len(p))]) @ np.column_stack([-2.0 * o, np.ones(len(o)), oo]).T
+    least = 1e-7 * max(float(pp.max(initial=0.0) + oo.max(initial=0.0)), 1e-300)
+    i, j = np.nonzero(out <= least)
+    np.maximum(out, 0.0, out=out)
+    np.sqrt(out, out=out)
+    step = max(1, PAIRS // max(1, a.shape[1]))
+    for s in range(0, len(i), step):
+        out[i[s:s + step], j[s:s + step]] = np.sqrt(((a[i[s:s + step]] - b[j[s:s + step]]) ** 2).sum(axis=1))
     return out
 
 
-def _sums_to(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, labels: np.ndarray) -> list[list[np.ndarray]]:
-    """Distance sums of the rows x to the clusters of the rows y, for every labeling (rows x labelings);
-    a row without a cluster in a labeling (NaN) neither asks nor answers in it."""
-    members = [np.unique(labels[:, c][~np.isnan(labels[:, c])]) for c in range(labels.shape[1])]
-    member = np.hstack([(labels[:, [c]] == names).astype(float) for c, names in enumerate(members)])
-    sizes = member.sum(axis=0).astype(np.int64)
-    which = np.repeat(np.arange(len(members)), [len(m) for m in members])
-    cluster = np.concatenate(members) if members else np.zeros(0, np.int64)
-    out, step = [], max(1, PAIRS // max(1, len(y)))
-    for s in range(0, len(x) if len(cluster) else 0, step):
-        totals = straight(x[s:s + step], y) @ member
-        asks = own[s:s + step][:, which]
-        i, c = np.nonzero(~np.isnan(asks))
-        out.append([ids[s:s + step][i], which[c], asks[i, c], cluster[c], totals[i, c], sizes[c]])
-    return out
+class _Totals:
+    """Distance sums of the rows x to the clusters of all rows that are added, for every labeling; a row
+    without a cluster in a labeling (NaN) neither asks nor answers in it."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, own: np.ndarray):
+        self.ids, self.x, self.own = ids, x, own
+        self.place: list[dict[int, int]] = [{} for _ in range(own.shape[1])]     # of a cluster among the columns
+        self.which: list[int] = []
+        self.cluster: list[float] = []
+        self.totals, self.sizes = np.zeros((len(x), 0)), np.zeros(0)
+
+    def add(self, y: np.ndarray, labels: np.ndarray) -> None:
+        at, columns = [], []
+        for c, place in enumerate(self.place):
+            for name in np.unique(labels[:, c][~np.isnan(labels[:, c])]):
+                if name not in place:
+                    place[name] = len(self.which)
+                    self.which.append(c)
+                    self.cluster.append(name)
+                at.append(place[name])
+                columns.append(labels[:, c] == name)
+        if not at:
+            return
+        if more := len(self.which) - len(self.sizes):
+            room = max(0, len(self.which) - self.totals.shape[1])
+            if room:
+                self.totals = np.hstack([self.totals, np.zeros((len(self.x), max(room, self.totals.shape[1])))])
+            self.sizes = np.append(self.sizes, np.zeros(more))
+        member = np.column_stack(columns).astype(float)
+        self.sizes[at] += member.sum(axis=0)
+        step = max(1, NUMBERS // len(y))
+        for s in range(0, len(self.x), step):
+            self.totals[s:s + step, at] += straight(self.x[s:s + step], y) @ member
+
+    def tables(self, rows: int = 10_000):
+        which, cluster = np.array(self.which, dtype=int), np.array(self.cluster)
+        for s in range(0, len(self.x) if len(which) else 0, rows):
+            asks = self.own[s:s + rows][:, which]
+            i, c = np.nonzero(~np.isnan(asks))
+            yield _table([[self.ids[s + i], which[c], asks[i, c], cluster[c], self.totals[s + i, c], self.sizes[c]]])
 
 
 def _table(parts: list[list[np.ndarray]]) -> pa.Table:
@@ -77,26 +111,38 @@ def _table(parts: list[list[np.ndarray]]) -> pa.Table:
 
 
 def _tile_sums(rows: DataFrame, n: int, rows_per_tile: int) -> DataFrame:
-    """Distance sums per (row, labeling, cluster), tile by tile: a tile holds a bounded number of rows
-    of two blocks, measures each pair once for both rows and all labelings, and gives one record per
-    (row, labeling, cluster), never the pairs."""
-    blocks = max(1, math_ceil(n, rows_per_tile))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    met = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
-        .select("id", "labels", "vec", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-
-    def tile(t: pa.Table) -> pa.Table:
-        ids, x, labels = t.column("id").to_numpy(), matrix(t.column("vec")), matrix(t.column("labels"))
-        block, a, b = t.column("block").to_numpy(), t.column("a")[0].as_py(), t.column("b")[0].as_py()
-        p, o = block == a, block == b
-        out = []
-        if p.any() and o.any():
-            out = _sums_to(ids[p], x[p], labels[p], x[o], labels[o])
-            if a != b:
-                out += _sums_to(ids[o], x[o], labels[o], x[p], labels[p])
-        return _table(out)
-
-    return met.groupBy("a", "b").applyInArrow(tile, "id long, labeling int, own int, cluster int, total double, n long")
+    """Distance sums per (row, labeling, cluster): the rows are cut into at most ``SWEEPS`` parts, or more if
+    a part would exceed ``HELD`` rows; a task holds its part while all rows stream past, measures each
+    distance once for all labelings, and gives one record per (row, labeling, cluster), never the pairs.
+    A row is written once per part, however many rows there are."""
+    tasks = max(1, min(SWEEPS, math_ceil(n, rows_per_tile)), math_ceil(n, HELD))
+    part = F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.lit(tasks - 1)), lambda t: F.struct(t.alias("task"), F.lit(True).alias("gives")))
+    met = rows.withColumn("at", F.explode(F.concat(F.array(F.struct(part.alias("task"), F.lit(False).alias("gives"))), each))) \
+        .select("id", "labels", "vec", "at.task", "at.gives").repartitionById(tasks, "task").sortWithinPartitions("gives") \
+        .select("gives", "id", "labels", "vec")
+
+    def run(batches):
+        held, sums = [], None
+        for batch in batches:
+            ask = batch.num_rows - batch.column(0).true_count
+            if ask:
+                held.append(batch.slice(0, ask))
+            if ask == batch.num_rows:
+                continue
+            if sums is None:
+                if not held:
+                    return
+                t = pa.Table.from_batches(held).combine_chunks()
+                sums = _Totals(t.column("id").to_numpy(), matrix(t.column("vec")), matrix(t.column("labels")))
+            for s in range(ask, batch.num_rows, ROWS_PER_TILE):
+                y = batch.slice(s, ROWS_PER_TILE)
+                sums.add(matrix(y.column(3)), matrix(y.column(2)))
+        if sums is not None:
+            for t in sums.tables():
+                yield from t.to_batches()
+
+    return met.mapInArrow(run, "id long, labeling int, own int, cluster int, total double, n long")
 
 
 def _summary_sums(rows: DataFrame, cells: int) -> DataFrame:

@@ -299,3 +299,16 @@ def test_pca_needs_two_features(spark, points):
     from loomstat.functions.columns import feature_matrix
     with pytest.raises(ValueError):
         feature_matrix(spark.range(3).withColumn("x", F.lit(1.0)), "id")
+
+
+def test_silhouettes_write_a_row_once_per_part(spark, points):
+    # 70 tiles of rows, but no row goes to more than the parts that a sweep has
+    x = np.random.default_rng(4).normal(size=(280, 3))
+    df = points(x).withColumn("cluster", (F.col("id") % 3).cast("int"))
+    rows = df.select("id", F.col("features").alias("vec"), F.array("cluster").alias("labels"))
+    sums = evaluate._tile_sums(rows, 280, 4)
+    got = sums.collect()
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    assert len(got) == 280 * 3 and sums.rdd.getNumPartitions() <= 24
+    for r in got:
+        assert r.own == r.id % 3 and abs(r.total - d[r.id, r.cluster::3].sum()) < 1e-9 and r.n == len(range(r.cluster, 280, 3))
