@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ranking import value_counts_ranked
 from ..session import cut_lineage
-from .blocks import PAIRS, build, entries, matrix, route, visit, within
+from .blocks import PAIRS, build, entries, matrix, sweep, within
 from .graph import connected_components
 
 ROWS_PER_BLOCK = 2_000
@@ -99,6 +99,25 @@ def _lowest(eps: float):
     return run
 
 
+def _summed(t: pa.Table) -> pa.Table:
+    names, at = np.unique(t.column("eid").to_numpy(), return_inverse=True)
+    near = np.zeros(len(names), np.int64)
+    np.add.at(near, at, t.column("near").to_numpy())
+    return pa.table({"eid": pa.array(names), "near": pa.array(near)})
+
+
+def _joined(t: pa.Table) -> pa.Table:
+    a, b = forest(t.column("u").to_numpy(), t.column("v").to_numpy())
+    return pa.table({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
+
+
+def _least(t: pa.Table) -> pa.Table:
+    names, at = np.unique(t.column("eid").to_numpy(), return_inverse=True)
+    low = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(low, at, t.column("cluster").to_numpy())
+    return pa.table({"eid": pa.array(names), "cluster": pa.array(low)})
+
+
 def dbscan_balls(rows: DataFrame, eps: float, min_samples: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(id, cluster, is_core) of a table (id, x); see ``dbscan.dbscan``."""
     asked = rows.select("id", F.col("x").alias("vec"), F.lit(True).alias("asks"), F.lit(True).alias("gives"))
@@ -123,17 +142,16 @@ def dbscan_balls(rows: DataFrame, eps: float, min_samples: int, rows_per_block:
         .groupBy("block", "part").applyInArrow(balls, "eid long, vec array<double>, cnt long, z array<double>, block int, ball long, crowd long"))
     reach = F.lit(float(eps)).alias("reach")
 
-    def near(asking: DataFrame, data: DataFrame, fn, schema: str, keep: tuple[str, ...] = (), later_only: bool = False) -> DataFrame:
-        wants = cut_lineage(route(asking.select("eid", "z", "block", reach), blocks, later_only=later_only))
-        return visit(wants.join(asking.select("eid", "vec", *keep), "eid"), data, fn, schema, rows_per_block)
+    def near(asking: DataFrame, data: DataFrame, fn, merge, schema: str, keep: tuple[str, ...] = (), later_only: bool = False) -> DataFrame:
+        return sweep(asking.select("eid", "z", "block", reach, "vec", *keep), blocks, data, fn, merge, schema, rows_per_block, later_only)
 
     thin = placed.filter(F.col("crowd") < min_samples)
-    counted = near(thin, placed.select("eid", "block", "vec", "cnt"), _counts(eps), "eid long, near long") \
+    counted = near(thin, placed.select("eid", "block", "vec", "cnt"), _counts(eps), _summed, "eid long, near long") \
         .groupBy("eid").agg(F.sum("near").alias("near")).filter(F.col("near") >= min_samples)
     marked = cut_lineage(placed.join(counted, "eid", "left").withColumn(
         "is_core", (F.col("crowd") >= min_samples) | F.col("near").isNotNull()).drop("near", "crowd", "cnt"))
     core = marked.filter("is_core")
-    edges = near(core, core.select("eid", "block", "vec", "ball"), _touching(eps), "u long, v long", ("ball",), later_only=True)
+    edges = near(core, core.select("eid", "block", "vec", "ball"), _touching(eps), _joined, "u long, v long", ("ball",), later_only=True)
     comps = connected_components(edges.distinct())
     named = core.select("eid", "ball").join(comps, F.col("ball") == F.col("node"), "left").select(
         "eid", F.coalesce("component", "ball").alias("component"))
@@ -142,7 +160,7 @@ def dbscan_balls(rows: DataFrame, eps: float, min_samples: int, rows_per_block:
     order = value_counts_ranked(first.select("first"), "first")[0].select("first", F.col("below").alias("cluster"))
     labelled = cut_lineage(named.join(first, "component").join(order, "first").select("eid", "cluster"))
     loose = marked.filter(~F.col("is_core"))
-    border = near(loose, core.select("eid", "block", "vec").join(labelled, "eid"), _lowest(eps), "eid long, cluster long") \
+    border = near(loose, core.select("eid", "block", "vec").join(labelled, "eid"), _lowest(eps), _least, "eid long, cluster long") \
         .groupBy("eid").agg(F.min("cluster").alias("lowest"))
     none = F.lit(np.iinfo(np.int64).max)
     out = marked.select("eid", "is_core").join(labelled, "eid", "left").join(border, "eid", "left").select(
