@@ -291,15 +291,11 @@ def _split_cells(celled: DataFrame, crowded: dict[int, int], rows_per_block: int
 
 # ---- joins that visit blocks ----------------------------------------------------------
 
-def route(asking: DataFrame, blocks: Blocks, nearest_first: int = 0, skip: int = 0, later_only: bool = False) -> DataFrame:
-    """(eid, block) for blocks that can hold an entry within reach of a row (eid, the column that the
-    blocks go by, block, reach).
-
-    With ``nearest_first`` only so many of the nearest blocks besides a row's own, with ``skip`` all but
-    those; otherwise the own block counts too. With ``later_only`` no block before the own one, so that
-    each pair of blocks meets once.
+def route(asking: DataFrame, blocks: Blocks, nearest_first: int) -> DataFrame:
+    """(eid, block) for the ``nearest_first`` nearest blocks, besides its own, that can hold an entry within
+    reach of a row (eid, the column that the blocks go by, block, reach).
     """
-    near, count, others = blocks.near, len(blocks.lo), bool(nearest_first or skip)
+    near, count = blocks.near, len(blocks.lo)
 
     def run(batches):
         for batch in batches:
@@ -309,15 +305,13 @@ def route(asking: DataFrame, blocks: Blocks, nearest_first: int = 0, skip: int =
             for s in range(0, len(ids), step):
                 i, b, bound = near(place[s:s + step], reach[s:s + step])
                 mine = own[s:s + step][i]
-                ok = (b != mine) if others else (b >= mine) if later_only else np.ones(len(i), bool)
+                ok = b != mine
                 i, b, bound = i[ok], b[ok], bound[ok]
-                if others:
-                    order = np.lexsort((b, bound, i))
-                    i, b = i[order], b[order]
-                    begin = np.flatnonzero(np.diff(i, prepend=-1))
-                    rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
-                    ok = rank < nearest_first if nearest_first else rank >= skip
-                    i, b = i[ok], b[ok]
+                order = np.lexsort((b, bound, i))
+                i, b = i[order], b[order]
+                begin = np.flatnonzero(np.diff(i, prepend=-1))
+                rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+                i, b = i[rank < nearest_first], b[rank < nearest_first]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s:s + step][i], pa.int64()), pa.array(b, pa.int32())], ["eid", "block"])
 
     return asking.select("eid", blocks.by, "block", "reach").mapInArrow(run, "eid long, block int")

@@ -312,3 +312,24 @@ def test_silhouettes_write_a_row_once_per_part(spark, points):
     assert len(got) == 280 * 3 and sums.rdd.getNumPartitions() <= 24
     for r in got:
         assert r.own == r.id % 3 and abs(r.total - d[r.id, r.cluster::3].sum()) < 1e-9 and r.n == len(range(r.cluster, 280, 3))
+
+
+def test_ward_writes_no_row_per_cluster_and_block(points, monkeypatch):
+    # boxes of directions without structure all overlap, so every cluster needs every block
+    from loomstat.operators import blocks
+    from loomstat.session import made_tables
+    x = np.random.default_rng(6).normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for module in (ward, blocks):
+        monkeypatch.setattr(module, "discard", lambda *tables: None)
+    rows = [(i, [float(v) for v in r], 1.0) for i, r in enumerate(x)]
+    table = points(x).sparkSession.createDataFrame(rows, "eid long, vec array<double>, w double")
+    with made_tables([]) as made:
+        tree = blocks.build(table, 6, 300)
+        merged = ward._merge_mutual(tree, 1.0, 6)[1].collect()
+    assert max(t.count() for t in made) <= 300
+    cost = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(cost, np.inf)
+    near = cost.argmin(axis=1)
+    assert {(r.a, r.b) for r in merged} == {(i, int(near[i])) for i in range(300) if near[near[i]] == i and i < near[i]}
+    assert all(abs(r.height - np.sqrt(cost[r.a, r.b])) < 1e-9 for r in merged)
