@@ -34,6 +34,7 @@ from .text import SLICE, slices
 HEAD = 500_000          # entries of the vocabulary that are broadcast, each a key of at most 64 bytes
 LONG_KEY = 32           # bytes; longer pre-tokens go by their SHA-256
 STRETCH = 1 << 20       # characters of a long text read at once
+CUT = SLICE // 2        # bytes cut at once; arrays over them take some 40 times as much
 HELD = 200_000          # different pre-tokens that a task holds before it passes them on
 BATCHED = 64            # bytes; longer pre-tokens are merged one by one
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -392,25 +393,59 @@ def _counted(splitter: Splitter, raw: bytes) -> tuple[Counter, int]:
     return seen, splitter.count(raw.decode("utf-8", "replace"), seen)
 
 
+class Tally:
+    """Pre-tokens with their numbers, from many slices; equal ones are merged before they are passed on."""
+
+    def __init__(self):
+        self.names, self.times, self.size = [], [], 0
+
+    def add(self, names: pa.Array, times: np.ndarray) -> None:
+        if len(names):
+            self.names.append(names)
+            self.times.append(times)
+            self.size += len(names)
+
+    def merge(self) -> None:
+        named = pa.concat_arrays(self.names).dictionary_encode()
+        total = np.zeros(len(named.dictionary), np.int64)
+        np.add.at(total, np.asarray(named.indices), np.concatenate(self.times))
+        self.names, self.times, self.size = [named.dictionary], [total], len(total)
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        """What is held, if that is more than a task may hold."""
+        if self.size > 2 * HELD:
+            self.merge()
+            if self.size > HELD:
+                yield from self.all()
+
+    def all(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.merge()
+            names = self.names[0].to_pylist()
+            yield pa.RecordBatch.from_arrays([_keys(names), pa.array(names, pa.string()), pa.array(self.times[0])], ["key", "piece", "times"])
+        self.names, self.times, self.size = [], [], 0
+
+
 def vocabulary(docs: DataFrame, splitter: Splitter, counter: PieceCounter, text: str) -> DataFrame:
     """(key, times, pieces): every different pre-token with the number of its pieces."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def passed(names: list[str], times: Iterable) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([_keys(names), pa.array(names, pa.string()), pa.array(times, pa.int64())], ["key", "piece", "times"])
-
+        held = Tally()
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0), 4 * SLICE):
+            for _, _, data, offsets in slices(batch.column(0), CUT):
                 pieces, _, late = cut(splitter, data, offsets)
                 named = pieces.dictionary_encode()
-                yield passed(named.dictionary.to_pylist(), np.bincount(np.asarray(named.indices), minlength=len(named.dictionary)))
+                held.add(named.dictionary, np.bincount(np.asarray(named.indices), minlength=len(named.dictionary)))
                 seen: Counter = Counter()
                 for i in late.tolist():
                     splitter.count(data[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8", "replace"), seen)
                     if len(seen) > HELD:
-                        yield passed(list(seen), seen.values())
+                        held.add(pa.array(list(seen), pa.large_string()), np.fromiter(seen.values(), np.int64, len(seen)))
                         seen.clear()
-                yield passed(list(seen), seen.values())
+                        yield from held.full()
+                held.add(pa.array(list(seen), pa.large_string()), np.fromiter(seen.values(), np.int64, len(seen)))
+                yield from held.full()
+        yield from held.all()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -459,7 +494,7 @@ def frequencies(docs: DataFrame, splitter: Splitter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column(batch.num_columns - 1)):
+            for first, last, data, offsets in slices(batch.column(batch.num_columns - 1), CUT):
                 n, size = last - first, np.diff(offsets)
                 pieces, owner, late = cut(splitter, data, offsets)
                 named = pieces.dictionary_encode()

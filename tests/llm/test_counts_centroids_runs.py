@@ -193,3 +193,40 @@ def test_cutting_whole_arrays_equals_the_patterns():
                 assert i not in got
             else:
                 assert "<|" not in t and got[i] == splitter.split(t)
+
+
+def test_vocabulary_is_cut_in_small_slices_and_merged(spark, monkeypatch):
+    splitter, counter = token_counts.read_tokenizer(WORDS)
+    rows = [(i, f"common w{i % 50} é{i} <|endoftext|> x{i}") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = collections.Counter()
+    for _, t in rows:
+        splitter.count(t, want)
+    monkeypatch.setattr(token_counts, "CUT", 200)
+    monkeypatch.setattr(token_counts, "HELD", 60)
+    sizes = []
+    whole = token_counts.cut
+
+    def watched(of, data, offsets):
+        sizes.append(len(data))
+        return whole(of, data, offsets)
+
+    monkeypatch.setattr(token_counts, "cut", watched)
+
+    class Rows:                                         # runs what a task runs, in this process
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.out = list(run(iter(table.select("text").toArrow().to_batches())))
+            return table.selectExpr("text as key", "text as piece", "doc_id as times")
+
+    held = Rows()
+    token_counts.vocabulary(held, splitter, counter, "text")
+    assert max(sizes) <= 200
+    got = collections.Counter()
+    for batch in held.out:
+        assert len(set(batch.column(1).to_pylist())) == batch.num_rows
+        got.update(dict(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
+    assert got == want
+    assert sum(b.num_rows for b in held.out) < 2 * len(want)
