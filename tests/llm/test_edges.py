@@ -463,6 +463,23 @@ def test_repeated_bytes(spark, monkeypatch, hot):
     assert suffix_dedup.cut_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_settled_by_copies_and_joined_spans(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    twice, shared = fresh(3000), fresh(900)
+    asked, real = [], suffix_dedup.bodies
+    monkeypatch.setattr(suffix_dedup, "bodies", lambda docs_, kinds, size: asked.append(kinds.count()) or real(docs_, kinds, size))
+    for rows, open_ in (([(1, twice), (2, twice), (3, twice)], False),
+                        ([(1, twice), (2, twice), (3, fresh(50) + shared + fresh(50)), (4, shared + fresh(900) + shared)], True)):
+        table = spark.createDataFrame(rows, "doc long, text string")
+        found = {r.doc: [tuple(x) for x in r.spans] for r in suffix_dedup.repeated_spans(table.repartition(2)).collect()}
+        for i, _, gone, runs, _ in brute_bytes(rows, 400):
+            spans = found[i]
+            assert len(spans) == runs and sum(b - a for a, b in spans) == gone
+            assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+        assert (asked[-1] > 0) == open_
+
+
 def test_transform_against_counting():
     rng = np.random.default_rng(0)
     for _ in range(40):
