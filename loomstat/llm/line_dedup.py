@@ -6,10 +6,11 @@ the earlier line need not itself stay. Everything is decided on the input.
 
 Lines with equal sets are settled by their digests. The others order their words by rarity, and
 post the first n - ceil(t n) + 1: similar lines share one of them. Candidates pass the length
-filter (sizes), the positional filter (words left after the shared one) and the prefix filter (how
-many posted words they share), then the sets themselves are compared. Each line first meets the
-earliest line of its lists, which settles groups of near copies; only lines that this leaves meet
-all earlier lines of their lists.
+filter (sizes), the positional filter (words left after the shared one), a bitmap filter (64
+parities a line, which differ for words not shared only) and the prefix filter (how many posted
+words they share), then the sets themselves are compared. Each line first meets the earliest line
+of its lists, which settles groups of near copies; only lines that this leaves meet all earlier
+lines of their lists.
 
 Rarity is a count over all lines in a fixed number of buckets of the word's hash: a row of
 ``BUCKETS`` numbers whatever the input. Any common order is exact, so a bucket shared by two words
@@ -89,7 +90,8 @@ def rarity(lines: DataFrame) -> bytes:
 
 
 def prefixes(lines: DataFrame, steps: bytes, num: int, den: int) -> DataFrame:
-    """(key, doc, no, n, place): the first n - ceil(t n) + 1 words of each line, rare words first."""
+    """(key, doc, no, n, place, odd): the first n - ceil(t n) + 1 words of each line, rare words first. The bits of
+    odd tell which of 64 buckets hold an odd number of the line's words."""
     table = F.lit(bytearray(steps))
 
     def rank(w: Column) -> Column:
@@ -98,15 +100,20 @@ def prefixes(lines: DataFrame, steps: bytes, num: int, den: int) -> DataFrame:
 
     first = F.slice(F.sort_array(F.transform("words", rank)), F.lit(1),
                     F.expr(f"cast(n - ceil({num} * n / {den}) + 1 as int)"))
-    return lines.select("doc", "no", "n", F.posexplode(first).alias("place", "word")) \
-        .select(F.hash("word").alias("key"), "doc", "no", "n", "place")
+    odd = F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 58).cast("int"))))
+    # below the generator, so once a line and not once a word
+    return lines.withColumn("odd", odd).select("doc", "no", "n", "odd", F.posexplode(first).alias("place", "word")) \
+        .select(F.hash("word").alias("key"), "doc", "no", "n", "place", "odd")
 
 
 def fits(num: int, den: int) -> Column:
-    """Length and positional filter for a pair of postings a and b: the first two words that similar
-    lines share leave room in both for the rest of the overlap."""
+    """Length, positional and bitmap filter for a pair of postings a and b: the first two words that similar
+    lines share leave room in both for the rest of the overlap, and each bucket that is odd in one line only
+    has a word that the other lacks."""
+    need = f"ceil({num} * (a.n + b.n) / {num + den})"
     return F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) and "
-                  f"least(a.n - a.place, b.n - b.place) + 1 >= ceil({num} * (a.n + b.n) / {num + den})")
+                  f"least(a.n - a.place, b.n - b.place) + 1 >= {need} and bit_count(a.odd ^ b.odd) <= a.n + b.n - 2 * {need}")
 
 
 def similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -128,10 +135,11 @@ def similar_lines(docs: DataFrame, gone: DataFrame, num: int, den: int) -> DataF
     lines = hashed_lines(docs, gone)
     steps = rarity(lines)
     postings = prefixes(lines, steps, num, den)
-    at = F.struct("doc", "no", "n", "place")
-    lists = (postings.groupBy("key").agg(F.min(at).alias("low"), F.count("*").alias("held"))
-             .filter("held > 1").select("key", "low"))
-    members = cut_lineage(postings.join(lists, "key"))
+    at = F.struct("doc", "no", "n", "place", "odd")
+    # postings are made and shuffled once: a list and its earliest line come from the same sorted rows
+    of_list = Window.partitionBy("key")
+    members = cut_lineage(postings.withColumn("held", F.count("*").over(of_list)).withColumn("low", F.min(at).over(of_list))
+                          .filter("held > 1").drop("held"))
 
     met = (members.select(F.col("low").alias("a"), at.alias("b"))
            .filter((F.struct("a.doc", "a.no") < F.struct("b.doc", "b.no")) & fits(num, den))
@@ -139,8 +147,8 @@ def similar_lines(docs: DataFrame, gone: DataFrame, num: int, den: int) -> DataF
            .withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))).filter("best = 1"))
     first = similar(docs, met, num, den).select("b.doc", "b.no").distinct()
 
-    open_ = members.join(first, ["doc", "no"], "left_anti").select("key", *("doc no n place".split()))
-    a, b = members.select("key", "doc", "no", "n", "place").alias("a"), open_.alias("b")
+    open_ = members.join(first, ["doc", "no"], "left_anti").select("key", *("doc no n place odd".split()))
+    a, b = members.select("key", "doc", "no", "n", "place", "odd").alias("a"), open_.alias("b")
     rest = (a.join(b, F.expr("a.key = b.key and (a.doc < b.doc or (a.doc = b.doc and a.no < b.no))") & fits(num, den))
             .groupBy(F.struct("a.doc", "a.no").alias("x"), F.struct("b.doc", "b.no").alias("y"), F.col("a.n").alias("nx"),
                      F.col("b.n").alias("ny")).agg(F.count("*").alias("shared"))

@@ -168,6 +168,20 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(table.limit(0)).count() == 0
 
 
+def test_lines_that_share_only_rare_words_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join([f"rare{i // 4}a", f"rare{i // 4}b", *(f"w{x}" for x in rng.choice(60, 28, replace=False))])) for i in range(60)]
+    rows += [(100 + i, t.replace("a w", "a other w") if i % 2 else t.rsplit(" ", 1)[0]) for i, t in rows[:20]]
+    rows += [(200, "a b c d e"), (201, "a b c d e f"), (202, "a b c d g f"), (203, "x"), (204, "x y")]
+    sets = [set(t.split()) for _, t in rows]
+    want = {rows[j][0] for j in range(len(rows)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    compared, real = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda docs_, pairs, num, den: compared.append(pairs.count()) or real(docs_, pairs, num, den))
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed}
+    assert got == want and len(want) > 20
+    assert sum(compared) < 2 * len(want)
+
+
 def test_archives(spark, tmp_path):
     big = "<p>" + "same text " * 200 + "</p>"
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, None), (4, "http://d", ""), (5, "u", "small"), (6, "u", "small"),
