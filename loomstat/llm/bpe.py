@@ -374,6 +374,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text", cached: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _workers.get(tag)
         if known is None:
+            _workers.clear()                # a worker process outlives the call that it worked for
+            pa.default_memory_pool().release_unused()
             ranks, classes = shared.value
             known = _workers.setdefault(tag, (Encoder(ranks, classes, cached), Decoder(ranks) if decoded else None))
         worker, back = known

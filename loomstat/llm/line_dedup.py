@@ -29,7 +29,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage, discard
+from ..session import cut_lineage, discard, free_shuffles
 
 BUCKETS = 1 << 16
 BROADCAST_DOCS = 1_000_000
@@ -140,12 +140,14 @@ def similar_lines(docs: DataFrame, gone: DataFrame, num: int, den: int) -> DataF
     of_list = Window.partitionBy("key")
     members = cut_lineage(postings.withColumn("held", F.count("*").over(of_list)).withColumn("low", F.min(at).over(of_list))
                           .filter("held > 1").drop("held"))
+    free_shuffles(docs.sparkSession)
 
     met = (members.select(F.col("low").alias("a"), at.alias("b"))
            .filter((F.struct("a.doc", "a.no") < F.struct("b.doc", "b.no")) & fits(num, den))
            .groupBy(F.struct("a.doc", "a.no").alias("a"), F.struct("b.doc", "b.no").alias("b")).agg(F.count("*").alias("shared"))
            .withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))).filter("best = 1"))
-    first = similar(docs, met, num, den).select("b.doc", "b.no").distinct()
+    first = cut_lineage(similar(docs, met, num, den).select("b.doc", "b.no").distinct())
+    free_shuffles(docs.sparkSession)
 
     open_ = members.join(first, ["doc", "no"], "left_anti").select("key", *("doc no n place odd".split()))
     a, b = members.select("key", "doc", "no", "n", "place", "odd").alias("a"), open_.alias("b")
@@ -157,7 +159,8 @@ def similar_lines(docs: DataFrame, gone: DataFrame, num: int, den: int) -> DataF
             .select(F.col("x").alias("a"), F.col("y").alias("b")))
     second = similar(docs, rest, num, den).select("b.doc", "b.no").distinct()
     out = cut_lineage(first.unionByName(second))
-    discard(members)
+    discard(members, first)
+    free_shuffles(docs.sparkSession)
     return out
 
 

@@ -25,14 +25,15 @@ columns named like outputs are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import cut_lineage, discard
-from .linking import BROADCAST_IDS, link, members_of_shared_keys, within_broadcast
+from ..session import cut_lineage, discard, free_shuffles
+from .linking import BROADCAST_IDS, link, within_broadcast
 from .text import LOWER, NOT_SPACE, distinct_by_owner, lists, mix, powers, shingles, slices, span_hashes, words
 
 REACH = 6
@@ -60,7 +61,7 @@ class Paragraphs:
         size = size[size >= SHINGLE]
         hashes = span_hashes(LOWER[data], starts, ends)[at]
         line = np.repeat(np.arange(len(size)), size)
-        self.shingles = shingles(hashes, line, len(size), SHINGLE)[0]
+        self._words = hashes, line, len(size)
         first, last = self._spans(hashes, line, size)
         self.low = first - (SHINGLE - 1) * line[first]
         self.high = last - (SHINGLE - 1) * (line[first] + 1)
@@ -76,8 +77,13 @@ class Paragraphs:
         inside = np.append(owner, -1)[after] == self.owner
         self.stop = np.where(inside, np.append(starts, 0)[after], offsets[self.owner + 1]) - offsets[self.owner]
 
-    def sizes(self) -> np.ndarray:
-        """How many different shingles each paragraph has."""
+    @cached_property
+    def shingles(self) -> np.ndarray:
+        return shingles(*self._words, SHINGLE)[0]
+
+    @cached_property
+    def _again(self) -> tuple[np.ndarray, np.ndarray]:
+        """(paragraph, place) of each shingle that its paragraph has before, too."""
         order = np.argsort(self.shingles, kind="stable")
         again = self.shingles[order][1:] == self.shingles[order][:-1]
         before, at = order[:-1][again], order[1:][again]
@@ -86,8 +92,22 @@ class Paragraphs:
         a, z = np.searchsorted(at, self.low), np.searchsorted(at, self.high)
         part = np.repeat(np.arange(len(a)), z - a)
         place = np.arange(len(part)) + (a - np.cumsum(z - a) + (z - a))[part]
-        twice = np.bincount(part[before[place] >= self.low[part]], minlength=len(a))
-        return self.high - self.low - twice
+        inside = before[place] >= self.low[part]
+        return part[inside], at[place[inside]]
+
+    def sizes(self) -> np.ndarray:
+        """How many different shingles each paragraph has."""
+        return self.high - self.low - np.bincount(self._again[0], minlength=len(self.low))
+
+    def parities(self) -> np.ndarray:
+        """For each paragraph 64 bits, which tell the buckets that hold an odd number of its different shingles."""
+        if not len(self.low):
+            return np.zeros(0, np.int64)
+        bits = np.append(np.uint64(1) << (self.shingles >> np.uint64(58)), np.uint64(0))
+        odd = np.bitwise_xor.reduceat(bits, np.column_stack([self.low, self.high]).ravel())[::2]
+        part, place = self._again
+        np.bitwise_xor.at(odd, part, bits[place])
+        return odd.view(np.int64)
 
     @staticmethod
     def _spans(hashes: np.ndarray, line: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +137,14 @@ class Paragraphs:
 
 
 def _postings(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, node, n, place): a key for each band of each different paragraph, n being its shingles."""
+    """(key, node, n, odd): a key for each band of each paragraph that differs from others of its slice, its
+    different shingles being n, their parities odd."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 p = Paragraphs(data, offsets)
-                node, keep = np.unique(p.node, return_index=True)
+                keep = np.sort(np.unique(p.node, return_index=True)[1])     # by place, or reduceat would also run
+                node = p.node[keep]                                         # from each paragraph to any later one
                 bounds = np.column_stack([p.low[keep], p.high[keep]]).ravel()
                 out = []
                 for b in range(bands if len(node) else 0):
@@ -136,25 +158,45 @@ def _postings(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)),
                                                       pa.array(np.tile(node, bands)),
-                                                      pa.array(np.tile(p.sizes()[keep], bands))], ["key", "node", "n"])
+                                                      pa.array(np.tile(p.sizes()[keep], bands)),
+                                                      pa.array(np.tile(p.parities()[keep], bands))], ["key", "node", "n", "odd"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, node bigint, n bigint, odd bigint")
 
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint, n bigint").distinct() \
-        .withColumn("place", F.lit(0).cast("long"))
+
+def _members(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node, n, odd, place) for keys that at least two nodes hold, but for keys of two nodes whose sizes rule
+    a link out (a line and a piece of it). Postings are shuffled once: keys are counted, and their members
+    read, where they lie."""
+    dealt = postings.repartition("key")
+    # with all columns of the postings, so that both sides of the join are one shuffle
+    held = (dealt.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min("n").alias("low"),
+                                     F.max("n").alias("high"), F.count("*").alias("rows"), F.bit_or("odd").alias("odd"))
+            .filter(f"x < y and odd is not null and (rows > 2 or {den} * low >= {num} * high)").select("key"))
+    of_key = Window.partitionBy("key")
+    return cut_lineage(
+        dealt.join(held.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"])
+        .select("key", "node", "n", "odd", F.lit(0).cast("long").alias("place"), F.count("*").over(of_key).alias("holders"),
+                F.min("n").over(of_key).alias("low"), F.max("n").over(of_key).alias("high"))
+        .filter(f"holders > 2 or {den} * low >= {num} * high").drop("holders", "low", "high"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, items): the shingles of the paragraphs asked for."""
+    """(node, items): the shingles of the paragraphs asked for. Few ids are broadcast; beyond, each is asked
+    of one document that has it, so that no other sets are shuffled."""
     few = nodes.count() <= BROADCAST_IDS
-    asked = docs.sparkSession.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy())) if few else None
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy())) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+            for first, last, data, offsets in slices(batch.column(0)):
+                asked = shared.value if few else np.unique(np.array(batch.column(1).slice(first, last - first).flatten(), np.int64))
+                if not len(asked):
+                    continue
                 p = Paragraphs(data, offsets)
                 node, keep = np.unique(p.node, return_index=True)
-                if asked is not None:
-                    mine = np.isin(node, asked.value)
-                    node, keep = node[mine], keep[mine]
+                mine = asked[np.minimum(np.searchsorted(asked, node), len(asked) - 1)] == node
+                node, keep = node[mine], keep[mine]
                 low, count = p.low[keep], (p.high - p.low)[keep]
                 part = np.repeat(np.arange(len(node)), count)
                 place = np.arange(len(part)) + (low - np.cumsum(count) + count)[part]
@@ -162,8 +204,12 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node), lists(hashes.view(np.int64), counts, pa.int64())],
                                                  ["node", "items"])
 
-    found = docs.select("text").mapInArrow(run, "node bigint, items array<bigint>")
-    return (found if few else found.join(nodes, "node", "left_semi")).dropDuplicates(["node"])
+    if few:
+        read = docs.select("text")
+    else:
+        holder = _placed(docs).select("node", "doc").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc"))
+        read = docs.join(holder.groupBy("doc").agg(F.collect_list("node").alias("asked")), "doc").select("text", "asked")
+    return read.mapInArrow(run, "node bigint, items array<bigint>").dropDuplicates(["node"])
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -185,11 +231,16 @@ def repeated_paragraphs(docs: DataFrame, num: int = 4, den: int = 5, recall: flo
     """(doc, spans): for each document (doc, text) the paragraphs to remove, as structs of start and stop
     in bytes and of, the key of the document whose paragraph stays."""
     bands, rows = tune(num / den, recall)
-    members = members_of_shared_keys(lambda: _postings(docs, bands, rows), num, den)
+    members = _members(_postings(docs, bands, rows), num, den)
+    free_shuffles(docs.sparkSession)
     classes = link(members, lambda nodes: _sets(docs, nodes), num, den)
     discard(members)
+    free_shuffles(docs.sparkSession)
     # paragraphs alone in their class stay: they neither repeat anything nor are repeated
-    placed = cut_lineage(_in_shared_classes(_placed(docs), classes))
+    all_placed = cut_lineage(_placed(docs))
+    placed = cut_lineage(_in_shared_classes(all_placed, classes))
+    discard(all_placed)
+    free_shuffles(docs.sparkSession)
     lines = _later(placed.filter("is_line"))
     left = placed.join(lines.select("doc", "head"), ["doc", "head"], "left_anti")
     gone = cut_lineage(_later(left))

@@ -380,6 +380,46 @@ def test_paragraphs_lose_no_text(spark):
         assert len(lost) <= 0.02 * len(set(" ".join(parts).split())), (seed, len(lost))
 
 
+def test_paragraphs_that_share_one_shingle_only_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = "one two three four five"
+    rows = [(i, " ".join([shared, *(f"w{x}" for x in rng.choice(500, 6, replace=False))])) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows[:10]]
+    compared, real = [], paragraphs._sets
+    monkeypatch.setattr(paragraphs, "_sets", lambda docs_, nodes: compared.append(nodes.count()) or real(docs_, nodes))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in paragraphs.dedup_paragraphs(table).collect() if r.n_removed}
+    assert got == set(range(100, 110))
+    assert max(compared) < 40
+    # and the same where no more ids are broadcast than one
+    monkeypatch.setattr(paragraphs, "BROADCAST_IDS", 1)
+    assert {r.doc_id for r in paragraphs.dedup_paragraphs(table).collect() if r.n_removed} == got
+
+
+def test_paragraph_sizes_and_parities_count_different_shingles():
+    text = ("a b c d e a b c d e a b c d e\n" + "x y z u v w q r s t k l m n o p a b c d e f g\n" * 2).encode()
+    p = paragraphs.Paragraphs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    for low, high, n, odd in zip(p.low, p.high, p.sizes(), p.parities().view(np.uint64)):
+        own = {int(x) for x in p.shingles[low:high]}
+        want = 0
+        for x in own:
+            want ^= 1 << (x >> 58)
+        assert (int(n), int(odd)) == (len(own), want)
+
+
+def test_postings_are_shuffled_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(paragraphs, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g")], "doc long, text string")
+        paragraphs._members(paragraphs._postings(table, 4, 1), 4, 5)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plans[0].count("MapInArrow") == 1 and plans[0].count("ReusedExchange") == 1
+
+
 def test_paragraphs_against_all_pairs(spark):
     rng = np.random.default_rng(12)
     fresh = lambda n: " ".join(f"v{rng.integers(10**9)}" for _ in range(n))
