@@ -15,11 +15,20 @@ from loomstat.llm.linking import within_broadcast
 from loomstat.llm.toxicity import fold
 from loomstat.session import cut_lineage
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold about ``BATCH_BYTES`` instead of 10,000 rows whatever their
+    length: the operators take texts in slices of 2 MB at most, so larger batches only take memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised language; those without text or letters go. The model learns from the
     labelled documents of the folds that op7 learns from. Without any label nothing can be judged, and
     all documents with a letter would be unknown, so then all stay."""
+    small_batches(spark)
     labelled = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
     model = langid.fit(labelled)
     if not model.langs:
@@ -63,6 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     """Per document its key, language and source, the ids and byte offsets of its tokens, and the text
     that the ids decode to."""
+    small_batches(spark)
     if ranks_path is None:
         import public_tokenizers
         ranks_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -17,7 +17,6 @@ import base64
 import heapq
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +201,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, cached: int):
         self.ranks, self.classes, self.limit = ranks, classes, cached
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache: dict[bytes, bytes] = {}         # ids as 32-bit numbers: a third of what tuples hold
         self.automaton, self.pairs = Automaton(), Pairs(ranks)
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int32)
@@ -235,9 +234,9 @@ class Encoder:
             i = end[i]
         return tuple(ids)
 
-    def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The same for many short pieces at once: each round joins the best pair of every piece."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """The same for many short pieces at once, ids as 32-bit numbers: each round joins the best pair of every piece."""
+        out = [b""] * len(pieces)
         name = np.arange(len(pieces))
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -252,8 +251,9 @@ class Encoder:
             best = np.minimum.reduceat((joined << 7) + (np.arange(len(ids)) - np.repeat(begin, size)), begin)
             ended = (best >> 7) == none
             if ended.any():
-                for i, a, n in zip(name[ended].tolist(), begin[ended].tolist(), size[ended].tolist()):
-                    out[i] = tuple(ids[a:a + n].tolist())
+                raw = ids.astype(np.int32).tobytes()
+                for i, a, n in zip(name[ended].tolist(), (4 * begin[ended]).tolist(), (4 * size[ended]).tolist()):
+                    out[i] = raw[a:a + n]
                 stay = np.repeat(~ended, size)
                 ids, joined = ids[stay], joined[stay]
                 name, size, best = name[~ended], size[~ended], best[~ended]
@@ -303,10 +303,10 @@ class Encoder:
                 new = set(pieces)
                 short = [p for p in new if len(p) <= LONGEST_CACHED]
             cache.update(zip(short, self.merge_many(short)))
-            long = {p: self.merge(p) for p in new if len(p) > LONGEST_CACHED}
+            long = {p: np.array(self.merge(p), np.int32).tobytes() for p in new if len(p) > LONGEST_CACHED}
             merged = [cache.get(p) or long[p] if ids is None else ids for p, ids in zip(pieces, merged)]
-        counts = np.fromiter(map(len, merged), np.int64, len(merged))
-        ids = np.fromiter(chain.from_iterable(merged), np.int32, int(counts.sum()))
+        counts = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+        ids = np.frombuffer(b"".join(merged), np.int32)
         owner = np.searchsorted(offsets[1:], starts, "right")
         per_text = np.zeros(len(offsets) - 1, np.int64)
         np.add.at(per_text, owner, counts)

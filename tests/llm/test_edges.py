@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -182,6 +183,24 @@ def test_lines_that_share_only_rare_words_are_not_compared(spark, monkeypatch):
     assert sum(compared) < 2 * len(want)
 
 
+def test_shuffles_of_finished_steps_are_freed(spark, monkeypatch):
+    def left():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+    seen, real = [], line_dedup.free_shuffles
+    monkeypatch.setattr(line_dedup, "free_shuffles", lambda session: seen.append(left()) or real(session))
+    table = spark.createDataFrame([(i, f"a b c d e {i % 7}\nf g h i j {i}") for i in range(50)], "doc_id long, text string")
+    line_dedup.dedup_lines(table).collect()
+    assert len(seen) == 3 and min(seen) > 0
+    for _ in range(50):
+        real(spark)
+        if left() < max(seen):
+            break
+        time.sleep(0.1)
+    assert left() < max(seen)
+
+
 def test_archives(spark, tmp_path):
     big = "<p>" + "same text " * 200 + "</p>"
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, None), (4, "http://d", ""), (5, "u", "small"), (6, "u", "small"),
