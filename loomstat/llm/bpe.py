@@ -381,7 +381,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text", cached: i
         worker, back = known
         for batch in batches:
             # a round trip holds 24 bytes for each of the text, so it takes smaller slices
-            for first, last, data, offsets in slices(batch.column(len(kept)), SLICE // 4 if decoded else None):
+            for first, last, data, offsets in slices(batch.column(len(kept)), SLICE // 16 if decoded else None):
                 ids, ends, counts = worker.encode(data, offsets)
                 columns = [lists(ids, counts, pa.int32()), lists(ends, counts, pa.int32())]
                 if decoded:
