@@ -349,24 +349,25 @@ def first_of(keys: list[np.ndarray], group: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
-def sweep(asking: DataFrame, blocks: Blocks, data: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table],
-          merge: Callable[[pa.Table], pa.Table], schema: str, per_task: int, later_only: bool = False,
-          tighten: Callable[[pa.Table, np.ndarray, pa.Table], np.ndarray] | None = None) -> DataFrame:
-    """``merge`` over what ``meet`` finds for the rows that ask (eid, the column that the blocks go by,
-    block, reach, ...) in all entries (eid, block, ...) of blocks within their reach.
+@dataclass
+class Dealt:
+    """One partition per part: the rows that ask (columns asks), then the entries that one of them can need
+    (columns gives), block by block. ``wanted`` (block, task) lists the parts that a block goes to, none for one block."""
 
-    The rows that ask are cut into at most ``SWEEPS`` parts along the blocks, or more if a part would
-    exceed ``HELD`` rows. A task holds its part while the entries that one of its rows can need stream
-    past, so a row is written once and an entry as often as there are parts, however many blocks there are.
-    A row meets an entry at most once; it may meet some beyond its reach. ``merge`` is applied again and
-    again within a task, and ``tighten`` then gives the reach that is still needed. With ``later_only`` a
-    block is met by rows of blocks up to it.
-    """
+    rows: DataFrame
+    asks: list[str]
+    gives: list[str]
+    tasks: int
+    wanted: DataFrame | None
+
+
+def deal(asking: DataFrame, blocks: Blocks, data: DataFrame, per_task: int, later_only: bool = False, parts: int = SWEEPS) -> Dealt | None:
+    """The rows and entries of a sweep, none if no row asks. There are at most ``parts`` parts, or more if one would exceed ``HELD`` rows."""
     crowd = {r.block: r["count"] for r in asking.groupBy("block").count().collect()}
     total = sum(crowd.values())
     if not total:
-        return asking.sparkSession.createDataFrame([], schema)
-    tasks = max(min(SWEEPS, -(-total // per_task)), -(-total // HELD))
+        return None
+    tasks = max(min(parts, -(-total // per_task)), -(-total // HELD))
     home, before = [], 0
     for b in sorted(crowd):
         first, last = before * tasks // total, (before + crowd[b] - 1) * tasks // total
@@ -389,6 +390,7 @@ def sweep(asking: DataFrame, blocks: Blocks, data: DataFrame, meet: Callable[[pa
                 found = np.unique(np.column_stack([task[s:s + step][i[ok]], b[ok]]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int32()), pa.array(found[:, 1], pa.int32())], ["task", "block"])
 
+    wanted = None
     if len(blocks.cell) == 1:
         theirs = data.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
     else:
@@ -401,22 +403,66 @@ def sweep(asking: DataFrame, blocks: Blocks, data: DataFrame, meet: Callable[[pa
     # rows that ask come first, then entries block by block
     dealt = mine.unionByName(theirs, allowMissingColumns=True).repartitionById(tasks, "task").sortWithinPartitions("gives", "block") \
         .select("gives", *dict.fromkeys(asks + gives))
+    return Dealt(dealt, asks, gives, tasks, wanted)
+
+
+def streamed(batches, asks: list[str], gives: list[str]):
+    """Of one part: the rows that ask as one table, then the entries some ``MEETING`` at a time."""
+    held, waiting, size, begun = [], [], 0, False
+    for batch in batches:
+        ask = batch.num_rows - batch.column("gives").true_count
+        if ask:
+            held.append(batch.slice(0, ask).select(asks))
+        if ask == batch.num_rows:
+            continue
+        if not begun:
+            if not held:
+                return
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, begun = [], True
+        for s in range(ask, batch.num_rows, MEETING):
+            part = batch.slice(s, MEETING).select(gives)
+            waiting.append(part)
+            size += part.num_rows
+            if size >= MEETING:
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def sweep(asking: DataFrame, blocks: Blocks, data: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table],
+          merge: Callable[[pa.Table], pa.Table], schema: str, per_task: int, later_only: bool = False,
+          tighten: Callable[[pa.Table, np.ndarray, pa.Table], np.ndarray] | None = None) -> DataFrame:
+    """``merge`` over what ``meet`` finds for the rows that ask (eid, the column that the blocks go by,
+    block, reach, ...) in all entries (eid, block, ...) of blocks within their reach.
+
+    The rows that ask are cut into at most ``SWEEPS`` parts along the blocks, or more if a part would
+    exceed ``HELD`` rows. A task holds its part while the entries that one of its rows can need stream
+    past, so a row is written once and an entry as often as there are parts, however many blocks there are.
+    A row meets an entry at most once; it may meet some beyond its reach. ``merge`` is applied again and
+    again within a task, and ``tighten`` then gives the reach that is still needed. With ``later_only`` a
+    block is met by rows of blocks up to it.
+    """
+    dealt = deal(asking, blocks, data, per_task, later_only)
+    if dealt is None:
+        return asking.sparkSession.createDataFrame([], schema)
+    by, asks, gives = blocks.by, dealt.asks, dealt.gives
 
     def run(batches):
-        held, waiting, size = [], [], 0
-        rows = place = reach = own = None
+        parts = streamed(batches, asks, gives)
+        rows = next(parts, None)
+        if rows is None:
+            return
+        place, reach, own = matrix(rows.column(by)), rows.column("reach").to_numpy().copy(), rows.column("block").to_numpy()
         found, count, merged = [], 0, 0
-
-        def met() -> None:
-            nonlocal reach, found, count, merged, waiting, size
-            entries_ = pa.Table.from_batches(waiting).combine_chunks()
-            waiting, size = [], 0
+        for entries_ in parts:
             wants = np.zeros(len(place), bool)
             for b in np.unique(entries_.column("block").to_numpy()):
                 ok = blocks.bound(place, int(b)) <= reach
                 wants |= ok & (own <= b) if later_only else ok
             if not wants.any():
-                return
+                continue
             some = rows.set_column(rows.column_names.index("reach"), "reach", pa.array(reach))
             got = meet(some if wants.all() else some.filter(pa.array(wants)), entries_)
             if got.num_rows:
@@ -427,29 +473,7 @@ def sweep(asking: DataFrame, blocks: Blocks, data: DataFrame, meet: Callable[[pa
                 count = merged = found[0].num_rows
                 if tighten is not None:
                     reach = tighten(rows, reach, found[0])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ask = batch.num_rows - batch.column("gives").true_count
-            if ask:
-                held.append(batch.slice(0, ask).select(asks))
-            if ask == batch.num_rows:
-                continue
-            if rows is None:
-                if not held:
-                    return
-                rows = pa.Table.from_batches(held).combine_chunks()
-                place, reach, own = matrix(rows.column(by)), rows.column("reach").to_numpy().copy(), rows.column("block").to_numpy()
-            for s in range(ask, batch.num_rows, MEETING):
-                part = batch.slice(s, MEETING).select(gives)
-                waiting.append(part)
-                size += part.num_rows
-                if size >= MEETING:
-                    met()
-        if waiting:
-            met()
         if found:
             yield from merge(pa.concat_tables(found).combine_chunks()).to_batches(10_000)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.rows.mapInArrow(run, schema)

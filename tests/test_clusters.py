@@ -333,3 +333,35 @@ def test_ward_writes_no_row_per_cluster_and_block(points, monkeypatch):
     near = cost.argmin(axis=1)
     assert {(r.a, r.b) for r in merged} == {(i, int(near[i])) for i in range(300) if near[near[i]] == i and i < near[i]}
     assert all(abs(r.height - np.sqrt(cost[r.a, r.b])) < 1e-9 for r in merged)
+
+
+@pytest.mark.parametrize("listed", [131_072, 0])
+def test_ward_searches_only_for_clusters_without_a_list(points, monkeypatch, listed):
+    # directions without structure: boxes are of no use, and rounds go on until one task can end the tree
+    asked = []
+    real = ward._search_all
+    monkeypatch.setattr(ward, "_search_all", lambda t, n, p: asked.append((t.filter("others is null").count(), n)) or real(t, n, p))
+    monkeypatch.setattr(ward, "ENDED", 60)
+    monkeypatch.setattr(ward, "LISTED", listed)
+    x = np.random.default_rng(12).normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = ward.fit_ward(points(x), "id", rows_per_block=40)
+    got = {(r.a, r.b): (r.height, r.size) for r in tree.merges.collect()}
+    done, _ = ward.local_merges(np.arange(300), x.copy(), np.ones(300), lambda c, w: np.inf)
+    assert set(got) == {d[:2] for d in done} and len(asked) > 2
+    assert all(abs(got[d[:2]][0] - d[2]) < 1e-9 and got[d[:2]][1] == d[3] for d in done)
+    assert asked[0] == (300, 300) and any(a < n for a, n in asked[1:])
+    labels = {r.id: r.cluster for r in tree.labels(points(x), "id", clusters=4).collect()}
+    assert brute.partition(labels) == brute.ward(x, 4)
+
+
+def test_ward_lists_match_only_what_is_sure():
+    # on a line 0 1 2.1 3.3: 0 and 1 merge; 2 lost its first partner, and 3 is cheaper than what 0 and 1 became
+    x = np.array([0.0, 1.0, 2.1, 3.3])
+    cost = (x[:, None] - x[None, :]) ** 2
+    who, other = np.array([0, 1, 2, 2, 3]), np.array([1, 0, 1, 3, 2])
+    mate, at, _ = ward.matches(np.arange(4), np.ones(4), who, other, cost[who, other], np.array([1.0, 1.0, 2.0, 1.44]))
+    assert mate == [1, 0, 3, 2] and at[:2] == [1.0, 1.0] and at[2] == pytest.approx(1.44)
+    # without 3 on its list, 2 waits
+    mate, _, beta = ward.matches(np.arange(4), np.ones(4), who[:3], other[:3], cost[who, other][:3], np.array([1.0, 1.0, 1.21, 1.0]))
+    assert mate == [1, 0, -1, -1]
