@@ -14,6 +14,7 @@ from ..functions.keys import any_key, is_integral
 from ..functions.ranking import math_ceil
 from ..functions.text import text
 from ..session import cut_lineage
+from . import far
 from .blocks import HELD, PAIRS, SWEEPS, matrix
 from .clean import assign_row_id
 from .neighbors import choose_pivots, distances, nearest_pivot, stack
@@ -31,11 +32,15 @@ def _score(sums: DataFrame) -> DataFrame:
     """(id, labeling, cluster, silhouette) from (id, labeling, own, cluster, total distance, rows) summed over all rows."""
     per = sums.groupBy("id", "labeling", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mine = F.col("cluster") == F.col("own")
-    scored = per.groupBy("id", "labeling", "own").agg(
+    return _values(per.groupBy("id", "labeling", "own").agg(
         # the row itself adds distance 0 to its own cluster
         F.max(F.when(mine, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
         F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"),
-        F.max(F.when(mine, F.col("n"))).alias("size"))
+        F.max(F.when(mine, F.col("n"))).alias("size")))
+
+
+def _values(scored: DataFrame) -> DataFrame:
+    """(id, labeling, cluster, silhouette) from (id, labeling, own, a, b, size)."""
     value = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
     return scored.select("id", "labeling", F.col("own").alias("cluster"),
                          F.when(F.col("size") > 1, F.coalesce(value, F.lit(0.0)))
@@ -145,6 +150,16 @@ def _tile_sums(rows: DataFrame, n: int, rows_per_tile: int) -> DataFrame:
     return met.mapInArrow(run, "id long, labeling int, own int, cluster int, total double, n long")
 
 
+def _exact(rows: DataFrame, rows_per_tile: int) -> DataFrame:
+    """(id, labeling, cluster, silhouette) of rows (id, vec, labels): by a tree where many rows have few coordinates, else pair by pair."""
+    n = rows.count()
+    if not far.suits(rows, n):
+        return _score(_tile_sums(rows, n, rows_per_tile))
+    rows = cut_lineage(rows)
+    each = rows.select("id", "vec", F.posexplode("labels").alias("labeling", "own"))
+    return _values(each.join(far.nearness(rows), ["vec", "labeling", "own"]))
+
+
 def _summary_sums(rows: DataFrame, cells: int) -> DataFrame:
     """Distance sums per (row, cluster) against cell centroids: linear in the rows.
 
@@ -182,7 +197,8 @@ def silhouette_samples(points: DataFrame, key: str, features: str = "features",
                        cells: int = SUMMARY_CELLS) -> DataFrame:
     """(key, cluster, silhouette) with Euclidean distances; a row alone in its cluster has 0.
 
-    ``method`` "exact" costs n * n distance evaluations, whatever the size of the table;
+    ``method`` "exact" costs n * n distance evaluations, or with one or two coordinates a number that grows
+    with n (``far``; sums to about ten digits);
     "cells" measures against the centroids of ``cells`` cells per cluster instead, which is
     another, approximate number and is only used where it is asked for.
     """
@@ -192,9 +208,9 @@ def silhouette_samples(points: DataFrame, key: str, features: str = "features",
         rows = rows.filter(F.col("own") != -1)
     if method not in ("exact", "cells"):
         raise ValueError(f"unknown method: {method}")
-    sums = _tile_sums(rows.select("id", "vec", F.array("own").alias("labels")), rows.count(), rows_per_tile) if method == "exact" \
-        else _summary_sums(rows, cells)
-    return _score(sums).drop("labeling").withColumnRenamed("id", key)
+    scored = _exact(rows.select("id", "vec", F.array("own").alias("labels")), rows_per_tile) if method == "exact" \
+        else _score(_summary_sums(rows, cells))
+    return scored.drop("labeling").withColumnRenamed("id", key)
 
 
 def silhouettes(points: DataFrame, key: str, labels: str, features: str = "features",
@@ -207,7 +223,7 @@ def silhouettes(points: DataFrame, key: str, labels: str, features: str = "featu
     table = points if is_integral(points, key) else assign_row_id(points.drop(key), key)
     some = F.transform(q(labels).cast("array<int>"), lambda c: F.when(c != -1, c))
     rows = cut_lineage(table.select(q(key).cast("long").alias("id"), q(features).cast("array<double>").alias("vec"), some.alias("labels")))
-    scored = _score(_tile_sums(rows, rows.count(), rows_per_tile))
+    scored = _exact(rows, rows_per_tile)
     several = F.count_distinct("cluster") > 1
     return scored.groupBy("labeling").agg(F.when(several, F.avg("silhouette")).otherwise(F.lit(0.0)).alias("silhouette"))
 

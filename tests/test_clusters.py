@@ -365,3 +365,32 @@ def test_ward_lists_match_only_what_is_sure():
     # without 3 on its list, 2 waits
     mate, _, beta = ward.matches(np.arange(4), np.ones(4), who[:3], other[:3], cost[who, other][:3], np.array([1.0, 1.0, 1.21, 1.0]))
     assert mate == [1, 0, -1, -1]
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_silhouettes_in_the_plane_equal_brute_force_without_all_pairs(spark, monkeypatch, d):
+    from loomstat.operators import far
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (900, d)), rng.normal(6, 0.02, (700, d)), rng.normal(0, 300, (30, d)), np.full((300, d), 2.5)])
+    labels = np.column_stack([rng.integers(0, 3, len(x)), (x[:, 0] > 3).astype(int)])
+    labels[::11, 0] = -1
+    labels[1, 1] = 7                            # alone in its cluster
+    df = spark.createDataFrame([(f"k{i}", r.tolist(), [int(v) for v in c]) for i, (r, c) in enumerate(zip(x, labels))],
+                               "id string, features array<double>, labels array<int>")
+    monkeypatch.setattr(far, "FEWEST", 100)
+    monkeypatch.setattr(far, "LEAF", 40)
+    monkeypatch.setattr(evaluate, "_tile_sums", lambda *a: pytest.fail("all pairs"))
+    got = {r.labeling: r.silhouette for r in evaluate.silhouettes(df, "id", "labels").collect()}
+    some = labels[:, 0] >= 0
+    assert got[0] == pytest.approx(brute.silhouette(x[some], labels[some, 0]).mean(), abs=1e-12)
+    assert got[1] == pytest.approx(brute.silhouette(x, labels[:, 1]).mean(), abs=1e-12)
+    one = df.select(F.expr("cast(substring(id, 2) as long)").alias("id"), "features", F.col("labels")[1].alias("cluster"))
+    rows = {r.id: r.silhouette for r in evaluate.silhouette_samples(one, "id").collect()}
+    assert np.allclose([rows[i] for i in range(len(x))], brute.silhouette(x, labels[:, 1]), atol=1e-12)
+    # few boxes meet through points, most through their nodes
+    tree = far.Tree(x, 1.0, 40)
+    leaf = tree.place(x)
+    own = np.unique(leaf)
+    tree.bound(own, np.array([x[leaf == k].min(axis=0) for k in own]), np.array([x[leaf == k].max(axis=0) for k in own]))
+    many, near = tree.meetings(own)
+    assert len(many) and len(near) < len(own) ** 2 / 2

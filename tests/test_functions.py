@@ -120,3 +120,13 @@ def test_report_numbers_round_by_their_binary_value(spark):
     df = spark.createDataFrame([(9.95, 1234567, 2.675), (0.25, 5, None)], "a double, n long, b double")
     got = [r[0] for r in df.select(text("%.1f%% of %,d, %.2f", "a", "n", "b")).collect()]
     assert got == [f"{9.95:.1f}% of 1,234,567, {2.675:.2f}", f"{0.25:.1f}% of 5, null"]
+
+
+def test_dates_are_read_as_by_trying_every_form(spark):
+    texts = ["2024-01-02", "3/4/2024", "3/4/2024 5:06", "3/4/2024 5:06:07", "2024/3/4", "2024/3/4 5:06:07", "Jan 5, 2024", "January 5, 2024",
+             "5 Jan 2024", "5 January 2024", "05-Jan-2024", " 5 Jan 2024 ", "Brand#12", "a, b", "5 of 7", "x/y", "-", "", None, "Jan 5 2024"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    text = F.trim("t")
+    every = F.coalesce(text.try_cast("timestamp_ntz"), *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in clean.DATE_FORMS])
+    rows = df.select("i", clean.timestamp_or_null(F.col("t")).alias("got"), every.alias("want")).orderBy("i").collect()
+    assert all(r.got == r.want for r in rows) and sum(r.got is not None for r in rows) == 12
